@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import embedding_dedup, simhash
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, distance=3)
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op10_embedding_dedup": op10_embedding_dedup,
+}
 ORACLE_SQL: dict[str, str] = {}
