@@ -122,20 +122,21 @@ def equal_pairs(distinct: DataFrame, groups: list[list[int]]) -> list[float]:
 def estimated_costs(n: int, both: np.ndarray, groups: list[list[int]], pairs: list[float], distance: int, verify: float) -> list[list[float]]:
     """cost[i][t]: probes sent plus ``verify`` times the candidates met with threshold t in partition i.
 
-    The candidates at t = 0 are counted; those at t > 0 follow from them by the odds that a bit differs, elementary
-    symmetric sums over the partition's bits. Index t = -1 (the partition is not probed) costs nothing.
+    Candidates are of two kinds. Those that independent bits give follow from the odds that a bit differs: elementary
+    symmetric sums over the partition's bits. The agreeing pairs counted beyond those are near copies; they meet at
+    t = 0 already, and each further bit is taken to add as many again. Index t = -1 (not probed) costs nothing.
     """
     p = both.diagonal() / max(n, 1)
     differ = np.clip(2 * p * (1 - p), 1e-9, 0.5)
     costs = []
     for bits, agree in zip(groups, pairs):
-        # with no agreeing pair yet, what independent bits would give
-        agree = max(agree, n * (n - 1) / 2 * float(np.prod(1 - differ[bits])))
+        chance = n * (n - 1) / 2 * float(np.prod(1 - differ[bits]))
+        copies = max(0.0, agree - chance)
         sums = [1.0] + [0.0] * distance
         for b in bits:
             for k in range(distance, 0, -1):
                 sums[k] += sums[k - 1] * differ[b] / (1 - differ[b])
-        costs.append([n * sum(comb(len(bits), j) for j in range(t + 1)) + verify * agree * sum(sums[: t + 1]) for t in range(distance + 1)])
+        costs.append([n * sum(comb(len(bits), j) for j in range(t + 1)) + verify * (chance * sum(sums[: t + 1]) + copies * (t + 1)) for t in range(distance + 1)])
     return costs
 
 
