@@ -14,7 +14,8 @@ from .scratch import materialize
 
 #: The base of the Rabin-Karp polynomial modulo 2**64; any odd number of full width does.
 BASE = 0x9E3779B97F4A7C15
-CHUNK_WINDOWS = 2_000_000  # windows a task holds before it sends them on
+CHUNK_WINDOWS = 400_000  # windows a task holds before it sends them on
+ROWS = 512  # documents cut at a time
 LEAST_BUCKETS = 512
 BUCKET_BYTES = 8_000_000  # bytes of text for a bucket, about
 
@@ -131,7 +132,7 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
 
 def _cut(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             out = []
             for doc, text, found in zip(*(batch.column(i) for i in range(3))):
                 words = split_words(text.as_py())
