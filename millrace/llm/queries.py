@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, mixing, pieces, quality, simhash, substring_dedup, token_counts, token_files
+from . import embedding_dedup, line_dedup, mixing, pieces, quality, simhash, substring_dedup, token_counts, token_files
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), kind="bpe")
@@ -50,6 +54,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
+    "op7_line_dedup": op7_line_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
