@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, line_dedup, mixing, pieces, quality, simhash, substring_dedup, token_counts, token_files
+from . import embedding_dedup, line_dedup, mixing, pieces, pii, quality, simhash, substring_dedup, token_counts, token_files
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), kind="bpe")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -51,6 +55,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_pii": op3_pii,
     "op4_mixing": op4_mixing,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
