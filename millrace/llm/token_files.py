@@ -8,6 +8,7 @@ lost executor or a repeated task leaves no half files, and any file system that
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -20,7 +21,7 @@ from .scratch import materialize
 
 GROUP = 4096  # ids that share one byte offset
 BLOCK_IDS = 1 << 18  # ids of a block, about: it ends with the document that reaches this
-MEMO = 200_000  # words whose ids a task keeps
+MEMO = 400_000  # words, and stems, whose ids a task keeps
 
 
 def bit_width(vocabulary: int) -> int:
@@ -62,10 +63,18 @@ def unpack_ids(packed: bytes, width: int, first: int, end: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, "<u4")
 
 
+#: Letters below U+0180, each of which has one letter as lower case, and one sign after them at most.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f"
+TAKEN_APART = re.compile(f"([{LETTERS}]+)([.,!?:;]?)").fullmatch
+PLAIN = re.compile(f"[{LETTERS}]+").fullmatch
+
+
 class WordEncoder:
-    """Encodes text word by word, remembering the ids of words.
+    """Encodes text word by word, remembering the ids of words and of their stems.
 
-    Good for tokenizers that never join or look across ASCII white space. The library encodes each word not seen yet.
+    Good for tokenizers that never join or look across ASCII white space, and that take a run of letters and the sign
+    after it apart, as the word-end BPE does. Each new stem is encoded by the library, many in a call: a run of letters
+    is one pre-token, so its ids end where a piece that ends a word does.
     """
 
     def __init__(self, path: str):
@@ -75,26 +84,49 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        words, memo = text_words(text), self.memo
-        new = list({w for w in words if w not in memo})
-        if new:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                memo[w] = e.ids
-        out: list[int] = []
-        for w in words:
-            out += memo[w]
-        return out
-
-
-def text_words(text: str) -> list[str]:
-    """Runs of other than space, tab, line feed, vertical tab, form feed and carriage return."""
-    return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for piece, i in vocabulary.items():
+            self.ends[i] = piece.endswith("</w>")
+        self.memo: dict[bytes, bytes] = {}  # ids as 4 bytes each: objects that the collector need not visit
+        self.stems: dict[str, bytes] = {}
+
+    def learn(self, words: list[bytes]) -> None:
+        stems, memo = self.stems, self.memo
+        """Add new words, and what the library makes of stems not seen yet."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        parts = [(w, m[1].lower(), m[2]) if m else (w, t, "") for w, t, m in zip(words, texts, map(TAKEN_APART, texts))]
+        if len(stems) + len(parts) > MEMO:
+            stems.clear()
+        new = {p for _, p, _ in parts if p not in stems} | {p for p in {p for _, _, p in parts} if p and p not in stems}
+        plain, other = [], []
+        for p in new:
+            (plain if PLAIN(p) else other).append(p)
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            flat = np.array(found.ids, "<u4")
+            cuts = (4 * np.flatnonzero(self.ends[flat]) + 4).tolist()
+            if len(cuts) == len(group):
+                raw = flat.tobytes()
+                stems.update(zip(group, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
+            else:  # not a tokenizer of that kind
+                other += group
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            stems[w] = np.array(e.ids, "<u4").tobytes()
+        for w, stem, sign in parts:
+            memo[w] = stems[stem] + stems[sign] if sign else stems[stem]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        # runs of other than space, tab, line feed, vertical tab, form feed and carriage return
+        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        found = [list(map(self.memo.get, words)) for words in split]
+        missing = [k for k, got in enumerate(found) if None in got]
+        self.learn(list({w for k in missing for w, g in zip(split[k], found[k]) if g is None}))
+        for k in missing:
+            found[k] = [self.memo[w] if g is None else g for w, g in zip(split[k], found[k])]
+        return [np.frombuffer(b"".join(got), "<u4") for got in found]
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
@@ -105,7 +137,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [np.array(encoder.encode(t.as_py() or "") + [end_id], np.uint32) for t in part.column(1)]
+                ids = [np.append(x, np.uint32(end_id)) for x in encoder.encode_all([t.as_py() or "" for t in part.column(1)])]
                 yield pa.record_batch([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack_ids(x, width) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "packed"])
 
     return docs.mapInArrow(run, "doc_id long, n_tokens long, packed binary")
@@ -114,19 +146,20 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
 def write_blocks(encoded: DataFrame, width: int, partitions: int) -> DataFrame:
     """Write ids in ascending doc_id order as the table of blocks; returns it as read back.
 
-    Columns: shard, block (within the shard), width, doc_ids, lengths, packed. Shards are ranges of doc_id.
+    Columns: shard, block (within the shard), in_shard (ids of the shard before it), width, doc_ids, lengths, packed. Shards are ranges of doc_id.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
         shard, block = TaskContext.get().partitionId(), 0
-        docs, lengths, ids, held = [], [], [], 0
+        docs, lengths, ids, held, before = [], [], [], 0, 0
 
         def row():
             flat = pack_ids(np.concatenate(ids), width)
-            cols = [[shard], [block], [width], [docs], [lengths], [flat]]
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))], names=["shard", "block", "width", "doc_ids", "lengths", "packed"])
+            cols = [[shard], [block], [before], [width], [docs], [lengths], [flat]]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["shard", "block", "in_shard", "width", "doc_ids", "lengths", "packed"])
 
         for batch in batches:
             for doc, n, packed in zip(*(c.to_pylist() for c in batch.columns)):
@@ -137,12 +170,13 @@ def write_blocks(encoded: DataFrame, width: int, partitions: int) -> DataFrame:
                 if held >= BLOCK_IDS:
                     yield row()
                     block += 1
+                    before += held
                     docs, lengths, ids, held = [], [], [], 0
         if docs:
             yield row()
 
     ordered = encoded.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    schema = "shard long, block long, width int, doc_ids array<bigint>, lengths array<bigint>, packed binary"
+    schema = "shard long, block long, in_shard long, width int, doc_ids array<bigint>, lengths array<bigint>, packed binary"
     return materialize(ordered.mapInArrow(run, schema), "token-blocks")
 
 
@@ -152,11 +186,6 @@ def read_documents(blocks: DataFrame) -> DataFrame:
     # a row for each shard, of which there are as many as the writer had tasks
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("shard", before.alias("shard_start"))
-    within = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.select("shard", "block", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    placed = placed.select("shard", "block", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("in_shard"))
-    placed = placed.join(F.broadcast(starts), "shard").select("shard", "block", (F.col("shard_start") + F.col("in_shard")).alias("start"))
-
     def run(batches):
         for batch in batches:
             for width, docs, lengths, packed, start in zip(*(c.to_pylist() for c in batch.columns)):
@@ -170,7 +199,7 @@ def read_documents(blocks: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                     )
 
-    joined = blocks.join(placed, ["shard", "block"]).select("width", "doc_ids", "lengths", "packed", "start")
+    joined = blocks.join(F.broadcast(starts), "shard").select("width", "doc_ids", "lengths", "packed", (F.col("shard_start") + F.col("in_shard")).alias("start"))
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
