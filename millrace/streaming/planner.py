@@ -1,0 +1,32 @@
+"""The microbatch planner over a stream of draws: state is the buffer and the step, kept by Spark's state store."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..plans.packing import Planner
+
+STATE = "draw_ids array<bigint>, tokens array<bigint>, step bigint"
+
+
+def plan_stream(rows: DataFrame, stream: str, planner: Planner) -> DataFrame:
+    """Microbatches of each stream as soon as its buffer is full: (stream, microstep, rank, slot, draw_id, tokens).
+
+    ``rows`` is a streaming DataFrame of (stream, draw_id, tokens); draws of a stream must come in order of draw_id from
+    one micro-batch to the next. A restart from the checkpoint goes on with the exact stream.
+    """
+
+    def plan(key: tuple, frames, state: GroupState):
+        ids, tokens, step = state.get if state.exists else ([], [], 0)
+        new = pd.concat(list(frames)).sort_values("draw_id")
+        if ids and len(new) and new["draw_id"].iloc[0] <= max(ids):
+            raise ValueError(f"draw {new['draw_id'].iloc[0]} of stream {key[0]} comes after draw {max(ids)}")
+        found, buffer, step = planner.run(list(zip(new["draw_id"].tolist(), new["tokens"].tolist())), final=False, buffer=list(zip(ids, tokens)), step=step)
+        state.update(([d for d, _ in buffer], [t for _, t in buffer], step))
+        out = pd.DataFrame(found, columns=["microstep", "rank", "slot", "draw_id", "tokens"])
+        out.insert(0, stream, key[0])
+        yield out
+
+    return rows.select(stream, "draw_id", "tokens").groupBy(stream).applyInPandasWithState(plan, f"{stream} long, microstep long, rank long, slot long, draw_id long, tokens long", STATE, "append", GroupStateTimeout.NoTimeout)
