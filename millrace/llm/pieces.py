@@ -10,6 +10,7 @@ then equal the library's for either kind.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 MEMO = 400_000  # pre-tokens whose ids a task keeps
 PAIRS = 400_000  # neighbours whose fit a task keeps
+SHORT = 64  # characters of a pre-token that is remembered; longer ones go through the stream
 
 
 class PieceModel:
@@ -26,6 +28,9 @@ class PieceModel:
 
     ``kind`` is "bpe" or "unigram", as the model was made. As with the library, a space is put before a text, spaces
     become U+2581, and characters without a piece become byte pieces (the unknown id if the model has none).
+
+    Pieces are numbered in their order; a character without a piece gets a number when it is first met. A path is a list
+    of (number, score) of the survivors at the boundaries from ``base`` on; the first entry stands for what is before.
     """
 
     def __init__(self, pieces: list[tuple[str, float]], ids: list[int] | None = None, kind: str = "bpe", byte_ids: list[int] | None = None, unknown: int = 0):
@@ -35,13 +40,27 @@ class PieceModel:
         self.score = {p: s for p, s in pieces}
         self.piece_of = {i: p for p, i in self.id_of.items()}
         self.longest = max(map(len, self.id_of), default=1)
-        self.tails = {p[k:] for p in self.id_of for k in range(len(p))}
         self.lowest = min(self.score.values(), default=0.0) - 10.0  # an unknown character, as the library scores it
-        self.fits: dict[tuple[str, str], bool] = {}
-        # no piece runs over the place where a space follows other characters, nor over a character that no piece holds
-        crossing = any(SPACE in p.lstrip(SPACE) for p in self.id_of)
-        alone = "".join(re.escape(c) for c in "\n\t\r" if not any(c in p for p in self.id_of))
-        self.pre_token = re.compile(".+" if crossing else (f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+"), re.S)
+        # all ends of pieces; those that are pieces have their number, others -1
+        self.numbered = ["", *self.score]
+        self.ends = dict.fromkeys((p[k:] for p in self.score for k in range(len(p))), -1) | {p: i for i, p in enumerate(self.numbered) if i}
+        self.size = [len(p) for p in self.numbered]
+        self.weight = [0.0, *self.score.values()]
+        self.emits = [[], *([self.id_of[p]] for p in self.score)]
+        self.fits: dict[int, bool] = {}
+        self.pre_token = re.compile(self.cuts(), re.S)
+
+    def cuts(self) -> str:
+        """A pattern for what lies between places that no piece runs over: where a space follows other characters, about
+        characters that no piece holds, and between a letter and a sign that no piece has after a letter."""
+        if any(SPACE in p.lstrip(SPACE) for p in self.score):
+            return ".+"
+        alone = "".join(re.escape(c) for c in "\n\t\r" if not any(c in p for p in self.score))
+        after_letter = {b for p in self.score for a, b in zip(p, p[1:]) if a.isalpha()}
+        signs = "".join(re.escape(c) for c in ".,;:!?|)#$%&*" if c not in after_letter)
+        lone = f"[{alone}]|" if alone else ""
+        word = f"{SPACE}*[^\\W\\d_]+(?=[{signs}])|" if signs else ""
+        return f"{lone}{word}{SPACE}*[^{SPACE}{alone}]+|{SPACE}+"
 
     @classmethod
     def load(cls, path: str, kind: str = "bpe") -> "PieceModel":
@@ -64,93 +83,121 @@ class PieceModel:
             i = min(joint)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def fit(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        found = self.fits.get(key)
-        if found is None:
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            found = self.fits[key] = self.merge(before + piece) == ([before, piece] if before else [piece])
+    def number(self, character: str) -> int:
+        """The number of a character without a piece."""
+        self.ends[character] = len(self.numbered)
+        self.numbered.append(character)
+        self.size.append(1)
+        self.weight.append(self.lowest)
+        self.emits.append([self.byte_ids[b] for b in character.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown])
+        return self.ends[character]
+
+    def fit(self, before: int, piece: int) -> bool:
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
+        a, b = self.numbered[before], self.numbered[piece]
+        found = self.fits[before << 24 | piece] = self.merge(a + b) == ([a, b] if a else [b])
         return found
 
-    def advance(self, text: str, end: int, last: list, base: int):
-        """The survivor at ``end``: (piece, score) given ``last``, the survivors at the boundaries from ``base`` on."""
-        tails, score, n = self.tails, self.score, 1
-        found = []
-        while n <= end - base:
-            piece = text[end - n : end]
-            if piece not in tails:
+    def survivor(self, text: str, end: int, path: list, base: int) -> tuple[int, float]:
+        """The number and score of the piece that survives at ``end``."""
+        ends, n = self.ends, end - 1
+        i = ends.get(text[n:end], -1)
+        if i < 0:
+            i = self.number(text[n:end])
+        found = [i]
+        while n > base:
+            n -= 1
+            i = ends.get(text[n:end])
+            if i is None:
                 break
-            if piece in score:
-                found.append(piece)
-            n += 1
-        if not found or len(found[0]) > 1:
-            found.insert(0, text[end - 1])
+            if i > 0:
+                found.append(i)
+        size = self.size
         if self.kind == "bpe":
-            for piece in reversed(found):
-                if self.fit(last[end - len(piece) - base][0], piece):
-                    return piece, 0.0
+            fits = self.fits
+            for i in reversed(found):
+                before = path[end - size[i] - base][0]
+                fit = fits.get(before << 24 | i)
+                if fit or (fit is None and self.fit(before, i)):
+                    return i, 0.0
             raise ValueError(f"no piece ends at {end} of {text[max(0, end - 40) : end]!r}")
-        return max(((p, last[end - len(p) - base][1] + score.get(p, self.lowest)) for p in found), key=lambda x: x[1])
+        return max(((i, path[end - size[i] - base][1] + self.weight[i]) for i in found), key=lambda x: x[1])
 
-    def converged(self, last: list) -> int:
+    def converged(self, path: list) -> int:
         """The last boundary that the best paths to all boundaries a next piece may follow have in common."""
-        n = len(last) - 1
+        n = len(path) - 1
         open_ends = set(range(max(0, n - self.longest + 1), n + 1))
         while len(open_ends) > 1:
             end = max(open_ends)
             open_ends.remove(end)
-            open_ends.add(end - len(last[end][0]) if end else 0)
+            open_ends.add(end - self.size[path[end][0]])
         return open_ends.pop()
 
     def stream(self, text: str):
-        """The pieces of ``text``, each as soon as all surviving paths agree on it; holds a few times the longest piece."""
-        last, base = [("", 0.0)], 0
+        """The pieces' numbers of ``text``, each as soon as all surviving paths agree on it; holds a few of the longest piece."""
+        path, base = [(0, 0.0)], 0
         window = 4 * self.longest
         for end in range(1, len(text) + 1):
-            last.append(self.advance(text, end, last, base))
-            if len(last) > window:
-                cut = self.converged(last)
+            path.append(self.survivor(text, end, path, base))
+            if len(path) > window:
+                cut = self.converged(path)
                 if cut:
-                    yield from self.trace(last, cut)
-                    last, base = last[cut:], base + cut
-                window = max(4 * self.longest, 2 * len(last))
-        yield from self.trace(last, len(last) - 1)
-
-    @staticmethod
-    def trace(last: list, end: int) -> list[str]:
+                    yield from self.trace(path, cut)
+                    path, base = path[cut:], base + cut
+                window = max(4 * self.longest, 2 * len(path))
+        yield from self.trace(path, len(path) - 1)
+
+    def walk(self, tokens: list[str]):
+        """(token, path) for each of some texts, in order: what two neighbours share at their start is searched once."""
+        path, before = [(0, 0.0)], ""
+        for token in sorted(tokens):
+            shared = 0
+            for a, b in zip(before, token):
+                if a != b:
+                    break
+                shared += 1
+            del path[shared + 1 :]
+            for end in range(shared + 1, len(token) + 1):
+                path.append(self.survivor(token, end, path, 0))
+            before = token
+            yield token, shared, path
+
+    def trace(self, path: list, end: int) -> list[int]:
         out = []
         while end > 0:
-            out.append(last[end][0])
-            end -= len(last[end][0])
+            out.append(path[end][0])
+            end -= self.size[path[end][0]]
         return out[::-1]
 
-    def ids(self, piece: str) -> list[int]:
-        found = self.id_of.get(piece)
-        if found is not None:
-            return [found]
-        return [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
-
     def pre_tokens(self, text: str) -> list[str]:
         """The text cut where no piece can run over, its spaces written as U+2581, one put before it."""
         return self.pre_token.findall((SPACE + text.replace(" ", SPACE)) if text else "")
 
-    def encode(self, text: str, memo: dict | None = None) -> list[int]:
+    def learn(self, tokens, memo: dict) -> None:
+        """The ids of pre-tokens not seen yet, as 4 bytes each: objects that the collector need not visit."""
+        for token, _, path in self.walk([t for t in tokens if len(t) <= SHORT]):
+            memo[token] = array("i", [i for p in self.trace(path, len(token)) for i in self.emits[p]]).tobytes()
+
+    def encode_all(self, texts: list[str], memo: dict | None = None) -> list[np.ndarray]:
+        """The ids of each text."""
         memo = {} if memo is None else memo
-        out: list[int] = []
-        for token in self.pre_tokens(text):
-            found = memo.get(token)
-            if found is None:
-                found = []
-                for piece in self.stream(token):
-                    found += self.ids(piece)
-                if len(token) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[token] = found
-            out += found
+        if len(memo) > MEMO:
+            memo.clear()
+        cut = [self.pre_tokens(t) for t in texts]
+        found = [list(map(memo.get, tokens)) for tokens in cut]
+        self.learn({t for tokens, got in zip(cut, found) if None in got for t, g in zip(tokens, got) if g is None}, memo)
+        out = []
+        for tokens, got in zip(cut, found):
+            if None in got:
+                got = [memo.get(t) if g is None else g for t, g in zip(tokens, got)]
+                got = [array("i", [i for p in self.stream(t) for i in self.emits[p]]).tobytes() if g is None else g for t, g in zip(tokens, got)]
+            out.append(np.frombuffer(b"".join(got), np.int32))
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0].tolist()
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces joined to UTF-8, U+2581 as space, the space put before the text taken off."""
         of_byte = {i: b for b, i in enumerate(self.byte_ids or [])}
@@ -183,7 +230,7 @@ def encode_decode(docs: DataFrame, model: str, kind: str = "bpe", id_col: str =
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [t.as_py() or "" for t in part.column(1)]
-                ids = [np.array(pieces.encode(t, memo), np.int32) for t in texts]
+                ids = pieces.encode_all(texts, memo)
                 back = [pieces.decode(x.tolist()) for x in ids]
                 same = [b == t.replace(SPACE, " ") for b, t in zip(back, texts)]
                 cols = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string()), pa.array(same, pa.bool_())]

@@ -18,24 +18,16 @@ MEMO = 300_000  # counts of pre-tokens that a task keeps
 def trie_counts(model: PieceModel, tokens: list[str]) -> dict[str, int]:
     """How many ids each of the distinct ``tokens`` has.
 
-    Going through them in order walks their trie depth first: what two neighbours share is a path from the root, and
-    the survivors and counts of its nodes stand from the one before. A node's count is that of the node its survivor
+    Going through them in order walks their trie depth first: what two neighbours share is a path from the root, whose
+    nodes' survivors and counts stand from the one before. A node's count is that of the node its survivor
     begins at, and what the survivor adds.
     """
-    counts, path, before = {}, [("", 0.0)], ""
-    upto = [0]
-    for token in sorted(tokens):
-        shared = 0
-        for a, b in zip(before, token):
-            if a != b:
-                break
-            shared += 1
-        del path[shared + 1 :], upto[shared + 1 :]
-        for end in range(shared + 1, len(token) + 1):
-            node = model.advance(token, end, path, 0)
-            path.append(node)
-            upto.append(upto[end - len(node[0])] + len(model.ids(node[0])))
-        counts[token], before = upto[-1], token
+    counts, upto = {}, [0]
+    for token, shared, path in model.walk(tokens):
+        del upto[shared + 1 :]
+        for piece, _ in path[shared + 1 :]:
+            upto.append(upto[len(upto) - model.size[piece]] + len(model.emits[piece]))
+        counts[token] = upto[-1]
     return counts
 
 
