@@ -6,8 +6,8 @@ itself and all variants with one word deleted as hashed keys; alike lines share
 - one replaced by another word: both lack the same word place, so they share a variant and its place;
 - one word more: the shorter line is a variant of the longer one.
 
-All lines that share a variant and its place are alike among each other, and all lines with a variant are alike to the
-line that equals it, so the earliest line of each key is all that needs keeping: keys are aggregated, not paired.
+All lines that share a variant and its place are alike among each other, so the earliest line of each key is all that
+needs keeping: those keys are aggregated, not paired. Of the other kind a line has no more pairs than words.
 """
 
 from __future__ import annotations
@@ -22,20 +22,21 @@ MIN_WORDS = 8  # a shorter line has no variants: one word would be too much of i
 UNIT_WORDS = 256  # a longer line is handled as units of so many words
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, place, codes): the units of all lines with a word; codes are the hashes of their words.
+def lines_of(docs: DataFrame, id_col: str, text_col: str, *along: str) -> DataFrame:
+    """(doc_id, place, unit, and columns taken ``along``): the units of all lines with a word, their words joined by one space.
 
     place orders units within the document: line number * 2**24 + unit number.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line_no", "line"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *along, F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line_no", "line"))
     bare = F.btrim("line", F.lit(BLANK))
-    rows = rows.filter(bare != "").select("doc_id", "line_no", F.transform(F.split(bare, BLANKS), lambda w: F.xxhash64(w)).alias("codes"))
-    short = F.size("codes") <= UNIT_WORDS
-    parts = F.when(short, F.array("codes")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.floor((F.size("codes") - 1) / UNIT_WORDS).cast("int")), lambda k: F.slice("codes", k * UNIT_WORDS + 1, UNIT_WORDS))
+    even = F.when(bare.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(bare, BLANKS, " ")).otherwise(bare)
+    rows = rows.select("doc_id", *along, "line_no", even.alias("line")).filter("line <> ''")
+    words = F.split("line", " ", -1)
+    parts = F.when(F.size(words) <= UNIT_WORDS, F.array("line")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / UNIT_WORDS).cast("int")), lambda k: F.array_join(F.slice(words, k * UNIT_WORDS + 1, UNIT_WORDS), " "))
     )
-    rows = rows.select("doc_id", "line_no", F.posexplode(parts).alias("unit", "codes"))
-    return rows.select("doc_id", (F.col("line_no").cast("long") * (1 << 24) + F.col("unit")).alias("place"), "codes")
+    rows = rows.select("doc_id", *along, "line_no", F.posexplode(parts).alias("k", "unit"))
+    return rows.select("doc_id", *along, (F.col("line_no").cast("long") * (1 << 24) + F.col("k")).alias("place"), "unit")
 
 
 def at(doc: str = "doc_id", place: str = "place") -> Column:
@@ -45,26 +46,23 @@ def at(doc: str = "doc_id", place: str = "place") -> Column:
 
 def half_keys() -> Column:
     """Keys of a line's first and last halves: two alike lines are equal in one half of the shorter one's length."""
-    n = F.size("codes")
+    n = F.size(F.split("unit", " ", -1))
 
     def key(kind: int, size: Column) -> Column:
-        part = F.slice("codes", 1, size) if kind == 0 else F.slice("codes", n - size + 1, size)
-        return F.xxhash64(F.lit(kind), size, part)
+        return F.xxhash64(F.lit(kind), size, F.call_function("substring_index", F.col("unit"), F.lit(" "), size if kind == 0 else -size))
 
     low, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return F.array_distinct(F.array(key(0, low), key(0, less), key(1, n - low), key(1, n - 1 - less)))
+    keys = F.array_distinct(F.array(key(0, low), key(0, less), key(1, n - low), key(1, n - 1 - less)))
+    return F.when(n >= MIN_WORDS, keys).otherwise(F.array().cast("array<bigint>"))
 
 
-def variant_keys() -> Column:
-    """(key, whole) of a line: each variant with its place (whole false), each variant and the line itself (whole true for the line)."""
-    n = F.size("codes")
-    left_out = lambda i: F.concat(F.slice("codes", 1, i - 1), F.slice("codes", i + 1, n))
-    places = F.sequence(F.lit(1), n)
-    # equal neighbours give equal variants: the place of the first stands for all of a run
-    placed = F.transform(places, lambda i: F.struct(F.xxhash64(left_out(i), i).alias("key"), F.lit(0).alias("kind")))
-    bare = F.transform(places, lambda i: F.struct(F.xxhash64(left_out(i)).alias("key"), F.lit(1).alias("kind")))
-    itself = F.array(F.struct(F.xxhash64(F.col("codes")).alias("key"), F.lit(2).alias("kind")))
-    return F.concat(placed, bare, itself)
+def left_out(i: Column) -> Column:
+    """The words of a line without that at place ``i``."""
+    return F.concat(F.slice("codes", 1, i - 1), F.slice("codes", i + 1, F.size("codes")))
+
+
+def places() -> Column:
+    return F.sequence(F.lit(1), F.size("codes"))
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -80,35 +78,44 @@ def one_edit(a: Column, b: Column) -> Column:
     return (longer - shorter <= 1) & (same(a, b) + same(F.reverse(a), F.reverse(b)) >= longer - 1)
 
 
+def near_lines(texts: DataFrame) -> DataFrame:
+    """(doc_id, place, codes): the units at ``places`` of each text, as hashes of their words."""
+    rows = lines_of(texts, "doc_id", "text", "places").filter(F.array_contains("places", F.col("place")))
+    return rows.select("doc_id", "place", F.transform(F.split("unit", " ", -1), lambda w: F.xxhash64(w)).alias("codes"))
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, place) of every unit that equals, or is one word edit from, a unit that stands earlier in the corpus."""
-    units = lines_of(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
-    units = units.withColumn("line", F.struct(F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(7), F.reverse("codes")).alias("h2")))
+    docs = docs.filter(F.col(id_col).isNotNull())
+    units = lines_of(docs, id_col, text_col)
     # equal lines: 128 bits of hash stand for a line; one row per distinct line goes on, where it stands first
-    placed = materialize(units.select("line", "doc_id", "place", "codes"), "line-units")
-    first = placed.groupBy("line").agg(F.min(at()).alias("first"), F.count("*").alias("n"))
-    first = materialize(first.select("line", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"), "n"), "first-lines")
+    placed = units.select(F.struct(F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(7), F.reverse("unit")).alias("h2")).alias("line"), "doc_id", "place", half_keys().alias("halves"))
+    placed = materialize(placed, "line-units")
+    first = placed.groupBy("line").agg(F.min(F.struct("doc_id", "place", "halves")).alias("first"), F.count("*").alias("n"))
+    first = materialize(first.select("line", "first.doc_id", "first.place", "n", "first.halves"), "first-lines")
 
-    long = placed.filter(F.size("codes") >= MIN_WORDS).join(first.select("doc_id", "place"), ["doc_id", "place"], "left_semi").select("line", "doc_id", "place", "codes")
-    halves = long.select("line", F.explode(half_keys()).alias("half"))
+    # lines that share no half with another have none alike; only for the others are words looked at again
+    halves = first.select("doc_id", "place", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    alive = halves.join(shared, "half", "left_semi").select("line").distinct()
-    long = materialize(long.join(alive, "line", "left_semi"), "near-lines")
-
-    keys = long.select("line", "doc_id", "place", F.explode(variant_keys()).alias("v")).select("line", "doc_id", "place", F.col("v.key").alias("key"), F.col("v.kind").alias("kind"))
-    keys = keys.withColumn("group", F.when(F.col("kind") == 0, 0).otherwise(1))
-    # the earliest line of a key, and the earliest that equals it: what a member may be alike to
-    best = keys.groupBy("group", "key").agg(
-        F.min(F.when(F.col("kind") < 2, at())).alias("variant"), F.min(F.when(F.col("kind") == 2, at())).alias("whole"), F.count_distinct("line").alias("n")
-    ).filter("n > 1").drop("n")
-    met = keys.join(best, ["group", "key"])
-    other = F.when(F.col("kind") == 0, F.col("variant")).when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("variant"))
-    met = met.select("line", "doc_id", "place", other.alias("other")).filter(F.col("other") < at())
+    alive = halves.join(shared, "half", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(alive, "doc_id")
+    long = materialize(near_lines(texts), "near-lines")
+
+    # one word more: a line without one of its words is another line
+    whole = long.select(F.xxhash64("codes").alias("key"), F.col("doc_id").alias("d"), F.col("place").alias("p"))
+    bare = long.select("doc_id", "place", F.explode(F.array_distinct(F.transform(places(), lambda i: F.xxhash64(left_out(i))))).alias("key"))
+    longer = bare.join(whole, "key").select("doc_id", "place", "d", "p").filter((F.col("doc_id") != F.col("d")) | (F.col("place") != F.col("p")))
+    later = at() > at("d", "p")
+    pick = lambda x, y: F.when(later, F.col(x)).otherwise(F.col(y))
+    longer = materialize(longer.select(pick("doc_id", "d").alias("doc_id"), pick("place", "p").alias("place"), pick("d", "doc_id").alias("d"), pick("p", "place").alias("p")), "one-more")
+    # one replaced: all lines that share a variant and its place are alike, so the earliest of them will do
+    placed_keys = long.select("doc_id", "place", F.explode(F.transform(places(), lambda i: F.xxhash64(left_out(i), i))).alias("key"))
+    best = placed_keys.groupBy("key").agg(F.min(at()).alias("best"), F.count("*").alias("n")).filter("n > 1").select("key", "best")
+    replaced = placed_keys.join(best, "key").filter(F.col("best") < at()).select("doc_id", "place", F.col("best.doc_id").alias("d"), F.col("best.place").alias("p")).distinct()
     # verify: the words of both
-    met = met.groupBy("doc_id", "place").agg(F.collect_set("other").alias("others")).select("doc_id", "place", F.explode("others").alias("other"))
     mine = long.select("doc_id", "place", "codes")
     theirs = long.select(F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("codes").alias("codes2"))
-    met = met.select("doc_id", "place", F.col("other.doc_id").alias("d"), F.col("other.place").alias("p")).join(mine, ["doc_id", "place"]).join(theirs, ["d", "p"])
+    met = longer.unionByName(materialize(replaced, "one-replaced")).join(mine, ["doc_id", "place"]).join(theirs, ["d", "p"])
     near = met.filter(one_edit(F.col("codes"), F.col("codes2"))).select("doc_id", "place").distinct()
 
     # an equal line that stands later goes with the first; one that is near an earlier line takes all its equals along
