@@ -32,7 +32,8 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, *along: str) -> DataFr
     even = F.when(bare.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(bare, BLANKS, " ")).otherwise(bare)
     rows = rows.select("doc_id", *along, "line_no", even.alias("line")).filter("line <> ''")
     words = F.split("line", " ", -1)
-    parts = F.when(F.size(words) <= UNIT_WORDS, F.array("line")).otherwise(
+    few = (F.octet_length("line") < 2 * UNIT_WORDS) | (F.size(words) <= UNIT_WORDS)  # words take two bytes with their space
+    parts = F.when(few, F.array("line")).otherwise(
         F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / UNIT_WORDS).cast("int")), lambda k: F.array_join(F.slice(words, k * UNIT_WORDS + 1, UNIT_WORDS), " "))
     )
     rows = rows.select("doc_id", *along, "line_no", F.posexplode(parts).alias("k", "unit"))
@@ -44,25 +45,48 @@ def at(doc: str = "doc_id", place: str = "place") -> Column:
     return F.struct(F.col(doc).alias("doc_id"), F.col(place).alias("place"))
 
 
-def half_keys() -> Column:
-    """Keys of a line's first and last halves: two alike lines are equal in one half of the shorter one's length."""
-    n = F.size(F.split("unit", " ", -1))
+def edge_keys() -> Column:
+    """Keys of a line's first and last k words: of two alike lines either the first or the last k words are equal.
 
-    def key(kind: int, size: Column) -> Column:
-        return F.xxhash64(F.lit(kind), size, F.call_function("substring_index", F.col("unit"), F.lit(" "), size if kind == 0 else -size))
+    k is a power of two, at most half the words of the shorter line; where the one with a word more has the next k, it
+    gives keys for both.
+    """
+    # spaces stand between words only
+    n = F.octet_length("unit") - F.octet_length(F.replace("unit", F.lit(" "), F.lit(""))) + 1
+    sizes = [k for k in (1 << i for i in range(2, 9)) if 2 * k <= UNIT_WORDS]
 
-    low, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    keys = F.array_distinct(F.array(key(0, low), key(0, less), key(1, n - low), key(1, n - 1 - less)))
-    return F.when(n >= MIN_WORDS, keys).otherwise(F.array().cast("array<bigint>"))
+    def keys(k: Column) -> list[Column]:
+        edge = lambda size: F.call_function("substring_index", F.col("unit"), F.lit(" "), size)
+        return [F.xxhash64(F.lit(0), k, edge(k)), F.xxhash64(F.lit(1), k, edge(-k))]
 
+    out = F.array().cast("array<bigint>")
+    for k in sizes:
+        own = keys(F.lit(k))
+        both = F.when(n == 2 * k, F.array(*own, *keys(F.lit(k // 2)))).otherwise(F.array(*own)) if 2 * k > MIN_WORDS else F.array(*own)
+        out = F.when((n >= 2 * k) & (n < 4 * k), both).otherwise(out)
+    return out
 
-def left_out(i: Column) -> Column:
-    """The words of a line without that at place ``i``."""
-    return F.concat(F.slice("codes", 1, i - 1), F.slice("codes", i + 1, F.size("codes")))
 
+def with_variants(rows: DataFrame) -> DataFrame:
+    """Adds to lines with ``codes``: whole (key of the line), placed (keys of the line without each word, and of the place), bare (without the place).
 
-def places() -> Column:
-    return F.sequence(F.lit(1), F.size("codes"))
+    A line's hash is the exclusive or of a hash of each word and its place, so that a word is taken out at once.
+    """
+    xor = lambda a, b: a.bitwiseXOR(b)
+    zero = F.lit(0).cast("long")
+    rows = rows.select("*", F.size("codes").alias("n"), F.transform("codes", lambda c, i: F.xxhash64(c, i)).alias("here"), F.transform("codes", lambda c, i: F.xxhash64(c, i - 1)).alias("left"))
+    rows = rows.select("*", F.aggregate("here", zero, xor).alias("all"), F.aggregate("left", F.get("left", F.lit(0)), xor).alias("rest"))
+    # from the line without one word to that without the next
+    steps = F.transform("left", lambda h, i: F.when(i == 0, zero).otherwise(xor(h, F.get("here", i - 1))))
+    walk = F.aggregate(
+        steps, F.struct(F.col("rest").alias("at"), F.array().cast("array<bigint>").alias("out")),
+        lambda a, h: F.struct(xor(a["at"], h).alias("at"), F.concat(a["out"], F.array(xor(a["at"], h))).alias("out")), lambda a: a["out"],
+    )
+    return rows.select(
+        "doc_id", "place", "codes", F.xxhash64("all", "n").alias("whole"),
+        F.transform("here", lambda h, i: F.xxhash64(xor(F.col("all"), h), F.col("n"), i)).alias("placed"),
+        F.array_distinct(F.transform(walk, lambda v: F.xxhash64(v, F.col("n") - 1))).alias("bare"),
+    )
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -79,9 +103,9 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 def near_lines(texts: DataFrame) -> DataFrame:
-    """(doc_id, place, codes): the units at ``places`` of each text, as hashes of their words."""
+    """The units at ``places`` of each text, as hashes of their words, with the keys of their variants."""
     rows = lines_of(texts, "doc_id", "text", "places").filter(F.array_contains("places", F.col("place")))
-    return rows.select("doc_id", "place", F.transform(F.split("unit", " ", -1), lambda w: F.xxhash64(w)).alias("codes"))
+    return with_variants(rows.select("doc_id", "place", F.transform(F.split("unit", " ", -1), lambda w: F.xxhash64(w)).alias("codes")))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,27 +113,27 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.filter(F.col(id_col).isNotNull())
     units = lines_of(docs, id_col, text_col)
     # equal lines: 128 bits of hash stand for a line; one row per distinct line goes on, where it stands first
-    placed = units.select(F.struct(F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(7), F.reverse("unit")).alias("h2")).alias("line"), "doc_id", "place", half_keys().alias("halves"))
+    placed = units.select(F.struct(F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(7), "unit").alias("h2")).alias("line"), "doc_id", "place", edge_keys().alias("edges"))
     placed = materialize(placed, "line-units")
-    first = placed.groupBy("line").agg(F.min(F.struct("doc_id", "place", "halves")).alias("first"), F.count("*").alias("n"))
-    first = materialize(first.select("line", "first.doc_id", "first.place", "n", "first.halves"), "first-lines")
+    first = placed.groupBy("line").agg(F.min(F.struct("doc_id", "place", "edges")).alias("first"), F.count("*").alias("n"))
+    first = materialize(first.select("line", "first.doc_id", "first.place", "n", "first.edges"), "first-lines")
 
-    # lines that share no half with another have none alike; only for the others are words looked at again
-    halves = first.select("doc_id", "place", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    alive = halves.join(shared, "half", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    # lines that share neither edge with another have none alike; only for the others are words looked at again
+    edges = first.select("doc_id", "place", F.explode("edges").alias("edge"))
+    shared = edges.groupBy("edge").agg(F.count("*").alias("n")).filter("n > 1").select("edge")
+    alive = edges.join(shared, "edge", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(alive, "doc_id")
     long = materialize(near_lines(texts), "near-lines")
 
     # one word more: a line without one of its words is another line
-    whole = long.select(F.xxhash64("codes").alias("key"), F.col("doc_id").alias("d"), F.col("place").alias("p"))
-    bare = long.select("doc_id", "place", F.explode(F.array_distinct(F.transform(places(), lambda i: F.xxhash64(left_out(i))))).alias("key"))
+    whole = long.select(F.col("whole").alias("key"), F.col("doc_id").alias("d"), F.col("place").alias("p"))
+    bare = long.select("doc_id", "place", F.explode("bare").alias("key"))
     longer = bare.join(whole, "key").select("doc_id", "place", "d", "p").filter((F.col("doc_id") != F.col("d")) | (F.col("place") != F.col("p")))
     later = at() > at("d", "p")
     pick = lambda x, y: F.when(later, F.col(x)).otherwise(F.col(y))
     longer = materialize(longer.select(pick("doc_id", "d").alias("doc_id"), pick("place", "p").alias("place"), pick("d", "doc_id").alias("d"), pick("p", "place").alias("p")), "one-more")
     # one replaced: all lines that share a variant and its place are alike, so the earliest of them will do
-    placed_keys = long.select("doc_id", "place", F.explode(F.transform(places(), lambda i: F.xxhash64(left_out(i), i))).alias("key"))
+    placed_keys = long.select("doc_id", "place", F.explode("placed").alias("key"))
     best = placed_keys.groupBy("key").agg(F.min(at()).alias("best"), F.count("*").alias("n")).filter("n > 1").select("key", "best")
     replaced = placed_keys.join(best, "key").filter(F.col("best") < at()).select("doc_id", "place", F.col("best.doc_id").alias("d"), F.col("best.place").alias("p")).distinct()
     # verify: the words of both
