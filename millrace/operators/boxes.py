@@ -90,3 +90,21 @@ def suppressed(boxes: DataFrame, threshold: float) -> DataFrame:
     rows = boxes.groupBy("image").agg(each.alias("boxes"))
     kept = F.aggregate("boxes", F.slice("boxes", 1, 0), lambda acc, x: F.when(hidden(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
     return rows.select("image", F.explode(kept).alias("b")).select("image", "b.*").select(boxes.columns)
+
+
+def contained(boxes: DataFrame, crops: DataFrame) -> DataFrame:
+    """(image, crop_idx, idx): boxes that lie inside a crop of their image, edges included."""
+    pairs = renamed(crops, "a_").join(renamed(boxes, "b_"), "image").filter(G.inside(box("b_"), box("a_")))
+    return pairs.select("image", F.col("a_idx").alias("crop_idx"), F.col("b_idx").alias("idx"))
+
+
+def reading_order(boxes: DataFrame) -> DataFrame:
+    """Adds position: by y1, then x1, label and index."""
+    return boxes.withColumn("position", (F.row_number().over(Window.partitionBy("image").orderBy("y1", "x1", "label", "idx")) - 1).cast("long"))
+
+
+def area_order(boxes: DataFrame) -> DataFrame:
+    """Adds bucket (whole part of the binary logarithm of the area) and position: large buckets first, then y1, x1, y2, x2, label."""
+    rows = boxes.withColumn("bucket", F.floor(F.log2(F.greatest(G.area(box()), F.lit(1.0)))).cast("long"))
+    by = Window.partitionBy("image").orderBy(F.desc("bucket"), "y1", "x1", "y2", "x2", "label", "idx")
+    return rows.withColumn("position", (F.row_number().over(by) - 1).cast("long"))

@@ -128,3 +128,22 @@ def quartiles(rows: DataFrame, value: str, id_col: str, by: str | None = None) -
 def ratio_rows(rows: DataFrame, base_count: int, ratio: float, id_col: str, seed: str) -> DataFrame:
     """As many rows as ``ratio`` of a base count, rounded half to even, by lowest hash."""
     return rows.orderBy(hash_key(seed, id_col), id_col).limit(round(base_count * ratio))
+
+
+def top_k_by_hash(rows: DataFrame, stratum: str, id_col: str, k: int, seed: str) -> DataFrame:
+    """At most ``k`` rows of each stratum by lowest hash; position orders all of them by a second hash.
+
+    The places are counted over the sample only, whose size is k times the number of strata.
+    """
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_key(seed, stratum, id_col), id_col))
+    sample = rows.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
+    return sample.withColumn("position", (F.row_number().over(Window.orderBy(hash_key(f"{seed}-order", id_col), id_col)) - 1).cast("long"))
+
+
+def type_caps(rows: DataFrame, kind: str, id_col: str, caps: dict[str, int], other: int) -> DataFrame:
+    """The first rows of each kind by id, as many as its cap; kinds without one have ``other``."""
+    cap = F.lit(other)
+    for name, most in caps.items():
+        cap = F.when(F.col(kind) == name, most).otherwise(cap)
+    rank = F.row_number().over(Window.partitionBy(kind).orderBy(id_col))
+    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= cap).drop("_rank")

@@ -12,6 +12,7 @@ from .functions import geometry as G
 from .functions import json_text, prompts
 from .operators import boxes as B
 from .operators import metrics as M
+from .operators import sequences
 from .plans import mixing, packing, sampling
 from .sources import records
 
@@ -261,8 +262,11 @@ def sqrt_quota_sample(spark, sf_dir):
     return quota_sample(spark, sf_dir, lambda c: sampling.sqrt_quotas(c, 120), "sqrt")
 
 
-@query(f"""SELECT doc_id, lang, source FROM (SELECT *, {RANKED.format(s='lang', seed='water')} AS r FROM documents)
-WHERE r <= 30""")
+@query(f"""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+level AS (SELECT max(range) AS l FROM range((SELECT max(n) + 1 FROM c)) WHERE (SELECT sum(least(n, range)) FROM c) <= 30 * (SELECT count(*) FROM c)),
+more AS (SELECT lang, n, l, 30 * (SELECT count(*) FROM c) - (SELECT sum(least(n, l)) FROM c) AS rest, row_number() OVER (PARTITION BY n > l ORDER BY lang) AS p FROM c, level),
+q AS (SELECT lang, least(n, l) + CASE WHEN n > l AND p <= rest THEN 1 ELSE 0 END AS quota FROM more)
+SELECT doc_id, lang, source FROM (SELECT *, {RANKED.format(s='lang', seed='water')} AS r FROM documents) JOIN q USING (lang) WHERE r <= quota""")
 def waterfill_quota_sample(spark, sf_dir):
     return quota_sample(spark, sf_dir, lambda c: sampling.waterfill_quotas(c, 30 * len(c)), "water")
 
@@ -556,6 +560,78 @@ def lr_schedules(spark, sf_dir):
     return spark.range(1000).select(F.col("id").alias("step"), *(F.round(D.lr_scale(k, F.col("id"), 100, 1000), 9).alias(k) for k in ("linear", "cosine", "inverse_sqrt")))
 
 
+# ---------------------------------------------------------------- sequences, caps and audits
+
+
+@query(f"""WITH s AS (SELECT doc_id, source FROM (SELECT *, {RANKED.format(s='source', seed='top')} AS r FROM documents) WHERE r <= 10)
+SELECT doc_id, source, row_number() OVER (ORDER BY sha256('top-order:' || doc_id), doc_id) - 1 AS position FROM s""")
+def top_k_sample(spark, sf_dir):
+    return sampling.top_k_by_hash(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 10, "top")
+
+
+@query("""SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events)
+WHERE r <= CASE event_type WHEN 'click' THEN 20 WHEN 'view' THEN 50 ELSE 5 END""")
+def type_row_caps(spark, sf_dir):
+    return sampling.type_caps(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", "event_id", {"click": 20, "view": 50}, 5)
+
+
+@query(f"""WITH {BOXES} SELECT a.image, a.idx AS crop_idx, b.idx FROM boxes a JOIN boxes b ON a.image = b.image AND b.x1 >= a.x1 AND b.y1 >= a.y1 AND b.x2 <= a.x2 AND b.y2 <= a.y2""")
+def crop_containment(spark, sf_dir):
+    rows = line_boxes(spark, sf_dir)
+    return B.contained(rows, rows)
+
+
+@query(f"""WITH {BOXES} SELECT image, idx, row_number() OVER (PARTITION BY image ORDER BY y1, x1, label, idx) - 1 AS position FROM boxes""")
+def reading_order(spark, sf_dir):
+    return B.reading_order(line_boxes(spark, sf_dir)).select("image", "idx", "position")
+
+
+@query(f"""WITH {BOXES}, b AS (SELECT *, floor(log2(greatest((x2 - x1) * (y2 - y1), 1.0)))::BIGINT AS bucket FROM boxes)
+SELECT image, idx, bucket, row_number() OVER (PARTITION BY image ORDER BY bucket DESC, y1, x1, y2, x2, label, idx) - 1 AS position FROM b""")
+def area_order(spark, sf_dir):
+    return B.area_order(line_boxes(spark, sf_dir)).select("image", "idx", "bucket", "position")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL)")
+def unreferenced_parts(spark, sf_dir):
+    return table(spark, sf_dir, "part").join(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select("p_partkey")
+
+
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+WHERE r = 1 OR event_type IS DISTINCT FROM before""")
+def event_changes(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    return sequences.without_repeats(rows, "user_id", ["ts", "event_id"], "event_type").drop("ts")
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS occurrence FROM events")
+def user_occurrences(spark, sf_dir):
+    return sequences.occurrences(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", ["event_id"])
+
+
+@query("""SELECT l_suppkey, after, before FROM (SELECT l_suppkey, l_orderkey AS after, lead(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS before FROM lineitem) WHERE before - after > 1""")
+def step_gaps(spark, sf_dir):
+    return sequences.gaps(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey"), "l_suppkey", "l_orderkey")
+
+
+@query(f"""WITH {BOXES}, a AS (SELECT image, idx, label, x1, idx = 1 AS target FROM boxes),
+n AS (SELECT image, idx, CASE WHEN idx = 1 THEN 'new' ELSE label END AS label, x1 + CASE WHEN image % 97 = 0 THEN 1 ELSE 0 END AS x1 FROM boxes WHERE NOT (image % 89 = 0 AND idx = 2))
+SELECT image, count(a.target) AS n_before, count(n.label) AS n_after,
+count(*) FILTER (WHERE NOT coalesce(a.target, false) AND (a.label IS DISTINCT FROM n.label OR a.x1 IS DISTINCT FROM n.x1)) AS n_changed_outside,
+n_before = n_after AND n_changed_outside = 0 AS ok
+FROM a FULL JOIN n USING (image, idx) GROUP BY image""")
+def output_audit(spark, sf_dir):
+    before = line_boxes(spark, sf_dir).select("image", "idx", "label", "x1", (F.col("idx") == 1).alias("target"))
+    after = before.filter(~((F.col("image") % 89 == 0) & (F.col("idx") == 2))).select(
+        "image", "idx", F.when(F.col("target"), "new").otherwise(F.col("label")).alias("label"), (F.col("x1") + F.when(F.col("image") % 97 == 0, 1).otherwise(0)).alias("x1"))
+    return sequences.output_audit(before, after, "image", ["image", "idx"], ["label", "x1"], "target")
+
+
+@query("SELECT doc_id, substr(sha256(doc_id::VARCHAR), 1, 2) AS shard FROM documents")
+def hash_shards(spark, sf_dir):
+    return records.sharded_by_id(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Good documents, each text once, drawn from their sources in spread order, packed by window, with figures per pack."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id"), "doc_id", "left_anti")
