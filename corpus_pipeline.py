@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import line_dedup, mixing, pieces, quality, simhash
+from millrace.llm import line_dedup, mixing, pieces, quality, shingle_dedup
 from millrace.llm.scratch import materialize
 
 
@@ -24,8 +24,8 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates."""
-    first = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id")
+    """One document, that with the smallest id, of each group of near duplicates: 5-word shingles, Jaccard similarity of 0.8 or more."""
+    first = shingle_dedup.near_duplicates(docs).filter("doc_id = component_id").select("doc_id")
     return docs.join(first, "doc_id", "left_semi").select(docs.columns)
 
 
@@ -42,12 +42,12 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", remove_lines),
-    ("simhash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("mix sources", mix_sources),
     ("sentencepiece", encode),
 ]
 
-#: Fingerprints, expectation-maximisation and BPE have no SQL form; tests hold the stages against brute force.
+#: Shingle similarity, expectation-maximisation and BPE have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
