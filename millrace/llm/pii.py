@@ -1,8 +1,9 @@
 """Personal data: spans by pattern, and information-theoretic sanitisation of the terms that give them away.
 
 A protected entity is the value of a base span. How strongly a term reveals it is estimated from the corpus: the
-pointwise mutual information of term and entity over documents, as a share of the entity's information content. Terms
-above the disclosure threshold become spans too, in the documents that hold the entity.
+pointwise mutual information of term and entity over documents, as a share of the entity's information content. Counts are
+smoothed, so that few documents have to show more than many. Terms above the disclosure threshold become spans too, in the
+documents that hold the entity.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ OCTETS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|(?<=0))(?:\.|$))
 WORD = r"[^\x20\x09-\x0D]+"
 
 DISCLOSURE = 0.9  # a term that gives away this share of an entity's information goes
-SUPPORT = 3  # different texts that must show a term and an entity together
 PUBLIC = 0.01  # an entity in over this share of all documents is common knowledge, and protects no terms
 
 
@@ -75,12 +75,14 @@ def matches(kind: str, text: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, base, text): base spans of each whole text by start, then kind; the text where there are any."""
+    """(doc_id, base, text, h1, h2): base spans of each whole text by start, then kind; the text and its hashes where there are any."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", "text", *(matches(k, F.col("text")).alias(k) for k in KINDS))
     rows = rows.select("doc_id", "text", F.array_sort(F.concat(*KINDS)).alias("base"))
-    return rows.select("doc_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"))
+    rows = rows.select("doc_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"))
+    held = F.col("text").isNotNull()
+    return rows.select("*", F.when(held, F.xxhash64("text")).alias("h1"), F.when(held, F.xxhash64(F.lit(7), "text")).alias("h2"))
 
 
 def term_codes(text: Column) -> Column:
@@ -89,45 +91,52 @@ def term_codes(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(F.split(bare, BLANKS), lambda w: F.xxhash64(w))))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str, disclosure: float, support: int, public: float) -> DataFrame:
+def distinct_texts(found: DataFrame) -> DataFrame:
+    """(h1, h2, n, base, text, entities, terms): each text with a base span once, and how many documents have it."""
+    held = found.filter(F.col("text").isNotNull()).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.first("base").alias("base"), F.first("text").alias("text"))
+    entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["rank"], F.lower(s["value"]))))
+    return held.select("*", entities.alias("entities"), term_codes(F.col("text")).alias("terms"))
+
+
+def entity_terms(texts: DataFrame) -> DataFrame:
+    """(h1, h2, n, entity, term) for each entity and term of each text."""
+    rows = texts.select("h1", "h2", "n", "terms", F.explode("entities").alias("entity"))
+    return rows.select("h1", "h2", "n", "entity", F.explode("terms").alias("term"))
+
+
+def disclosing_terms(docs: DataFrame, texts: DataFrame, text_col: str, disclosure: float, public: float) -> DataFrame:
     """(entity, term, share): terms, as hashes of words, that give away at least ``disclosure`` of an entity.
 
     All counts are of documents, over the whole corpus: N documents, n(e) with the entity, n(t) with the term, n(e, t)
-    with both. PMI = log(N n(e,t) / (n(e) n(t))) and IC = log(N / n(e)).
+    with both. PMI = log(N m / (n(e) n(t))) and IC = log(N / n(e)), where m = n(e, t)^2 / (n(e, t) + 1) is the count of
+    both, smoothed: one document counts half, many nearly in full. An entity or a pair of any count is looked at.
     """
     total = docs.count()
-    held = found.filter(F.col("text").isNotNull()).select("doc_id", "text", F.explode(F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["rank"], F.lower(s["value"]))))).alias("entity"))
-    # an entity in fewer texts than the support, or in more documents than are private, has no term to look at
-    known = held.groupBy("entity").agg(F.count("*").alias("n_e"), F.approx_count_distinct(F.xxhash64("text")).alias("about"))
-    known = known.filter((F.col("n_e") >= support) & (F.col("n_e") <= F.greatest(F.lit(float(support)), F.lit(public * total)))).select("entity", "n_e")
-    pairs = held.join(known, "entity").select("entity", "n_e", F.xxhash64("text").alias("copy"), F.explode(term_codes(F.col("text"))).alias("term"))
-    # copies of a text are one piece of evidence, so texts are counted as well as documents
-    by_text = pairs.groupBy("entity", "n_e", "term", "copy").agg(F.count("*").alias("n"))
-    joint = by_text.groupBy("entity", "n_e", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
-    joint = materialize(joint, "joint-terms")
+    known = texts.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("n_e"))
+    known = known.filter(F.col("n_e") <= F.greatest(F.lit(3.0), F.lit(public * total)))
+    joint = entity_terms(texts).groupBy("entity", "term").agg(F.sum("n").alias("n_et"))
+    joint = materialize(joint.join(known, "entity"), "joint-terms")
     terms = docs.select(F.explode(term_codes(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     scored = joint.join(terms, "term")
-    pmi = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    both = F.col("n_et") * F.col("n_et") / (F.col("n_et") + 1)
+    pmi = F.log2(F.lit(float(total)) * both / (F.col("n_e") * F.col("n_t")))
     share = pmi / F.log2(F.lit(float(total)) / F.col("n_e"))
     return scored.select("entity", "term", share.alias("share")).filter(F.col("share") >= disclosure)
 
 
-def term_spans(found: DataFrame, told: DataFrame) -> DataFrame:
-    """(doc_id, terms): spans of the words that give away an entity of their document and touch no base span."""
-    entity = F.explode(F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["rank"], F.lower(s["value"])))))
-    held = found.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    wanted = held.select("doc_id", entity.alias("entity")).join(told, "entity").groupBy("doc_id", "term").agg(F.max("share").alias("share"))
-    texts = held.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+def term_spans(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """(h1, h2, terms): spans of the words of each text that give away an entity of it and touch no base span."""
+    wanted = entity_terms(texts).join(told, ["entity", "term"]).select("h1", "h2", "term").distinct()
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     gaps = F.split("text", WORD, -1)
-    rows = texts.select("doc_id", "base", F.xxhash64("text").alias("copy"), F.posexplode(F.zip_with(words, F.slice(gaps, 1, F.size(words)), lambda w, g: F.struct(w.alias("word"), g.alias("gap")))).alias("i", "x"))
-    along = Window.partitionBy("doc_id", "copy").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = texts.select("h1", "h2", "base", F.posexplode(F.zip_with(words, F.slice(gaps, 1, F.size(words)), lambda w, g: F.struct(w.alias("word"), g.alias("gap")))).alias("i", "x"))
+    along = Window.partitionBy("h1", "h2").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.char_length("x.gap") + F.char_length("x.word")).over(along).cast("int")
-    rows = rows.select("doc_id", "base", F.xxhash64("x.word").alias("term"), F.char_length("x.word").alias("n"), end.alias("end"))
-    rows = rows.join(wanted, ["doc_id", "term"]).withColumn("start", F.col("end") - F.col("n"))
+    rows = rows.select("h1", "h2", "base", F.xxhash64("x.word").alias("term"), F.char_length("x.word").alias("n"), end.alias("end"))
+    rows = rows.join(wanted, ["h1", "h2", "term"]).withColumn("start", F.col("end") - F.col("n"))
     free = ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     span = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("value"))
-    return rows.filter(free).groupBy("doc_id").agg(F.array_sort(F.collect_set(span)).alias("terms"))
+    return rows.filter(free).groupBy("h1", "h2").agg(F.array_sort(F.collect_set(span)).alias("terms"))
 
 
 def listed(spans: Column) -> Column:
@@ -135,17 +144,21 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, public: float = PUBLIC) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, public: float = PUBLIC) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     spans lists all spans as kind:start:end by start, then kind (email, ip, card, phone, term); base_sha256 is the
     SHA-256 of the list of those found by pattern. Places are code points, ends exclusive. A document without a base
-    span has none at all. A null text counts as empty. Null ids keep their base spans; rows that repeat an id share
-    their term spans. Other columns of ``docs`` are not read. An empty table gives no rows.
+    span has none at all. A null text counts as empty. A row's spans are those of its own text, whether its id is null
+    or repeated. Other columns of ``docs`` are not read. An empty table gives no rows.
     """
     found = materialize(base_spans(docs, id_col, text_col), "base-spans")
-    told = materialize(disclosing_terms(docs, found, text_col, disclosure, support, public), "disclosing")
-    rows = found.select("doc_id", "base").join(term_spans(found, told), "doc_id", "left")
+    texts = materialize(distinct_texts(found), "private-texts")
+    told = materialize(disclosing_terms(docs, texts, text_col, disclosure, public), "disclosing")
+    bare = found.select("doc_id", "base", "h1", "h2")
+    # rows without a base span need no join
+    held = bare.filter("h1 IS NOT NULL").join(term_spans(texts, told), ["h1", "h2"], "left").drop("h1", "h2")
+    rows = held.unionByName(bare.filter("h1 IS NULL").drop("h1", "h2"), allowMissingColumns=True)
     count = lambda k: F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     every = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")))))
     return rows.select("doc_id", *map(count, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(every).alias("spans"))
