@@ -27,7 +27,6 @@ OCTETS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|(?<=0))(?:\.|$))
 WORD = r"[^\x20\x09-\x0D]+"
 
 DISCLOSURE = 0.9  # a term that gives away this share of an entity's information goes
-PUBLIC = 0.01  # an entity in over this share of all documents is common knowledge, and protects no terms
 
 
 def luhn(digits: Column) -> Column:
@@ -104,23 +103,23 @@ def entity_terms(texts: DataFrame) -> DataFrame:
     return rows.select("h1", "h2", "n", "entity", F.explode("terms").alias("term"))
 
 
-def disclosing_terms(docs: DataFrame, texts: DataFrame, text_col: str, disclosure: float, public: float) -> DataFrame:
+def disclosing_terms(docs: DataFrame, texts: DataFrame, text_col: str, disclosure: float) -> DataFrame:
     """(entity, term, share): terms, as hashes of words, that give away at least ``disclosure`` of an entity.
 
     All counts are of documents, over the whole corpus: N documents, n(e) with the entity, n(t) with the term, n(e, t)
     with both. PMI = log(N m / (n(e) n(t))) and IC = log(N / n(e)), where m = n(e, t)^2 / (n(e, t) + 1) is the count of
-    both, smoothed: one document counts half, many nearly in full. An entity or a pair of any count is looked at.
+    both, smoothed: one document counts half, many nearly in full. An entity or a pair of any count is looked at; the share for n(e) = N is 0.
     """
     total = docs.count()
     known = texts.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("n_e"))
-    known = known.filter(F.col("n_e") <= F.greatest(F.lit(3.0), F.lit(public * total)))
     joint = entity_terms(texts).groupBy("entity", "term").agg(F.sum("n").alias("n_et"))
     joint = materialize(joint.join(known, "entity"), "joint-terms")
     terms = docs.select(F.explode(term_codes(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     scored = joint.join(terms, "term")
     both = F.col("n_et") * F.col("n_et") / (F.col("n_et") + 1)
     pmi = F.log2(F.lit(float(total)) * both / (F.col("n_e") * F.col("n_t")))
-    share = pmi / F.log2(F.lit(float(total)) / F.col("n_e"))
+    # what stands in every document carries no information, so nothing gives any of it away
+    share = F.when(F.col("n_e") < total, pmi / F.log2(F.lit(float(total)) / F.col("n_e"))).otherwise(0.0)
     return scored.select("entity", "term", share.alias("share")).filter(F.col("share") >= disclosure)
 
 
@@ -144,7 +143,7 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, public: float = PUBLIC) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     spans lists all spans as kind:start:end by start, then kind (email, ip, card, phone, term); base_sha256 is the
@@ -154,7 +153,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     """
     found = materialize(base_spans(docs, id_col, text_col), "base-spans")
     texts = materialize(distinct_texts(found), "private-texts")
-    told = materialize(disclosing_terms(docs, texts, text_col, disclosure, public), "disclosing")
+    told = materialize(disclosing_terms(docs, texts, text_col, disclosure), "disclosing")
     bare = found.select("doc_id", "base", "h1", "h2")
     # rows without a base span need no join
     held = bare.filter("h1 IS NOT NULL").join(term_spans(texts, told), ["h1", "h2"], "left").drop("h1", "h2")

@@ -21,3 +21,16 @@ def test_terms_of_an_entity_in_one_text(spark):
     assert got[0] == ["Quillfeather"]
     assert all(got[i] == ["Ambrosius"] for i in range(1, 6))
     assert not any(got[i] for i in range(6, len(texts)))
+
+
+def test_terms_of_a_common_entity(spark):
+    """An address in a third of all documents, in different texts, protects the name beside it."""
+    texts = [f"stock note {i} by Zorblatt at desk zed@example.com" for i in range(200)]
+    texts += [f"stock note {i} by someone at desk" for i in range(200, 600)]
+    got = found_terms(spark, texts)
+    assert all(got[i] == ["Zorblatt"] for i in range(200))
+    assert not any(got[i] for i in range(200, 600))
+
+
+def test_an_entity_of_every_document_discloses_nothing(spark):
+    assert not any(found_terms(spark, [f"note {w} at all@example.com" for w in ("one", "two", "three")]).values())
