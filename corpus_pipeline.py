@@ -1,4 +1,7 @@
-"""A corpus pipeline: quality rules, line dedup, near-duplicate removal, mixing, tokens. Each stage takes the last one's documents."""
+"""A corpus pipeline: quality rules, line dedup, near-duplicate removal, mixing, tokens. Each stage takes the last one's documents.
+
+A row is a document, whatever its id: stages join by a number of the row, as ids may be null or repeated.
+"""
 
 from __future__ import annotations
 
@@ -7,26 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import line_dedup, mixing, pieces, quality, shingle_dedup
-from millrace.llm.scratch import materialize
+from millrace.llm.scratch import materialize, numbered
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality.judge(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    rows = numbered(docs, "quality-rows")
+    kept = quality.judge(rows, "row_key").filter("kept").select(F.col("doc_id").alias("row_key"))
+    return rows.join(kept, "row_key", "left_semi").select(docs.columns)
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that repeat earlier ones; n_chars follows."""
-    new = line_dedup.dedup_lines(docs).select("doc_id", F.col("text").alias("new_text"))
-    rows = docs.drop("text", "n_chars").join(new, "doc_id")
-    return rows.withColumns({"text": F.col("new_text"), "n_chars": F.char_length("new_text").cast("long")}).select(docs.columns)
+    """All documents, without lines that repeat earlier ones; n_chars follows. Those without an id lose nothing, rows of one id stand in the order of a hash."""
+    rows = numbered(docs.filter("doc_id IS NOT NULL").orderBy("doc_id", F.xxhash64(*docs.columns)), "line-rows")
+    new = line_dedup.dedup_lines(rows, "row_key").select(F.col("doc_id").alias("row_key"), F.col("text").alias("new_text"))
+    rows = rows.drop("text").join(new, "row_key").withColumnRenamed("new_text", "text")
+    rows = rows.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates: 5-word shingles, Jaccard similarity of 0.8 or more."""
-    first = shingle_dedup.near_duplicates(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    """One document, that with the smallest id, of each group of near duplicates: 5-word shingles, Jaccard similarity of 0.8 or more.
+
+    Those without an id stay; of rows of one id in a group the one with the smallest hash stays.
+    """
+    rows = numbered(docs, "near-rows")
+    places = rows.filter("doc_id IS NOT NULL").select("row_key", F.struct("doc_id", "row_hash", "row_key").alias("at"))
+    groups = shingle_dedup.near_duplicates(rows.filter("doc_id IS NOT NULL"), "row_key").select(F.col("doc_id").alias("row_key"), "component_id")
+    first = groups.join(places, "row_key").groupBy("component_id").agg(F.min("at").alias("at")).select(F.col("at.row_key").alias("row_key"))
+    kept = rows.filter("doc_id IS NOT NULL").join(first, "row_key", "left_semi")
+    return kept.unionByName(rows.filter("doc_id IS NULL")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

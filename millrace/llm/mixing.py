@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, numbered
 from .words import n_words, words
 
 WEIGHTS = (5, 2, 1)
@@ -58,8 +58,8 @@ def sainte_lague(votes: list[Fraction], seats: int, most: list[int]) -> list[int
     return got
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *along: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *along)
     return materialize(rows, "sizes")
 
 
@@ -84,7 +84,7 @@ def source_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: i
     return made.withColumn("words", F.element_at("shard_ends", -1))
 
 
-def placed(sizes: DataFrame, seed: int) -> DataFrame:
+def placed(sizes: DataFrame, seed: int, *along: str) -> DataFrame:
     """``sizes`` with ``start``: the words of the documents before it, in a seeded order of its source.
 
     The order is that of md5(seed:doc_id). Its first three hex digits deal each source to 4096 bins, whose sums are
@@ -93,26 +93,26 @@ def placed(sizes: DataFrame, seed: int) -> DataFrame:
     keyed = sizes.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     keyed = keyed.withColumn("bin", F.substring("key", 1, 3))
     bins = keyed.groupBy("source", "bin").agg(F.sum("size").alias("n"))
-    along = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(F.col("source").alias("s"), F.col("bin").alias("b"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
-    within = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(F.col("source").alias("s"), F.col("bin").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size", *along).rowsBetween(Window.unboundedPreceding, -1)
     keyed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = keyed.join(bins, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
-    return joined.select("doc_id", "source", "size", (F.col("before") + F.col("inside")).alias("start"))
+    return joined.select("doc_id", "source", "size", *along, (F.col("before") + F.col("inside")).alias("start"))
 
 
-def mix(sizes: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+def mix(sizes: DataFrame, plan: DataFrame, seed: int, *along: str) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, start, passes (whole ones), part (words of one more), shard_ends.
 
     A source's line of documents in seeded order is gone through again and again; its quota of blocks covers so many
     whole passes and the first blocks of one more.
     """
     by_source = F.broadcast(plan.withColumnRenamed("source", "s"))  # a row for each source, SOURCES at most
-    joined = placed(sizes, seed).join(by_source, F.col("source").eqNullSafe(F.col("s")))
+    joined = placed(sizes, seed, *along).join(by_source, F.col("source").eqNullSafe(F.col("s")))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.greatest("source_size", F.lit(1)))).otherwise(0)
     rest = F.col("words") - passes * F.col("source_size")
     part = F.greatest(F.lit(0), F.least("size", rest - F.col("start")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", "start", passes.cast("long").alias("passes"), part.cast("long").alias("part"), "shard_ends")
+    return joined.select("doc_id", "source", "size", "source_size", "target", "start", passes.cast("long").alias("passes"), part.cast("long").alias("part"), "shard_ends", *along)
 
 
 def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
@@ -127,28 +127,32 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"))
 
 
-def mixed_slices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
-    """What the mix is made of: doc_id, repeat (which pass), n_words (from the document's start), size, shard."""
-    sizes = sized(docs, id_col, text_col, source_col)
-    mixed = mix(sizes, source_plan(sizes), seed).filter("size > 0")
+def mixed_slices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, along: tuple[str, ...] = ()) -> DataFrame:
+    """What the mix is made of: doc_id, repeat (which pass), n_words (from the document's start), size, shard, and columns taken ``along``.
+
+    Those also order rows of one id and size.
+    """
+    sizes = sized(docs, id_col, text_col, source_col, *along)
+    mixed = mix(sizes, source_plan(sizes), seed, *along).filter("size > 0")
     times = F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0)
     rows = mixed.filter(times > 0).withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
     at = F.col("repeat") * F.col("source_size") + F.col("start")
     shard = F.size(F.filter("shard_ends", lambda e: e <= at)).cast("long")
-    return rows.select("doc_id", "repeat", F.when(F.col("repeat") < F.col("passes"), F.col("size")).otherwise(F.col("part")).alias("n_words"), "size", shard.alias("shard"))
+    return rows.select("doc_id", "repeat", F.when(F.col("repeat") < F.col("passes"), F.col("size")).otherwise(F.col("part")).alias("n_words"), "size", shard.alias("shard"), *along)
 
 
 def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The mix as documents: each as often as it is taken, the last one of a source's quota cut to the words taken.
 
-    Ids must be unique. Columns are those of ``docs``; n_chars follows a cut text.
+    Each row is a document, whether its id is null or repeated. Columns are those of ``docs``; n_chars follows a cut text.
     """
-    slices = mixed_slices(docs, seed=seed).withColumnRenamed("doc_id", "taken_id")
-    joined = docs.join(slices, docs["doc_id"] == slices["taken_id"])
+    rows = numbered(docs, "mix-rows")
+    slices = mixed_slices(rows, seed=seed, along=("row_hash", "row_key")).select("row_key", "n_words", "size")
+    joined = rows.join(slices, "row_key")
     cut = F.col("n_words") < F.col("size")
     text = F.when(cut, F.array_join(F.slice(words(F.col("text")), 1, F.col("n_words").cast("int")), " ")).otherwise(F.col("text"))
     new = {"text": text, "n_chars": F.when(cut, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))}
-    return joined.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
+    return joined.select(*(new[c].alias(c) if c in new else c for c in docs.columns))
 
 
 #: The mix by SQL: seats are dealt one by one instead of by a divisor.

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -36,6 +37,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written, with ``row_key``, a number of its own for each row, and ``row_hash``, of its columns."""
+    return materialize(df.withColumns({"row_key": F.monotonically_increasing_id(), "row_hash": F.xxhash64(*df.columns)}), name)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files under a table made by ``materialize`` that nothing reads any more."""
     spark = df.sparkSession
