@@ -108,7 +108,7 @@ class Planner:
         return ranks, [e for e in buffer if e[0] not in taken]
 
     def run(self, draws: list[tuple[int, int]], final: bool, buffer: list | None = None, step: int = 0):
-        """Microbatches of a stretch of draws: (rows, buffer, step); the buffer is used up at the end of the stream."""
+        """Microbatches of a stretch of draws: (rows, buffer, step); at the end of the stream the buffer is used up, the last microbatch may leave ranks empty."""
         for draw, tokens in draws:
             if tokens > self.max_tokens:
                 raise ValueError(f"draw {draw} has {tokens} tokens, more than a rank may hold ({self.max_tokens})")
@@ -117,7 +117,7 @@ class Planner:
             need = self.buffer_size - len(buffer)
             buffer += draws[at : at + need]
             at = min(at + need, len(draws))
-            if len(buffer) < (self.world_size if final else self.buffer_size):
+            if not buffer or (not final and len(buffer) < self.buffer_size):
                 return rows, buffer, step
             ranks, buffer = self.plan(buffer, step)
             rows += [(step, r, i, d, t) for r, members in enumerate(ranks) for i, (d, t) in enumerate(members)]
@@ -127,7 +127,8 @@ class Planner:
 def planned_microbatches(rows: DataFrame, stream: str, planner: Planner) -> DataFrame:
     """(stream, microstep, rank, slot, draw_id, tokens): each stream of draws planned by itself.
 
-    A stream is sequential by nature; rows of one are gone through in order of draw. Have as many streams as tasks.
+    A stream is sequential by nature; rows of one are gone through in order of draw, in one task that holds them: have streams of
+    bounded length. Every draw is in one microbatch; the last of a stream may be partly filled.
     """
 
     def plan(frame: pd.DataFrame) -> pd.DataFrame:

@@ -517,11 +517,12 @@ def packing_stats(spark, sf_dir):
 
 
 PLANNER = packing.Planner(world_size=4, local_limit=4, max_tokens=4096, buffer_size=32, seed=42)
+STREAM_DRAWS = 65536  # draws in a stream, which is what one task holds
 
 
 @query()
 def planned_microbatches(spark, sf_dir):
-    rows = document_draws(spark, sf_dir).withColumn("stream", F.col("draw_id") % 16)
+    rows = document_draws(spark, sf_dir).withColumn("stream", F.floor(F.col("draw_id") / STREAM_DRAWS))
     return packing.planned_microbatches(rows, "stream", PLANNER)
 
 
