@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialize
+from .scratch import discard, materialize
 
 WIDTH = 5  # words in a shingle
 ALIKE = (4, 5)  # texts are near duplicates from this Jaccard similarity on
@@ -94,6 +94,10 @@ def prefixes(sets: DataFrame, counts: np.ndarray, alike: tuple[int, int]) -> Dat
 def similar(pairs: DataFrame, sets: DataFrame, alike: tuple[int, int]) -> DataFrame:
     """Those of the pairs (a, b) whose sets' Jaccard similarity is ``alike`` or more."""
     num, den = alike
+    # only the sets that are in a pair are moved
+    pairs = materialize(pairs, "pairs")
+    met = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    sets = materialize(sets.join(materialize(met, "met"), "rep", "left_semi"), "met-sets")
     joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("codes").alias("y")), "b")
     joined = joined.select("a", "b", (F.size("x") + F.size("y")).alias("both"), F.size(F.array_intersect("x", "y")).alias("common"))
     return joined.filter((den + num) * F.col("common") >= num * F.col("both")).select("a", "b")
@@ -133,7 +137,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = materialize(sets.filter("doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "same-shingles")
     nodes = sets.filter("size(codes) > 0").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "codes")
     nodes = materialize(nodes, "shingle-sets")
+    rows = materialize(sets.select("doc_id", "h1", "h2"), "shingle-hashes")
+    discard(sets)
     groups = connected_components(similar_sets(nodes, alike))
     named = same.join(groups, same["rep"] == groups["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    rows = sets.select("doc_id", "h1", "h2").join(named, ["h1", "h2"], "left")
+    rows = rows.join(named, ["h1", "h2"], "left")
     return rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
