@@ -28,7 +28,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return token_files.token_files(docs, path, vocabulary=49_408, end_id=1).drop("ids")
+    return token_files.token_files(docs, path, vocabulary=49_408, end_id=1, with_ids=False)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,6 +208,42 @@ def test_token_files(spark, documents, awkward, empty):
     assert token_files.token_files(empty, path, 49_408, 1).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary", [49_408, 100_000])
+def test_token_files_read_one_document(spark, awkward, monkeypatch, vocabulary):
+    """By its offset, without unpacking what stands before it in the block."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    blocks = token_files.token_blocks(awkward.coalesce(1), path, vocabulary, 1)
+    for i, text in AWKWARD:
+        assert [r["ids"] for r in token_files.read_ids(blocks, i).collect()] == [tokenizer.encode(text or "", add_special_tokens=False).ids + [1]], i
+    assert token_files.read_ids(blocks, 10**6).count() == 0
+    row = max(blocks.collect(), key=lambda r: len(r["doc_ids"]))
+    k = len(row["doc_ids"]) - 1
+    first, end = row["offsets"][k], row["offsets"][k + 1]
+    size = token_files.group_bytes(row["width"])
+    held = bytearray(row["packed"])
+    held[: first // token_files.GROUP * size] = bytes(first // token_files.GROUP * size)  # other groups do not matter
+    assert (token_files.unpack_ids(bytes(held), row["width"], first, end) == token_files.unpack_ids(row["packed"], row["width"], first, end)).all()
+
+
+def test_token_files_in_small_slices_and_blocks(spark, documents, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = token_files.WordEncoder(path)
+    import pyarrow as pa
+
+    texts = [t for _, t in documents] + [t for _, t in AWKWARD]
+    flat, ends = encoder.encode(pa.array(texts))
+    monkeypatch.setattr(token_files, "SLICE_BYTES", 1000)
+    parts = list(token_files.sliced(pa.record_batch([pa.array(texts, pa.string())], names=["t"]), 0))
+    assert sum(p.num_rows for p in parts) == len(texts) and len(parts) > 20
+    monkeypatch.setattr(token_files, "MEMO", 100)
+    again = [encoder.encode(p.column(0)) for p in parts]
+    assert (np.concatenate([f for f, _ in again]) == flat).all()
+    assert (np.cumsum([n for _, e in again for n in np.diff(e, prepend=0)]) == ends).all()
+
+
 @pytest.mark.parametrize("width", [1, 7, 8, 13, 16, 17, 24, 32])
 def test_bit_packing(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 10_001, dtype=np.uint64).astype("<u4")
