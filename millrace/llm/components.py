@@ -1,19 +1,37 @@
-"""Connected components of a graph of links, by repeated contraction."""
+"""Connected components of a graph of links, by alternating large and small stars."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
+
+
+def large_star(edges: DataFrame) -> DataFrame:
+    """Links each node's larger neighbours to the smallest of it and its neighbours. Edges are (a, b), a > b."""
+    ends = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    # only nodes with a smaller neighbour move what hangs on them
+    least = ends.groupBy("u").agg(F.min("v").alias("m")).filter("m < u")
+    return edges.join(least, edges["b"] == least["u"], "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+
+
+def small_star(edges: DataFrame) -> DataFrame:
+    """Links each node and its smaller neighbours to the smallest of these. Edges are (a, b), a > b."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    single = least.select("a", F.col("m").alias("b"))
+    # nodes with several smaller neighbours
+    several = least.filter("n > 1").select(F.col("a").alias("u"), "m")
+    moved = edges.join(several, edges["a"] == several["u"]).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return single.unionByName(moved).distinct()
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """One row (node, component) for each node of ``links``; component is the smallest node it can reach.
+    """One row (node, component) for each node of ``links`` but those that are the smallest of their component, which is its name.
 
-    Each round points every node to the smallest of itself and its neighbours, then replaces both ends of each link
-    by what they point to; links within one node vanish. A node that is the smallest of its component never moves, so
-    what a component ends in is its smallest node. Stars and cliques end in one round, paths in a logarithmic number.
+    Large and small stars take turns until every component is a star around its smallest node. A round halves
+    distances at least, so a path of n nodes takes about log2(n) rounds, whatever the order of its numbers; a star or a clique takes one.
+    Each round reads the table of the round before and writes one, so plans stay short; older tables are deleted.
     Links, nodes and components stay in Spark; the driver sees only counts.
 
     Links with a null end and self links are ignored. No links give no rows.
@@ -23,22 +41,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(),
         "links",
     )
-    maps = []
-    while edges.count():
-        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = materialize(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("to")), "step")
-        maps.append(to)
-        moved = (
-            edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
-            .join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-            .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-            .filter("a <> b").distinct()
-        )
-        edges = materialize(moved, "links")
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    found = maps[-1]
-    for to in reversed(maps[:-1]):
-        up = found.select(F.col("node").alias("to"), F.col("to").alias("up"))
-        found = to.join(up, "to", "left").select("node", F.coalesce("up", "to").alias("to"))
-    return found.select("node", F.col("to").alias("component"))
+    while not stars(edges):
+        before, edges = edges, materialize(small_star(large_star(edges)), "stars")
+        discard(before)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour, which has none itself."""
+    seen = edges.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    amiss = seen.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up > 0 AND down > 0)")
+    return amiss.isEmpty()

@@ -12,9 +12,15 @@ CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir.
+
+    Where that is unset a temporary folder will do, but only for a session that runs on one machine; on a cluster the executors
+    would each write to a disk of their own, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -24,16 +30,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the table read back.
 
     Cuts the lineage: a lost executor costs a reread of the table, not a rerun of the jobs before it. The shuffle
-    files of the jobs that made the table are dropped once it stands.
+    files of the jobs that made the table are dropped once it stands; the session's setting for that is put back as it was.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN, "false")
+    before = spark.conf.get(CLEAN, None)
     spark.conf.set(CLEAN, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEAN, before)
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -42,9 +48,10 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.withColumns({"row_key": F.monotonically_increasing_id(), "row_hash": F.xxhash64(*df.columns)}), name)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files under a table made by ``materialize`` that nothing reads any more."""
-    spark = df.sparkSession
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``materialize`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
