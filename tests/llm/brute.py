@@ -106,28 +106,21 @@ def one_word_edit(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def dedup_lines(docs, least=8, unit=256):
-    """{doc_id: (text, removed)}: every unit of a line against all earlier ones."""
+def dedup_lines(docs):
+    """{doc_id: (text, removed)}: every line against all earlier ones; one edit may be a fifth of the longer line's words at most."""
     seen, exact, out = [], set(), {}
     for i, text in sorted(docs):
         kept, gone = [], 0
         for line in (text or "").split("\n"):
-            w, left, lost = words(line), [], 0
-            for k in range(0, len(w), unit):
-                u = w[k : k + unit]
-                near = tuple(u) in exact or (len(u) >= least and any(len(v) >= least and one_word_edit(u, v) for v in seen))
-                if tuple(u) not in exact:
-                    exact.add(tuple(u))
-                    seen.append(u)
-                if near:
-                    lost += 1
-                else:
-                    left += u
-            gone += lost
-            if not lost:
+            w = words(line)
+            near = w and (tuple(w) in exact or any(max(len(w), len(v)) >= 5 and one_word_edit(w, v) for v in seen))
+            if w and tuple(w) not in exact:
+                exact.add(tuple(w))
+                seen.append(w)
+            if near:
+                gone += 1
+            else:
                 kept.append(line)
-            elif left:
-                kept.append(" ".join(left))
         out[i] = ("\n".join(kept) if gone else text, gone)
     return out
 

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from millrace.llm import embedding_dedup, line_dedup, mixing, pieces, pii, quality, queries, simhash, substring_dedup, token_counts, token_files
+from millrace.llm import components, embedding_dedup, line_dedup, mixing, pieces, pii, quality, queries, simhash, substring_dedup, token_counts, token_files
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -72,7 +72,7 @@ def test_simhash_finds_every_link(spark):
     want = brute.smallest_reachable(by, links)
     distinct = spark.createDataFrame(rows, "fp long, rep long")
     for partitions in (2, 3):
-        got = simhash.connected_components(simhash.near_fingerprints(distinct, 3, partitions)).collect()
+        got = components.connected_components(simhash.near_fingerprints(distinct, 3, partitions)).collect()
         found = {i: i for i in by} | {r["node"]: r["component"] for r in got}
         assert found == want
 
@@ -293,30 +293,33 @@ def test_line_dedup(spark, documents, awkward, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_line_dedup_random_edits(spark):
-    rng = np.random.default_rng(8)
-    rows, base = [], [list(rng.choice(WORDS, 11)) for _ in range(6)]
-    for i in range(120):
+@pytest.mark.parametrize("size", [3, 4, 5, 6, 8, 11, 16, 33])
+def test_line_dedup_random_edits(spark, size):
+    rng = np.random.default_rng(size)
+    rows, base = [], [list(rng.choice(WORDS, size)) for _ in range(6)]
+    for i in range(60):
         line = list(base[rng.integers(6)])
         for _ in range(rng.integers(0, 3)):
-            at, kind = rng.integers(len(line)), rng.integers(3)
-            if kind == 0:
+            at, kind = rng.integers(len(line)) if line else 0, rng.integers(3)
+            if kind == 0 and line:
                 line[at] = str(rng.choice(WORDS))
             elif kind == 1:
                 line.insert(at, str(rng.choice(WORDS)))
-            else:
+            elif line:
                 del line[at]
         rows.append((i, " ".join(line) + "\n" + " ".join(rng.choice(WORDS, 8))))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert by_id(line_dedup.dedup_lines(df), "text", "n_removed") == brute.dedup_lines(rows)
 
 
-def test_line_dedup_units_of_long_lines(spark):
-    long = [f"v{i}" for i in range(600)]
-    rows = [(1, " ".join(long)), (2, " ".join(long[:256] + ["new"] * 200))]
+def test_line_dedup_short_and_long_lines(spark):
+    """One definition whatever the length: a word in front of a long line, a word changed in a line of seven."""
+    long = [f"v{i}" for i in range(3000)]
+    seven = WORDS[:7]
+    rows = [(1, " ".join(long)), (2, " ".join(["front", *long]) + "\nkept  as it  is"), (3, " ".join(seven)), (4, " ".join([*seven[:3], "changed", *seven[4:]])),
+            (5, " ".join(long[:1500] + long[1501:])), (6, " ".join(long[:1500] + ["two", "more"] + long[1500:]))]
     got = by_id(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")), "text", "n_removed")
-    assert got[1] == (rows[0][1], 0)
-    assert got[2] == (" ".join(["new"] * 200), 1)
+    assert got == {1: (rows[0][1], 0), 2: ("kept  as it  is", 1), 3: (rows[2][1], 0), 4: ("", 1), 5: ("", 1), 6: (rows[5][1], 0)}
 
 
 def test_token_counts(spark, documents, awkward, empty):
