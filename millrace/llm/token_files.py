@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .pieces import gathered, sliced
 from .scratch import materialize
 
 GROUP = 4096  # ids that share one byte offset
 BLOCK_IDS = 1 << 18  # ids of a block, about: it ends with the document that reaches this
 SHARD_BYTES = 64_000_000  # bytes of text of a shard, about: what one task sorts and encodes
 SLICE_BYTES = 24_000_000  # bytes of text encoded at a time, about; one document at least
-MEMO = 400_000  # stems whose ids a task keeps
+MEMO = 400_000  # stems whose ids a worker process keeps
 
 
 def bit_width(vocabulary: int) -> int:
@@ -72,15 +74,6 @@ SIGNS = ".,!?:;"
 PLAIN = re.compile(f"[{LETTERS}]+").fullmatch
 
 
-def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The stretches ``which`` of ``flat``, one after the other."""
-    n = sizes[which]
-    ends = np.cumsum(n)
-    if not len(ends):
-        return flat[:0]
-    return flat[np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1])]
-
-
 class WordEncoder:
     """Encodes texts by their distinct words: what is done per word is done by Arrow and numpy, for a whole batch at once.
 
@@ -102,6 +95,11 @@ class WordEncoder:
             self.ends[i] = piece.endswith("</w>")
         self.stems: dict[str, bytes] = {"": b""}  # ids as 4 bytes each: objects that the collector need not visit
 
+    @staticmethod
+    @lru_cache(maxsize=4)  # a worker process goes on with the stems that its earlier tasks have learnt
+    def load(path: str) -> "WordEncoder":
+        return WordEncoder(path)
+
     def learn(self, stems: list[str]) -> None:
         """What the library makes of new stems."""
         plain, other = [], []
@@ -147,16 +145,6 @@ class WordEncoder:
         return gathered(flat, starts, sizes, which), ends
 
 
-def sliced(batch: pa.RecordBatch, column: int):
-    """The rows of a batch in slices of about SLICE_BYTES of a column."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_BYTES, "right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 BLOCKS = "shard long, block long, in_shard long, width int, first_id long, last_id long, doc_ids array<bigint>, offsets array<bigint>, packed binary"
 
 
@@ -170,7 +158,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> Da
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, shard, block, before = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encoder, shard, block, before = WordEncoder.load(tokenizer), TaskContext.get().partitionId(), 0, 0
         docs, sizes, ids, held = [], [], [], 0
 
         def row():
@@ -180,7 +168,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> Da
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["shard", "block", "in_shard", "width", "first_id", "last_id", "doc_ids", "offsets", "packed"])
 
-        for part in (s for b in batches for s in sliced(b, 1)):
+        for part in (s for b in batches for s in sliced(b, 1, SLICE_BYTES)):
             flat, ends = encoder.encode(part.column(1))
             flat, ends = np.insert(flat, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
             at, names = 0, part.column(0).to_pylist()
