@@ -45,7 +45,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=13).drop("kept_text")
+    return substring_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=13, with_text=False)
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,9 +43,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROW_KEY, ROW_HASH = "_row_key", "_row_hash"
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written, with ``row_key``, a number of its own for each row, and ``row_hash``, of its columns."""
-    return materialize(df.withColumns({"row_key": F.monotonically_increasing_id(), "row_hash": F.xxhash64(*df.columns)}), name)
+    """``df``, written, with two columns of reserved names: ROW_KEY, a number of its own for each row, and ROW_HASH, of its columns."""
+    return materialize(df.withColumns({ROW_KEY: F.monotonically_increasing_id(), ROW_HASH: F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))}), name)
 
 
 def discard(*tables: DataFrame) -> None:
