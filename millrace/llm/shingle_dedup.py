@@ -1,9 +1,9 @@
-"""Near duplicates by the Jaccard similarity of word shingles: every pair at or above a threshold is found, by prefix filtering.
+"""Pairs of texts by the Jaccard similarity of word shingles: every pair at or above a threshold is found, by prefix filtering.
 
 All shingles are put in one order, rare ones first. Two sets of similarity s or more have a shingle in common among the
 first n - ceil(s n) + 1 of either, n being the set's size, so only these are indexed, and each pair that meets is
 verified on its whole sets. The order need only be the same for all texts: it is by the number of shingles in a
-shingle's bin, then by hash.
+shingle's bin, then by hash. Sets are made from the texts again wherever they are looked at, as they take more room than these.
 
 A large group of near copies shares its shingles, and would be compared in pairs. So the members of a shingle are first
 compared with one of them; links found join components, and only members of different components are then compared.
@@ -35,72 +35,65 @@ def shingle_codes(text: str | None, width: int = WIDTH, seed: int = 42) -> np.nd
     return np.unique(np.array([digest(b" ".join(s), seed) for s in shingles], np.uint64))
 
 
-def code_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, h1, h2, codes): the shingles of each text, and 128 bits of hash that stand for them."""
-
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                sets = [shingle_codes(t.as_py(), width) for t in part.column(1)]
-                hashes = [np.array([xxhash.xxh64_intdigest(s.tobytes(), k) for s in sets], np.uint64).view(np.int64) for k in (1, 2)]
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                codes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.record_batch([part.column(0), *map(pa.array, hashes), codes], names=["doc_id", "h1", "h2", "codes"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, codes array<long>")
-
-
-def bin_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles fall in each bin; BINS numbers reach the driver, whatever the input."""
+def bin_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """How many shingles of (rep, text) fall in each bin; BINS numbers reach the driver, whatever the input."""
 
     def run(batches):
         total = np.zeros(BINS, np.int64)
         for batch in batches:
-            codes = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            total += np.bincount((codes % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+            for text in batch.column(0):
+                total += np.bincount((shingle_codes(text.as_py(), width) % np.uint64(BINS)).astype(np.int64), minlength=BINS) if text.is_valid else 0
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["bin", "n"])
 
-    rows = sets.select("codes").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    rows = texts.select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BINS, np.int64)
     out[rows.column("bin").to_numpy()] = rows.column("n").to_numpy()
     return out
 
 
-def prefixes(sets: DataFrame, counts: np.ndarray, alike: tuple[int, int]) -> DataFrame:
-    """(key, rep, n): the shingles of each set that one as similar as ``alike`` cannot miss all of; n is the set's size."""
+def prefixes(texts: DataFrame, counts: np.ndarray, width: int, alike: tuple[int, int]) -> DataFrame:
+    """(key, rep, n): the shingles of each text that one as similar as ``alike`` cannot miss all of; n is how many it has."""
     num, den = alike
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                keys, reps, sizes = [], [], []
-                for rep, codes in zip(part.column(0).to_pylist(), part.column(1)):
-                    own = codes.values.to_numpy(zero_copy_only=False)
+                keys, sizes, reps = [], [], part.column(0).to_numpy()
+                for text in part.column(1):
+                    own = shingle_codes(text.as_py(), width)
                     n = len(own)
-                    order = np.lexsort((own, counts[(own.view(np.uint64) % np.uint64(BINS)).astype(np.int64)]))
-                    first = own[order[: n - -(-num * n // den) + 1]]
-                    keys.append(first)
-                    reps.append(np.full(len(first), rep, np.int64))
-                    sizes.append(np.full(len(first), n, np.int64))
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (keys, reps, sizes)], names=["key", "rep", "n"])
+                    order = np.lexsort((own, counts[(own % np.uint64(BINS)).astype(np.int64)]))
+                    keys.append(own[order[: n - -(-num * n // den) + 1]])
+                    sizes.append(n)
+                many = list(map(len, keys))
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(reps, many)), pa.array(np.repeat(np.array(sizes, np.int64), many))], names=["key", "rep", "n"])
 
-    return sets.select("rep", "codes").mapInArrow(run, "key long, rep long, n long")
+    return texts.select("rep", "text").mapInArrow(run, "key long, rep long, n long")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, alike: tuple[int, int]) -> DataFrame:
-    """Those of the pairs (a, b) whose sets' Jaccard similarity is ``alike`` or more."""
+def similar(pairs: DataFrame, texts: DataFrame, width: int, alike: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (a, b), written, whose texts' Jaccard similarity is ``alike`` or more."""
     num, den = alike
-    # only the sets that are in a pair are moved
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sets = [shingle_codes(t.as_py(), width) for t in part.column(1)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["rep", "codes"])
+
+    # sets are made only for the texts that are in a pair
     pairs = materialize(pairs, "pairs")
     met = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    sets = materialize(sets.join(materialize(met, "met"), "rep", "left_semi"), "met-sets")
+    sets = materialize(texts.join(met, "rep", "left_semi").select("rep", "text").mapInArrow(run, "rep long, codes array<long>"), "met-sets")
     joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("codes").alias("y")), "b")
     joined = joined.select("a", "b", (F.size("x") + F.size("y")).alias("both"), F.size(F.array_intersect("x", "y")).alias("common"))
-    return joined.filter((den + num) * F.col("common") >= num * F.col("both")).select("a", "b")
+    links = materialize(joined.filter((den + num) * F.col("common") >= num * F.col("both")).select("a", "b"), "similar")
+    discard(pairs, sets)
+    return links
 
 
 def size_fits(n: Column, m: Column, alike: tuple[int, int]) -> Column:
@@ -108,38 +101,34 @@ def size_fits(n: Column, m: Column, alike: tuple[int, int]) -> Column:
     return alike[1] * F.least(n, m) >= alike[0] * F.greatest(n, m)
 
 
-def similar_sets(sets: DataFrame, alike: tuple[int, int]) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of sets (rep, codes) as similar as ``alike``."""
-    found = prefixes(sets, bin_counts(sets), alike)
+def similar_texts(texts: DataFrame, width: int = WIDTH, alike: tuple[int, int] = ALIKE, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of texts (rep, text), each with a word, as similar as ``alike``.
+
+    ``known`` links (a, b) are taken as they are; what they join is not compared again.
+    """
+    found = materialize(prefixes(texts, bin_counts(texts, width), width, alike), "prefixes")
     shared = found.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
     met = materialize(found.join(shared, "key", "left_semi"), "postings")
-    # each member with the first of its shingle
-    hubs = met.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"))
-    star = met.join(hubs, "key").filter(F.col("rep") != F.col("hub.rep")).filter(size_fits(F.col("n"), F.col("hub.n"), alike))
-    links = materialize(similar(star.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(), sets, alike), "star-links")
+    discard(found)
+    links = met.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0) if known is None else known
+
+    def joined(links: DataFrame) -> DataFrame:
+        """Postings of shingles that stand in several components, with c, the component."""
+        groups = connected_components(links).withColumnRenamed("node", "rep")
+        placed = met.join(groups, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        apart = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+        return materialize(placed.join(apart, "key", "left_semi"), "apart")
+
+    # each member of a shingle with its first one
+    placed = joined(links)
+    hubs = placed.groupBy("key").agg(F.min(F.struct("rep", "n", "c")).alias("hub"))
+    star = placed.join(hubs, "key").filter((F.col("c") != F.col("hub.c")) & size_fits(F.col("n"), F.col("hub.n"), alike))
+    links = materialize(links.unionByName(similar(star.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(), texts, width, alike)), "links-so-far")
+    discard(placed)
     # then all that are not joined yet
-    groups = connected_components(links).withColumnRenamed("node", "rep")
-    placed = met.join(groups, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    apart = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    placed = materialize(placed.join(apart, "key", "left_semi"), "apart")
+    placed = joined(links)
     other = placed.toDF("key", "b", "m", "d")
     pairs = placed.join(other, "key").filter((F.col("c") < F.col("d")) & size_fits(F.col("n"), F.col("m"), alike)).select(F.col("rep").alias("a"), "b").distinct()
-    return links.unionByName(similar(pairs, sets, alike))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, alike: tuple[int, int] = ALIKE) -> DataFrame:
-    """One row per document: doc_id, component_id (smallest doc_id reachable by links). Ids must be unique.
-
-    Texts with the same shingles are one node, those without words too. Rows with a null id keep a null component and
-    link with nothing. Other columns of ``docs`` are not read. An empty table gives no rows.
-    """
-    sets = materialize(code_sets(docs, id_col, text_col, width), "shingles")
-    same = materialize(sets.filter("doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "same-shingles")
-    nodes = sets.filter("size(codes) > 0").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "codes")
-    nodes = materialize(nodes, "shingle-sets")
-    rows = materialize(sets.select("doc_id", "h1", "h2"), "shingle-hashes")
-    discard(sets)
-    groups = connected_components(similar_sets(nodes, alike))
-    named = same.join(groups, same["rep"] == groups["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    rows = rows.join(named, ["h1", "h2"], "left")
-    return rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    more = similar(pairs, texts, width, alike)
+    discard(placed, met)
+    return links.unionByName(more)

@@ -18,8 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingle_dedup
 from .components import connected_components
-from .scratch import materialize
+from .scratch import discard, materialize
 
 BITS = 64
 
@@ -211,3 +212,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
+
+
+def described(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc_id, fp, n, h1, h2): the fingerprint of each text, how many different shingles it has, and 128 bits of hash that stand for these."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = [t.as_py() for t in part.column(1)]
+                sets = [shingle_dedup.shingle_codes(t, width) for t in texts]
+                hashes = [np.array([xxhash.xxh64_intdigest(s.tobytes(), k) for s in sets], np.uint64).view(np.int64) for k in (1, 2)]
+                prints = np.array([simhash(t, width) for t in texts], np.uint64).view(np.int64)
+                yield pa.record_batch([part.column(0), pa.array(prints), pa.array(list(map(len, sets)), pa.int64()), *map(pa.array, hashes)], names=["doc_id", "fp", "n", "h1", "h2"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long, n long, h1 long, h2 long")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = shingle_dedup.WIDTH, alike: tuple[int, int] = shingle_dedup.ALIKE, distance: int = 3, partitions: int = 2) -> DataFrame:
+    """Near duplicates by similarity: doc_id, component_id (smallest doc_id reachable). Ids must be unique.
+
+    Texts are linked if the Jaccard similarity of their shingles is ``alike`` or more. Fingerprints within ``distance``
+    bits say where to look first, and each such pair is verified on its shingles. A similarity of 0.8 moves about 10 of 64
+    bits, which no fingerprint search reaches at a cost below comparing all pairs; so the links that fingerprints cannot
+    show are found by prefix filtering, among what they have not joined. No link is lost.
+
+    Texts with the same shingles are one node, those without words too. Rows with a null id keep a null component and
+    link with nothing. Other columns of ``docs`` are not read. An empty table gives no rows.
+    """
+    rows = materialize(described(docs, id_col, text_col, width), "described")
+    same = materialize(rows.filter("doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "fp", "n")).alias("first")).select("h1", "h2", F.col("first.doc_id").alias("rep"), "first.fp", "first.n"), "same-shingles")
+    reps = same.filter("n > 0").select("rep", "fp")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(reps, "rep", "left_semi")
+    texts = materialize(texts, "texts")
+    distinct = materialize(reps.groupBy("fp").agg(F.min("rep").alias("rep")), "distinct")
+    equal = reps.join(distinct.withColumnRenamed("rep", "a"), "fp").filter("rep <> a").select("a", F.col("rep").alias("b"))
+    close = near_fingerprints(distinct, distance, partitions).unionByName(equal)
+    known = shingle_dedup.similar(close, texts, width, alike)
+    groups = connected_components(shingle_dedup.similar_texts(texts, width, alike, known))
+    named = same.join(groups, same["rep"] == groups["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    discard(texts, distinct)
+    rows = rows.join(named, ["h1", "h2"], "left")
+    return rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -5,6 +5,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+from fractions import Fraction
+from math import gcd
+
 import numpy as np
 import xxhash
 
@@ -163,3 +166,59 @@ def cosine_links(rows, threshold=0.9):
                 n[b] += 1
     comps = smallest_reachable([i for i, _ in rows], links)
     return {i: (n[i], comps[i]) for i, _ in rows}
+
+
+def mix(docs, seed=42):
+    """[(doc_id, first word, words, shard)]: seats dealt one by one, blocks of each source's line drawn one by one."""
+    docs = [(i, len(words(t)), s) for i, t, s in docs]
+    sources = sorted({s for _, _, s in docs}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, n, x in docs if x == s) for s in sources}
+    total = sum(size.values())
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    target, left, live = dict.fromkeys(sources, Fraction(0)), Fraction(total), [s for s in sources if size[s]]
+    while live:
+        share = {s: left * weight[s] / sum(weight[x] for x in live) for s in live}
+        full = [s for s in live if share[s] > 3 * size[s]]
+        if not full:
+            target.update(share)
+            break
+        for s in full:
+            target[s] = Fraction(3 * size[s])
+            left -= target[s]
+        live = [s for s in live if s not in full]
+    block = max(16, -(-total // 65536))
+    blocks, got, shard_of = {s: -(-size[s] // block) for s in sources}, dict.fromkeys(sources, 0), {s: [] for s in sources}
+    seats = -(-total // block)
+    for seat in range(seats):
+        can = [s for s in sources if target[s] and got[s] < 3 * blocks[s]]
+        if can:
+            s = max(can, key=lambda s: (target[s] / (2 * got[s] + 1), -sources.index(s)))
+            got[s] += 1
+            shard_of[s].append(next(k for k in range(64) if seat < seats * (k + 1) // 64))
+    out = []
+    for k, s in enumerate(sources):
+        digest = hashlib.md5(f"{seed}:{k}".encode()).hexdigest()
+        n = blocks[s]
+        if not n:
+            continue
+        step, first = int(digest[:7], 16) % n, int(digest[7:14], 16) % n
+        while gcd(step, n) != 1:
+            step += 1
+        block_at = {(step * j + first) % n: j for j in range(n)}
+        drawn = [(d // n, block_at[d % n], shard_of[s][d]) for d in range(got[s])]
+        by = {(p, j): shard for p, j, shard in drawn}
+        start = 0
+        for i, length, _ in sorted((d for d in docs if d[2] == s), key=lambda d: (hashlib.md5(f"{seed}:{d[0]}".encode()).hexdigest(), d[0], d[1])):
+            for p in range(3):
+                open_slice = None
+                for w in range(length):
+                    j = (start + w) // block
+                    if (p, j) not in by:
+                        open_slice = None
+                    elif open_slice is None:
+                        open_slice = [i, w, 1, by[p, j]]
+                        out.append(open_slice)
+                    else:
+                        open_slice[2] += 1
+            start += length
+    return [tuple(x) for x in out]

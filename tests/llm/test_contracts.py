@@ -118,12 +118,67 @@ def test_unigram_lattice():
         got = sum(score[model.piece_of[i]] for i in ids)
         assert abs(got - best("▁" + text.replace(" ", "▁"))) < 1e-9
         assert model.decode(ids) == text
+        tokens = model.pre_tokens(" " + text)
+        counts = token_counts.trie_counts(model, list(set(tokens)))
+        assert sum(counts[t] for t in tokens) == len(ids)
+        assert counts == {t: token_counts.streamed_count(model, t) for t in set(tokens)}
     long = "".join(rng.choice(list("ab"), 20_000))
     ids = [i for p in model.stream(long) for i in model.emits[p]]
-    path = next(model.walk([long]))[2]
+    path = [piece for piece, _ in next(model.walk([long]))[2]]
     assert ids == [i for p in model.trace(path, len(long)) for i in model.emits[p]]
 
 
+def test_stream_commits_as_it_goes():
+    """Pieces come out before the text ends, as soon as all paths agree; what is held is a few of the longest piece."""
+    model = pieces.PieceModel([("▁", -2.0), ("a", -1.5), ("b", -1.6), ("ab", -2.2), ("aba", -3.9)], kind="unigram")
+
+    text, done, seen = "abaab" * 400, 0, [0]
+
+    class Watched:
+        def iter(self, text, inner=model.automaton):
+            for end, i in inner.iter(text):
+                seen[0] = end
+                yield end, i
+
+    model.automaton = Watched()
+    for p in model.stream(text):
+        done += model.size[p]
+        assert seen[0] - done <= 8 * model.longest
+    assert done == len(text)
+
+
+def test_neighbours_that_stay_apart():
+    """Going back in time says of two pieces what merging their text does."""
+    model = pieces.PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(2)
+    names = model.numbered[1:30_000]
+    for a, b in zip(rng.choice(names, 4000), rng.choice(names, 4000)):
+        a, b = str(a), str(b)
+        assert model.apart(a, b) == (model.merge(a + b) == [a, b]), (a, b)
+    for a in rng.choice(names, 300):
+        assert model.apart("", str(a)) == (model.merge(str(a)) == [str(a)])
+        k = int(rng.integers(len(a) + 1))
+        for x, y in ((a[:k], a[k:]), (a[k:], a)):
+            if x in model.score and y in model.score:
+                assert model.apart(x, y) == (model.merge(x + y) == [x, y]), (x, y)
+
+
+def test_units_and_pre_tokens(spark, documents):
+    """Cutting into units first gives the pre-tokens of the whole text; decoding by bytes gives what decoding by pieces does."""
+    import pyarrow as pa
+
+    model = pieces.PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [t or "" for _, t in documents + AWKWARD] + ["a  b", "▁ x", " ▁x", "x ▁ ▁▁  y", "\n \n", "end ", "\t\ta\r\n b", "▁", " "]
+    coded, upto = model.units(pa.array(texts).slice(3))
+    units, start = [coded.dictionary[i].as_py() for i in coded.indices.to_pylist()], 0
+    for text, end in zip(texts[3:], upto):
+        assert [p for u in units[start:end] for p in model.pre_tokens(u)] == model.pre_tokens(" " + text if text else "")
+        start = end
+    ids, ends = model.encode_texts(pa.array(texts))
+    back = model.decode_texts(ids, ends).to_pylist()
+    assert back == [model.decode(ids[a:b].tolist()) for a, b in zip([0, *ends], ends)]
+
+
 def test_pii(spark, documents, awkward, empty):
     cols = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
     for df, rows in ((queries.op3_pii(spark, SF), documents), (pii.find(awkward), AWKWARD)):
@@ -168,7 +223,7 @@ def test_mixing(spark, awkward, empty):
     for r in got:
         assert 0 <= r["taken"] <= 3 * r["size"]
         by.setdefault((r["source"], r["target"], r["source_size"]), []).append(r["taken"])
-    assert all(abs(sum(v) - t) <= mixing.BLOCK for (_, t, _), v in by.items())
+    assert all(abs(sum(v) - t) <= 4 * mixing.LEAST_BLOCK for (_, t, _), v in by.items())
     assert abs(sum(t for _, t, _ in by) - sum(n for _, _, n in by)) < 1e-6
     assert mixing.taken_words(empty).count() == 0
 
@@ -191,6 +246,22 @@ def test_sainte_lague_by_definition():
         assert mixing.sainte_lague(votes, seats, most) == got
 
 
+def test_mixed_slices_and_quotas_of_shards(spark, awkward):
+    """Slices, and the shards that they fill, as drawn one by one; each shard has its integer quota of each source."""
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id % 3 = 0")
+    for df, cut in ((docs, 0), (awkward, 0)):
+        rows = [(r["doc_id"], r["text"], r["source"]) for r in df.collect()]
+        want = Counter(brute.mix(rows))
+        got = Counter((r["doc_id"], r["first"], r["n_words"], r["shard"]) for r in mixing.mixed_slices(df).collect())
+        assert got == want
+        taken = Counter()
+        for i, _, n, _ in got.elements():
+            taken[i] += n
+        assert +taken == +Counter({r["doc_id"]: r["taken"] for r in mixing.taken_words(df).collect()})
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     taken = by_id(mixing.taken_words(docs), "taken")
@@ -235,8 +306,7 @@ def test_token_files_in_small_slices_and_blocks(spark, documents, monkeypatch):
 
     texts = [t for _, t in documents] + [t for _, t in AWKWARD]
     flat, ends = encoder.encode(pa.array(texts))
-    monkeypatch.setattr(token_files, "SLICE_BYTES", 1000)
-    parts = list(token_files.sliced(pa.record_batch([pa.array(texts, pa.string())], names=["t"]), 0))
+    parts = list(token_files.sliced(pa.record_batch([pa.array(texts, pa.string())], names=["t"]), 0, 1000))
     assert sum(p.num_rows for p in parts) == len(texts) and len(parts) > 20
     monkeypatch.setattr(token_files, "MEMO", 100)
     again = [encoder.encode(p.column(0)) for p in parts]
@@ -337,6 +407,19 @@ def test_substring_dedup(spark, documents, awkward, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substring_dedup_text_and_buckets(spark, documents, monkeypatch):
+    """The kept text is what is hashed; small portions and many buckets, a passage in each document, give the same."""
+    import hashlib
+
+    passage = " ".join(f"licence{i}" for i in range(20))
+    rows = [(i, f"{t or ''} {passage}") for i, t in documents]
+    monkeypatch.setattr(substring_dedup, "CHUNK_WINDOWS", 500)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 300)
+    got = by_id(substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), "n_words", "n_removed", "kept_sha256", "kept_text")
+    assert {i: v[:3] for i, v in got.items()} == brute.remove_windows(rows)
+    assert all(hashlib.sha256(v[3].encode()).hexdigest() == v[2] for v in got.values())
+
+
 def test_embedding_dedup(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     got = by_id(queries.op10_embedding_dedup(spark, SF), "n_links", "component_id", "kept", key="vec_id")

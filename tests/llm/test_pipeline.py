@@ -3,15 +3,14 @@
 import math
 from collections import Counter
 
-import duckdb
-import pandas as pd
 import public_tokenizers
 import regex
 import sentencepiece
 
 import corpus_pipeline
-from millrace.llm import mixing, quality
+from millrace.llm import quality
 from tests.llm import brute
+from tests.llm.test_shingle_dedup import components
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,18 +39,14 @@ def plain_pipeline(docs):
     docs = [d for d in docs if d[0] in good]
     new = brute.dedup_lines([(i, t) for i, t, _ in docs])
     docs = [(i, new[i][0], s) for i, _, s in docs]
-    groups = brute.near_fingerprints([(i, t) for i, t, _ in docs])
-    docs = [d for d in docs if groups[d[0]][1] == d[0]]
-    con = duckdb.connect()
-    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text", "source"]))
-    taken = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, taken, size FROM ({mixing.ORACLE_SQL})").fetchall()}
+    groups = components([(i, t) for i, t, _ in docs])
+    docs = [d for d in docs if groups[d[0]] == d[0]]
+    text_of = {i: t for i, t, _ in docs}
     out, sp = [], sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    for i, text, _ in docs:
-        n, size = taken[i]
-        parts = [text] * (n // size if size else 0)
-        if size and n % size:
-            parts.append(" ".join(brute.words(text)[: n % size]))
-        out += [(i, tuple(sp.encode(p)), sp.decode(sp.encode(p)), True) for p in parts]
+    for i, first, n, _ in brute.mix(docs):
+        w = brute.words(text_of[i])
+        part = text_of[i] if n == len(w) else " ".join(w[first : first + n])
+        out.append((i, tuple(sp.encode(part)), sp.decode(sp.encode(part)), True))
     return out
 
 
@@ -63,14 +58,17 @@ def test_pipeline(spark):
 
 
 def test_stages_keep_the_columns_of_documents(spark):
-    """Nulls, an empty text, copies: each stage but the last returns the columns of documents, and an empty table is taken."""
+    """Nulls, an empty text, copies, repeated and null ids, columns named like those used inside; and an empty table."""
     good = " ".join(f"word{chr(97 + i % 26)}{i}" for i in range(40)).replace("1", "a").replace("2", "b").replace("3", "c")
-    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, good, "en", None, len(good)), (4, good, "en", "b", len(good)), (5, "too short", "en", "b", 9)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = [(1, None, "a"), (2, "", "a"), (3, good, None), (4, good, "b"), (5, "too short", "b"), (3, good + " more", "a"), (None, good, "a"), (None, None, None)]
+    clash = "new_text n_words size shard repeat taken_id start block kept codes key n component_id node fp first row_key".split()
+    rows = [(i, t, "en", s, len(t or ""), *(f"{i}:{c}" for c in clash)) for i, t, s in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in [*clash[:-1], "`dotted.name`"])
     for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
         for name, stage in corpus_pipeline.STAGES:
             before = docs
             docs = stage(spark, docs, "")
-            docs.collect()
+            got = docs.collect()
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert docs.columns == before.columns, name
+                assert all(r["start"] == f"{r['doc_id']}:start" for r in got)

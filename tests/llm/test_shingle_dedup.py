@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from millrace.llm import shingle_dedup, simhash
+from millrace.llm import simhash
 from tests.llm import brute
 
 
@@ -38,7 +38,7 @@ def edited_texts():
 
 def test_near_duplicates_are_all_pairs_of_the_threshold(spark):
     rows = edited_texts()
-    got = shingle_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == components(rows) and len(got) == len(rows)
 
 
