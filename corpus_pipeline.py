@@ -1,6 +1,7 @@
 """A corpus pipeline: quality rules, line dedup, near-duplicate removal, mixing, tokens. Each stage takes the last one's documents.
 
-A row is a document, whatever its id: stages join by a number of the row, as ids may be null or repeated.
+A row is a document, whatever its id: stages join by a number of the row, as ids may be null or repeated. Columns that
+a stage needs for itself have reserved names that begin with an underscore; all other columns go through as they are.
 """
 
 from __future__ import annotations
@@ -9,53 +10,71 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import line_dedup, mixing, pieces, quality, shingle_dedup
-from millrace.llm.scratch import materialize, numbered
+from millrace.llm import line_dedup, mixing, pieces, quality, simhash
+from millrace.llm.scratch import ROW_HASH, ROW_KEY, materialize, numbered
+
+
+def columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, all columns as they are.
+
+    A null or empty text fails. Null and repeated ids are judged row by row. An empty table gives no rows.
+    """
     rows = numbered(docs, "quality-rows")
-    kept = quality.judge(rows, "row_key").filter("kept").select(F.col("doc_id").alias("row_key"))
-    return rows.join(kept, "row_key", "left_semi").select(docs.columns)
+    kept = quality.judge(rows, ROW_KEY).filter("kept").select(F.col("doc_id").alias(ROW_KEY))
+    return rows.join(kept, ROW_KEY, "left_semi").select(columns(docs))
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that repeat earlier ones; n_chars follows. Those without an id lose nothing, rows of one id stand in the order of a hash."""
-    rows = numbered(docs.filter("doc_id IS NOT NULL").orderBy("doc_id", F.xxhash64(*docs.columns)), "line-rows")
-    new = line_dedup.dedup_lines(rows, "row_key").select(F.col("doc_id").alias("row_key"), F.col("text").alias("new_text"))
-    rows = rows.drop("text").join(new, "row_key").withColumnRenamed("new_text", "text")
-    rows = rows.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
-    return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    """All documents, without lines that repeat earlier ones; n_chars follows, other columns stay.
+
+    Earlier is by doc_id; rows of one id stand in the order of a hash of their columns, each for itself. Rows without an
+    id lose nothing. A null text stays null, with n_chars null. An empty table gives no rows.
+    """
+    rows = numbered(docs.filter("doc_id IS NOT NULL").orderBy("doc_id", F.xxhash64(*columns(docs))), "line-rows")
+    new = line_dedup.dedup_lines(rows, ROW_KEY).select(F.col("doc_id").alias(ROW_KEY), F.col("text").alias("_new_text"))
+    rows = rows.drop("text").join(new, ROW_KEY).withColumnRenamed("_new_text", "text").select(columns(docs)).unionByName(docs.filter("doc_id IS NULL"))
+    return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates: 5-word shingles, Jaccard similarity of 0.8 or more.
 
-    Those without an id stay; of rows of one id in a group the one with the smallest hash stays.
+    Of rows of one id in a group the one with the smallest hash of its columns stays. Rows without an id stay; null, empty
+    and blank texts are copies of each other. Columns stay as they are. An empty table gives no rows.
     """
     rows = numbered(docs, "near-rows")
-    places = rows.filter("doc_id IS NOT NULL").select("row_key", F.struct("doc_id", "row_hash", "row_key").alias("at"))
-    groups = shingle_dedup.near_duplicates(rows.filter("doc_id IS NOT NULL"), "row_key").select(F.col("doc_id").alias("row_key"), "component_id")
-    first = groups.join(places, "row_key").groupBy("component_id").agg(F.min("at").alias("at")).select(F.col("at.row_key").alias("row_key"))
-    kept = rows.filter("doc_id IS NOT NULL").join(first, "row_key", "left_semi")
-    return kept.unionByName(rows.filter("doc_id IS NULL")).select(docs.columns)
+    named = rows.filter("doc_id IS NOT NULL")
+    places = named.select(ROW_KEY, F.struct("doc_id", ROW_HASH, ROW_KEY).alias("_at"))
+    groups = simhash.similar_documents(named, ROW_KEY).select(F.col("doc_id").alias(ROW_KEY), F.col("component_id").alias("_group"))
+    first = groups.join(places, ROW_KEY).groupBy("_group").agg(F.min("_at").alias("_at")).select(F.col(f"_at.{ROW_KEY}").alias(ROW_KEY))
+    return named.join(first, ROW_KEY, "left_semi").unionByName(rows.filter("doc_id IS NULL")).select(columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them."""
+    """The documents that the mix takes, as often as it takes them; a document of which only some blocks are drawn is cut to these.
+
+    Null and repeated ids are rows like others, a null source is a source. Null and empty texts are never taken. n_chars
+    follows a cut text, other columns stay. An empty table gives no rows.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document under the SentencePiece model, with the text that they decode to."""
+    """Ids of each document under the SentencePiece model, with the text that they decode to; a row for each row.
+
+    A null text counts as empty and has no ids. Columns other than doc_id and text are not read.
+    """
     return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), kind="bpe")
 
 
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", remove_lines),
-    ("near-dedup", near_duplicates),
+    ("simhash near-dedup", near_duplicates),
     ("mix sources", mix_sources),
     ("sentencepiece", encode),
 ]
