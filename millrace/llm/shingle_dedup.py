@@ -23,6 +23,7 @@ from .scratch import discard, materialize
 WIDTH = 5  # words in a shingle
 ALIKE = (4, 5)  # texts are near duplicates from this Jaccard similarity on
 BINS = 1 << 18
+SIGN_BITS = 1024  # of a set's signature
 
 
 def shingle_codes(text: str | None, width: int = WIDTH, seed: int = 42) -> np.ndarray:
@@ -35,6 +36,12 @@ def shingle_codes(text: str | None, width: int = WIDTH, seed: int = 42) -> np.nd
     return np.unique(np.array([digest(b" ".join(s), seed) for s in shingles], np.uint64))
 
 
+def signature(codes: np.ndarray) -> np.ndarray:
+    """For each of SIGN_BITS bins whether an odd number of shingles falls in it, as 64-bit numbers."""
+    odd = np.bincount(((codes >> np.uint64(20)) % np.uint64(SIGN_BITS)).astype(np.int64), minlength=SIGN_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def bin_counts(texts: DataFrame, width: int) -> np.ndarray:
     """How many shingles of (rep, text) fall in each bin; BINS numbers reach the driver, whatever the input."""
 
@@ -73,8 +80,16 @@ def prefixes(texts: DataFrame, counts: np.ndarray, width: int, alike: tuple[int,
     return texts.select("rep", "text").mapInArrow(run, "key long, rep long, n long")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, width: int, alike: tuple[int, int]) -> DataFrame:
-    """Those of the pairs (a, b), written, whose texts' Jaccard similarity is ``alike`` or more."""
+def may_be_similar(pairs: DataFrame, signs: DataFrame, alike: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) but those whose signatures rule them out: these differ in no more bits than the sets in shingles."""
+    num, den = alike
+    mine, theirs = signs.toDF("a", "n", "x"), signs.toDF("b", "m", "y")
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, k: a + k)
+    return pairs.join(mine, "a").join(theirs, "b").filter((den + num) * differ <= (den - num) * (F.col("n") + F.col("m"))).select("a", "b")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, signs: DataFrame, width: int, alike: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (a, b), written, whose texts' Jaccard similarity is ``alike`` or more; ``signs`` has (rep, n, sign) of each text."""
     num, den = alike
 
     def run(batches):
@@ -86,7 +101,7 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, alike: tuple[int, in
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["rep", "codes"])
 
     # sets are made only for the texts that are in a pair
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(may_be_similar(pairs, signs, alike), "pairs")
     met = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     sets = materialize(texts.join(met, "rep", "left_semi").select("rep", "text").mapInArrow(run, "rep long, codes array<long>"), "met-sets")
     joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("codes").alias("y")), "b")
@@ -101,8 +116,8 @@ def size_fits(n: Column, m: Column, alike: tuple[int, int]) -> Column:
     return alike[1] * F.least(n, m) >= alike[0] * F.greatest(n, m)
 
 
-def similar_texts(texts: DataFrame, width: int = WIDTH, alike: tuple[int, int] = ALIKE, known: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of texts (rep, text), each with a word, as similar as ``alike``.
+def similar_texts(texts: DataFrame, signs: DataFrame, width: int = WIDTH, alike: tuple[int, int] = ALIKE, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of texts (rep, text), each with a word and one of ``signs``, as similar as ``alike``.
 
     ``known`` links (a, b) are taken as they are; what they join is not compared again.
     """
@@ -123,12 +138,12 @@ def similar_texts(texts: DataFrame, width: int = WIDTH, alike: tuple[int, int] =
     placed = joined(links)
     hubs = placed.groupBy("key").agg(F.min(F.struct("rep", "n", "c")).alias("hub"))
     star = placed.join(hubs, "key").filter((F.col("c") != F.col("hub.c")) & size_fits(F.col("n"), F.col("hub.n"), alike))
-    links = materialize(links.unionByName(similar(star.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(), texts, width, alike)), "links-so-far")
+    links = materialize(links.unionByName(similar(star.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(), texts, signs, width, alike)), "links-so-far")
     discard(placed)
     # then all that are not joined yet
     placed = joined(links)
     other = placed.toDF("key", "b", "m", "d")
     pairs = placed.join(other, "key").filter((F.col("c") < F.col("d")) & size_fits(F.col("n"), F.col("m"), alike)).select(F.col("rep").alias("a"), "b").distinct()
-    more = similar(pairs, texts, width, alike)
+    more = similar(pairs, texts, signs, width, alike)
     discard(placed, met)
     return links.unionByName(more)

@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, fp, n, h1, h2): the fingerprint of each text, how many different shingles it has, and 128 bits of hash that stand for these."""
+    """(doc_id, fp, n, sign, h1, h2): the fingerprint of each text, how many different shingles it has, their signature, and 128 bits of hash that stand for them."""
 
     def run(batches):
         for batch in batches:
@@ -225,10 +225,11 @@ def described(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
                 sets = [shingle_dedup.shingle_codes(t, width) for t in texts]
                 hashes = [np.array([xxhash.xxh64_intdigest(s.tobytes(), k) for s in sets], np.uint64).view(np.int64) for k in (1, 2)]
                 prints = np.array([simhash(t, width) for t in texts], np.uint64).view(np.int64)
-                yield pa.record_batch([part.column(0), pa.array(prints), pa.array(list(map(len, sets)), pa.int64()), *map(pa.array, hashes)], names=["doc_id", "fp", "n", "h1", "h2"])
+                signs = pa.array([shingle_dedup.signature(s) for s in sets], pa.list_(pa.int64()))
+                yield pa.record_batch([part.column(0), pa.array(prints), pa.array(list(map(len, sets)), pa.int64()), signs, *map(pa.array, hashes)], names=["doc_id", "fp", "n", "sign", "h1", "h2"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, n long, h1 long, h2 long")
+    return rows.mapInArrow(run, "doc_id long, fp long, n long, sign array<long>, h1 long, h2 long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = shingle_dedup.WIDTH, alike: tuple[int, int] = shingle_dedup.ALIKE, distance: int = 3, partitions: int = 2) -> DataFrame:
@@ -243,16 +244,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     link with nothing. Other columns of ``docs`` are not read. An empty table gives no rows.
     """
     rows = materialize(described(docs, id_col, text_col, width), "described")
-    same = materialize(rows.filter("doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "fp", "n")).alias("first")).select("h1", "h2", F.col("first.doc_id").alias("rep"), "first.fp", "first.n"), "same-shingles")
-    reps = same.filter("n > 0").select("rep", "fp")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(reps, "rep", "left_semi")
+    same = materialize(rows.filter("doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")), "same-shingles").withColumnRenamed("doc_id", "rep")
+    reps = materialize(rows.filter("n > 0").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "fp", "n", "sign"), "reps")
+    signs = reps.select("rep", "n", "sign")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(reps.select("rep"), "rep", "left_semi")
     texts = materialize(texts, "texts")
     distinct = materialize(reps.groupBy("fp").agg(F.min("rep").alias("rep")), "distinct")
     equal = reps.join(distinct.withColumnRenamed("rep", "a"), "fp").filter("rep <> a").select("a", F.col("rep").alias("b"))
     close = near_fingerprints(distinct, distance, partitions).unionByName(equal)
-    known = shingle_dedup.similar(close, texts, width, alike)
-    groups = connected_components(shingle_dedup.similar_texts(texts, width, alike, known))
+    known = shingle_dedup.similar(close, texts, signs, width, alike)
+    groups = connected_components(shingle_dedup.similar_texts(texts, signs, width, alike, known))
     named = same.join(groups, same["rep"] == groups["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    discard(texts, distinct)
-    rows = rows.join(named, ["h1", "h2"], "left")
+    discard(texts, distinct, reps)
+    rows = rows.select("doc_id", "h1", "h2").join(named, ["h1", "h2"], "left")
     return rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
