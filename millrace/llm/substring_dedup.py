@@ -20,8 +20,8 @@ from .scratch import materialize
 BASE, SECOND, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
 CHUNK_WINDOWS = 400_000  # windows a task holds before it sends them on
 ROWS = 512  # documents cut at a time
-LEAST_BUCKETS = 512
-BUCKET_BYTES = 8_000_000  # bytes of text for a bucket, about
+LEAST_BUCKETS = 64
+BUCKET_BYTES = 4_000_000  # bytes of text for a bucket, about
 TASK_BUCKETS = 8  # buckets of a task, about
 
 
@@ -174,9 +174,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: doc_id, n_words, n_removed, kept_sha256, removed (maximal intervals of words), kept_text if asked for.
 
     A word goes if it lies in a window of ``width`` words whose sequence also starts in a document with a smaller id.
-    Windows are judged on the input. 64 bits of hash stand for a window within a bucket of about 1.5 million windows,
-    which an independent hash deals: a bucket has a wrong match with odds of about 1 in 10 million, so even 100 TB of text, with
-    12 million buckets, has about one.
+    Windows are judged on the input. 64 bits of hash stand for a window within a bucket of about 0.7 million windows,
+    which an independent hash deals: a bucket has a wrong match with odds of about 1 in 70 million, so 100 TB of text, with
+    25 million buckets, has one at most about.
 
     Texts that are null, empty or shorter than ``width`` words lose nothing. Rows with a null id are dropped from the
     count and lose nothing. Rows that repeat an id are told apart by nothing and share what is removed. Other columns
