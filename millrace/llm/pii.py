@@ -74,14 +74,13 @@ def matches(kind: str, text: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, base, text, h1, h2): base spans of each whole text by start, then kind; the text and its hashes where there are any."""
+    """(doc_id, base, text, h1, h2): base spans of each whole text by start, then kind; the text's hashes where there are any."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", "text", *(matches(k, F.col("text")).alias(k) for k in KINDS))
-    rows = rows.select("doc_id", "text", F.array_sort(F.concat(*KINDS)).alias("base"))
-    rows = rows.select("doc_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"))
-    held = F.col("text").isNotNull()
-    return rows.select("*", F.when(held, F.xxhash64("text")).alias("h1"), F.when(held, F.xxhash64(F.lit(7), "text")).alias("h2"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.col(text_col).isNull().alias("blank"))
+    rows = rows.select("doc_id", "text", "blank", *(matches(k, F.col("text")).alias(k) for k in KINDS))
+    rows = rows.select("doc_id", F.when(~F.col("blank"), F.col("text")).alias("text"), F.array_sort(F.concat(*KINDS)).alias("base"))
+    held = F.size("base") > 0
+    return rows.select("doc_id", "base", "text", F.when(held, F.xxhash64("text")).alias("h1"), F.when(held, F.xxhash64(F.lit(7), "text")).alias("h2"))
 
 
 def term_codes(text: Column) -> Column:
@@ -92,7 +91,7 @@ def term_codes(text: Column) -> Column:
 
 def distinct_texts(found: DataFrame) -> DataFrame:
     """(h1, h2, n, base, text, entities, terms): each text with a base span once, and how many documents have it."""
-    held = found.filter(F.col("text").isNotNull()).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.first("base").alias("base"), F.first("text").alias("text"))
+    held = found.filter(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.first("base").alias("base"), F.first("text").alias("text"))
     entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["rank"], F.lower(s["value"]))))
     return held.select("*", entities.alias("entities"), term_codes(F.col("text")).alias("terms"))
 
@@ -143,40 +142,46 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def sanitised(text: Column, spans: Column) -> Column:
+    """A text with its base spans generalised to their kinds in brackets, and its terms removed.
+
+    Where spans overlap, the one that starts first is taken and the others add what they reach beyond it. Each stretch
+    between two spans is looked up by its place in code points.
+    """
+    marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS), F.lit(""))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.when(s["start"] > acc["at"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).otherwise("")
+        mark = F.when(s["start"] < acc["at"], "").otherwise(F.element_at(marks, s["rank"] + 1))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap, mark)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    new = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) > 0, new).otherwise(text)
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, clean_text.
 
     spans lists all spans as kind:start:end by start, then kind (email, ip, card, phone, term); base_sha256 is the
-    SHA-256 of the list of those found by pattern. Places are code points, ends exclusive. A document without a base
-    span has none at all. A null text counts as empty. A row's spans are those of its own text, whether its id is null
-    or repeated. Other columns of ``docs`` are not read. An empty table gives no rows.
+    SHA-256 of the list of those found by pattern. Places are code points, ends exclusive. clean_text is the text with
+    its base spans generalised to their kinds and its terms removed. A document without a base
+    span has none at all, and its text as it is. A null text counts as empty and stays null. A row's spans are those of its own text, whether its
+    id is null or repeated. Other columns of ``docs`` are not read. An empty table gives no rows.
     """
     found = materialize(base_spans(docs, id_col, text_col), "base-spans")
     texts = materialize(distinct_texts(found), "private-texts")
     told = materialize(disclosing_terms(docs, texts, text_col, disclosure), "disclosing")
-    bare = found.select("doc_id", "base", "h1", "h2")
+    bare = found.select("doc_id", "base", "text", "h1", "h2")
     # rows without a base span need no join
     held = bare.filter("h1 IS NOT NULL").join(term_spans(texts, told), ["h1", "h2"], "left").drop("h1", "h2")
     rows = held.unionByName(bare.filter("h1 IS NULL").drop("h1", "h2"), allowMissingColumns=True)
     count = lambda k: F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     every = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")))))
-    return rows.select("doc_id", *map(count, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(every).alias("spans"))
+    rows = rows.withColumn("every", every)
+    return rows.select("doc_id", *map(count, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("every")).alias("spans"), sanitised(F.col("text"), F.col("every")).alias("clean_text"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, text): each base span generalised to its kind in brackets, each disclosing term removed.
-
-    Where spans overlap, the one that starts first is taken and the others add what they reach beyond it. Ids must be
-    unique.
-    """
-    spans = find(docs, id_col, text_col, **options).select("doc_id", F.split("spans", ",").alias("listed")).filter("listed[0] <> ''")
-    part = F.transform("listed", lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end"), F.split(s, ":")[0].alias("kind")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(spans, "doc_id", "left")
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] > acc["at"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])).otherwise("")
-        mark = F.when((s["kind"] == "term") | (s["start"] < acc["at"]), "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
-
-    new = F.aggregate(part, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
-    return rows.select("doc_id", F.when(F.col("listed").isNull(), F.col("text")).otherwise(new).alias("text"))
+    """(doc_id, text): the clean texts of ``find``, one row for each row."""
+    return find(docs, id_col, text_col, **options).select("doc_id", F.col("clean_text").alias("text"))

@@ -77,6 +77,25 @@ def test_simhash_finds_every_link(spark):
         assert found == want
 
 
+def test_simhash_chains(spark):
+    """A chain of fingerprints, each within three bits of the next, is one component; ends far apart hang together."""
+    chain, mask = [0], 0
+    for k in range(20):
+        mask ^= 0b111 << (3 * k)
+        chain.append(mask)
+    rows = [(f - (1 << 64) if f >> 63 else f, 100 + i) for i, f in enumerate(chain)]
+    got = components.connected_components(simhash.near_fingerprints(spark.createDataFrame(rows, "fp long, rep long"))).collect()
+    assert {r["node"]: r["component"] for r in got} == {100 + i: 100 for i in range(1, 21)}
+
+
+def test_embedding_chains(spark):
+    """Vectors turned step by step: each links with its neighbours only, all are one component."""
+    step = np.arccos(0.93)
+    rows = [(i, [float(np.cos(i * step)), float(np.sin(i * step)), 0.0]) for i in range(7)]
+    got = by_id(embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), "n_links", "component_id", key="vec_id")
+    assert got == {i: (1 if i in (0, 6) else 2, 0) for i in range(7)}
+
+
 def test_thresholds_are_the_cheapest():
     from itertools import product
 
@@ -190,6 +209,21 @@ def test_pii(spark, documents, awkward, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_pii_clean_texts(spark, documents, awkward):
+    """The sanitised text by its spans, one after the other."""
+    for df, rows in ((queries.op3_pii(spark, SF), documents), (pii.find(awkward), AWKWARD)):
+        got = by_id(df, "spans", "clean_text")
+        for i, text in rows:
+            spans, clean = got[i]
+            at, out = 0, ""
+            for kind, start, end in (s.split(":") for s in spans.split(",") if s):
+                start, end = int(start), int(end)
+                out += text[at:start] if start > at else ""
+                out += "" if kind == "term" or start < at else f"[{kind.upper()}]"
+                at = max(at, end)
+            assert clean == (text if not spans else out + text[at:]), i
+
+
 def test_pii_terms(spark):
     """A name that stands only beside one address gives it away; common words and an address without a following do not."""
     rows = [(i, f"note {i} from Zorblatt at zed@example.com about stock item{i}") for i in range(4)]
@@ -340,6 +374,7 @@ def test_quality_agrees_with_labels(spark):
     rows = queries.op6_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("NOT base_failed").groupBy("quality", "kept").count().collect()
     n = {(r["quality"], r["kept"]): r["count"] for r in rows}
     assert n.get((1, True), 0) >= 0.98 * (n.get((1, True), 0) + n.get((1, False), 0))
+    assert n.get((0, False), 0) >= 0.9 * (n.get((0, True), 0) + n.get((0, False), 0)) > 0
 
 
 def test_em_finds_the_accurate_rule():
