@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,11 +10,50 @@ BINS = 1000
 Box = tuple[Column, Column, Column, Column]
 
 
+def number(value) -> Column:
+    return F.lit(float(value)) if isinstance(value, (int, float)) else value.cast("double")
+
+
+def clipped(box: Box, width, height) -> Box:
+    """The sides moved into the image."""
+    w, h = number(width), number(height)
+    clip = lambda v, most: F.greatest(F.lit(0.0), F.least(v.cast("double"), most))
+    return clip(box[0], w), clip(box[1], h), clip(box[2], w), clip(box[3], h)
+
+
 def clean(box: Box, width, height) -> Box:
-    """Reversed sides swapped, clipped to the image. What has no area left is for the caller to drop."""
+    """Reversed sides swapped, clipped to the image; all null for a side that is null or not finite, or for a box without area left."""
     x1, y1, x2, y2 = box
-    clip = lambda v, most: F.greatest(F.lit(0.0), F.least(v, F.lit(float(most)) if isinstance(most, (int, float)) else most))
-    return clip(F.least(x1, x2), width), clip(F.least(y1, y2), height), clip(F.greatest(x1, x2), width), clip(F.greatest(y1, y2), height)
+    finite = lit_all(*(v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")) for v in box))
+    out = clipped((F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2), F.greatest(y1, y2)), width, height)
+    fine = finite & (out[2] > out[0]) & (out[3] > out[1])
+    return tuple(F.when(fine, v) for v in out)
+
+
+def lit_all(*conditions: Column) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & F.coalesce(c, F.lit(False))
+    return out
+
+
+def from_location(box: Box, location: Box) -> Box:
+    """The box, or where one of its sides is missing that of (x, y, width, height)."""
+    whole = lit_all(*(v.isNotNull() for v in box))
+    x, y, w, h = location
+    return tuple(F.when(whole, b).otherwise(v) for b, v in zip(box, (x, y, x + w, y + h)))
+
+
+def box_error(box: Box, width, height) -> Column:
+    """Why a box cannot be used as it stands, else null: not finite, or no area once clipped (sides are not swapped)."""
+    finite = lit_all(*(v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")) for v in box))
+    out = clipped(box, width, height)
+    return F.when(~finite, "not finite").when((out[2] <= out[0]) | (out[3] <= out[1]), "degenerate")
+
+
+def is_background(label: Column, box: Box, width, height, share: float = 0.9) -> Column:
+    """Whether a shape covers so much of the image that it is its background."""
+    return F.coalesce((label == "shape") & (area(box) / (number(width) * number(height)) >= share), F.lit(False))
 
 
 def quantise(value: Column, size: int, bins: int = BINS) -> Column:
@@ -30,6 +68,17 @@ def dequantise(code: Column, size: int, bins: int = BINS) -> Column:
     return F.greatest(F.lit(0.0), F.least(code.cast("double"), F.lit(float(bins - 1)))) / float(bins - 1) * float(max(size - 1, 0))
 
 
+def dequantised(codes: Box, width: int, height: int, bins: int = BINS) -> Box:
+    """A box of codes in pixels, its sides put in order; a code of ``bins`` counts as the last one."""
+    x1, y1, x2, y2 = (dequantise(c, n, bins) for c, n in zip(codes, (width, height, width, height)))
+    return F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2), F.greatest(y1, y2)
+
+
+def are_codes(box: Box, bins: int = BINS) -> Column:
+    """Whether a box may be one of codes: no side is over ``bins``, which itself is let pass."""
+    return F.greatest(*(F.abs(v.cast("double")) for v in box)) <= float(bins)
+
+
 def grown(low: Column, high: Column, bins: int = BINS) -> tuple[Column, Column]:
     """Two codes at least one apart: the higher grows first, the lower where that is at the edge."""
     flat = high <= low
@@ -56,6 +105,56 @@ def coverage(target: Box, container: Box) -> Column:
     return F.when(area(target) > 0, overlap(target, container) / area(target)).otherwise(0.0)
 
 
+def crop_iou(a: Box, b: Box) -> Column:
+    """Intersection over union of crops, whose areas count as 1 at least."""
+    inter = overlap(a, b)
+    return inter / (F.greatest(area(a), F.lit(1.0)) + F.greatest(area(b), F.lit(1.0)) - inter)
+
+
+def moved(box: Box, dx, dy) -> Box:
+    return box[0] + dx, box[1] + dy, box[2] + dx, box[3] + dy
+
+
+def scaled(box: Box, sx, sy, width, height, dx=0.0, dy=0.0) -> Box:
+    """The box scaled, then moved, then clipped to an image."""
+    return clipped(moved((box[0] * sx, box[1] * sy, box[2] * sx, box[3] * sy), dx, dy), width, height)
+
+
+def bounded_interval(center: Column, length: Column, limit) -> tuple[Column, Column]:
+    """Whole pixels (start, end) of a length about a centre, moved into [0, limit]; the whole range where it is too long."""
+    most, n = number(limit), length.cast("double")
+    start = F.floor(center - n / 2.0).cast("double")
+    start = F.least(F.greatest(start, F.lit(0.0)), most - n)
+    return F.when(n >= most, 0.0).otherwise(start).cast("long"), F.when(n >= most, most).otherwise(start + n).cast("long")
+
+
+def least_size(crop: Box, size: int, width, height) -> Box:
+    """A crop widened about its centre where a side is below ``size``."""
+    out = []
+    for low, high, limit in ((crop[0], crop[2], width), (crop[1], crop[3], height)):
+        a, b = bounded_interval((low + high) / 2.0, F.least(F.lit(float(size)), number(limit)), limit)
+        short = high - low < size
+        out.append((F.when(short, a).otherwise(low), F.when(short, b).otherwise(high)))
+    return out[0][0], out[1][0], out[0][1], out[1][1]
+
+
+def bounded_aspect(crop: Box, ratio: float, width, height) -> Box:
+    """A crop whose short side is widened about its centre where the long one is over ``ratio`` times it."""
+    x1, y1, x2, y2 = crop
+    w, h = (x2 - x1).cast("double"), (y2 - y1).cast("double")
+    flat, tall = w / h > ratio, h / w > ratio
+    top, bottom = bounded_interval((y1 + y2) / 2.0, F.least(number(height), F.greatest(h, F.ceil(w / ratio).cast("double"))), height)
+    left, right = bounded_interval((x1 + x2) / 2.0, F.least(number(width), F.greatest(w, F.ceil(h / ratio).cast("double"))), width)
+    return F.when(tall & ~flat, left).otherwise(x1), F.when(flat, top).otherwise(y1), F.when(tall & ~flat, right).otherwise(x2), F.when(flat, bottom).otherwise(y2)
+
+
+def outward(box: Box, width: int, height: int) -> Box:
+    """Whole pixels that hold the box, one at least, inside the image."""
+    x1, y1, x2, y2 = (F.least(box[0], box[2]), F.least(box[1], box[3]), F.greatest(box[0], box[2]), F.greatest(box[1], box[3]))
+    left, top = F.least(F.greatest(F.floor(x1), F.lit(0)), F.lit(width - 1)), F.least(F.greatest(F.floor(y1), F.lit(0)), F.lit(height - 1))
+    return left, top, F.least(F.greatest(F.ceil(x2), left + 1), F.lit(width)), F.least(F.greatest(F.ceil(y2), top + 1), F.lit(height))
+
+
 def inside(a: Box, b: Box) -> Column:
     return (a[0] >= b[0]) & (a[1] >= b[1]) & (a[2] <= b[2]) & (a[3] <= b[3])
 
@@ -71,40 +170,58 @@ def padded(box: Box, ratio: float, width: int, height: int) -> Box:
     return F.greatest(F.lit(0), F.floor(x1 - mx)), F.greatest(F.lit(0), F.floor(y1 - my)), F.least(F.lit(width), F.ceil(x2 + mx)), F.least(F.lit(height), F.ceil(y2 + my))
 
 
+#: Bands of pixel counts, each up to its limit.
+BANDS = (("below-0.2M", 200_704), ("0.2-0.5M", 500_000), ("0.5-1M", 1_000_000), ("1-2M", 2_000_000), ("2-4M", 4_000_001))
+
+
 def pixel_band(pixels: Column) -> Column:
-    return F.when(pixels < 512 * 512, "small").when(pixels < 1024 * 1024, "medium").otherwise("large")
+    out = F.lit("above-4M")
+    for name, limit in reversed(BANDS):
+        out = F.when(pixels < limit, name).otherwise(out)
+    return out
+
+
+ASPECT = 200  # sides of an image may differ by this factor at most
 
 
 def resized(width: Column, height: Column, least: int, most: int, factor: int = 32) -> tuple[Column, Column]:
-    """Sides as multiples of ``factor`` (half to even), scaled to stay between two numbers of pixels."""
+    """Sides as multiples of ``factor`` (half to even), scaled to stay between two numbers of pixels; null beyond ASPECT."""
     w, h = (F.greatest(F.lit(factor), F.bround(v / factor) * factor) for v in (width, height))
     big, small = F.sqrt(width * height / float(most)), F.sqrt(F.lit(float(least)) / (width * height))
-    pick = lambda v, r: F.when(w * h > most, F.greatest(F.lit(factor), F.floor(v / big / factor) * factor)).when(w * h < least, F.ceil(v * small / factor) * factor).otherwise(r).cast("long")
+    fine = (width > 0) & (height > 0) & (F.greatest(width, height) <= ASPECT * F.least(width, height))
+    pick = lambda v, r: F.when(fine, F.when(w * h > most, F.greatest(F.lit(factor), F.floor(v / big / factor) * factor)).when(w * h < least, F.ceil(v * small / factor) * factor).otherwise(r).cast("long"))
     return pick(width, w), pick(height, h)
 
 
-def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
-    """A polyline with fewer points, none of those left out farther than ``tolerance`` from it (Douglas-Peucker, without recursion)."""
-    if len(points) < 3:
-        return list(points)
-    xy, keep, stack = np.array(points, float), {0, len(points) - 1}, [(0, len(points) - 1)]
-    while stack:
-        a, b = stack.pop()
-        if b - a < 2:
-            continue
-        d, rest = xy[b] - xy[a], xy[a + 1 : b] - xy[a]
-        t = np.clip(rest @ d / max(float(d @ d), 1e-300), 0, 1)
-        far = np.hypot(*(rest - t[:, None] * d).T)
-        i = int(far.argmax())
-        if far[i] > tolerance:
-            keep.add(a + 1 + i)
-            stack += [(a, a + 1 + i), (a + 1 + i, b)]
-    return [points[i] for i in sorted(keep)]
-
-
-def resampled(points: list[tuple[float, float]], count: int) -> list[tuple[float, float]]:
-    """``count`` points at equal steps of arc length."""
-    xy = np.array(points, float)
-    along = np.concatenate([[0], np.cumsum(np.hypot(*np.diff(xy, axis=0).T))])
-    at = np.linspace(0, along[-1], count)
-    return list(zip(np.interp(at, along, xy[:, 0]).tolist(), np.interp(at, along, xy[:, 1]).tolist()))
+def aligned_candidates(width: Column, height: Column, target: int, least: int, most: int, factor: int = 32, upscale: float | None = None) -> Column:
+    """Sizes of multiples of ``factor`` about a number of pixels: widths and heights up to four steps about the ideal
+    ones, the other side following the ratio; array of struct(w, h) of those between two numbers of pixels."""
+    w, h = width.cast("double"), height.cast("double")
+    scale = F.sqrt(F.lit(float(target)) / (w * h))
+    multiple = lambda v: F.greatest(F.lit(float(factor)), F.bround(v / factor) * factor)
+    base_w, base_h = multiple(w * scale), multiple(h * scale)
+    steps = F.array(*(F.lit(float(k * factor)) for k in range(-4, 5)))
+    wide = F.transform(steps, lambda d: F.greatest(F.lit(float(factor)), base_w + d))
+    high = F.transform(steps, lambda d: F.greatest(F.lit(float(factor)), base_h + d))
+    pairs = F.concat(F.transform(wide, lambda x: F.struct(x.alias("w"), multiple(x * h / w).alias("h"))), F.transform(high, lambda y: F.struct(multiple(y * w / h).alias("w"), y.alias("h"))))
+
+    def allowed(p: Column) -> Column:
+        fine = (p["w"] * p["h"]).between(least, most)
+        return fine if upscale is None else fine & (p["w"] / w <= upscale + 1e-9) & (p["h"] / h <= upscale + 1e-9)
+
+    return F.filter(pairs, allowed)
+
+
+def aligned_size(width: Column, height: Column, target: int, least: int, most: int, factor: int = 32, upscale: float | None = None) -> Column:
+    """struct(width, height) of the candidate nearest to a number of pixels and to the sides' ratio; null if none is allowed.
+
+    The smallest sum of the two errors (as logarithms) wins, then the smaller error of the ratio, then of the pixels.
+    """
+    ratio = width.cast("double") / height
+
+    def scored(p: Column) -> Column:
+        off, skew = F.abs(F.log(p["w"] * p["h"] / float(target))), F.abs(F.log((p["w"] / p["h"]) / ratio))
+        return F.struct((off + skew).alias("a"), skew.alias("b"), off.alias("c"), p["w"].cast("long").alias("width"), p["h"].cast("long").alias("height"))
+
+    best = F.array_min(F.transform(aligned_candidates(width, height, target, least, most, factor, upscale), scored))
+    return F.when(best.isNotNull(), F.struct(best["width"].alias("width"), best["height"].alias("height")))

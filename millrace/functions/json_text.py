@@ -1,4 +1,7 @@
-"""JSON from model output: strict where Spark can, repaired where it was cut off."""
+"""JSON from model output: strict where Spark can parse it, repaired in Python only where it cannot.
+
+A value is held as canonical text: what Spark writes for its variant, with sorted keys, no spaces and plain numbers.
+"""
 
 from __future__ import annotations
 
@@ -10,84 +13,108 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-RESULT = StructType([StructField("parsed", StringType()), StructField("valid", BooleanType()), StructField("partial", BooleanType()), StructField("error_type", StringType())])
+from .text import SPACES, strip
+
+#: Strings, left open or whole, with what closes them; brackets; commas; anything else up to one of these.
+TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+(?:(")|(\\)?\Z)|[{\[]|[}\]]|,|[^"{}\[\],]+', re.S)
+KINDS = {"json_any": "", "json_object": "{", "json_list": "["}
 
 
 def strip_fence(text: Column) -> Column:
     """Without the lines of a Markdown code fence around it."""
-    return F.regexp_replace(F.regexp_replace(F.btrim(text), r"^```[^\n]*\n?", ""), r"(\n?\s*```\s*)+$", "")
+    return F.when(strip(text).startswith("```"), strip(F.regexp_replace(F.regexp_replace(strip(text), r"^```[^\n]*(\n|$)", ""), r"((^|\n)[^\S\n]*```[^\n]*)+$", ""))).otherwise(strip(text))
 
 
 def fragment(text: Column) -> Column:
     """From the first brace or bracket on; all of it where there is none."""
     bare = strip_fence(text)
-    return F.btrim(F.coalesce(F.nullif(F.regexp_extract(bare, r"(?s)[{\[].*$", 0), F.lit("")), bare))
-
-
-def scan(text: str):
-    """(open structures, in a string, after a backslash, last place after a whole element, closed as it stands)."""
-    stack, quoted, escaped, safe, out = [], False, False, 0, []
-    for i, c in enumerate(text):
-        if quoted:
-            escaped, quoted = (c == "\\" and not escaped), not (c == '"' and not escaped)
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif c in "}]":
-            if not stack or stack[-1] != c:
-                continue  # closes nothing
-            stack.pop()
-            safe = i + 1
-        elif c == "," and stack:
-            safe = i + 1
-        out.append(c)
-    return stack, quoted, escaped, safe, "".join(out)
-
-
-def closed(text: str) -> str:
-    """With strings and structures that are left open closed, and commas before a closing one dropped."""
-    stack, quoted, escaped, _, out = scan(text)
-    whole = out + ("\\" if quoted and escaped else "") + ('"' if quoted else "") + "".join(reversed(stack))
-    return re.sub(r",\s*([}\]])", r"\1", whole.strip())
-
-
-def ordered(value):
-    if isinstance(value, dict):
-        return {k: ordered(value[k]) for k in sorted(value)}
-    return [ordered(v) for v in value] if isinstance(value, list) else value
-
-
-def canonical(value) -> str:
-    """Sorted keys, no spaces."""
-    return json.dumps(ordered(value), separators=(",", ":"), ensure_ascii=False)
-
-
-def decode(text: str | None, kind: str = "json_any") -> tuple[str | None, bool, bool, str | None]:
-    """(canonical JSON, valid, partial, error type) by a ladder of repairs; trailing text after a value is let pass."""
-    value = (text or "").strip()
-    if value.startswith("```"):
-        lines = value.splitlines()[1:]
-        while lines and lines[-1].strip().startswith("```"):
-            lines.pop()
-        value = "\n".join(lines).strip()
-    starts = [i for i in (value.find("{"), value.find("[")) if i >= 0]
-    value = value[min(starts) :].strip() if starts else value
-    if not value:
-        return None, False, False, "json_decode_error"
-    prefix = value[: scan(value)[3]].strip() or value
-    empty = {"{": "{}", "[": "[]"}.get(value[0], "")
-    for rung, candidate in enumerate(dict.fromkeys(c for c in (value, closed(value), prefix, closed(prefix), empty) if c)):
+    return strip(F.coalesce(F.nullif(F.regexp_extract(bare, r"(?s)[{\[].*$", 0), F.lit("")), bare))
+
+
+def completions(text: str):
+    """``text`` completed in one pass: whole, and as far as an element of an open structure ended.
+
+    Brackets that close nothing and commas before a closing one are left out; open strings and structures are closed.
+    """
+    out, closers, comma, safe = [], [], "", (0, [])
+    for token in TOKEN.finditer(text):
+        piece = token[0]
+        if piece == ",":
+            out += [comma] if comma else []
+            comma = piece
+            safe = (len(out), closers[:]) if closers else safe
+        elif piece in "}]":
+            if closers and closers[-1] == piece:
+                comma = ""
+                out.append(closers.pop())
+                safe = (len(out), closers[:])
+        elif not piece.isspace():
+            if piece in "{[":
+                closers.append("}" if piece == "{" else "]")
+            elif piece[0] == '"' and not token[1]:
+                piece += ("\\" if token[2] else "") + '"'
+            out += [comma, piece] if comma else [piece]
+            comma = ""
+    yield "".join([*out, *reversed(closers)])
+    if safe[0]:
+        yield "".join([*out[: safe[0]], *reversed(safe[1])])
+
+
+def no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def repair(text: str) -> tuple[str | None, bool]:
+    """(JSON text, repaired): the first value of ``text``, of its completions, or an empty structure; None if it is none of these."""
+    decoder = json.JSONDecoder(parse_constant=no_constant)
+    rungs = [text, *completions(text), {"{": "{}", "[": "[]"}.get(text[:1], "")]
+    for k, rung in enumerate(rungs):
         try:
-            found, _ = json.JSONDecoder().raw_decode(candidate.strip())
-        except ValueError:
+            found, _ = decoder.raw_decode(rung)
+            return json.dumps(found, ensure_ascii=False, allow_nan=False), k > 0
+        except (ValueError, RecursionError):
             continue
-        if not isinstance(found, {"json_object": dict, "json_list": list}.get(kind, object)):
-            return None, False, False, "json_type_error"
-        return canonical(found), True, rung > 0, None
-    return None, False, False, "json_decode_error"
+    return None, False
+
+
+@F.pandas_udf(StructType([StructField("json", StringType()), StructField("partial", BooleanType())]))
+def repaired(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([repair(t) if t else (None, False) for t in texts], columns=["json", "partial"])
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of JSON text; null for what is not JSON, NaN and Infinity among it."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def decode(rows, text: Column, name: str, kind: str = "json_any"):
+    """``rows`` with a column ``name``: struct (parsed, valid, partial, error_type).
+
+    kind is a codec: "text" takes any text, stripped; json_any, json_object and json_list take the first JSON value of
+    the text, without a code fence and what stands before it. What does not parse is repaired, and partial says so. A value of another
+    kind is a json_type_error. Only what Spark cannot parse goes through Python.
+    """
+    null = F.lit(None).cast("string")
+    if kind == "text":
+        return rows.withColumn(name, F.struct(strip(F.coalesce(text, F.lit(""))).alias("parsed"), F.lit(True).alias("valid"), F.lit(False).alias("partial"), null.alias("error_type")))
+    rows = rows.withColumn("_fragment", fragment(F.coalesce(text, F.lit("")))).withColumn("_strict", canonical(F.col("_fragment")))
+    rows = rows.withColumn("_fixed", repaired(F.when(F.col("_strict").isNull(), F.col("_fragment"))))
+    parsed = F.coalesce("_strict", canonical(F.col("_fixed.json")))
+    partial = F.col("_strict").isNull() & F.coalesce("_fixed.partial", F.lit(False)) & parsed.isNotNull()
+    fits = parsed.startswith(KINDS[kind])
+    error = F.when(parsed.isNull(), "json_decode_error").when(~fits, "json_type_error")
+    return rows.withColumn(name, F.struct(F.when(fits, parsed).alias("parsed"), F.coalesce(fits, F.lit(False)).alias("valid"), partial.alias("partial"), error.alias("error_type"))).drop("_fragment", "_strict", "_fixed")
+
+
+def comparable(json_text: Column) -> Column:
+    """Canonical JSON with the strings among its values stripped, keys as they are: equal values are equal texts."""
+    blank = rf"(?:{SPACES}|\\[nrtf]|\\u00(?:0[bB]|1[c-fC-F]))"
+    token = r'(?:[^"\\]|\\.)'
+    return F.regexp_replace(json_text, rf'(?s)\G((?:"{token}*+":|[^"]++)*+)"{blank}*+({token}*?){blank}*"', '$1"$2"')
 
 
-@F.pandas_udf(RESULT)
-def decode_json(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([decode(t) for t in texts], columns=["parsed", "valid", "partial", "error_type"])
+def field(json_text: Column, path: str) -> tuple[Column, Column]:
+    """(value, error) of a dotted path into a JSON object: a string's text, other values as JSON; an error names a path that is not there."""
+    value = F.try_variant_get(F.try_parse_json(json_text), "$" + "".join(f"['{p}']" for p in path.split(".")), "variant")
+    text = F.when(F.schema_of_variant(value) == "STRING", F.variant_get(value, "$", "string")).otherwise(F.to_json(value))
+    return text, F.when(value.isNull(), F.lit(f"field {path!r} not found"))

@@ -41,3 +41,51 @@ def json_value(value: Column) -> Column:
 
 def render(parts: list[tuple[str, str]]) -> Column:
     return F.concat(*(F.lit(x) if kind == "text" else F.col(x).cast("string") if kind == "value" else json_value(F.col(x)) for kind, x in parts))
+
+
+TYPES = ("string", "integer", "number", "boolean", "enum", "array", "object")
+NAME = re.compile(r"[A-Za-z_]\w*")
+
+
+def schema(payload: dict | None) -> dict[str, dict]:
+    """A checked prompt schema {name: {"type", "values"}}; raises for names, types and keys that are not known, optional arguments, and enums without values or with repeated ones."""
+    out = {}
+    for name, spec in (payload or {}).items():
+        if not isinstance(name, str) or not NAME.fullmatch(name):
+            raise ValueError(f"bad argument name {name!r}")
+        if not isinstance(spec, dict) or set(spec) - {"type", "values", "required"}:
+            raise ValueError(f"{name}: unknown keys in its schema")
+        if spec.get("required", True) is not True:
+            raise ValueError(f"{name}: arguments are always required")
+        kind, values = spec.get("type"), spec.get("values")
+        if kind not in TYPES:
+            raise ValueError(f"{name}: unknown type {kind!r}")
+        if kind == "enum" and (not isinstance(values, list) or not values or any(not isinstance(v, str) for v in values) or len(set(values)) < len(values)):
+            raise ValueError(f"{name}: an enum needs different text values")
+        if kind != "enum" and values is not None:
+            raise ValueError(f"{name}: only an enum has values")
+        out[name] = {"type": kind, **({"values": list(values)} if kind == "enum" else {})}
+    return out
+
+
+def argument_errors(names: Column, arguments: dict[str, dict]) -> Column:
+    """Why the names of a record's arguments do not fit a schema, else null: those that are missing, then those too many."""
+    declared = F.array(*map(F.lit, arguments)) if arguments else F.array().cast("array<string>")
+    missing, extra = F.array_sort(F.array_except(declared, names)), F.array_sort(F.array_except(names, declared))
+    return F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ","))).when(F.size(extra) > 0, F.concat(F.lit("unexpected: "), F.array_join(extra, ",")))
+
+
+def audit(template: str, arguments: dict[str, dict], values: Column, rendered: Column) -> Column:
+    """struct of SHA-256 sums: of the template, the schema, both together, the record's arguments (canonical JSON) and the rendered text."""
+    import hashlib
+    import json
+
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    shape = json.dumps(arguments, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    fixed = {"template_sha256": digest(template), "schema_sha256": digest(shape), "program_sha256": digest(f"{template}\n{shape}")}
+    return F.struct(*(F.lit(v).alias(k) for k, v in fixed.items()), F.sha2(values, 256).alias("args_sha256"), F.sha2(rendered, 256).alias("rendered_sha256"))
+
+
+def blank(rendered: Column) -> Column:
+    """Whether a rendered prompt has nothing in it."""
+    return ~F.coalesce(rendered.rlike(r"\S"), F.lit(False))

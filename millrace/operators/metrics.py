@@ -28,6 +28,86 @@ def exact_match() -> Column:
     return F.avg(F.coalesce((F.col("valid") & (F.col("parsed") == F.col("target"))).cast("double"), F.lit(0.0)))
 
 
+def codec_result() -> tuple[Column, Column, Column]:
+    """What rewards and row metrics read: valid, partial and parsed, the last in comparable form as the target is."""
+    return F.coalesce(F.col("valid"), F.lit(False)), F.coalesce(F.col("partial"), F.lit(False)), F.col("parsed")
+
+
+def subattr_fields(parsed: Column, target: Column, fields: list[str]) -> Column:
+    """1 if all of some fields of two JSON objects are there and equal, else 0."""
+    alike = [F.coalesce(F.get_json_object(parsed, f"$.{f}") == F.get_json_object(target, f"$.{f}"), F.lit(False)) for f in fields]
+    return reduce(lambda a, b: a & b, alike).cast("double")
+
+
+SPACES = {"qwen": 999.0, "qwen_0_999": 999.0, **dict.fromkeys(("normalized", "normalized_1000", "bbox_2d", "keypoints_2d", "points_2d", "points", "bins", "quantized"), 1000.0)}
+
+
+def keypoint_share(points: Column, targets: Column, threshold: float, space: str = "normalized_1000", width: Column | None = None, height: Column | None = None) -> Column:
+    """The share of points within ``threshold`` times the space's scale of their targets; 0 for other numbers of points, 1 for none at all.
+
+    The scale of an image is its longer side, or without its size that of what all points span.
+    """
+    if space == "image":
+        both = F.concat(points, targets)
+        span = lambda axis: F.array_max(F.transform(both, axis)) - F.array_min(F.transform(both, axis))
+        known = (width is not None and height is not None)
+        w, h = (F.coalesce(width, span(lambda p: p["x"])), F.coalesce(height, span(lambda p: p["y"]))) if known else (span(lambda p: p["x"]), span(lambda p: p["y"]))
+        scale = F.greatest(F.when(w > 0, w).otherwise(1.0), F.when(h > 0, h).otherwise(1.0))
+    else:
+        scale = F.lit(SPACES[space])
+    near = F.filter(F.zip_with(points, targets, lambda a, b: F.pow(a["x"] - b["x"], 2.0) + F.pow(a["y"] - b["y"], 2.0)), lambda d: d <= F.pow(scale * threshold, 2.0))
+    return F.when(points.isNull() | targets.isNull() | (F.size(points) != F.size(targets)), 0.0).when(F.size(points) == 0, 1.0).otherwise(F.size(near) / F.size(targets))
+
+
+REWARDS = Registry("reward")
+
+
+@REWARDS.register("parse_success")
+def reward_parse_success() -> Column:
+    valid, partial, _ = codec_result()
+    return (valid & ~partial).cast("double")
+
+
+@REWARDS.register("exact_match")
+def reward_exact() -> Column:
+    valid, partial, parsed = codec_result()
+    return F.coalesce((valid & ~partial & (parsed == F.col("target"))).cast("double"), F.lit(0.0))
+
+
+@REWARDS.register("subattr_fields")
+def reward_fields(fields: tuple[str, ...] = ("stroke_pattern", "geometry_style")) -> Column:
+    valid, _, parsed = codec_result()
+    return F.when(valid, subattr_fields(parsed, F.col("target"), list(fields))).otherwise(0.0)
+
+
+def reward_columns(wanted: list[dict]) -> dict[str, Column]:
+    """Columns of some rewards by name, each with its parameters: [{"name": .., "weight": .., ..}]; total is their weighted sum."""
+    made = {w["name"]: REWARDS.create(w["name"], **{k: v for k, v in w.items() if k not in ("name", "weight")}) for w in wanted}
+    return made | {"total": reduce(lambda a, b: a + b, (made[w["name"]] * float(w.get("weight", 1.0)) for w in wanted))}
+
+
+def result_summary(results: DataFrame, prediction: str, kind: str, id_col: str, order: str) -> DataFrame:
+    """(field, value, n): records, failed ones, ids whose last prediction is there, and how often each kind was predicted."""
+    failed = F.col(prediction).isNull()
+    each = results.groupBy(F.when(failed, "parse_failed").otherwise(F.coalesce(kind, F.lit("unknown"))).alias("value")).agg(F.count("*").alias("n")).select(F.lit("distribution").alias("field"), "value", "n")
+    totals = results.agg(F.count("*").alias("records"), F.count_if(failed).alias("parse_failed"), F.count_distinct(F.when(~failed, F.col(id_col))).alias("unique_success"))
+    return totals.select(F.explode(F.array(*(F.struct(F.lit("total").alias("field"), F.lit(k).alias("value"), F.col(k).alias("n")) for k in totals.columns))).alias("x")).select("x.*").unionByName(each)
+
+
+def scan_summary(boxes: DataFrame, targets: list[str]) -> DataFrame:
+    """(field, value, n): images, images with a target, targets, and how often each label stands."""
+    wanted = F.col("label").isin(*targets)
+    totals = boxes.agg(F.count_distinct("image").alias("images"), F.count_distinct(F.when(wanted, F.col("image"))).alias("target_images"), F.count_if(wanted).alias("target_instances"))
+    each = boxes.groupBy(F.col("label").alias("value")).agg(F.count("*").alias("n")).select(F.lit("label").alias("field"), "value", "n")
+    return totals.select(F.explode(F.array(*(F.struct(F.lit("total").alias("field"), F.lit(k).alias("value"), F.col(k).alias("n")) for k in totals.columns))).alias("x")).select("x.*").unionByName(each)
+
+
+def final_loss(rows: DataFrame, weights: DataFrame, loss: str, tokens: str) -> DataFrame:
+    """One row: the datasets' token means of a loss, weighed by dataset; only those that are there count."""
+    each = token_mean(rows, ["dataset"], loss, tokens).select("dataset", F.col("loss").alias("score"))
+    return weighted_score(each, weights).select(F.col("final_score").alias("final_loss"), "datasets")
+
+
 @METRICS.register("reward_exact_match")
 def reward_exact_match() -> Column:
     return F.avg(F.coalesce((F.col("valid") & ~F.col("partial") & (F.col("parsed") == F.col("target"))).cast("double"), F.lit(0.0)))

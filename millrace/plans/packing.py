@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .mixing import splitmix1
@@ -37,20 +37,33 @@ def best_fit(draws: list[int], lengths: list[int], packs: int, capacity: int, re
     return filled
 
 
+def packed_rounds(size: dict[int, int], packs: int, capacity: int) -> list[tuple]:
+    """(draw, round, pack, segment) of all draws: what fits nowhere in a round is left for the next. A draw over the capacity has None for all three."""
+    left = {d: n for d, n in size.items() if n <= capacity}
+    out, turn = [(d, None, None, None) for d in size if d not in left], 0
+    while left:
+        found = best_fit(list(left), list(left.values()), min(packs, len(left)), capacity, min(left))
+        out += [(d, turn, p, s) for p, ds in enumerate(found) for s, d in enumerate(ds)]
+        left = {d: n for d, n in left.items() if d not in {x for ds in found for x in ds}}
+        turn += 1
+    return out
+
+
 def greedy_packs(rows: DataFrame, window: str, packs: int, capacity: int) -> DataFrame:
-    """(window, draw_id, tokens, pack_index, segment_index) of the draws that best-fit packing takes from each window.
+    """(window, draw_id, tokens, round, pack_index, segment_index, status): best-fit packing of each window, round after round, until no draw is left.
 
-    ``rows`` holds (window, draw_id, tokens); a window holds a bounded number of draws, its lowest one is the required.
+    ``rows`` holds (window, draw_id, tokens); a window holds a bounded number of draws, the lowest one left is the required of a
+    round. A draw that no pack can hold comes out with the status oversize and without a pack; all others are packed.
     """
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("draw_id")
-        size = dict(zip(frame["draw_id"], frame["tokens"]))
-        found = best_fit(list(size), list(size.values()), min(packs, len(size)), capacity, min(size))
-        out = [(frame[window].iloc[0], d, size[d], p, s) for p, ds in enumerate(found) for s, d in enumerate(ds)]
-        return pd.DataFrame(out, columns=[window, "draw_id", "tokens", "pack_index", "segment_index"])
+        size = dict(zip(frame["draw_id"].tolist(), frame["tokens"].tolist()))
+        out = [(frame[window].iloc[0], d, size[d], r, p, s, "oversize" if p is None else "packed") for d, r, p, s in packed_rounds(size, packs, capacity)]
+        out = pd.DataFrame(out, columns=[window, "draw_id", "tokens", "round", "pack_index", "segment_index", "status"])
+        return out.astype({c: "Int64" for c in ("round", "pack_index", "segment_index")})
 
-    return rows.select(window, "draw_id", "tokens").groupBy(window).applyInPandas(pack, f"{window} long, draw_id long, tokens long, pack_index long, segment_index long")
+    return rows.select(window, "draw_id", "tokens").groupBy(window).applyInPandas(pack, f"{window} long, draw_id long, tokens long, round long, pack_index long, segment_index long, status string")
 
 
 def varlen_offsets(segments: DataFrame, pack: list[str], order: str) -> DataFrame:
@@ -139,3 +152,191 @@ def planned_microbatches(rows: DataFrame, stream: str, planner: Planner) -> Data
         return out
 
     return rows.select(stream, "draw_id", "tokens").groupBy(stream).applyInPandas(plan, f"{stream} long, microstep long, rank long, slot long, draw_id long, tokens long")
+
+
+def pack_count_bounds(cardinality: str, local_batch: int) -> tuple[int, int]:
+    """How many packs a rank may have: exactly so many, or from one on under a token budget."""
+    if local_batch <= 0:
+        raise ValueError("the local batch must be positive")
+    if cardinality not in ("fixed", "token_budget"):
+        raise ValueError(f"unknown cardinality {cardinality!r}")
+    return (local_batch if cardinality == "fixed" else 1), local_batch
+
+
+def batch_contract(cardinality: str, local_batch: int, world: int, accumulation: int, capacity: int, grouping: str = "none", packing: str = "none", layout: str = "padded") -> dict:
+    """Pack counts of a local, a global and an optimiser step, tokens of a rank, and what a run of steps draws; raises for fields that do not go together."""
+    legal = {("none", "none", "padded"), ("length", "none", "padded"), ("bounded_cost", "none", "padded"), ("length", "greedy", "varlen")}
+    if (grouping, packing, layout) not in legal:
+        raise ValueError(f"{grouping} grouping, {packing} packing and {layout} layout do not go together")
+    if cardinality == "token_budget" and grouping != "bounded_cost":
+        raise ValueError("a token budget needs bounded_cost grouping")
+    low, high = pack_count_bounds(cardinality, local_batch)
+    return {"local": (low, high), "global": (low * world, high * world), "step": (low * world * accumulation, high * world * accumulation),
+            "local_tokens": capacity * (high if packing == "greedy" else 1), "draws_per_step": high * world * accumulation if (low, packing) == (high, "none") else None}
+
+
+def length_microbatches(draws: list[tuple[int, int]], world: int, local: int, buffer_size: int) -> list[list[tuple[int, int]]]:
+    """Global microbatches of draws of like length: of the buffer, longest first, the stretch that holds the oldest draw."""
+    size, buffer, at, out = world * local, [], 0, []
+    while True:
+        take = draws[at : at + buffer_size - len(buffer)]
+        buffer, at = buffer + take, at + len(take)
+        if len(buffer) < size:
+            return out + ([sorted(buffer, key=lambda e: (-e[1], e[0]))] if buffer else [])
+        ordered = sorted(buffer, key=lambda e: (-e[1], e[0]))
+        place = ordered.index(min(buffer))
+        start = min(place // size * size, len(ordered) - size)
+        out.append(ordered[start : start + size])
+        gone = {d for d, _ in out[-1]}
+        buffer = [e for e in buffer if e[0] not in gone]
+
+
+def assign_ranks(loads: dict[int, int], world: int, local: int, most: int, partial: bool = False) -> list[list[int]] | None:
+    """Packs dealt to ranks, the heaviest first to the rank with the lowest load, stepping back where a cap is broken; None if it cannot be done.
+
+    A rank takes ``local`` packs, fewer where ``partial``, and ``most`` tokens at most.
+    """
+    order = sorted(loads, key=lambda p: (-loads[p], p))
+    if len(order) > world * local or (not partial and len(order) < world * local):
+        return None
+    ranks: list[list[int]] = [[] for _ in range(world)]
+    tokens = [0] * world
+    choices: list[list[int]] = []
+    while True:
+        k = len(choices)
+        if k == len(order):
+            return ranks
+        states, open_ranks = set(), []
+        for r in sorted(range(world), key=lambda r: (tokens[r], len(ranks[r]), r)):
+            state = (len(ranks[r]), tokens[r])
+            if len(ranks[r]) < local and tokens[r] + loads[order[k]] <= most and state not in states:
+                states.add(state)
+                open_ranks.append(r)
+        choices.append(open_ranks[::-1])
+        while not choices[-1]:
+            choices.pop()
+            if not choices:
+                return None
+            r = next(r for r in range(world) if ranks[r] and ranks[r][-1] == order[len(choices) - 1])
+            tokens[r] -= loads[ranks[r].pop()]
+        r = choices[-1].pop()
+        ranks[r].append(order[len(choices) - 1])
+        tokens[r] += loads[order[len(choices) - 1]]
+
+
+NODES = 100_000  # selections that the full search looks at
+
+
+def full_partition(buffer: list[tuple[int, int]], world: int, local: int, most: int) -> list[list[int]] | None:
+    """Groups of exactly ``local`` draws for all ranks, the oldest draw among them, each padded to its longest within ``most``;
+    None if there are none. Groups come in the order of their lowest draw. Raises after NODES selections."""
+    from itertools import combinations
+
+    seen = 0
+
+    def search(left: list[tuple[int, int]], groups: list[list[int]], anchors) -> list[list[int]] | None:
+        nonlocal seen
+        if len(groups) == world:
+            return groups
+        need = (world - len(groups)) * local
+        for a in anchors if anchors is not None else range(len(left) - need + 1):
+            tail = left[a + 1 :]
+            if len(tail) < need - 1:
+                continue
+            for others in combinations(tail, local - 1):
+                seen += 1
+                if seen > NODES:
+                    raise RuntimeError(f"no partition among {NODES} selections")
+                group = [left[a], *others]
+                if local * max(n for _, n in group) <= most:
+                    taken = {d for d, _ in group}
+                    found = search([e for e in tail if e[0] not in taken], [*groups, [d for d, _ in group]], None)
+                    if found is not None:
+                        return found
+        return None
+
+    ordered = sorted(buffer)
+    return search(ordered, [], (0,)) if len(ordered) >= world * local else None
+
+
+def balanced_frame(steps: list[list[float]], seed: int, first_step: int = 0) -> tuple[list[list[int]], float]:
+    """(for each step which batch each rank takes, skew): the heaviest batch goes to the rank with the least so far, ties by a hash."""
+    world = len(steps[0]) if steps else 0
+    total, out = [0.0] * world, []
+    for k, loads in enumerate(steps):
+        ranks = sorted(range(world), key=lambda r: (total[r], splitmix1(seed ^ (first_step + k) ^ r)))
+        batches = sorted(range(world), key=lambda b: (-loads[b], b))
+        taken = [0] * world
+        for b, r in zip(batches, ranks):
+            taken[r] = b
+            total[r] += loads[b]
+        out.append(taken)
+    mean = sum(total) / max(world, 1)
+    return out, max((abs(t - mean) / mean for t in total), default=0.0) if mean > 0 else 0.0
+
+
+def padded(rows: DataFrame, batch: list[str], column: str, value: int, left: bool = False) -> DataFrame:
+    """``column``, an array, filled to the longest of its batch, at the right or at the left."""
+    most = F.max(F.size(column)).over(Window.partitionBy(*batch))
+    fill = F.array_repeat(F.lit(value).cast("long"), (most - F.size(column)).cast("int"))
+    return rows.withColumn(column, F.concat(fill, F.col(column)) if left else F.concat(F.col(column), fill))
+
+
+def truncated(target: Column, prefix: Column, most: int, end_id: int) -> Column:
+    """Target ids cut to what a prefix leaves of ``most``; the end id is added where the whole target and it fit, never to one that is cut."""
+    budget = F.lit(most) - prefix
+    wants = F.when(F.size(target) == 0, True).otherwise(F.element_at(target, -1) != end_id)
+    fits = F.size(target) + wants.cast("int") <= budget
+    whole = F.when(wants, F.concat(target, F.array(F.lit(end_id).cast("long")))).otherwise(target)
+    return F.when(budget <= 0, F.array().cast("array<bigint>")).when(fits, whole).otherwise(F.slice(target, 1, F.greatest(budget, F.lit(1))))
+
+
+def prefix_kept(prefix: Column, most: int, supervised: bool = True) -> Column:
+    """How many tokens of a prefix stay: all that fit, less one for the target where there is supervision."""
+    return F.when(prefix < most, prefix).otherwise(most - 1 if supervised else most)
+
+
+def loss_weights(strategy: str, prefix: Column, target: Column, spans: Column, prefix_scale: float = 1.0, target_scale: float = 1.0) -> Column:
+    """A weight per token: the target's scale on the target; on the prefix its scale on all of it, on none of it (last_round), or on the assistant's ``spans`` (default)."""
+    def weight(i: Column) -> Column:
+        inside = F.lit(strategy == "all") if strategy != "default" else F.exists(spans, lambda s: (s["start"] <= i) & (i < s["stop"]))
+        return F.when(i >= prefix, float(target_scale)).when(inside, float(prefix_scale)).otherwise(0.0)
+
+    return F.when(prefix + target > 0, F.transform(F.sequence(F.lit(0), prefix + target - 1), weight)).otherwise(F.array().cast("array<double>"))
+
+
+def pair_rows(pairs: DataFrame, id_col: str) -> DataFrame:
+    """(id, side, row, text): preference records as one batch, all chosen rows and then all rejected ones."""
+    both = F.array(F.struct(F.lit("chosen").alias("side"), F.lit(0).alias("s"), F.col("chosen_text").alias("text")), F.struct(F.lit("rejected").alias("side"), F.lit(1).alias("s"), F.col("rejected_text").alias("text")))
+    return pairs.select(id_col, F.explode(both).alias("x")).select(id_col, "x.side", F.col("x.s").alias("part"), "x.text")
+
+
+def sample_cost(text_tokens: Column, target_tokens: Column, width: Column, height: Column, patch: int = 14, merge: int = 2) -> Column:
+    """struct(llm_tokens, supervised_tokens, vision_patches, exact): what a sample costs, its image in merged patches among the tokens."""
+    patches = F.coalesce((F.floor(width / patch) * F.floor(height / patch)).cast("long"), F.lit(0).cast("long"))
+    return F.struct((text_tokens + target_tokens + F.floor(patches / (merge * merge))).cast("long").alias("llm_tokens"), target_tokens.cast("long").alias("supervised_tokens"), patches.alias("vision_patches"), F.lit(True).alias("exact"))
+
+
+def cost_error(draw: Column, cost: Column, most_tokens: int, most_patches: int, least_packs: int = 1) -> Column:
+    """Why a draw cannot be planned, naming it, else null: an estimate, no tokens, more supervision than tokens, or over a budget."""
+    name = F.concat(F.lit("draw "), draw.cast("string"), F.lit(": "))
+    return (
+        F.when(~cost["exact"], F.concat(name, F.lit("cost is not exact"))).when(cost["llm_tokens"] <= 0, F.concat(name, F.lit("no tokens")))
+        .when(cost["supervised_tokens"] > cost["llm_tokens"], F.concat(name, F.lit("more supervised than all tokens")))
+        .when(cost["llm_tokens"] * least_packs > most_tokens, F.concat(name, F.lit("over the token budget"))).when(cost["vision_patches"] > most_patches, F.concat(name, F.lit("over the patch budget")))
+    )
+
+
+def batch_stats(rows: DataFrame, keys: list[str], ids: str, labels: str, ignore: int = -100) -> DataFrame:
+    """Per batch of unpadded sequences: rows, useful_tokens, materialized_tokens (all as long as the longest), supervised_tokens (labels but the first that count), and sums of lengths and their squares."""
+    n = F.size(ids).cast("long")
+    counted = F.size(F.filter(F.slice(labels, 2, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: x != ignore)).cast("long")
+    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(n).alias("useful_tokens"), (F.count("*") * F.max(n)).alias("materialized_tokens"), F.sum(counted).alias("supervised_tokens"), F.sum(n * n).alias("square_sum"))
+
+
+def check_layout(segments: DataFrame, pack: list[str], most: int) -> DataFrame:
+    """(pack, error) of packs whose segments overlap or leave gaps, do not start at 0, or go beyond ``most``."""
+    by = Window.partitionBy(*pack).orderBy("start")
+    rows = segments.withColumn("_before", F.lag("stop").over(by))
+    error = F.when(F.coalesce("_before", F.lit(0)) != F.col("start"), "not contiguous").when(F.col("stop") <= F.col("start"), "empty segment").when(F.col("stop") > most, "over the capacity")
+    return rows.withColumn("error", error).filter("error IS NOT NULL").groupBy(*pack).agg(F.min("error").alias("error"))

@@ -117,17 +117,143 @@ def oversampled(rows: DataFrame, label: str, id_col: str, least: int, most: int,
     return rows.withColumn("view_index", F.explode(F.sequence(F.lit(0).cast("long"), views - 1))).drop("_rank", "_n")
 
 
-def quartiles(rows: DataFrame, value: str, id_col: str, by: str | None = None) -> DataFrame:
+def ordinals(rows: DataFrame, keys: list[str], bins: Column, order: list, name: str = "ordinal") -> DataFrame:
+    """Adds the place of each row within its keys, from 0, by ``bins`` and then ``order``.
+
+    Only the numbers of rows in the bins are gone through key by key; rows are ordered within their bin, so a key with
+    a large share of all rows is dealt to as many tasks as it has bins.
+    """
+    rows = rows.withColumn("_bin", bins)
+    counts = rows.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_bin").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_bin").eqNullSafe(F.col("_b"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = rows.withColumn("_within", F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(*order)) - 1)
+    return rows.join(counts, same).withColumn(name, (F.col("_before") + F.col("_within")).cast("long")).drop("_bin", "_b", "_before", "_within", *(f"_k{i}" for i in range(len(keys))))
+
+
+def quartiles(rows: DataFrame, value: str, id_col: str, by: str) -> DataFrame:
     """Adds quartile: min(3, 4 i div n) of row i of n, ordered by value, then id. Not ntile(4), which rounds otherwise."""
-    keys = [by] if by else []
-    i = F.row_number().over(Window.partitionBy(*keys).orderBy(value, id_col)) - 1
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return rows.withColumn("quartile", F.least(F.lit(3), F.floor(4 * i / n)).cast("long"))
+    sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_all"))
+    placed = ordinals(rows, [by], F.col(value), [id_col], "_i").join(sizes, F.col(by).eqNullSafe(F.col("_by")))
+    return placed.withColumn("quartile", F.least(F.lit(3), F.floor(4 * F.col("_i") / F.col("_all"))).cast("long")).drop("_i", "_all", "_by")
+
+
+def lowest(rows: DataFrame, count: int, key: Column, id_col: str) -> DataFrame:
+    """The ``count`` rows of the lowest keys, hex hashes, ties by id: whole bins of the keys' first digits, and the first rows of one more."""
+    rows = rows.withColumn("_key", key).withColumn("_bin", F.substring("_key", 1, 4))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = rows.groupBy("_bin").agg(F.count("*").alias("_n")).select("_bin", (F.lit(count) - before).alias("_left")).filter("_left > 0")  # 65,536 bins
+    rank = F.row_number().over(Window.partitionBy("_bin").orderBy("_key", id_col))
+    return rows.join(bins, "_bin").withColumn("_rank", rank).filter("_rank <= _left").drop("_key", "_bin", "_left", "_rank")
 
 
 def ratio_rows(rows: DataFrame, base_count: int, ratio: float, id_col: str, seed: str) -> DataFrame:
     """As many rows as ``ratio`` of a base count, rounded half to even, by lowest hash."""
-    return rows.orderBy(hash_key(seed, id_col), id_col).limit(round(base_count * ratio))
+    return lowest(rows, round(base_count * ratio), hash_key(seed, id_col), id_col)
+
+
+def review_sample(rows: DataFrame, count: int, id_col: str, seed: str) -> DataFrame:
+    """``count`` rows by lowest hash, with their position in that order."""
+    some = lowest(rows, count, hash_key(seed, id_col), id_col)
+    return some.withColumn("position", (F.row_number().over(Window.orderBy(hash_key(seed, id_col), id_col)) - 1).cast("long"))  # of the sample only
+
+
+def hash_choice(items: list[str], *parts: Column) -> Column:
+    """One of some items by the first 60 bits of the SHA-256 of parts joined by colons, modulo their number."""
+    first = F.conv(F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, 15), 16, 10).cast("long")
+    return F.get(F.array(*map(F.lit, items)), (first % len(items)).cast("int"))
+
+
+def two_level_quotas(counts: dict[tuple[str, str], int], target: int, weights: dict[str, float], whole: set[str] = frozenset()) -> dict[tuple[str, str], int]:
+    """Quotas of (group, stratum): groups of ``whole`` are kept whole, the rest of the target goes to the others by weight
+    and within a group to its strata by size. Raises if what is kept whole is more than the target."""
+    kept = {k: n for k, n in counts.items() if k[0] in whole}
+    if sum(kept.values()) > target:
+        raise ValueError(f"a target of {target} is smaller than the {sum(kept.values())} rows that are kept whole")
+    room = {g: sum(n for (x, _), n in counts.items() if x == g) for g in weights if g not in whole}
+    groups = share_out(min(target - sum(kept.values()), sum(room.values())), {g: weights[g] for g in room}, room)
+    for g, quota in groups.items():
+        strata = {k: n for k, n in counts.items() if k[0] == g}
+        kept |= share_out(quota, {k: float(n) for k, n in strata.items()}, strata)
+    return kept
+
+
+def pilot_quotas(counts: dict[str, int], limit: int, first: str, second: str) -> dict[str, int]:
+    """Half of ``limit`` from ``first``, the rest from ``second``; what ``first`` lacks goes to ``second`` too, as far as it has rows."""
+    if limit <= 0 or limit >= counts.get(first, 0) + counts.get(second, 0):
+        return {k: counts.get(k, 0) for k in (first, second)}
+    a = min(counts.get(first, 0), limit // 2)
+    return {first: a, second: min(counts.get(second, 0), limit - a)}
+
+
+def take_counts(rows: DataFrame, quotas: dict, stratum: str, id_col: str, seed: str) -> DataFrame:
+    """``take_quotas`` with the quotas of a mapping."""
+    kind = rows.schema[stratum].dataType.simpleString()
+    return take_quotas(rows, rows.sparkSession.createDataFrame(list(quotas.items()), f"{stratum} {kind}, quota long"), stratum, id_col, seed)
+
+
+def without_replacement(weights: dict[str, float], count: int, *parts: Column) -> Column:
+    """``count`` names drawn by weight without replacement: the highest u^(1/w), each u drawn from a hash of parts and name; ordered by that key."""
+    live = {k: w for k, w in weights.items() if w > 0}
+    if not live:
+        return F.array().cast("array<string>")
+    key = lambda k, w: -F.log(F.greatest(unit_draw(*parts, F.lit(k)), F.lit(1e-300))) / float(w)
+    each = F.array_sort(F.array(*(F.struct(key(k, w).alias("key"), F.lit(k).alias("name")) for k, w in live.items())))
+    return F.transform(F.slice(each, 1, min(count, len(live))), lambda x: x["name"])
+
+
+def tier(short_side: Column, limits: tuple[float, ...] = (16.0, 32.0, 64.0), names: tuple[str, ...] = ("tiny", "small", "medium", "large")) -> Column:
+    """The size tier of a target."""
+    out = F.lit(names[-1])
+    for limit, name in reversed(list(zip(limits, names))):
+        out = F.when(short_side < limit, name).otherwise(out)
+    return out
+
+
+def degradation_plan(short_side: Column, operations: dict[str, dict[str, float]], counts: dict[str, int], *parts: Column) -> Column:
+    """struct(tier, operations): which operations to apply to a sample, drawn by the weights of its tier; a plan only, no pixels."""
+    name = tier(short_side)
+    drawn = F.array().cast("array<string>")
+    for t, weights in operations.items():
+        drawn = F.when(name == t, without_replacement(weights, counts[t], *parts)).otherwise(drawn)
+    return F.struct(name.alias("tier"), drawn.alias("operations"))
+
+
+def balanced_bands(rows: DataFrame, group: str, id_col: str, feasible: str, seed: str) -> DataFrame:
+    """Adds band: of a row's feasible bands the one used least so far in its group, ties by a hash; rows go in the order of a hash.
+
+    Each choice depends on all before, so a group is gone through in one task: have groups of bounded size.
+    """
+    def assign(frame):
+        import hashlib
+
+        digest = lambda *x: hashlib.sha256(":".join(map(str, (seed, *x))).encode()).hexdigest()
+        used, bands = {}, {}
+        for i, options in sorted(zip(frame[id_col], frame[feasible]), key=lambda r: (digest(r[0]), r[0])):
+            best = min(options, key=lambda b: (used.get(b, 0), digest(i, b)), default=None)
+            used[best] = used.get(best, 0) + 1
+            bands[i] = best
+        return frame[[group, id_col]].assign(band=frame[id_col].map(bands))
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.select(group, id_col, feasible).groupBy(group).applyInPandas(assign, f"{group} {kinds[group]}, {id_col} {kinds[id_col]}, band string")
+
+
+def epoch_steps(samples: int, batch: int, world: int, drop_last: bool = False, equal: bool = False) -> int:
+    """Steps of each rank in an epoch; raises where ranks would have unequal steps or samples would be dropped."""
+    if batch <= 0 or world <= 0:
+        raise ValueError("batch size and world size must be positive")
+    if drop_last and samples % batch:
+        raise ValueError(f"an incomplete local batch of {samples % batch} samples would be dropped")
+    batches = -(-samples // batch)
+    if batches % world:
+        raise ValueError(f"{batches} local batches cannot be dealt to {world} ranks in equal numbers")
+    if equal and world > 1 and samples % (batch * world):
+        raise ValueError("the last global step would have local batches of unequal size")
+    return batches // world
 
 
 def top_k_by_hash(rows: DataFrame, stratum: str, id_col: str, k: int, seed: str) -> DataFrame:

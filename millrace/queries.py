@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import divergence as D
@@ -32,6 +32,11 @@ def query(sql: str | None = None):
     return add
 
 
+def id_bin(id_col: str = "doc_id"):
+    """Ranges of ids, within which rows are ordered by one task."""
+    return F.floor(F.col(id_col) / 65536)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -203,8 +208,7 @@ def weighted_shuffled_plan(spark, sf_dir):
 @query(f"""WITH {SPREAD} SELECT d.draw_id, d.source, d.row_index, r.doc_id FROM draws d
 JOIN (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row_index FROM documents) r USING (source, row_index)""")
 def drawn_documents(spark, sf_dir):
-    ordinal = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", ordinal.cast("long").alias("row_index"))
+    rows = sampling.ordinals(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], id_bin(), ["doc_id"], "row_index")
     return spread_plan(spark, sf_dir).join(rows, ["source", "row_index"])
 
 
@@ -373,13 +377,34 @@ def crop_distractors(spark, sf_dir):
     return B.distractors(rows, crops)
 
 
-@query()
+GREEDY = f"""
+pairs AS (SELECT a.image, a.idx AS a_idx, b.idx AS b_idx, {iou_sql('a', 'b')} AS iou FROM shifted a JOIN boxes b ON a.image = b.image AND a.label = b.label WHERE {iou_sql('a', 'b')} >= 0.5),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY iou DESC, a_idx, b_idx) AS r FROM pairs),
+walk AS (
+  SELECT image, 0::BIGINT AS r, []::BIGINT[] AS used_a, []::BIGINT[] AS used_b, 0::BIGINT AS n, 0.0::DOUBLE AS total FROM (SELECT DISTINCT image FROM pairs)
+  UNION ALL
+  SELECT w.image, p.r, CASE WHEN free THEN list_append(used_a, a_idx) ELSE used_a END, CASE WHEN free THEN list_append(used_b, b_idx) ELSE used_b END, n + free::INT, total + CASE WHEN free THEN round(iou, 12) ELSE 0 END
+  FROM walk w JOIN ranked p ON p.image = w.image AND p.r = w.r + 1, LATERAL (SELECT NOT list_contains(used_a, a_idx) AND NOT list_contains(used_b, b_idx) AS free)),
+hits AS (SELECT image, arg_max(n, r) AS n_match, arg_max(total, r) AS iou_sum FROM walk GROUP BY image)"""
+
+
+@query(f"""WITH RECURSIVE {BOXES}, {SHIFTED}, {GREEDY}, sizes AS (SELECT image, count(*) AS n FROM boxes GROUP BY image)
+SELECT image, n AS n_pred, n AS n_target, coalesce(n_match, 0) AS n_match, round(2.0 * coalesce(n_match, 0) / (2 * n), 9) AS f1, round(CASE WHEN n_match > 0 THEN iou_sum / n_match ELSE 0 END, 9) AS mean_iou,
+round(least(1.0, coalesce(iou_sum, 0) / n), 9) AS reward FROM sizes LEFT JOIN hits USING (image)""")
 def det_f1(spark, sf_dir):
     rows = line_boxes(spark, sf_dir)
     return B.detection(shifted_boxes(rows), rows, 0.5).withColumns({c: F.round(c, 9) for c in ("f1", "mean_iou", "reward")})
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES},
+over AS (SELECT a.image, a.idx, list(b.idx) AS others FROM boxes a JOIN boxes b ON a.image = b.image AND a.label = b.label AND b.idx < a.idx AND {iou_sql('a', 'b')} >= 0.3 GROUP BY ALL),
+walk AS (
+  SELECT image, 0::BIGINT AS idx, []::BIGINT[] AS kept FROM (SELECT DISTINCT image FROM boxes)
+  UNION ALL
+  SELECT w.image, b.idx, CASE WHEN o.others IS NULL OR NOT list_has_any(o.others, w.kept) THEN list_append(w.kept, b.idx) ELSE w.kept END
+  FROM walk w JOIN boxes b ON b.image = w.image AND b.idx = w.idx + 1 LEFT JOIN over o ON o.image = b.image AND o.idx = b.idx),
+ends AS (SELECT image, arg_max(kept, idx) AS kept FROM walk GROUP BY image)
+SELECT b.image, b.label, b.x1, b.y1, b.x2, b.y2, b.idx FROM boxes b JOIN ends e ON e.image = b.image AND list_contains(e.kept, b.idx)""")
 def nms(spark, sf_dir):
     return B.suppressed(line_boxes(spark, sf_dir), 0.3)
 
@@ -466,15 +491,15 @@ def distribution_report(spark, sf_dir):
     return M.distributions(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id"), ["lang", "source", "quality"])
 
 
-@query()
+@query("""SELECT event_type AS dataset, round(avg((event_id % 3 = 0 AND event_id % 30 + 3 < length(t))::INT), 9) AS parse_partial_rate, round(avg((event_id % 3 <> 0 OR event_id % 30 + 3 >= length(t))::INT), 9) AS parse_success
+FROM (SELECT *, '{"items": [1, 2], "v": ' || props || '}' AS t FROM events) GROUP BY event_type""")
 def decoded_metrics(spark, sf_dir):
-    """Scores of JSON cut off at a place that depends on the event, against the whole."""
-    rows = table(spark, sf_dir, "events").select("event_type", "event_id", F.col("props").alias("whole"))
-    text = F.concat(F.lit('{"items": [1, 2], "v": '), "whole", F.lit("}"))
+    """Rates of JSON cut off at a place that depends on the event: whole or repaired."""
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", "props")
+    text = F.concat(F.lit('{"items": [1, 2], "v": '), "props", F.lit("}"))
     cut = F.when(F.col("event_id") % 3 == 0, F.substring(text, F.lit(1), (F.col("event_id") % 30 + 3).cast("int"))).otherwise(text)
-    rows = rows.select(F.col("event_type").alias("dataset"), json_text.decode_json(cut).alias("d"), json_text.decode_json(text)["parsed"].alias("target"))
-    rows = rows.select("dataset", "d.*", "target")
-    return rows.groupBy("dataset").agg(*(M.METRICS.get(n)().alias(n) for n in M.METRICS.names()))
+    rows = json_text.decode(rows, cut, "d").select(F.col("event_type").alias("dataset"), "d.*")
+    return rows.groupBy("dataset").agg(*(F.round(M.METRICS.get(n)(), 9).alias(n) for n in ("parse_partial_rate", "parse_success")))
 
 
 @query("""SELECT event_id, 'Event ' || event_type || ' had {"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '} for ' || to_json(event_type) || '.' AS prompt FROM events""")
@@ -488,11 +513,11 @@ def rendered_prompts(spark, sf_dir):
 
 
 def document_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = F.least(F.greatest(F.floor(F.col("n_chars") / 6), F.lit(1)), F.lit(1024)).cast("long")
+    tokens = F.greatest(F.floor(F.col("n_chars") / 6), F.lit(1)).cast("long")  # about six characters a token
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("draw_id"), tokens.alias("tokens"), F.floor(F.col("doc_id") / 64).alias("window"))
 
 
-DRAWS = "draws AS (SELECT doc_id AS draw_id, LEAST(GREATEST(n_chars // 6, 1), 1024)::BIGINT AS tokens, doc_id // 64 AS \"window\" FROM documents)"
+DRAWS = "draws AS (SELECT doc_id AS draw_id, GREATEST(n_chars // 6, 1)::BIGINT AS tokens, doc_id // 64 AS \"window\" FROM documents)"
 
 
 @query(f'WITH {DRAWS} SELECT draw_id, tokens, "window", row_number() OVER (PARTITION BY "window" ORDER BY tokens DESC, draw_id) - 1 AS position FROM draws')
@@ -506,17 +531,20 @@ def varlen_offsets(spark, sf_dir):
     return packing.varlen_offsets(document_draws(spark, sf_dir), ["window"], "draw_id")
 
 
+CAPACITY = 32_768  # tokens of a pack
+
+
 @query()
 def greedy_packs(spark, sf_dir):
-    return packing.greedy_packs(document_draws(spark, sf_dir), "window", 16, 2048)
+    return packing.greedy_packs(document_draws(spark, sf_dir), "window", 2, CAPACITY)
 
 
 @query()
 def packing_stats(spark, sf_dir):
-    return packing.pack_stats(greedy_packs(spark, sf_dir), ["window", "pack_index"], ["window"])
+    return packing.pack_stats(greedy_packs(spark, sf_dir).filter("status = 'packed'"), ["window", "round", "pack_index"], ["window"])
 
 
-PLANNER = packing.Planner(world_size=4, local_limit=4, max_tokens=4096, buffer_size=32, seed=42)
+PLANNER = packing.Planner(world_size=4, local_limit=4, max_tokens=4 * CAPACITY, buffer_size=32, seed=42)
 STREAM_DRAWS = 65536  # draws in a stream, which is what one task holds
 
 
@@ -543,10 +571,11 @@ def softmax_divergence(spark, sf_dir):
     return rows.select("vec_id", *(F.round(D.divergence(F.col("s"), F.col("t"), k), 6).alias(k) for k in ("reverse_kl", "forward_kl", "jsd")))
 
 
-@query()
+@query(f"""WITH l AS (SELECT vec_id, list_reverse_sort({softmax_sql('list_transform(embedding, lambda v: v::DOUBLE)')})[1:8] AS top FROM embeddings)
+SELECT vec_id, list_transform(list_append(top, ln(1 - list_sum(list_transform(top, lambda v: exp(v))))), lambda v: round(v, 6)) AS log_probs FROM l""")
 def top_k_tail(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", D.top_with_tail(D.log_softmax(F.col("embedding")), 8).alias("log_probs"))
-    return rows.select("vec_id", F.transform("log_probs", lambda x: F.round(x, 9)).alias("log_probs"))
+    return rows.select("vec_id", F.transform("log_probs", lambda x: F.round(x, 6)).alias("log_probs"))
 
 
 @query("""SELECT vec_id, round(len(list_filter(range(1, 33), lambda i: (embedding[i]::DOUBLE - embedding[i + 32]) ** 2 <= 0.01)) / 32.0, 9) AS pck FROM embeddings""")
@@ -637,13 +666,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Good documents, each text once, drawn from their sources in spread order, packed by window, with figures per pack."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id"), "doc_id", "left_anti")
     docs = records.keep_first(docs.select("doc_id", "source", "n_chars", F.sha2("text", 256).alias("h")), ["h"], ["doc_id"])
-    ordinal = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long")
-    docs = docs.withColumn("row_index", ordinal)
+    docs = sampling.ordinals(docs, ["source"], id_bin(), ["doc_id"], "row_index")
     sizes = docs.groupBy("source").agg(F.count("*").alias("size")).withColumn("weight", F.col("size").cast("double"))
     sources = mixing.largest_remainders(mixing.active_sources(sizes), 512)
     draws = mixing.spread_draws(spark, sources, sources.agg(F.sum("size")).first()[0] or 0, 512).join(docs, ["source", "row_index"])
-    rows = draws.select("draw_id", F.least(F.greatest(F.floor(F.col("n_chars") / 6), F.lit(1)), F.lit(1024)).cast("long").alias("tokens"), F.floor(F.col("draw_id") / 64).alias("window"))
-    return packing.pack_stats(packing.greedy_packs(rows, "window", 16, 2048), ["window", "pack_index"], ["window"])
+    rows = draws.select("draw_id", F.greatest(F.floor(F.col("n_chars") / 6), F.lit(1)).cast("long").alias("tokens"), F.floor(F.col("draw_id") / 64).alias("window"))
+    packs = packing.greedy_packs(rows, "window", 2, CAPACITY).filter("status = 'packed'")
+    return packing.pack_stats(packs, ["window", "round", "pack_index"], ["window"])
 
 
 QUERIES["flagship"] = flagship

@@ -5,27 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .registry import READERS
 
 FIRST_ERRORS = 20
-STRIP = r"(?U)^\s+|\s+$"  # all Unicode white space, as trim() would leave most of it
+DEPTH = 4  # lists within lists that a message's content is looked through
 
-
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP, "")
+PART = "struct<type:string,text:string>"
 
 
 def json_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, file_no, line_no, value, ok): the non-blank lines of files, with 1-based line numbers.
+    """(path, file_no, line_no, value, ok): the non-blank lines of files, with 1-based line numbers; file_no is the place of its path in ``paths``.
 
-    Each file is read as one record to number its lines, so files should be of a size that a task can hold; write many.
+    Files are read in blocks, however large they are. A line's number is its place in its block, which the ids of a
+    task's rows give, and the lines of the blocks before, of which only counts are looked at.
     """
-    order = F.create_map(*(x for i, p in enumerate(paths) for x in (F.lit(p.rstrip("/").rpartition("/")[2]), F.lit(i)))) if paths else None
-    whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    whole = whole.select("path", F.coalesce(order[F.element_at(F.split("path", "/"), -1)], F.lit(0)).alias("file_no"), (F.col("line_no") + 1).cast("long").alias("line_no"), strip(F.col("value")).alias("value"))
-    whole = whole.filter(F.col("value") != "")
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    blocks = lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    file_no = F.lit(None).cast("int")
+    for k, given in reversed(list(enumerate(paths))):
+        at = F.instr(F.concat(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), F.lit("/")), given.rstrip("/") + "/")
+        file_no = F.when(at > 0, k).otherwise(file_no)
+    rows = lines.join(blocks, ["path", "block"]).select("path", F.coalesce(file_no, F.lit(0)).alias("file_no"), (F.col("id") + F.col("shift")).alias("line_no"), strip(F.col("value")).alias("value"))
+    rows = rows.filter(F.col("value") != "")
     kind = F.expr("schema_of_variant(try_parse_json(value))")
-    return whole.withColumn("ok", F.coalesce(kind.startswith("OBJECT"), F.lit(False)))
+    return rows.withColumn("ok", F.coalesce(kind.startswith("OBJECT"), F.lit(False)))
 
 
 @READERS.register("json_lines")
@@ -43,28 +49,140 @@ def check_lines(lines: DataFrame, error: Column) -> DataFrame:
     return lines
 
 
-def text_field(*names: str) -> Column:
+def text_field(*names: str, row: str = "value") -> Column:
     """The first of some fields of a JSON line that is there."""
-    return F.coalesce(*(F.get_json_object("value", f"$.{n}") for n in names))
+    return F.coalesce(*(F.get_json_object(row, f"$.{n}") for n in names))
+
+
+def parts_of(content: Column, depth: int = DEPTH) -> Column:
+    """A message's content, a variant, as an array of struct(type, text): text stands for itself, objects by their type,
+    lists are flattened, to DEPTH; anything else is written out as text."""
+    kind = F.schema_of_variant(content)
+    get = lambda path, of: F.try_variant_get(content, path, of)
+    part = lambda k, text: F.array(F.struct(F.lit(k).alias("type"), text.cast("string").alias("text")))
+    written = F.when(kind == "STRING", get("$", "string")).otherwise(F.to_json(content))
+    named = get("$.type", "string")
+    held = F.try_variant_get(content, "$.text", "variant")
+    inner = F.when(F.schema_of_variant(held) == "STRING", F.try_variant_get(held, "$", "string")).otherwise(F.to_json(held))
+    of_object = F.when(named == "image", part("image", F.lit(None))).when(held.isNotNull() | (named == "text"), part("text", F.coalesce(inner, F.lit("")))).otherwise(part("text", written))
+    of_list = F.flatten(F.transform(get("$", "array<variant>"), lambda x: parts_of(x, depth - 1))) if depth else part("text", written)
+    return F.when(content.isNull(), part("text", F.lit(""))).when(kind.startswith("OBJECT"), of_object).when(kind.startswith("ARRAY"), of_list).otherwise(part("text", written))
+
+
+def messages_of(row: Column) -> Column:
+    """The messages of a JSON line, from messages, conversation or conversations: array of struct(role, content: array of
+    parts); null without. Roles are stripped and in lower case, user where there is none."""
+    raw = F.coalesce(*(F.try_variant_get(F.try_parse_json(row), f"$.{k}", "array<variant>") for k in ("messages", "conversation", "conversations")))
+    role = lambda m: F.lower(strip(F.coalesce(F.try_variant_get(m, "$.role", "string"), F.lit("user"))))
+    return F.transform(raw, lambda m: F.struct(role(m).alias("role"), parts_of(F.try_variant_get(m, "$.content", "variant")).alias("content")))
+
+
+def text_of(content: Column) -> Column:
+    """The text parts of a content, joined and stripped."""
+    return strip(F.array_join(F.transform(F.filter(content, lambda p: p["type"] == "text"), lambda p: F.coalesce(p["text"], F.lit(""))), ""))
+
+
+def placeholders(messages: Column) -> Column:
+    """How many image parts the messages have."""
+    return F.aggregate(messages, F.lit(0), lambda a, m: a + F.size(F.filter(m["content"], lambda p: p["type"] == "image")))
+
+
+def images_of(row: Column, folder: Column) -> tuple[Column, Column]:
+    """(image_paths, error) of a JSON line: exactly one of image_path, image and images may be there; relative paths are taken from ``folder``."""
+    get = lambda k: F.get_json_object(row, f"$.{k}")
+    several, single = F.from_json(get("images"), "array<string>"), F.coalesce(get("image_path"), get("image"))
+    number = sum((get(k).isNotNull().cast("int") for k in ("image_path", "image", "images")), F.lit(0))
+    nested = F.coalesce(F.ltrim(single).rlike(r"^[\[{]"), F.lit(False))
+    raw = F.coalesce(several, F.when(single.isNotNull(), F.array(single)), F.array().cast("array<string>"))
+    blank = F.exists(raw, lambda p: F.coalesce(strip(p), F.lit("")) == "")
+    resolved = F.transform(raw, lambda p: F.when(strip(p).rlike("^(/|[a-z0-9]+:/)"), strip(p)).otherwise(F.concat(folder, F.lit("/"), strip(p))))
+    error = (
+        F.when(number > 1, "more than one image field").when(get("images").isNotNull() & (F.coalesce(F.size(several), F.lit(0)) < 1), "images must be a list of paths")
+        .when(nested, "one path expected").when(blank, "blank image path")
+    )
+    return resolved, error
 
 
-def sft_fields(lines: DataFrame) -> DataFrame:
-    """Columns of supervised records: image_paths, target_text, prompts and sample_id, with an error where a rule fails."""
-    images = F.from_json(F.get_json_object("value", "$.images"), "array<string>")
-    single = text_field("image_path", "image")
-    has = [F.get_json_object("value", f"$.{k}").isNotNull().cast("int") for k in ("image", "image_path", "images")]
-    rows = lines.select("*", F.coalesce(images, F.when(single.isNotNull(), F.array(single)), F.array().cast("array<string>")).alias("image_paths"), text_field("target_text", "target").alias("target_text"), text_field("system_prompt").alias("system_prompt"), text_field("user_prompt", "prompt").alias("user_prompt"), text_field("sample_id").alias("sample_id"), (has[0] + has[1] + has[2]).alias("n_image_keys"))
-    error = (
-        F.when(~F.col("ok"), "not a JSON object").when(F.col("n_image_keys") > 1, "more than one image field")
-        .when(F.coalesce(strip(F.col("target_text")), F.lit("")) == "", "no target")
+USED = ("image_path", "image", "images", "messages", "conversation", "conversations", "dataset_name", "sample_id", "system_prompt", "user_prompt")
+
+
+def record_base(lines: DataFrame, used: tuple[str, ...]) -> DataFrame:
+    """``lines`` with what all records have: image_paths, messages, prompts, sample_id, source_dataset_name and extra, the JSON of all other fields."""
+    row, folder = F.col("value"), F.regexp_replace(F.regexp_replace("path", "^file:(//)?", ""), "/[^/]*$", "")
+    paths, error = images_of(row, folder)
+    fields = F.from_json(row, "map<string,string>")
+    extra = F.map_filter(fields, lambda k, v: ~k.isin(*USED, *used) & v.isNotNull())
+    source = F.nullif(strip(F.coalesce(text_field("dataset_name"), F.lit(""))), F.lit(""))
+    malformed = F.coalesce(*(F.get_json_object(row, f"$.{k}") for k in ("messages", "conversation", "conversations"))).isNotNull() & messages_of(row).isNull()
+    rows = lines.select(
+        "*", paths.alias("image_paths"), messages_of(row).alias("messages"), F.coalesce(text_field("system_prompt"), F.lit("")).alias("system_prompt"),
+        F.nullif(F.coalesce(text_field("sample_id"), F.lit("")), F.lit("")).alias("sample_id"), source.alias("source_dataset_name"), extra.alias("extra"),
+        F.when(~F.col("ok"), "not a JSON object").when(error.isNotNull(), error).when(malformed, "messages must be a list of objects").alias("_error"),
     )
-    return rows.withColumn("error", error).drop("n_image_keys")
+    return rows
+
+
+def with_error(rows: DataFrame, *rules: tuple[Column, str]) -> DataFrame:
+    """Adds error: the first rule of the base, then of ``rules`` that fails, then that of the number of images in the messages."""
+    error = F.col("_error")
+    counted = F.coalesce((F.size("messages") > 0) & (placeholders(F.col("messages")) != F.size("image_paths")), F.lit(False))
+    for fails, message in (*rules, (counted, "image placeholders do not match the image paths")):
+        error = F.when(error.isNull() & F.coalesce(fails, F.lit(False)), message).otherwise(error)
+    return rows.withColumn("error", error).drop("_error")
+
+
+def sft_fields(lines: DataFrame) -> DataFrame:
+    """Columns of supervised records. The target is target_text, else the text of a last message of the assistant, which then leaves the prompt."""
+    rows = record_base(lines, ("target_text", "prompt_args"))
+    last = F.try_element_at("messages", F.lit(-1))
+    from_last = text_field("target_text").isNull() & (last["role"] == "assistant")
+    args = text_field("prompt_args")
+    rows = rows.withColumns({"target_text": F.when(F.coalesce(from_last, F.lit(False)), text_of(last["content"])).otherwise(text_field("target_text")), "user_prompt": F.coalesce(text_field("user_prompt"), F.lit("")), "prompt_args": args})
+    rows = rows.withColumn("messages", F.when(F.coalesce(from_last, F.lit(False)), F.slice("messages", 1, F.size("messages") - 1)).otherwise(F.col("messages")))
+    keys = F.json_object_keys(args)
+    return with_error(rows, (F.size("image_paths") == 0, "no image path"), (F.col("target_text").isNull(), "no target"), (args.isNotNull() & keys.isNull(), "prompt_args must be an object"),
+                      ((F.size("messages") > 0) & (F.size(keys) > 0), "messages and prompt_args together"))
 
 
 def pair_fields(lines: DataFrame) -> DataFrame:
     """Columns of preference records: chosen_text and rejected_text, both needed."""
-    rows = lines.select("*", text_field("chosen_text", "chosen").alias("chosen_text"), text_field("rejected_text", "rejected").alias("rejected_text"))
-    return rows.withColumn("error", F.when(~F.col("ok"), "not a JSON object").when(F.col("chosen_text").isNull(), "no chosen text").when(F.col("rejected_text").isNull(), "no rejected text"))
+    rows = record_base(lines, ("chosen_text", "chosen", "rejected_text", "rejected"))
+    rows = rows.withColumns({"chosen_text": text_field("chosen_text", "chosen"), "rejected_text": text_field("rejected_text", "rejected"), "user_prompt": F.coalesce(text_field("user_prompt"), F.lit(""))})
+    return with_error(rows, (F.size("image_paths") == 0, "no image path"), (F.col("chosen_text").isNull() | F.col("rejected_text").isNull(), "no chosen or rejected text"))
+
+
+def prompt_fields(lines: DataFrame) -> DataFrame:
+    """Columns of prompt records: messages with text, or a prompt; images may be missing."""
+    rows = record_base(lines, ("prompt",)).withColumn("user_prompt", F.coalesce(text_field("user_prompt", "prompt"), F.lit("")))
+    silent = F.col("messages").isNotNull() & ~F.exists("messages", lambda m: text_of(m["content"]) != "")
+    return with_error(rows, (F.col("messages").isNull() & (strip(F.col("user_prompt")) == ""), "no prompt"), (silent, "messages without text"))
+
+
+def distillation_fields(lines: DataFrame) -> DataFrame:
+    """Columns of prompt records with images for distillation: the messages must not end with the assistant."""
+    rows = record_base(lines, ("prompt",)).withColumn("user_prompt", F.coalesce(text_field("user_prompt", "prompt"), F.lit("")))
+    last = F.try_element_at("messages", F.lit(-1))
+    none = F.coalesce(F.size("messages"), F.lit(0)) <= 0
+    return with_error(rows, (F.size("image_paths") == 0, "no image path"), (last["role"] == "assistant", "ends with an assistant target"), (none & (strip(F.col("user_prompt")) == ""), "no prompt"))
+
+
+BUILDERS = {"sft": sft_fields, "dpo": pair_fields, "ppo": prompt_fields, "opd": distillation_fields}
+
+
+def build_records(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
+    """Records of a kind from JSON lines; raises with the number of bad lines and the first of them if there are any."""
+    rows = BUILDERS[kind](json_lines(spark, paths))
+    return check_lines(rows, F.col("error")).drop("ok", "error")
+
+
+for _kind in BUILDERS:
+    READERS.register(f"jsonl_{_kind}")(lambda spark, paths, kind=_kind: build_records(spark, paths, kind))
+
+
+def sample_id(given: Column, image_paths: Column, row: Column) -> Column:
+    """The id given, else the stem of the first image, else row-{number}."""
+    stem = F.regexp_extract(F.get(image_paths, 0), r"([^/]+?)(\.[^./]*)?$", 1)
+    return F.coalesce(F.nullif(given, F.lit("")), F.nullif(stem, F.lit("")), F.concat(F.lit("row-"), row.cast("string")))
 
 
 def conversation_records(turns: DataFrame) -> DataFrame:
@@ -108,6 +226,23 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def latest_predictions(lines: DataFrame, id_col: str, order: str) -> DataFrame:
+    """Of results appended in order the last of each id that has a prediction."""
+    return last_write(lines.filter("prediction IS NOT NULL"), [id_col], order)
+
+
+def rows_at(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows at some places, (dataset_name, row_index) for instance, as often as these are asked for."""
+    return wanted.join(rows, keys)
+
+
+def image_sizes(files: DataFrame) -> DataFrame:
+    """(path, width, height) of PNG files read as binaryFile, from their headers alone; null for other files."""
+    png = F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A"
+    side = lambda at: F.when(png, F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("long"))
+    return files.select("path", side(17).alias("width"), side(21).alias("height"))
+
+
 def sharded_by_id(rows: DataFrame, id_col: str) -> DataFrame:
     """Adds shard, the first byte of the id's SHA-256 in hex, to partition files by."""
     return rows.withColumn("shard", F.substring(F.sha2(F.col(id_col).cast("string"), 256), 1, 2))

@@ -1,11 +1,13 @@
 """Mixing, packing, sampling, JSON repair and sources on small cases worked out by hand."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import geometry, json_text, prompts
-from millrace.operators import sequences
+from millrace.functions import json_text, polylines, prompts
+from millrace.operators import annotations, sequences
 from millrace.plans import mixing, packing, sampling
 from millrace.sources import records, registry
 from millrace.streaming import planner
@@ -93,16 +95,18 @@ def test_quotas():
     assert rare["a"] == 3 and rare["b"] + rare["c"] == 30 and rare["c"] == 2 * rare["b"]
 
 
-def test_json_repair():
-    for text, want, partial in (('```json\n{"b": 1, "a": [1, 2]}\n```', '{"a":[1,2],"b":1}', False), ('so: {"a": 1} end', '{"a":1}', None), ('{"a": [1, 2', '{"a":[1,2]}', True), ('[{"a": "x', None, True)):
-        found, valid, cut, error = json_text.decode(text)
-        assert valid or cut, text
-        if want:
-            assert found == want
-        if partial is not None:
-            assert cut == partial
-    assert not json_text.decode("no json here")[1]
-    assert json_text.decode(None)[1] is False
+def test_json_repair(spark):
+    """(text, canonical value, partial): strict, fenced, embedded, cut off; strings keep what looks like a comma to drop."""
+    cases = [
+        ('```json\n{"b": 1, "a": [1, 2]}\n```', '{"a":[1,2],"b":1}', False), ('so: {"a": 1} end', '{"a":1}', False), ('{"a": [1, 2', '{"a":[1,2]}', True), ('[{"a": "x', '[{"a":"x"}]', True),
+        ('{"a": "x, ]y", "b": [1,', '{"a":"x, ]y","b":[1]}', True), ('{"a": {"b": 1}, "c": tru', '{"a":{"b":1}}', True), ('{"a":1.50,"a":2}', '{"a":2}', False), ("[", "[]", True), ('{"a": NaN}', "{}", True),
+        ("no json here", None, False), (None, None, False), ("", None, False), ('{"q": "\\', '{"q":"\\\\"}', True),
+    ]
+    rows = json_text.decode(spark.createDataFrame(list(enumerate(t for t, _, _ in cases)), "i int, t string"), F.col("t"), "d").orderBy("i").collect()
+    assert [(r["d"]["parsed"], r["d"]["partial"]) for r in rows] == [(w, p) for _, w, p in cases]
+    assert [r["d"]["valid"] for r in rows] == [w is not None for _, w, _ in cases]
+    row = spark.createDataFrame([('{"k ": " v ", "n": [" a", "b "," "], "e":""}',)], "t string").select(json_text.comparable(json_text.canonical(F.col("t"))).alias("c")).first()
+    assert row["c"] == '{"e":"","k ":"v","n":["a","b",""]}'
 
 
 def test_prompts(spark):
@@ -110,11 +114,158 @@ def test_prompts(spark):
     assert spark.range(1).select(prompts.render(parts).alias("x")).first()["x"] == "plain text"
 
 
-def test_simplified_lines():
+def test_polylines(spark):
     line = [(0.0, 0.0), (1.0, 0.01), (2.0, 0.0), (3.0, 5.0), (4.0, 0.0)]
-    assert geometry.simplified(line, 0.1) == [(0.0, 0.0), (2.0, 0.0), (3.0, 5.0), (4.0, 0.0)]
-    points = geometry.resampled([(0.0, 0.0), (10.0, 0.0)], 5)
-    assert [round(x, 6) for x, _ in points] == [0.0, 2.5, 5.0, 7.5, 10.0]
+    keep = polylines.simplify(np.array(line), 0.1)
+    assert [p for p, k in zip(line, keep) if k] == [(0.0, 0.0), (2.0, 0.0), (3.0, 5.0), (4.0, 0.0)]
+    rows = spark.createDataFrame([("[[0,0],[10,0]]",), ("[[0,0],[3,4],[3,4],[9,12]]",), ("[[[1,1],[2,2]],[[5,5],[6,6]]]",), ("[[[1,1]]]",), ("{}",)], "t string").withColumn("line", polylines.from_json(F.col("t")))
+    got = rows.select(F.size("line").alias("n"), polylines.resampled(F.col("line")[0], 4).alias("s"), polylines.repeats(F.col("line")).alias("r")).collect()
+    assert [r["n"] for r in got[:3]] == [1, 1, 2] and [r["s"] is None for r in got] == [False, False, False, True, True]
+    assert [(p["x"], p["y"]) for p in got[1]["s"]] == [(0, 0), (3, 4), (6, 8), (9, 12)] and got[1]["r"] == 1
+    raw = spark.createDataFrame([(1, "[[[0,0],[0,0],[10,0],[20,1],[30,0]],[[5,2000]]]"), (2, "[[[7,7],[7,7]]]")], "i int, t string").withColumn("line", polylines.from_json(F.col("t")))
+    raw = raw.withColumn("line", F.coalesce("line", F.array(F.array(polylines.point(F.lit(7), F.lit(7)), polylines.point(F.lit(7), F.lit(7))))))
+    done = {r["i"]: r for r in polylines.cleaned(raw, "line", F.lit(False), tuple(F.lit(float(v)) for v in (10, 20, 300, 90))).collect()}
+    assert [(p["x"], p["y"]) for p in done[2]["line"][0]] == [(10.0, 55.0), (300.0, 55.0)] and done[2]["from_box"] and done[2]["repeated_points"] == 1
+
+
+def test_crops(spark):
+    """Crops of an image by a plain version: widened until they cut nothing, judged, thinned out."""
+    rng = np.random.default_rng(3)
+    images = {}
+    for image in range(30):
+        boxes = []
+        for i in range(int(rng.integers(1, 7))):
+            x, y = float(rng.integers(0, 500)), float(rng.integers(0, 380))
+            boxes.append((i, "a", x, y, x + float(rng.integers(10, 120)), y + float(rng.integers(10, 90))))
+        images[image] = boxes
+    start = lambda b: (max(b[2] - 10, 0.0), max(b[3] - 10, 0.0), min(b[2] + 150, 640.0), min(b[3] + 120, 480.0))
+
+    def plain(boxes):
+        found = []
+        for b in boxes:
+            c = start(b)
+            for _ in range(8):
+                for _, _, x1, y1, x2, y2 in boxes:
+                    meets = x1 < c[2] and c[0] < x2 and y1 < c[3] and c[1] < y2
+                    if meets and not (x1 >= c[0] and y1 >= c[1] and x2 <= c[2] and y2 <= c[3]):
+                        c = (max(0.0, min(c[0], float(np.floor(x1)))), max(0.0, min(c[1], float(np.floor(y1)))), min(640.0, max(c[2], float(np.ceil(x2)))), min(480.0, max(c[3], float(np.ceil(y2)))))
+            inside = [k for k, _, x1, y1, x2, y2 in boxes if x1 >= c[0] and y1 >= c[1] and x2 <= c[2] and y2 <= c[3]]
+            cut = [k for k, _, x1, y1, x2, y2 in boxes if k not in inside and x1 < c[2] and c[0] < x2 and y1 < c[3] and c[1] < y2]
+            if inside and not cut and (c[2] - c[0]) * (c[3] - c[1]) / (640 * 480) <= 0.92:
+                found.append((-len(inside), -sum((b[4] - b[2]) * (b[5] - b[3]) for b in boxes if b[0] in inside), c, inside))
+        taken = []
+        for f in sorted(found):
+            def iou(a, b):
+                inter = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+                area = lambda r: max(1, (r[2] - r[0]) * (r[3] - r[1]))
+                return inter / (area(a) + area(b) - inter)
+            if len(taken) < 3 and all(t[3] != f[3] and iou(t[2], f[2]) <= 0.85 for t in taken):
+                taken.append(f)
+        return [(f[2], f[3]) for f in taken]
+
+    df = spark.createDataFrame([(m, *b) for m, bs in images.items() for b in bs], "image long, idx long, label string, x1 double, y1 double, x2 double, y2 double")
+    rows = annotations.instances_of(df)
+    begin = lambda b: annotations.crop((F.greatest(b["x1"] - 10, F.lit(0.0)), F.greatest(b["y1"] - 10, F.lit(0.0)), F.least(b["x1"] + 150, F.lit(640.0)), F.least(b["y1"] + 120, F.lit(480.0))))
+    rows = rows.select("image", annotations.selected_crops(F.transform("boxes", lambda b: annotations.evaluated(begin(b), F.col("boxes"), 640, 480)), 3).alias("c")).collect()
+    got = {r["image"]: [(tuple(c["crop"]), list(c["inside"])) for c in r["c"]] for r in rows}
+    assert got == {m: plain(bs) for m, bs in images.items()}
+
+
+def test_rounds_of_packs():
+    size = {0: 5, 1: 9, 2: 9, 3: 9, 4: 1, 5: 11}
+    out = packing.packed_rounds(size, 2, 10)
+    assert sorted(d for d, *_ in out) == sorted(size) and (5, None, None, None) in out
+    loads = {}
+    for d, r, p, _ in out:
+        loads[r, p] = loads.get((r, p), 0) + size[d]
+    assert max(v for k, v in loads.items() if k[0] is not None) <= 10
+
+
+def test_ranks_of_packs_by_all_ways():
+    from itertools import product
+
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        loads = {k: int(v) for k, v in enumerate(rng.integers(1, 10, 6))}
+        most = int(rng.integers(10, 20))
+        ways = any(all(ranks.count(r) == 2 and sum(loads[k] for k in range(6) if ranks[k] == r) <= most for r in range(3)) for ranks in product(range(3), repeat=6))
+        got = packing.assign_ranks(loads, 3, 2, most)
+        assert (got is not None) == ways
+        if got:
+            assert sorted(sum(got, [])) == list(range(6)) and all(len(r) == 2 and sum(loads[k] for k in r) <= most for r in got)
+    assert packing.assign_ranks({0: 3, 1: 3, 2: 3}, 2, 2, 6) is None and packing.assign_ranks({0: 3, 1: 3, 2: 3}, 2, 2, 6, partial=True) == [[0, 2], [1]]
+
+
+def test_full_partition_and_bounds():
+    assert packing.full_partition([(0, 5), (1, 9), (2, 5), (3, 9)], 2, 2, 18) == [[0, 1], [2, 3]]
+    assert packing.full_partition([(0, 5), (1, 9), (2, 5), (3, 5), (4, 5)], 2, 2, 10) == [[0, 2], [3, 4]]
+    assert packing.full_partition([(0, 5), (1, 9), (2, 9), (3, 9)], 2, 2, 10) is None
+    assert packing.pack_count_bounds("fixed", 4) == (4, 4) and packing.pack_count_bounds("token_budget", 4) == (1, 4)
+    assert packing.batch_contract("fixed", 2, 4, 3, 100)["draws_per_step"] == 24
+    for bad in (("fixed", 2, 4, 3, 100, "none", "greedy"), ("token_budget", 2, 4, 3, 100), ("odd", 2, 4, 3, 100)):
+        with pytest.raises(ValueError):
+            packing.batch_contract(*bad)
+
+
+def test_length_microbatches():
+    draws = [(i, (i * 7) % 10 + 1) for i in range(14)]
+    out = packing.length_microbatches(draws, 2, 2, 8)
+    assert sorted(d for b in out for d, _ in b) == list(range(14)) and all(len(b) == 4 for b in out[:-1])
+    assert 0 in [d for d, _ in out[0]]
+    steps, skew = packing.balanced_frame([[3, 1], [5, 4], [1, 1]], 1)
+    assert all(sorted(s) == [0, 1] for s in steps) and skew < 0.1
+
+
+def test_epoch_steps():
+    assert sampling.epoch_steps(24, 2, 3) == 4
+    for bad in ((25, 2, 3, True), (20, 2, 3), (23, 2, 3, False, True)):
+        with pytest.raises(ValueError):
+            sampling.epoch_steps(*bad)
+
+
+def test_two_levels_and_pilot():
+    counts = {("a", "x"): 10, ("a", "y"): 30, ("b", "z"): 5, ("c", "w"): 100}
+    got = sampling.two_level_quotas(counts, 45, {"a": 1.0, "c": 1.0}, {"b"})
+    assert got == {("b", "z"): 5, ("a", "x"): 5, ("a", "y"): 15, ("c", "w"): 20}
+    with pytest.raises(ValueError):
+        sampling.two_level_quotas(counts, 4, {"a": 1.0}, {"b"})
+    assert sampling.pilot_quotas({"line": 3, "arrow": 50}, 20, "line", "arrow") == {"line": 3, "arrow": 17}
+
+
+def test_bands(spark):
+    rows = spark.createDataFrame([(0, i, ["a", "b"] if i % 2 else ["a"]) for i in range(20)], "part long, id long, bands array<string>")
+    got = {r["id"]: r["band"] for r in sampling.balanced_bands(rows, "part", "id", "bands", "s").collect()}
+    used, want = {"a": 0, "b": 0}, {}
+    digest = lambda *x: hashlib.sha256(":".join(map(str, ("s", *x))).encode()).hexdigest()
+    for i in sorted(range(20), key=digest):
+        want[i] = min(["a", "b"] if i % 2 else ["a"], key=lambda b: (used[b], digest(i, b)))
+        used[want[i]] += 1
+    assert got == want and used["b"] >= 7
+
+
+def test_prompt_schema():
+    assert prompts.schema({"a": {"type": "enum", "values": ["x"]}}) == {"a": {"type": "enum", "values": ["x"]}}
+    for bad in ({"1a": {"type": "string"}}, {"a": {"type": "text"}}, {"a": {"type": "enum"}}, {"a": {"type": "enum", "values": ["x", "x"]}}, {"a": {"type": "string", "required": False}}, {"a": {"type": "string", "values": ["x"]}}, {"a": {"type": "string", "more": 1}}):
+        with pytest.raises(ValueError):
+            prompts.schema(bad)
+
+
+def test_message_parts(spark):
+    lines = ['{"messages": [{"role": " USER ", "content": "hi"}, {"content": {"type": "image"}}, {"role": "assistant", "content": [{"type": "text", "text": " a"}, [["b"], {"text": 3}], 7, {"x": 1}]}]}', '{"conversation": []}', '{"a": 1}', '{"messages": "no"}']
+    rows = spark.createDataFrame([(x,) for x in lines], "value string").withColumn("m", records.messages_of(F.col("value")))
+    got = [r["m"] for r in rows.collect()]
+    assert [(m["role"], [(p["type"], p["text"]) for p in m["content"]]) for m in got[0]] == [
+        ("user", [("text", "hi")]), ("user", [("image", None)]), ("assistant", [("text", " a"), ("text", "b"), ("text", "3"), ("text", "7"), ("text", '{"x":1}')])]
+    assert got[1] == [] and got[2] is None and got[3] is None
+    text = rows.limit(1).select(records.text_of(F.element_at("m", -1)["content"]).alias("t"), records.placeholders(F.col("m")).alias("n")).first()
+    assert text["t"] == 'ab37{"x":1}' and text["n"] == 1
+
+
+def test_image_sizes(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + (640).to_bytes(4, "big") + (70_000).to_bytes(4, "big") + b"\x08\x02")
+    (tmp_path / "b.png").write_bytes(b"no image")
+    got = {r["path"][-5:]: (r["width"], r["height"]) for r in records.image_sizes(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
+    assert got == {"a.png": (640, 70_000), "b.png": (None, None)}
 
 
 def test_json_lines(spark, tmp_path):
@@ -126,6 +277,24 @@ def test_json_lines(spark, tmp_path):
         records.check_lines(rows, F.col("error"))
 
 
+def test_json_lines_of_many_blocks(spark, tmp_path):
+    """Line numbers and file numbers where files of one name are read in small blocks."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for k, folder in enumerate(("b", "a")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "train.jsonl").write_text("".join(f'{{"n": {i}, "pad": "{"x" * (i % 37)}"}}\n' + ("\n" if i % 5 == 0 else "") for i in range(300)))
+    lines = (tmp_path / "a" / "train.jsonl").read_text().split("\n")
+    want = {i + 1: x for i, x in enumerate(lines) if x}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = records.json_lines(spark, [str(tmp_path / "b" / "train.jsonl"), str(tmp_path / "a")]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for k, folder in enumerate(("b", "a")):
+        mine = [r for r in rows if f"/{folder}/" in r["path"]]
+        assert {r["line_no"]: r["value"] for r in mine} == want and {r["file_no"] for r in mine} == {k} and all(r["ok"] for r in mine)
+
+
 def test_catalogue(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"target_text": "x", "image": "i"}\n')
     entries = {"a": {"reader": "json_lines", "train": [str(tmp_path / "a.jsonl")]}, "b": {"reader": "json_lines", "train": ["missing"], "weight": 0.0}, "c": {"reader": "json_lines", "train": ["missing"], "enabled": False}}
@@ -136,6 +305,24 @@ def test_catalogue(spark, tmp_path):
         registry.catalogue([{"name": "a", "reader": "x"}, {"name": "a", "reader": "x"}])
     with pytest.raises(KeyError, match="unknown reader"):
         registry.READERS.get("nothing")
+    assert registry.READERS.has("jsonl_sft") and not registry.READERS.has("nothing")
+    (tmp_path / "list.json").write_text('{"a": {"reader": "json_lines", "train": ["a.jsonl"]}, "b": {"reader": "json_lines", "train": ["/x"]}}')
+    found = registry.read_catalogue(spark, str(tmp_path / "list.json"), ["b", "a"])
+    assert [s.name for s in found] == ["b", "a"] and found[1].train == [str(tmp_path / "a.jsonl")] and found[0].train == ["/x"]
+    with pytest.raises(ValueError, match="inline"):
+        registry.read_catalogue(spark, str(tmp_path / "list.json"), None, [found[0]])
+    with pytest.raises(ValueError, match="not in the catalogue"):
+        registry.read_catalogue(spark, str(tmp_path / "list.json"), ["c"])
+
+
+def test_splits(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    registry.check_splits(ids(1, 2), ids(3), ids(1, 2, 3, 4), "id")
+    for train, val, message in ((ids(1, 1), ids(2), "repeats"), (ids(1), ids(1), "overlap"), (ids(9), ids(1), "not there")):
+        with pytest.raises(ValueError, match=message):
+            registry.check_splits(train, val, ids(1, 2, 3), "id")
+    with pytest.raises(ValueError):
+        registry.check_unique(ids(1, 1), "id")
 
 
 def test_merges(spark):

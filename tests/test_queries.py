@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from millrace import queries
+from millrace import all_queries as queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -56,5 +56,7 @@ def test_packs_hold_their_capacity(spark):
     rows = queries.QUERIES["greedy_packs"](spark, SF).collect()
     by = {}
     for r in rows:
-        by.setdefault((r["window"], r["pack_index"]), []).append(r["tokens"])
-    assert max(map(sum, by.values())) <= 2048
+        by.setdefault((r["window"], r["round"], r["pack_index"]), []).append(r["tokens"])
+    assert max(sum(v) for k, v in by.items() if k[1] is not None) <= 32_768
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert all((r["status"] == "oversize") == (r["tokens"] > 32_768) == (r["round"] is None) for r in rows)
