@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-MEMO = 600_000  # pre-tokens whose ids a worker process keeps
+MEMO = 400_000  # pre-tokens whose ids a worker process keeps
 PAIRS = 1_000_000  # neighbours whose fit a worker process keeps
 SHORT = 64  # characters of a pre-token that is remembered
-SLICE_BYTES = 24_000_000  # bytes of text handled at a time, about; one document at least
+SLICE_BYTES = 24_000_000  # bytes of text that share a trie, about; one document at least
+ENCODE_BYTES = 6_000_000  # bytes of text encoded and decoded at a time, about; one document at least
 
 
 class PieceModel:
@@ -404,7 +405,7 @@ def encode_decode(docs: DataFrame, model: str, kind: str = "bpe", id_col: str =
 
     def run(batches):
         pieces = PieceModel.load(model, kind)
-        for part in (s for batch in batches for s in sliced(batch, 1, SLICE_BYTES)):
+        for part in (s for batch in batches for s in sliced(batch, 1, ENCODE_BYTES)):
             texts = pc.fill_null(part.column(1), "")
             ids, ends = pieces.encode_texts(texts)
             back = pieces.decode_texts(ids, ends).cast(pa.string())

@@ -70,10 +70,10 @@ def covered_words(hashes: Column, width: int) -> Column:
     )
 
 
-def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Counts over each whole text; a null text has none of anything."""
+def features(docs: DataFrame, id_col: str, text_col: str, *along: str) -> DataFrame:
+    """Counts over each whole text, and columns taken ``along``; a null text has none of anything."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.translate(text, BLANK, "").alias("solid"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.translate(text, BLANK, "").alias("solid"), *along)
     rows = rows.withColumn("bare", F.btrim("text", F.lit(BLANK)))
     rows = rows.withColumn("words", F.when(F.col("bare") == "", F.array().cast("array<string>")).otherwise(F.split("bare", BLANKS)))
     rows = rows.withColumn("codes", F.transform("words", lambda w: F.xxhash64(w)))
@@ -86,7 +86,7 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     same = F.filter(F.transform("codes", lambda c, i: (i > 0) & (F.get("codes", i - 1) == c)), lambda x: x)
     long = lambda c: c.cast("long")
     return rows.select(
-        "doc_id",
+        "doc_id", *along,
         long(n).alias("n_words"),
         long(F.char_length("solid")).alias("word_chars"),
         long(F.char_length("solid") - F.char_length(F.translate("solid", SYMBOLS, ""))).alias("n_symbols"),
@@ -124,8 +124,8 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tu
     return log(good / (1 - good)), odds
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
-    """One row per document: doc_id, the base counts, base_failed, p_good (posterior), kept.
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, along: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, the base counts, base_failed, p_good (posterior), kept, and columns taken ``along``.
 
     base_failed: fewer than 10 words, or over 20 in 100 words in repeated five-word windows. kept: not base_failed and
     p_good >= keep. Rules vote by the counts; how far each vote is trusted is estimated from all documents that pass the
@@ -134,7 +134,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     A null or empty text has no words and fails. Null and repeated ids are kept as they are. Other columns of ``docs``
     are not read. An empty table gives no rows.
     """
-    counts = materialize(features(docs, id_col, text_col), "quality")
+    counts = materialize(features(docs, id_col, text_col, *along), "quality")
     rules = votes()
     voted = counts.select("*", *(v.alias(f"vote_{k}") for k, v in rules.items()))
     names = [f"vote_{k}" for k in rules]
@@ -147,6 +147,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     p_good = 1 / (1 + F.exp(-score))
     rows = voted.withColumn("p_good", p_good).withColumn("base_failed", failed)
     return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "doc_id", *along, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("p_good") >= keep)).alias("kept"), "p_good",
     )
