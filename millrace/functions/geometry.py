@@ -196,20 +196,23 @@ def resized(width: Column, height: Column, least: int, most: int, factor: int =
 def aligned_candidates(width: Column, height: Column, target: int, least: int, most: int, factor: int = 32, upscale: float | None = None) -> Column:
     """Sizes of multiples of ``factor`` about a number of pixels: widths and heights up to four steps about the ideal
     ones, the other side following the ratio; array of struct(w, h) of those between two numbers of pixels."""
-    w, h = width.cast("double"), height.cast("double")
-    scale = F.sqrt(F.lit(float(target)) / (w * h))
     multiple = lambda v: F.greatest(F.lit(float(factor)), F.bround(v / factor) * factor)
-    base_w, base_h = multiple(w * scale), multiple(h * scale)
+    start = F.struct(width.cast("double").alias("w"), height.cast("double").alias("h"), F.sqrt(F.lit(float(target)) / (width.cast("double") * height)).alias("scale"))
+    ideal = F.transform(F.array(start), lambda s: F.struct(s["w"].alias("w"), s["h"].alias("h"), multiple(s["w"] * s["scale"]).alias("bw"), multiple(s["h"] * s["scale"]).alias("bh")))
     steps = F.array(*(F.lit(float(k * factor)) for k in range(-4, 5)))
-    wide = F.transform(steps, lambda d: F.greatest(F.lit(float(factor)), base_w + d))
-    high = F.transform(steps, lambda d: F.greatest(F.lit(float(factor)), base_h + d))
-    pairs = F.concat(F.transform(wide, lambda x: F.struct(x.alias("w"), multiple(x * h / w).alias("h"))), F.transform(high, lambda y: F.struct(multiple(y * w / h).alias("w"), y.alias("h"))))
+    at_least = lambda v: F.greatest(F.lit(float(factor)), v)
 
-    def allowed(p: Column) -> Column:
-        fine = (p["w"] * p["h"]).between(least, most)
-        return fine if upscale is None else fine & (p["w"] / w <= upscale + 1e-9) & (p["h"] / h <= upscale + 1e-9)
+    def about(s: Column) -> Column:
+        wide = F.transform(steps, lambda d: F.struct(at_least(s["bw"] + d).alias("w"), multiple(at_least(s["bw"] + d) * s["h"] / s["w"]).alias("h")))
+        high = F.transform(steps, lambda d: F.struct(multiple(at_least(s["bh"] + d) * s["w"] / s["h"]).alias("w"), at_least(s["bh"] + d).alias("h")))
 
-    return F.filter(pairs, allowed)
+        def allowed(p: Column) -> Column:
+            fine = (p["w"] * p["h"]).between(least, most)
+            return fine if upscale is None else fine & (p["w"] / s["w"] <= upscale + 1e-9) & (p["h"] / s["h"] <= upscale + 1e-9)
+
+        return F.filter(F.concat(wide, high), allowed)
+
+    return F.transform(ideal, about)[0]
 
 
 def aligned_size(width: Column, height: Column, target: int, least: int, most: int, factor: int = 32, upscale: float | None = None) -> Column:

@@ -17,6 +17,7 @@ from .text import SPACES, strip
 
 #: Strings, left open or whole, with what closes them; brackets; commas; anything else up to one of these.
 TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+(?:(")|(\\)?\Z)|[{\[]|[}\]]|,|[^"{}\[\],]+', re.S)
+#: Codecs by name, and what the canonical form of their values begins with.
 KINDS = {"json_any": "", "json_object": "{", "json_list": "["}
 
 
@@ -118,3 +119,36 @@ def field(json_text: Column, path: str) -> tuple[Column, Column]:
     value = F.try_variant_get(F.try_parse_json(json_text), "$" + "".join(f"['{p}']" for p in path.split(".")), "variant")
     text = F.when(F.schema_of_variant(value) == "STRING", F.variant_get(value, "$", "string")).otherwise(F.to_json(value))
     return text, F.when(value.isNull(), F.lit(f"field {path!r} not found"))
+
+
+def objects_of(text: Column) -> Column:
+    """The objects of the first JSON array in a text, as JSON; null where there is none. Code fences and what stands about the array are let pass."""
+    bare = strip_fence(text)
+    whole = F.coalesce(canonical(bare), canonical(F.nullif(F.regexp_extract(bare, r"(?s)\[.*\]", 0), F.lit(""))))
+    return F.when(whole.startswith("["), F.filter(F.from_json(whole, "array<string>"), lambda x: F.json_object_keys(x).isNotNull()))
+
+
+def completion_text(text: Column, depth: int = 3) -> Column:
+    """The text of a chat completion in JSON: a string, an object with content or text, or a list of these, joined and stripped; other text is itself."""
+    def of(v: Column, left: int) -> Column:
+        kind = F.schema_of_variant(v)
+        get = lambda p: F.try_variant_get(v, p, "variant")
+        plain = F.when(kind == "STRING", strip(F.variant_get(v, "$", "string"))).when(kind == "VOID", "").otherwise(F.to_json(v))
+        if not left:
+            return plain
+        inner = F.when(get("$.text").isNotNull(), of(get("$.text"), 0)).when(get("$.content").isNotNull(), of(get("$.content"), left - 1)).otherwise("")
+        listed = strip(F.array_join(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: of(x, left - 1)), ""))
+        return F.when(kind.startswith("OBJECT"), inner).when(kind.startswith("ARRAY"), listed).otherwise(plain)
+
+    value = F.try_parse_json(text)
+    return F.when(value.isNull(), strip(text)).otherwise(of(value, depth))
+
+
+def target_of(rows, text: Column, name: str, codec: str | None = None):
+    """``rows`` with a target struct(value, valid, error) from a text: as it is, or decoded, where a text that does not decode is an error."""
+    if codec is None:
+        return rows.withColumn(name, F.struct(text.alias("value"), text.isNotNull().alias("valid"), F.when(text.isNull(), "no target text").alias("error")))
+    rows = decode(rows, text, "_target", codec)
+    d = F.col("_target")
+    error = F.when(text.isNull(), "no target text").otherwise(d["error_type"])
+    return rows.withColumn(name, F.struct(F.when(text.isNotNull(), d["parsed"]).alias("value"), (text.isNotNull() & d["valid"]).alias("valid"), error.alias("error"))).drop("_target")

@@ -24,6 +24,17 @@ def value(payload: Column, path: str) -> Column:
     return F.get_json_object(payload, f"$.{path}")
 
 
+def bound(parsed: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is looked at."""
+    return F.transform(F.array(parsed), body)[0]
+
+
+def parsed(payload: Column, *fields: str) -> Column:
+    """Fields of a JSON object as texts, in a struct, with all (its sorted keys) and there (whether it is an object)."""
+    held = F.from_json(payload, ", ".join(f"{f} string" for f in fields))
+    return F.struct(*(held[f].alias(f) for f in fields), keys(payload).alias("all"), is_object(payload).alias("there"))
+
+
 def keys(payload: Column) -> Column:
     """The sorted keys of a JSON object; empty for anything else."""
     return F.array_sort(F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>")))
@@ -41,8 +52,8 @@ def not_color(text: Column) -> Column:
     return ~F.coalesce(text.rlike(HEX), F.lit(False))
 
 
-def extra_keys(payload: Column, allowed: Column, field: str) -> Column:
-    extra = F.array_except(keys(payload), allowed)
+def extra_keys(held: Column, allowed: Column, field: str) -> Column:
+    extra = F.array_except(held, allowed)
     return F.when(F.size(extra) > 0, F.concat(F.lit(f"{field}:unexpected_fields:"), F.array_join(extra, ",")))
 
 
@@ -55,49 +66,58 @@ def codes(*each: Column) -> Column:
     return F.filter(F.array(*each), lambda c: c.isNotNull())
 
 
-def border_errors(border: Column) -> list[Column]:
-    kind = value(border, "type")
-    there, known, uniform = is_object(border), ~absent(kind, ("none", "uniform", "complex")), kind == "uniform"
-    allowed = F.when(known & uniform, names("type", "style", "color")).otherwise(names("type"))
-    return [
-        F.when(~there, "border:missing_or_not_object"), F.when(there & ~known, "border.type:invalid"),
-        F.when(there & uniform & absent(value(border, "style"), ("solid", "dash", "dot")), "border.style:invalid"), F.when(there & uniform & not_color(value(border, "color")), "border.color:invalid_hex_color"),
-        F.when(there, extra_keys(border, allowed, "border")),
-    ]
-
-
-def fill_errors(fill: Column) -> list[Column]:
-    kind, direction = value(fill, "type"), value(fill, "direction")
-    there = is_object(fill)
-    gradient = F.coalesce(kind.isin("linear_gradient", "radial_gradient"), F.lit(False))
-    colors = F.from_json(value(fill, "colors"), "array<string>")
-    two = F.coalesce(F.size(colors) == 2, F.lit(False))
-    allowed = F.when(kind == "solid", names("type", "color")).when(gradient, names("type", "colors", "direction")).otherwise(names("type"))
-    return [
-        F.when(~there, "fill:missing_or_not_object"), F.when(there & absent(kind, ("none", "solid", "linear_gradient", "radial_gradient", "complex")), "fill.type:invalid"),
-        F.when(there & (kind == "solid") & not_color(value(fill, "color")), "fill.color:invalid_hex_color"), F.when(there & gradient & ~two, "fill.colors:requires_two_colors"),
-        *(F.when(there & gradient & two & not_color(F.get(colors, k)), f"fill.colors[{k}]:invalid_hex_color") for k in (0, 1)),
-        F.when(there & (kind == "linear_gradient") & absent(direction, LINEAR), "fill.direction:invalid_linear"),
-        F.when(there & (kind == "radial_gradient") & absent(direction, ("center_to_edge",)), "fill.direction:invalid_radial"), F.when(there, extra_keys(fill, allowed, "fill")),
-    ]
+def border_errors(border: Column) -> Column:
+    def check(x: Column) -> Column:
+        kind, there = x["type"], x["there"]
+        known, uniform = ~absent(kind, ("none", "uniform", "complex")), kind == "uniform"
+        allowed = F.when(known & uniform, names("type", "style", "color")).otherwise(names("type"))
+        return codes(
+            F.when(~there, "border:missing_or_not_object"), F.when(there & ~known, "border.type:invalid"),
+            F.when(there & uniform & absent(x["style"], ("solid", "dash", "dot")), "border.style:invalid"), F.when(there & uniform & not_color(x["color"]), "border.color:invalid_hex_color"),
+            F.when(there, extra_keys(x["all"], allowed, "border")),
+        )
+
+    return bound(parsed(border, "type", "style", "color"), check)
+
+
+def fill_errors(fill: Column) -> Column:
+    def check(x: Column) -> Column:
+        kind, direction, there = x["type"], x["direction"], x["there"]
+        gradient = F.coalesce(kind.isin("linear_gradient", "radial_gradient"), F.lit(False))
+        colors = F.from_json(x["colors"], "array<string>")
+        two = F.coalesce(F.size(colors) == 2, F.lit(False))
+        allowed = F.when(kind == "solid", names("type", "color")).when(gradient, names("type", "colors", "direction")).otherwise(names("type"))
+        return codes(
+            F.when(~there, "fill:missing_or_not_object"), F.when(there & absent(kind, ("none", "solid", "linear_gradient", "radial_gradient", "complex")), "fill.type:invalid"),
+            F.when(there & (kind == "solid") & not_color(x["color"]), "fill.color:invalid_hex_color"), F.when(there & gradient & ~two, "fill.colors:requires_two_colors"),
+            *(F.when(there & gradient & two & not_color(F.get(colors, k)), f"fill.colors[{k}]:invalid_hex_color") for k in (0, 1)),
+            F.when(there & (kind == "linear_gradient") & absent(direction, LINEAR), "fill.direction:invalid_linear"),
+            F.when(there & (kind == "radial_gradient") & absent(direction, ("center_to_edge",)), "fill.direction:invalid_radial"), F.when(there, extra_keys(x["all"], allowed, "fill")),
+        )
+
+    return bound(parsed(fill, "type", "color", "colors", "direction"), check)
+
+
+def effect_errors(effect: Column) -> Column:
+    return bound(parsed(effect, "type"), lambda x: codes(F.when(~x["there"] | absent(x["type"], ("none", "shadow", "glow")), "effect:invalid"), F.when(x["there"], extra_keys(x["all"], names("type"), "effect"))))
 
 
 def shape_errors(parameters: Column) -> Column:
     """The error codes of a shape's attributes, none of them for those that keep the contract."""
-    kind, callout = value(parameters, "shape_type"), value(parameters, "shape_type") == "callout"
-    known = ~absent(kind, SHAPES)
-    full = known & (kind != "other")
-    forbidden = F.array_sort(F.array_intersect(keys(parameters), names(*GEOMETRY)))
-    effect = value(parameters, "effect")
-    allowed = F.when(callout, names("shape_type", "border", "fill", "effect", "body_type")).otherwise(names("shape_type", "border", "fill", "effect"))
-    found = codes(
-        F.when(F.size(forbidden) > 0, F.concat(F.lit("parameters:forbidden_geometry:"), F.array_join(forbidden, ","))), F.when(~known, "shape_type:invalid"),
-        F.when((kind == "other") & (F.size(keys(parameters)) != 1), "other:must_only_contain_shape_type"), F.when(full, extra_keys(parameters, allowed, "parameters")),
-        *(F.when(full, c) for c in [*border_errors(value(parameters, "border")), *fill_errors(value(parameters, "fill"))]),
-        F.when(full & (~is_object(effect) | absent(value(effect, "type"), ("none", "shadow", "glow"))), "effect:invalid"), F.when(full & is_object(effect), extra_keys(effect, names("type"), "effect")),
-        F.when(full & callout & absent(value(parameters, "body_type"), ("rectangle", "oval")), "callout.body_type:invalid"),
-    )
-    return F.when(is_object(parameters), found).otherwise(names("parameters:missing_or_not_object"))
+    def check(x: Column) -> Column:
+        kind = x["shape_type"]
+        callout, known = kind == "callout", ~absent(kind, SHAPES)
+        full = known & (kind != "other")
+        forbidden = F.array_sort(F.array_intersect(x["all"], names(*GEOMETRY)))
+        allowed = F.when(callout, names("shape_type", "border", "fill", "effect", "body_type")).otherwise(names("shape_type", "border", "fill", "effect"))
+        first = codes(
+            F.when(F.size(forbidden) > 0, F.concat(F.lit("parameters:forbidden_geometry:"), F.array_join(forbidden, ","))), F.when(~known, "shape_type:invalid"),
+            F.when((kind == "other") & (F.size(x["all"]) != 1), "other:must_only_contain_shape_type"), F.when(full, extra_keys(x["all"], allowed, "parameters")),
+        )
+        inner = F.concat(border_errors(x["border"]), fill_errors(x["fill"]), effect_errors(x["effect"]), codes(F.when(callout & absent(x["body_type"], ("rectangle", "oval")), "callout.body_type:invalid")))
+        return F.when(~x["there"], names("parameters:missing_or_not_object")).when(full, F.concat(first, inner)).otherwise(first)
+
+    return bound(parsed(parameters, "shape_type", "border", "fill", "effect", "body_type"), check)
 
 
 def segment_errors(points: Column) -> Column:
@@ -117,33 +137,38 @@ def segment_errors(points: Column) -> Column:
     return F.when(F.coalesce(F.size(line), F.lit(0)) < 1, names("points:must_be_nonempty_segment_list")).otherwise(F.flatten(F.transform(line, of_segment)))
 
 
+LINE_FIELDS = ("line_type", "line_style", "is_single", "points", "begin_arrow", "end_arrow", "dash_style", "fill_color", "corner_style", "has_border", "border_style", "border_color")
+
+
 def line_errors(parameters: Column, source: Column) -> Column:
     """The error codes of a line's attributes and points; an arrow needs a head."""
-    has = lambda k: F.array_contains(keys(parameters), k)
-    get = lambda k: value(parameters, k)
-    required = ("line_type", "line_style", "is_single", "points", "begin_arrow", "end_arrow", "dash_style", "fill_color")
-    border = ("has_border", "border_style", "border_color")
-    missing, extra = F.array_except(F.array_sort(names(*required)), keys(parameters)), F.array_except(keys(parameters), names(*required, "corner_style", *border))
-    listed = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(f"parameters:{label}="), F.array_join(c, ",")))
+    required, border = LINE_FIELDS[:8], LINE_FIELDS[9:]
     boolean = lambda c: F.coalesce(c.isin("true", "false"), F.lit(False))
-    single, n = get("is_single"), F.coalesce(F.size(F.from_json(get("points"), "array<string>")), F.lit(-1))
-    style, bordered = get("line_style"), get("has_border")
-    shape = style == "shape"
-    fill, pair = get("fill_color"), F.from_json(get("fill_color"), "array<string>")
-    no_fill = not_color(fill) & ~F.coalesce((F.size(pair) == 2) & F.forall(pair, lambda c: F.coalesce(c.rlike(HEX), F.lit(False))), F.lit(False))
-    head = codes(
-        listed("missing", missing), listed("extra", extra), F.when(absent(get("line_type"), ("straight", "curved")), "line_type:invalid"), F.when(absent(style, ("path", "shape")), "line_style:invalid"),
-        F.when(~boolean(single), "is_single:invalid"),
-    )
-    tail = codes(
-        F.when((single == "true") & (n >= 0) & (n != 1), "is_single:true_requires_exactly_one_segment"), F.when((single == "false") & (n >= 0) & (n <= 1), "is_single:false_requires_multiple_segments"),
-        *(F.when(absent(get(k), ARROWS), f"{k}:invalid") for k in ("begin_arrow", "end_arrow")), F.when(absent(get("dash_style"), ("solid", "dash")), "dash_style:invalid"), F.when(no_fill, "fill_color:invalid"),
-        F.when(has("corner_style") & absent(get("corner_style"), ("sharp", "round")), "corner_style:invalid"), F.when((style == "path") & (has(border[0]) | has(border[1]) | has(border[2])), "path:border_fields_not_allowed"),
-        F.when(shape & ~boolean(bordered), "shape:has_border_required"), F.when(shape & (bordered == "true") & absent(get("border_style"), ("solid", "dash")), "border_style:invalid"),
-        F.when(shape & (bordered == "true") & not_color(get("border_color")), "border_color:invalid"), F.when(shape & (bordered == "false") & (has(border[1]) | has(border[2])), "shape:no_border_must_omit_border_fields"),
-        F.when((source == "arrow") & (get("begin_arrow") == "none") & (get("end_arrow") == "none"), "source_prior:arrow_requires_at_least_one_head"),
-    )
-    return F.when(is_object(parameters), F.concat(head, segment_errors(get("points")), tail)).otherwise(names("root:expected_line_with_parameters"))
+    listed = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(f"parameters:{label}="), F.array_join(c, ",")))
+
+    def check(x: Column) -> Column:
+        has = lambda k: F.array_contains(x["all"], k)
+        missing, extra = F.array_except(F.array_sort(names(*required)), x["all"]), F.array_except(x["all"], names(*LINE_FIELDS))
+        single, n = x["is_single"], F.coalesce(F.size(F.from_json(x["points"], "array<string>")), F.lit(-1))
+        style, bordered = x["line_style"], x["has_border"]
+        shape = style == "shape"
+        pair = F.from_json(x["fill_color"], "array<string>")
+        no_fill = not_color(x["fill_color"]) & ~F.coalesce((F.size(pair) == 2) & F.forall(pair, lambda c: F.coalesce(c.rlike(HEX), F.lit(False))), F.lit(False))
+        head = codes(
+            listed("missing", missing), listed("extra", extra), F.when(absent(x["line_type"], ("straight", "curved")), "line_type:invalid"), F.when(absent(style, ("path", "shape")), "line_style:invalid"),
+            F.when(~boolean(single), "is_single:invalid"),
+        )
+        tail = codes(
+            F.when((single == "true") & (n >= 0) & (n != 1), "is_single:true_requires_exactly_one_segment"), F.when((single == "false") & (n >= 0) & (n <= 1), "is_single:false_requires_multiple_segments"),
+            *(F.when(absent(x[k], ARROWS), f"{k}:invalid") for k in ("begin_arrow", "end_arrow")), F.when(absent(x["dash_style"], ("solid", "dash")), "dash_style:invalid"), F.when(no_fill, "fill_color:invalid"),
+            F.when(has("corner_style") & absent(x["corner_style"], ("sharp", "round")), "corner_style:invalid"), F.when((style == "path") & (has(border[0]) | has(border[1]) | has(border[2])), "path:border_fields_not_allowed"),
+            F.when(shape & ~boolean(bordered), "shape:has_border_required"), F.when(shape & (bordered == "true") & absent(x["border_style"], ("solid", "dash")), "border_style:invalid"),
+            F.when(shape & (bordered == "true") & not_color(x["border_color"]), "border_color:invalid"), F.when(shape & (bordered == "false") & (has(border[1]) | has(border[2])), "shape:no_border_must_omit_border_fields"),
+            F.when((source == "arrow") & (x["begin_arrow"] == "none") & (x["end_arrow"] == "none"), "source_prior:arrow_requires_at_least_one_head"),
+        )
+        return F.when(x["there"], F.concat(head, segment_errors(x["points"]), tail)).otherwise(names("root:expected_line_with_parameters"))
+
+    return bound(parsed(parameters, *LINE_FIELDS), check)
 
 
 def choice(text: Column, allowed: tuple[str, ...], default: str = "unknown") -> Column:
@@ -186,21 +211,26 @@ def aligned_batch(items: Column, size: Column) -> Column:
 
 def normal_line(payload: Column, source: Column) -> Column:
     """The attributes of a line as a map: those that count, round heads as circles, no border fields where there is no border, no heads on a line without arrows."""
-    wanted = ("line_type", "line_style", "begin_arrow", "end_arrow", "dash_style", "fill_color", "corner_style", "has_border", "border_style", "border_color")
-    inner = F.when((value(payload, "type") == "line") & is_object(value(payload, "parameters")), value(payload, "parameters")).otherwise(payload)
-    style, bordered = value(inner, "line_style"), value(inner, "has_border")
-
-    def field(k: str) -> Column:
-        v = value(inner, k)
-        if k in ("begin_arrow", "end_arrow"):
-            v = F.when(source == "line", "none").when(v == "round", "circle").otherwise(v)
-        if k in ("has_border", "border_style", "border_color"):
-            v = F.when(style == "path", None).otherwise(v)
-        if k in ("border_style", "border_color"):
-            v = F.when((style == "shape") & (bordered == "false"), None).otherwise(v)
-        return F.struct(F.lit(k).alias("key"), v.alias("value"))
-
-    return F.map_from_entries(F.filter(F.array(*map(field, wanted)), lambda e: e["value"].isNotNull()))
+    wanted = tuple(f for f in LINE_FIELDS if f not in ("is_single", "points"))
+    inner = bound(parsed(payload, "type", "parameters"), lambda x: F.when((x["type"] == "line") & is_object(x["parameters"]), x["parameters"]))
+    text = F.coalesce(inner, payload)
+
+    def normal(x: Column) -> Column:
+        style, bordered = x["line_style"], x["has_border"]
+
+        def field(k: str) -> Column:
+            v = x[k]
+            if k in ("begin_arrow", "end_arrow"):
+                v = F.when(source == "line", "none").when(v == "round", "circle").otherwise(v)
+            if k in ("has_border", "border_style", "border_color"):
+                v = F.when(style == "path", None).otherwise(v)
+            if k in ("border_style", "border_color"):
+                v = F.when((style == "shape") & (bordered == "false"), None).otherwise(v)
+            return F.struct(F.lit(k).alias("key"), v.alias("value"))
+
+        return F.map_from_entries(F.filter(F.array(*map(field, wanted)), lambda e: e["value"].isNotNull()))
+
+    return bound(parsed(text, *wanted), normal)
 
 
 def attribute_errors(attributes: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -96,10 +98,28 @@ class Planner:
     What is left waits in the buffer. State is (buffer, step) only, so a stream can stop and go on anywhere.
     """
 
-    def __init__(self, world_size: int, local_limit: int, max_tokens: int, buffer_size: int, seed: int = 0):
-        if buffer_size < world_size:
-            raise ValueError("the buffer cannot hold one draw for each rank")
-        self.world_size, self.local_limit, self.max_tokens, self.buffer_size, self.seed = world_size, local_limit, max_tokens, buffer_size, seed
+    def __init__(self, world_size: int, local_limit: int, max_tokens: int, buffer_size: int, seed: int = 0, cardinality: str = "token_budget"):
+        least, _ = pack_count_bounds(cardinality, local_limit)
+        if buffer_size < world_size * least:
+            raise ValueError("the buffer cannot hold the draws that all ranks need")
+        self.world_size, self.local_limit, self.max_tokens, self.buffer_size, self.seed, self.cardinality = world_size, local_limit, max_tokens, buffer_size, seed, cardinality
+
+    def fingerprint(self) -> str:
+        """A hash of all that a plan depends on but the draws; a state is good for a planner of the same one only."""
+        spec = [self.world_size, self.local_limit, self.max_tokens, self.buffer_size, self.seed, self.cardinality]
+        return hashlib.sha256(json.dumps(spec).encode()).hexdigest()
+
+    def save(self, buffer: list[tuple[int, int]], step: int, emitted: int) -> dict:
+        """A state to go on from: emitted and buffered draws add up to the next draw."""
+        return {"fingerprint": self.fingerprint(), "buffer": [list(e) for e in buffer], "step": step, "emitted": emitted, "next_draw": emitted + len(buffer)}
+
+    def load(self, state: dict) -> tuple[list[tuple[int, int]], int]:
+        """(buffer, step) of a state; raises if it is another planner's, or if draws are missing."""
+        if state["fingerprint"] != self.fingerprint():
+            raise ValueError("the state was written by a planner of another kind")
+        if state["emitted"] + len(state["buffer"]) != state["next_draw"] or len(state["buffer"]) > self.buffer_size:
+            raise ValueError("emitted and buffered draws do not add up to the next draw")
+        return [tuple(e) for e in state["buffer"]], state["step"]
 
     def plan(self, buffer: list[tuple[int, int]], step: int) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int]]]:
         """(draws of each rank, what stays): ``buffer`` holds (draw_id, tokens) in the order of draws."""
@@ -118,8 +138,26 @@ class Planner:
                 ranks[i].append((draw, tokens))
                 longest[i] = max(longest[i], tokens)
                 taken.add(draw)
+        if any(len(r) < self.local_limit for r in ranks) and len(buffer) >= self.world_size * self.local_limit:
+            full = self.filled(buffer)
+            if full is not None:
+                by = dict(buffer)
+                ranks, taken = [[(d, by[d]) for d in group] for group in full], {d for group in full for d in group}
         return ranks, [e for e in buffer if e[0] not in taken]
 
+    def filled(self, buffer: list[tuple[int, int]]) -> list[list[int]] | None:
+        """Full groups for all ranks where the quick way leaves some short; without any a fixed cardinality is an error, a token budget goes on with what it has."""
+        found = None
+        if buffer[0][1] * self.local_limit <= self.max_tokens:
+            try:
+                found = full_partition(buffer, self.world_size, self.local_limit, self.max_tokens)
+            except RuntimeError:
+                if self.cardinality == "fixed":
+                    raise
+        if found is None and self.cardinality == "fixed":
+            raise ValueError("not every rank can be filled within the token budget")
+        return found
+
     def run(self, draws: list[tuple[int, int]], final: bool, buffer: list | None = None, step: int = 0):
         """Microbatches of a stretch of draws: (rows, buffer, step); at the end of the stream the buffer is used up, the last microbatch may leave ranks empty."""
         for draw, tokens in draws:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import json_text, polylines, prompts
 from millrace.operators import annotations, sequences
-from millrace.plans import mixing, packing, sampling
+from millrace.plans import mixing, packing, sampling, transforms
 from millrace.sources import records, registry
 from millrace.streaming import planner
 
@@ -335,3 +335,46 @@ def test_gaps_and_repeats(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", 5, None), ("a", 6, None), ("b", 1, "x")], "k string, step long, v string")
     assert [tuple(r) for r in sequences.gaps(rows, "k", "step").collect()] == [("a", 2, 5)]
     assert sorted((r["k"], r["step"]) for r in sequences.without_repeats(rows, "k", ["step"], "v").collect()) == [("a", 1), ("a", 5), ("b", 1)]
+
+
+def test_completions_targets_and_arrays(spark):
+    rows = spark.createDataFrame([(" plain ",), ('"text "',), ('{"role":"a","content":[{"type":"text","text":" x "},{"type":"image"},"y"]}',), ('[{"role":"a","content":"p"},{"role":"b","content":{"text":"q"}}]',)], "t string")
+    assert [r[0] for r in rows.select(json_text.completion_text(F.col("t"))).collect()] == ["plain", "text", "xy", "pq"]
+    texts = spark.createDataFrame([('```json\n[{"a":1}, 2, {"b":[3]}]\n```',), ('so [{"a":1}] it is',), ('{"a":1}',), ("none",)], "t string")
+    assert [r[0] for r in texts.select(json_text.objects_of(F.col("t"))).collect()] == [['{"a":1}', '{"b":[3]}'], ['{"a":1}'], None, None]
+    raw = spark.createDataFrame([('{"a": 1}',), ("x",), (None,)], "t string")
+    assert [tuple(r["g"]) for r in json_text.target_of(raw, F.col("t"), "g", "json_object").collect()] == [('{"a":1}', True, None), (None, False, "json_decode_error"), (None, False, "no target text")]
+    assert [tuple(r["g"]) for r in json_text.target_of(raw, F.col("t"), "g").collect()] == [('{"a": 1}', True, None), ("x", True, None), (None, False, "no target text")]
+
+
+def test_transforms_and_hooks(spark):
+    rows = spark.createDataFrame([(0, ["i"], "t"), (1, ["i"], "t"), (2, ["i"], None), (3, ["i"], None), (4, ["j"], " ")], "row_index long, image_paths array<string>, target_text string")
+    assert sorted(r["row_index"] for r in transforms.applied(rows, [{"name": "dedup_image_target"}]).collect()) == [0, 2, 3, 4]
+    assert sorted(r["row_index"] for r in transforms.applied(rows, [{"name": "dedup_image_target"}, {"name": "drop_empty_target"}]).collect()) == [0]
+    step = [{"name": "prompt_variant", "prompts": ["a", "b"], "draw": "row_index"}]
+    once = transforms.applied(rows, step, transforms.ONLINE, planning=True)
+    assert sorted(map(str, once.collect())) == sorted(map(str, transforms.applied(rows, step, transforms.ONLINE).collect()))
+    with pytest.raises(ValueError, match="planning"):
+        transforms.applied(rows, [{"name": "shuffle_options", "column": "image_paths"}], transforms.ONLINE, planning=True)
+    hooks = transforms.Hooks()
+    hooks.on("before", lambda df: df.filter("row_index > 1"))
+    hooks.on("before", lambda df: None)
+    assert hooks.intercept("before", rows).count() == 3 and hooks.intercept("after", rows).count() == 5
+    v = spark.createDataFrame([([1.0, 2.0], [2.0, 1.0])], "a array<double>, b array<double>")
+    kl = v.select(transforms.objective("forward_kl", F.col("a"), F.col("b"), 2.0).alias("x")).first()["x"]
+    p = np.exp(np.array([2.0, 1.0]) / 2) / np.exp(np.array([2.0, 1.0]) / 2).sum()
+    assert abs(kl - 4 * float((p * (np.log(p) - np.log(p[::-1]))).sum())) < 1e-9
+
+
+def test_planner_fills_all_ranks_or_says_so():
+    plan = packing.Planner(2, 2, 18, 4, cardinality="fixed")
+    ranks, left = plan.plan([(0, 5), (1, 9), (2, 5), (3, 9)], 0)
+    assert sorted(len(r) for r in ranks) == [2, 2] and not left
+    with pytest.raises(ValueError, match="filled"):
+        packing.Planner(2, 2, 10, 4, cardinality="fixed").plan([(0, 5), (1, 9), (2, 9), (3, 9)], 0)
+    state = plan.save([(4, 7)], 3, 12)
+    assert plan.load(state) == ([(4, 7)], 3)
+    with pytest.raises(ValueError, match="another kind"):
+        packing.Planner(2, 2, 19, 4).load(state)
+    with pytest.raises(ValueError, match="add up"):
+        plan.load(state | {"emitted": 11})
