@@ -261,6 +261,13 @@ def quota_sample(spark, sf_dir, quotas, seed):
     return sampling.take_quotas(rows, made, "lang", "doc_id", seed)
 
 
+# shares by square root, remainders to the largest weights; right as long as no share is above what its stratum has
+ROOTS = """h AS (SELECT lang, n, sqrt(n) AS w FROM c WHERE n > {keep}), t AS (SELECT {target} - coalesce((SELECT sum(n) FROM c WHERE n <= {keep}), 0) AS target),
+f AS (SELECT lang, n, w, target, floor(target * w / sum(w) OVER () + 1e-9) AS whole FROM h, t),
+q AS (SELECT lang, (whole + CASE WHEN row_number() OVER (ORDER BY w DESC, lang) <= target - sum(whole) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM f UNION ALL SELECT lang, n FROM c WHERE n <= {keep})"""
+COUNTS = "c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang)"
+
+
 @query()
 def sqrt_quota_sample(spark, sf_dir):
     return quota_sample(spark, sf_dir, lambda c: sampling.sqrt_quotas(c, 120), "sqrt")
@@ -275,7 +282,8 @@ def waterfill_quota_sample(spark, sf_dir):
     return quota_sample(spark, sf_dir, lambda c: sampling.waterfill_quotas(c, 30 * len(c)), "water")
 
 
-@query()
+@query(f"""WITH {COUNTS}, {ROOTS.format(keep=60, target=150)}
+SELECT doc_id, lang, source FROM (SELECT *, {RANKED.format(s='lang', seed='rare')} AS r FROM documents) JOIN q USING (lang) WHERE r <= quota""")
 def rare_whole_sample(spark, sf_dir):
     return quota_sample(spark, sf_dir, lambda c: sampling.rare_whole_quotas(c, 150, 60), "rare")
 
