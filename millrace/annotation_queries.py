@@ -8,6 +8,7 @@ from .functions import geometry as G
 from .functions import polylines as P
 from .operators import annotations as A
 from .operators import boxes as B
+from .plans.sampling import unit_draw
 from .queries import BOXES, IDX, line_boxes, query, quantise_sql, table
 
 # Raw boxes: reversed sides, sides out of the image, boxes without height; labels as annotators write them.
@@ -181,6 +182,50 @@ def row_major_order(spark, sf_dir):
     return A.row_major(line_boxes(spark, sf_dir), 640, 480).select("image", "idx", "bucket", "position")
 
 
+@query(f"""WITH {BOXES}, d AS (SELECT image, label, x1, y1, x2, y2 FROM boxes GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY floor(y1 / 20), x1, y1, -((x2 - x1) * (y2 - y1)), x2, y2, label) AS p FROM d)
+SELECT image, 'Find all.' AS user_prompt, '[' || string_agg('{{"label":"' || label || '","bbox_2d":[' || {quantise_sql('x1', 640)} || ',' || {quantise_sql('y1', 480)} || ',' || {quantise_sql('x2', 640)} || ',' || {quantise_sql('y2', 480)} || ']}}', ',' ORDER BY p) || ']' AS target_text,
+'{{"sort_policy":"canonical","target_policy":"label,bbox_2d","n":' || count(*) || '}}' AS extra FROM o GROUP BY image""")
+def training_rows(spark, sf_dir):
+    return A.training_rows(B.canonical_order(line_boxes(spark, sf_dir)), 640, 480, "canonical", "Find all.")
+
+
+UNIT = "(('0x' || substr(sha256('{tag}' || chr(10) || image || chr(10) || idx), 1, 16))::UBIGINT // 2048)::DOUBLE / 9007199254740992.0"
+
+
+@query(f"""WITH {BOXES}, u AS (SELECT *, {UNIT.format(tag='a')} AS a, {UNIT.format(tag='b')} AS b, {UNIT.format(tag='c')} AS c, {UNIT.format(tag='d')} AS d, {UNIT.format(tag='pad')} AS p FROM boxes),
+j AS (SELECT *, greatest(0, least(640, x1 + (2 * a - 1) * 0.1 * (x2 - x1))) AS j1, greatest(0, least(480, y1 + (2 * b - 1) * 0.1 * (y2 - y1))) AS k1, greatest(0, least(640, x2 + (2 * c - 1) * 0.1 * (x2 - x1))) AS j2, greatest(0, least(480, y2 + (2 * d - 1) * 0.1 * (y2 - y1))) AS k2,
+  CASE WHEN p < 0.5 THEN 'tight' WHEN p < 0.8 THEN 'mid' ELSE 'wide' END AS bucket, CASE WHEN p < 0.5 THEN 0.05 WHEN p < 0.8 THEN 0.15 ELSE 0.4 END AS ratio FROM u),
+m AS (SELECT *, least(x1, j1) AS m1, least(y1, k1) AS n1, greatest(x2, j2) AS m2, greatest(y2, k2) AS n2 FROM j),
+i AS (SELECT *, greatest(least(x2, j2) - greatest(x1, j1), 0) * greatest(least(y2, k2) - greatest(y1, k1), 0) AS inter FROM m)
+SELECT image, idx, bucket, floor(greatest(0, floor(m1 - (m2 - m1) * ratio))) AS x1, floor(greatest(0, floor(n1 - (n2 - n1) * ratio))) AS y1, least(640, ceil(m2 + (m2 - m1) * ratio)) AS x2, least(480, ceil(n2 + (n2 - n1) * ratio)) AS y2,
+round(inter / ((x2 - x1) * (y2 - y1) + (j2 - j1) * (k2 - k1) - inter), 9) AS iou FROM i""")
+def context_views(spark, sf_dir):
+    """Seeded proposals beside the true boxes, with a seeded margin, and crops that hold both."""
+    unit = lambda tag: unit_draw(F.lit(tag), F.col("image").cast("string"), F.col("idx").cast("string"))
+    rows = line_boxes(spark, sf_dir).withColumn("pad", G.padding_bucket(unit("pad"), {"tight": (5.0, 0.05), "mid": (3.0, 0.15), "wide": (2.0, 0.4)}))
+    proposal = G.jittered(B.box(), 0.1, [unit(t) for t in "abcd"], 640, 480)
+    rows = rows.select("image", "idx", "pad", *B.SIDES, *(v.alias(f"p_{n}") for v, n in zip(proposal, B.SIDES)))
+    crop, overlap = G.context_view(B.box(), B.box("p_"), F.col("pad.ratio"), 640, 480)
+    return rows.select("image", "idx", F.col("pad.name").alias("bucket"), *named(crop), F.round(overlap, 9).alias("iou"))
+
+
+@query()
+def padded_canvases(spark, sf_dir):
+    w, h = ((F.col("x2") - F.col("x1")) * (1 + F.col("image") % 13)).cast("long"), ((F.col("y2") - F.col("y1")) * (1 + F.col("idx") % 9)).cast("long")
+    pads = tuple(F.lit(v) for v in (0.1, 0.0, 0.25, 0.3))
+    return line_boxes(spark, sf_dir).select("image", "idx", G.padded_canvas(w, h, pads, 300_000).alias("c")).select("image", "idx", F.round("c.scale", 9).alias("scale"), "c.width", "c.height", "c.left", "c.top")
+
+
+@query(f"""WITH points AS (SELECT l_orderkey AS image, ((l_partkey * 37) % 700) AS x, ((l_suppkey * 53) % 500) AS y, l_orderkey % 4 AS source, l_linenumber FROM lineitem),
+n AS (SELECT image, source, count(*) + count(*) FILTER (WHERE i % 3 = 0) AS n, count(*) FILTER (WHERE x > 640 OR y > 480) AS out, count(DISTINCT x || ',' || y) AS places FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY l_linenumber) AS i FROM points) GROUP BY ALL)
+SELECT source, count(*) AS lines, count(*) FILTER (WHERE out = 0 AND places >= 2) AS kept, count(*) FILTER (WHERE out > 0 AND n >= 2) AS outside FROM n GROUP BY source""")
+def line_selection(spark, sf_dir):
+    """Lines that can be used, and why others cannot, by source."""
+    rows = lines(spark, sf_dir).select((F.col("image") % 4).alias("source"), P.point_error(F.col("line"), 640, 480).alias("error"))
+    return rows.groupBy("source").agg(F.count("*").alias("lines"), F.count_if(F.col("error").isNull()).alias("kept"), F.count_if(F.col("error") == "point outside").alias("outside"))
+
+
 @query()
 def positive_crops(spark, sf_dir):
     """Crops about each box of an image, widened, judged and thinned out."""

@@ -228,3 +228,53 @@ def aligned_size(width: Column, height: Column, target: int, least: int, most: i
 
     best = F.array_min(F.transform(aligned_candidates(width, height, target, least, most, factor, upscale), scored))
     return F.when(best.isNotNull(), F.struct(best["width"].alias("width"), best["height"].alias("height")))
+
+
+def jittered(box: Box, noise: float, units: list[Column], width, height) -> Box:
+    """A box whose sides are moved by up to ``noise`` of its width and height, by four numbers in [0, 1); clipped."""
+    w, h = box[2] - box[0], box[3] - box[1]
+    moved_by = [(2.0 * u - 1.0) * noise * side for u, side in zip(units, (w, h, w, h))]
+    return clipped(tuple(v + d for v, d in zip(box, moved_by)), width, height)
+
+
+def context_view(box: Box, proposal: Box, padding: Column, width: int, height: int, least: int = 4, aspect: float = 200.0) -> tuple[Box, Column]:
+    """(crop, overlap): a crop about a proposal and the true box, with a margin, of a least size and a bounded aspect, so that
+    it holds the true box; and the IoU of the two boxes."""
+    both = (F.least(box[0], proposal[0]), F.least(box[1], proposal[1]), F.greatest(box[2], proposal[2]), F.greatest(box[3], proposal[3]))
+    mx, my = (both[2] - both[0]) * padding, (both[3] - both[1]) * padding
+    crop = (F.greatest(F.lit(0.0), F.floor(both[0] - mx)), F.greatest(F.lit(0.0), F.floor(both[1] - my)), F.least(F.lit(float(width)), F.ceil(both[2] + mx)), F.least(F.lit(float(height)), F.ceil(both[3] + my)))
+    return bounded_aspect(least_size(crop, least, width, height), aspect, width, height), iou(box, proposal)
+
+
+def padding_bucket(unit: Column, buckets: dict[str, tuple[float, float]]) -> Column:
+    """struct(name, ratio) of one of some paddings {name: (weight, ratio)}, by a number in [0, 1)."""
+    total, upto, out = sum(w for w, _ in buckets.values()), 0.0, None
+    for name, (weight, ratio) in buckets.items():
+        upto += weight / total
+        one = F.struct(F.lit(name).alias("name"), F.lit(float(ratio)).alias("ratio"))
+        out = F.when(unit < upto, one) if out is None else out.when(unit < upto, one)
+    return out.otherwise(one)
+
+
+STEPS = 48  # of a bisection
+
+
+def padded_canvas(width: Column, height: Column, pads: tuple[Column, Column, Column, Column], most: int, factor: int = 32) -> Column:
+    """struct(scale, width, height, left, top): the largest scale, to STEPS halvings, at which an image with margins (left,
+    top, right, bottom, as shares of its sides), on a canvas of multiples of ``factor``, has ``most`` pixels at most."""
+    w, h = width.cast("double"), height.cast("double")
+    side = lambda v, scale, a, b: F.ceil(v * scale * (a + b + 1.0) / factor) * factor
+    canvas = lambda scale: (side(w, scale, pads[0], pads[2]), side(h, scale, pads[1], pads[3]))
+
+    def fits(scale: Column) -> Column:
+        cw, ch = canvas(scale)
+        return cw * ch <= most
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = (a["lo"] + a["hi"]) / 2.0
+        return F.struct(F.when(fits(mid), mid).otherwise(a["lo"]).alias("lo"), F.when(fits(mid), a["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda a: a["lo"])
+    scale = F.when(fits(F.lit(1.0)), 1.0).otherwise(found)
+    return F.transform(F.array(scale), lambda s: F.struct(s.alias("scale"), canvas(s)[0].alias("width"), canvas(s)[1].alias("height"), F.floor(w * s * pads[0]).alias("left"), F.floor(h * s * pads[1]).alias("top")))[0]

@@ -135,3 +135,15 @@ def finalised(targets: DataFrame, results: DataFrame, keys: list[str]) -> DataFr
         F.count("*").alias("targets"), F.count_if(missing).alias("missing"), F.count_if(failed).alias("failed"), F.count_if(drift).alias("drifted"),
         (F.count_if(missing | F.coalesce(failed, F.lit(False)) | drift) == 0).alias("ready"),
     )
+
+
+def training_rows(ordered: DataFrame, width: int, height: int, sort_policy: str, prompt: str) -> DataFrame:
+    """(image, user_prompt, target_text, extra): a training record for each image of ordered boxes (.., position): its target
+    is JSON of label and quantised box in that order; extra says how it was sorted and what the target holds."""
+    q = [G.quantise(F.col(s), n) for s, n in zip(SIDES, (width, height, width, height))]
+    x, y = G.grown(q[0], q[2]), G.grown(q[1], q[3])
+    item = F.struct("position", F.struct("label", F.array(x[0], y[0], x[1], y[1]).alias("bbox_2d")).alias("item"))
+    rows = ordered.groupBy("image").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    target = F.to_json(F.transform("items", lambda i: i["item"]))
+    extra = F.to_json(F.struct(F.lit(sort_policy).alias("sort_policy"), F.lit("label,bbox_2d").alias("target_policy"), F.size("items").alias("n")))
+    return rows.select("image", F.lit(prompt).alias("user_prompt"), target.alias("target_text"), extra.alias("extra"))

@@ -275,6 +275,14 @@ def shape_stratum(parameters: Column) -> Column:
                        F.concat(F.lit("round"), rounded.cast("string")), F.concat(F.lit("splits"), F.size(items(value(parameters, "splits"))).cast("string")))
 
 
+def line_stratum(parameters: Column) -> Column:
+    """line type|style|segments|dash|begin|end|fill|border|corners."""
+    or_else = lambda c, other="missing": F.coalesce(c, F.lit(other))
+    segments = F.coalesce(F.size(F.from_json(value(parameters, "points"), "array<string>")), F.lit(0))
+    return F.concat_ws("|", *(or_else(value(parameters, k)) for k in ("line_type", "line_style")), F.concat(F.lit("segments"), segments.cast("string")), *(or_else(value(parameters, k)) for k in ("dash_style", "begin_arrow", "end_arrow")),
+                       fill_signature(value(parameters, "fill")), border_signature(value(parameters, "border")), or_else(value(parameters, "corner_style"), "-"))
+
+
 def fused(rows: DataFrame, sources: list[tuple[str, Column, Column]], default: tuple[str, Column]) -> DataFrame:
     """Adds value and source from the first of (name, fits, value) that fits, the default where none does, and fallback, whether that was so."""
     v, s = default[1], F.lit(default[0])

@@ -21,10 +21,13 @@ def renamed(boxes: DataFrame, prefix: str) -> DataFrame:
 
 def candidates(left: DataFrame, right: DataFrame, threshold: float, wildcard: bool = True) -> DataFrame:
     """Pairs of boxes of an image with IoU >= threshold and compatible labels; an empty label fits any."""
-    pairs = renamed(left, "a_").join(renamed(right, "b_"), "image")
     fits = F.col("a_label") == F.col("b_label")
     if wildcard:
+        pairs = renamed(left, "a_").join(renamed(right, "b_"), "image")
         fits = fits | (F.col("a_label") == "") | (F.col("b_label") == "")
+    else:
+        other = renamed(right, "b_").withColumnRenamed("image", "_image")
+        pairs = renamed(left, "a_").join(other, (F.col("image") == F.col("_image")) & fits).drop("_image")
     return pairs.filter(fits & G.crosses(box("a_"), box("b_"))).withColumn("iou", G.iou(box("a_"), box("b_"))).filter(F.col("iou") >= threshold)
 
 

@@ -121,7 +121,7 @@ def dataset_scores(samples: DataFrame, value: Column, low: float = 0.0, high: fl
 
 def weighted_score(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """One row: the mean of the scores by the weights of the datasets that are there; 0 for none."""
-    both = scores.join(F.broadcast(weights), "dataset")  # a row for each dataset
+    both = scores.join(weights, "dataset")
     return both.agg(F.coalesce(F.sum(F.col("score") * F.col("weight")) / F.nullif(F.sum("weight"), F.lit(0.0)), F.lit(0.0)).alias("final_score"), F.count("*").alias("datasets"))
 
 
@@ -154,7 +154,8 @@ def slowest_ranks(frames: DataFrame) -> DataFrame:
 def compared(runs: DataFrame, key: str, baseline: str, figures: list[str]) -> DataFrame:
     """Each run's figures against those of one run."""
     base = runs.filter(F.col(key) == baseline).select(*(F.col(f).alias(f"base_{f}") for f in figures))
-    both = runs.crossJoin(F.broadcast(base))  # the baseline is one row
+    # the baseline is one row, whatever the number of its name's runs
+    both = runs.crossJoin(base.limit(1))
     return both.select(key, *figures, *(ratio(F.col(f), F.col(f"base_{f}")).alias(f"{f}_ratio") for f in figures))
 
 

@@ -155,6 +155,9 @@ def largest_remainders(shares: DataFrame, seats: int, share: str = "share", orde
     return shares.withColumn("quota", (F.floor(exact) + F.when(rank <= left, 1).otherwise(0)).cast("long"))
 
 
+STRETCHES = 4096  # of the positions of all sources, about
+
+
 def concat_draws(spark: SparkSession, sources: DataFrame, draws: int, seed: int | None = None) -> DataFrame:
     """(draw_id, source, row_index): sources one after another, over and over; with a seed each cycle is permuted."""
     total = sources.agg(F.max("end")).first()[0] or 0
@@ -163,9 +166,12 @@ def concat_draws(spark: SparkSession, sources: DataFrame, draws: int, seed: int
         cycles = [(c, *affine(total, splitmix1(seed ^ c))) for c in range(-(-draws // max(total, 1)))]
         keys = spark.createDataFrame(cycles, "cycle long, a long, b long")  # a row for each pass over the data
         wide = F.col("a").cast("decimal(19,0)") * F.col("position").cast("decimal(19,0)") + F.col("b")
-        rows = rows.join(F.broadcast(keys), "cycle").withColumn("position", (wide % total).cast("long"))
-    at = F.broadcast(sources.select("source", "first", "end"))  # a row for each source
-    return rows.join(at, (F.col("position") >= F.col("first")) & (F.col("position") < F.col("end"))).select("draw_id", "source", (F.col("position") - F.col("first")).alias("row_index"))
+        rows = rows.join(keys, "cycle").withColumn("position", (wide % total).cast("long"))
+    # a source stands in each stretch of positions that it reaches into, so a draw meets the sources of its own stretch only
+    stretch = max(1, total // STRETCHES)
+    at = sources.select("source", "first", "end", F.explode(F.sequence(F.floor(F.col("first") / stretch), F.floor((F.col("end") - 1) / stretch))).alias("stretch"))
+    rows = rows.withColumn("stretch", F.floor(F.col("position") / stretch)).join(at, "stretch")
+    return rows.filter((F.col("position") >= F.col("first")) & (F.col("position") < F.col("end"))).select("draw_id", "source", (F.col("position") - F.col("first")).alias("row_index"))
 
 
 def spread_draws(spark: SparkSession, sources: DataFrame, draws: int, block: int) -> DataFrame:
@@ -193,7 +199,9 @@ def shuffled_draws(spark: SparkSession, names: list[str], sizes: list[int], weig
     rank = np.zeros(n, np.int64)
     for i in range(len(quotas)):
         rank[block == i] = np.arange((block == i).sum())
-    before = np.stack([np.concatenate([[0], np.cumsum(block == i)]) for i in range(len(quotas))])
+    # tickets by source and place: how many of a source stand before a place is a difference of two positions in this list
+    listed = np.sort(block.astype(np.int64) * n + np.arange(n))
+    opens = np.concatenate([[0], np.cumsum(quotas)])
     keys = np.array([int.from_bytes(hashlib.sha256(x.encode()).digest()[:8], "big") for x in names], np.uint64)
     quota, size = np.array(quotas), np.array(sizes)
 
@@ -206,7 +214,7 @@ def shuffled_draws(spark: SparkSession, names: list[str], sizes: list[int], weig
             turn = (phase.astype(np.int64) - step * (block_id % PHASE_BLOCKS)) % n if n > 1 else np.zeros(len(draw), np.int64)
             ticket = (offset + turn) % n
             src = block[ticket]
-            passed = before[src, turn]
+            passed = np.searchsorted(listed, src.astype(np.int64) * n + turn) - opens[src]
             local = np.where(ticket >= turn, rank[ticket] - passed, quota[src] - passed + rank[ticket])
             seen = block_id * quota[src] + local
             cycle, position = seen // size[src], seen % size[src]
@@ -228,8 +236,9 @@ def transform_seed(draws: pd.Series, seeds: pd.Series) -> pd.Series:
     return pd.Series(mixed.astype(str))
 
 
-def rank_shard(draws: DataFrame, world_size: int, order: str = "draw_id", drop_last: bool = False, total: int | None = None) -> DataFrame:
-    """Adds rank and step: rank r takes draws r, r + world_size, ...; an incomplete last step can be dropped."""
+def rank_shard(draws: DataFrame, world_size: int, order: str = "draw_id", drop_last: bool = False, total: int | None = None, weighted: bool = False, shuffled: bool = False) -> DataFrame:
+    """Adds rank and step: rank r takes draws r, r + world_size, ...; an incomplete last step can be dropped. A weighted and shuffled schedule has a bound on ranks."""
+    check_world_size(world_size, weighted, shuffled)
     rows = draws.withColumns({"rank": (F.col(order) % world_size).cast("long"), "step": F.floor(F.col(order) / world_size).cast("long")})
     return rows.filter(F.col(order) < total // world_size * world_size) if drop_last else rows
 

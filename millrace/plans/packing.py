@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import heapq
-import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .mixing import splitmix1
+from .mixing import fingerprint, splitmix1
 
 
 def length_order(rows: DataFrame, window: str, tokens: str = "tokens", order: str = "draw_id") -> DataFrame:
@@ -106,8 +104,7 @@ class Planner:
 
     def fingerprint(self) -> str:
         """A hash of all that a plan depends on but the draws; a state is good for a planner of the same one only."""
-        spec = [self.world_size, self.local_limit, self.max_tokens, self.buffer_size, self.seed, self.cardinality]
-        return hashlib.sha256(json.dumps(spec).encode()).hexdigest()
+        return fingerprint(**{k: getattr(self, k) for k in ("world_size", "local_limit", "max_tokens", "buffer_size", "seed", "cardinality")})
 
     def save(self, buffer: list[tuple[int, int]], step: int, emitted: int) -> dict:
         """A state to go on from: emitted and buffered draws add up to the next draw."""

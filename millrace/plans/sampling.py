@@ -27,7 +27,7 @@ def take_quotas(rows: DataFrame, quotas: DataFrame, stratum: str, id_col: str, s
     most = quotas.agg(F.max(quota)).first()[0] or 0
     key = hash_key(seed, stratum, id_col)
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(key, id_col))).filter(F.col("_rank") <= most)
-    small = F.broadcast(quotas.select(F.col(stratum).alias("_s"), F.col(quota).alias("_q")))  # a row for each stratum
+    small = quotas.select(F.col(stratum).alias("_s"), F.col(quota).alias("_q"))
     return ranked.join(small, F.col(stratum).eqNullSafe(F.col("_s"))).filter("_rank <= _q").drop("_rank", "_s", "_q")
 
 
@@ -112,7 +112,7 @@ def oversampled(rows: DataFrame, label: str, id_col: str, least: int, most: int,
     rank = F.row_number().over(Window.partitionBy(label).orderBy(hash_key(seed, label, id_col), id_col))
     rows = rows.withColumn("_rank", rank).filter(F.col("_rank") <= most)
     sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    rows = rows.join(F.broadcast(sizes), label)  # a row for each class
+    rows = rows.join(sizes, label)
     views = F.when(F.col("_n") >= least, 1).otherwise(F.floor((least - F.col("_rank")) / F.col("_n")) + 1)
     return rows.withColumn("view_index", F.explode(F.sequence(F.lit(0).cast("long"), views - 1))).drop("_rank", "_n")
 
@@ -174,7 +174,7 @@ def two_level_quotas(counts: dict[tuple[str, str], int], target: int, weights: d
     if sum(kept.values()) > target:
         raise ValueError(f"a target of {target} is smaller than the {sum(kept.values())} rows that are kept whole")
     room = {g: sum(n for (x, _), n in counts.items() if x == g) for g in weights if g not in whole}
-    groups = share_out(min(target - sum(kept.values()), sum(room.values())), {g: weights[g] for g in room}, room)
+    groups = weighted_quotas(room, target - sum(kept.values()), weights)
     for g, quota in groups.items():
         strata = {k: n for k, n in counts.items() if k[0] == g}
         kept |= share_out(quota, {k: float(n) for k, n in strata.items()}, strata)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .functions import json_text
 from .operators import attributes as T
-from .queries import CLEAN_TURNS, query, table
+from .plans import sampling
+from .queries import CLEAN_TURNS, id_bin, query, table
 from .sources import records
 
 STRIPPED = "regexp_replace({x}, '^[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+|[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+$', '', 'g')"
@@ -174,6 +175,19 @@ def first_valid_attempt(spark, sf_dir):
     return best.select("l_orderkey", "attempt_index", F.col("attributes")["begin_arrow"].alias("begin_arrow"), (F.size("attributes") + 1).alias("n_attributes"))
 
 
+@query(f"""WITH {LINES} SELECT 'straight|' || CASE WHEN m = 1 THEN 'shape' ELSE 'path' END || '|segments' || CASE WHEN p = 3 THEN 0 ELSE 1 END || '|solid|' || CASE WHEN m = 2 THEN 'round' ELSE 'none' END || '|none|missing|missing|-' AS stratum, count(*) AS n FROM line_rows GROUP BY ALL""")
+def line_strata(spark, sf_dir):
+    return line_parameters(spark, sf_dir).groupBy(T.line_stratum(F.col("parameters")).alias("stratum")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i FROM events) JOIN (VALUES ('click', 3), ('click', 3), ('view', 7)) w(event_type, i) USING (event_type, i)""")
+def row_lookup(spark, sf_dir):
+    """Rows by dataset and ordinal, as often as they are asked for."""
+    rows = sampling.ordinals(table(spark, sf_dir, "events").select("event_type", "event_id"), ["event_type"], id_bin("event_id"), ["event_id"], "row_index")
+    wanted = spark.createDataFrame([("click", 3), ("click", 3), ("view", 7)], "event_type string, row_index long")
+    return records.rows_at(rows, wanted, ["event_type", "row_index"]).select("event_type", "event_id")
+
+
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'regular_hexagon' WHEN 1 THEN 'oval' WHEN 2 THEN 'other' ELSE 'arrow_pentagon' END AS shape, CASE WHEN p_partkey % 2 = 0 THEN 'dash_dot' ELSE 'unknown' END AS style, p_partkey % 3 = 0 AS shown,
 CASE p_partkey % 3 WHEN 0 THEN '#' || printf('%02X', p_partkey % 256) || '00FF' WHEN 1 THEN '#ABCDEF' ELSE '#000000' END AS color, CASE p_partkey % 3 WHEN 1 THEN 'unknown' WHEN 2 THEN 'none' ELSE 'unknown' END AS weak FROM part""")
 def normal_attributes(spark, sf_dir):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import json_text, polylines, prompts
+from millrace.functions import geometry, json_text, polylines, prompts
 from millrace.operators import annotations, sequences
 from millrace.plans import mixing, packing, sampling, transforms
 from millrace.sources import records, registry
@@ -378,3 +378,20 @@ def test_planner_fills_all_ranks_or_says_so():
         packing.Planner(2, 2, 19, 4).load(state)
     with pytest.raises(ValueError, match="add up"):
         plan.load(state | {"emitted": 11})
+
+
+def test_padded_canvas(spark):
+    """The scale is the largest at which the canvas keeps its budget."""
+    pads = (0.1, 0.0, 0.25, 0.3)
+    rows = [(640, 480), (3000, 100), (50, 40), (2000, 2000)]
+    df = spark.createDataFrame(rows, "w long, h long").select("w", "h", geometry.padded_canvas(F.col("w"), F.col("h"), tuple(F.lit(v) for v in pads), 300_000).alias("c"))
+
+    def canvas(w, h, s):
+        return tuple(int(np.ceil(v * s * (a + b + 1.0) / 32)) * 32 for v, a, b in ((w, pads[0], pads[2]), (h, pads[1], pads[3])))
+
+    for r in df.collect():
+        w, h, c = r["w"], r["h"], r["c"]
+        assert (c["width"], c["height"]) == canvas(w, h, c["scale"]) and c["width"] * c["height"] <= 300_000
+        if c["scale"] < 1:
+            bigger = canvas(w, h, c["scale"] + 1e-9)
+            assert bigger[0] * bigger[1] > 300_000
