@@ -316,6 +316,18 @@ def crop_coordinates(spark, sf_dir):
     return out.select("image", F.round(total("g", "x"), 4).alias("gx"), F.round(total("g", "y"), 4).alias("gy"), total("c", "x").alias("cx"), total("c", "y").alias("cy"))
 
 
+@query(f"""WITH {POINTS}, q AS (SELECT image, i, least(greatest(round_even(x * 0.7 + 0.3, 0), 0), 449) AS px, least(greatest(round_even(y * 0.5 + 0.3, 0), 0), 239) AS py FROM points),
+d AS (SELECT *, lag(px) OVER w AS ax, lag(py) OVER w AS ay FROM q WINDOW w AS (PARTITION BY image ORDER BY i))
+SELECT image, sum(px) AS px, sum(py) AS py, count(*) AS n FROM d WHERE ax IS NULL OR ax <> px OR ay <> py GROUP BY image HAVING count(*) > 1""")
+def pixel_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS image", f"{IDX} AS i", "CAST((l_partkey * 37) % 700 AS DOUBLE) AS x", "CAST((l_suppkey * 53) % 500 AS DOUBLE) AS y")
+    point = lambda p: P.point(p["x"] * 0.7 + 0.3, p["y"] * 0.5 + 0.3)
+    rows = rows.groupBy("image").agg(F.array(F.transform(F.array_sort(F.collect_list(F.struct("i", "x", "y"))), point)).alias("line"))
+    out = rows.select("image", P.to_pixels(F.col("line"), 450, 240).alias("line")).filter(F.size("line") > 0)
+    total = lambda k: F.aggregate(F.flatten("line"), F.lit(0.0), lambda a, p: a + p[k])
+    return out.select("image", total("x").alias("px"), total("y").alias("py"), F.size(F.get("line", 0)).cast("long").alias("n"))
+
+
 @query()
 def cleaned_lines(spark, sf_dir):
     """Polylines cleaned up, curved ones resampled, with counters."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import polylines as P
 from ..functions.text import strip
 
 # Fixed values of the contracts.
@@ -301,8 +300,3 @@ def arrow_heads(rows: DataFrame, source: Column, recoveries: list[tuple[str, Col
         begin, end, name = F.when(fits, b).otherwise(begin), F.when(fits, e).otherwise(end), F.when(fits, n).otherwise(name)
     line = source == "line"
     return rows.withColumns({"begin_arrow": F.when(line, "none").otherwise(begin), "end_arrow": F.when(line, "none").otherwise(end), "head_source": F.when(line, "source_prior").otherwise(name)})
-
-
-def crop_codes(points: Column, left: Column, top: Column, width: Column, height: Column) -> Column:
-    """A line's points, JSON in pixels of the image, as codes of a crop."""
-    return P.to_codes(P.from_json(points), left, top, width, height)

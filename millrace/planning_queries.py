@@ -8,7 +8,7 @@ from .functions import json_text, prompts
 from .functions import polylines as P
 from .operators import metrics as M
 from .plans import packing, sampling
-from .queries import BOXES, RANKED, line_boxes, query, table
+from .queries import BOXES, RANKED, STREAM_DRAWS, document_draws, line_boxes, query, table
 
 # ---------------------------------------------------------------- selection
 
@@ -141,6 +141,19 @@ def layout_errors(spark, sf_dir):
     return packing.check_layout(rows, ["pack"], 50)
 
 
+@query()
+def ranked_packs(spark, sf_dir):
+    """Eight documents a step as packs of their own, dealt to four ranks."""
+    rows = document_draws(spark, sf_dir).select(F.floor(F.col("draw_id") / 8).alias("step"), (F.col("draw_id") % 8).alias("pack_index"), "tokens")
+    return packing.ranked_packs(rows, "step", 4, 3, 65_536)
+
+
+@query()
+def length_batches(spark, sf_dir):
+    rows = document_draws(spark, sf_dir).withColumn("stream", F.floor(F.col("draw_id") / STREAM_DRAWS))
+    return packing.length_batches(rows, "stream", 4, 2, 32)
+
+
 # ---------------------------------------------------------------- scores and summaries
 
 

@@ -62,15 +62,6 @@ def affine(size: int, seed: int) -> tuple[int, int]:
     return a, splitmix1(seed ^ OFFSET_SALT) % size
 
 
-def hamilton(shares: list[float], seats: int) -> list[int]:
-    """Largest remainders; ties go to the earlier."""
-    exact = [s * seats for s in shares]
-    quotas = [int(x) for x in exact]
-    order = sorted(range(len(shares)), key=lambda i: (-(exact[i] - quotas[i]), i))
-    for i in order[: seats - sum(quotas)]:
-        quotas[i] += 1
-    return quotas
-
 
 def ticket_quotas(weights: list[float]) -> list[int]:
     """Integer quotas of a block that keep each source's share within 5 %.
@@ -107,10 +98,6 @@ def ticket_quotas(weights: list[float]) -> list[int]:
     return best[3]
 
 
-def spread_block(quotas: list[int]) -> list[int]:
-    """The unshuffled block: occurrence k of a source with quota q stands at (2 k + 1) / 2 q; ties go to the earlier source."""
-    return [i for _, i in sorted((Fraction(2 * k + 1, 2 * q), i) for i, q in enumerate(quotas) for k in range(q))]
-
 
 def shuffled_block(quotas: list[int], seed: int) -> list[int]:
     """The shuffled block: a chain of splitmix64 values picks each exchange, from the last place down."""

@@ -375,3 +375,27 @@ def check_layout(segments: DataFrame, pack: list[str], most: int) -> DataFrame:
     rows = segments.withColumn("_before", F.lag("stop").over(by))
     error = F.when(F.coalesce("_before", F.lit(0)) != F.col("start"), "not contiguous").when(F.col("stop") <= F.col("start"), "empty segment").when(F.col("stop") > most, "over the capacity")
     return rows.withColumn("error", error).filter("error IS NOT NULL").groupBy(*pack).agg(F.min("error").alias("error"))
+
+
+def ranked_packs(rows: DataFrame, step: str, world: int, local: int, most: int) -> DataFrame:
+    """(step, pack_index, tokens, rank): the packs of each step dealt to ranks; rank is null for a step that cannot be dealt within the caps."""
+
+    def deal(frame: pd.DataFrame) -> pd.DataFrame:
+        loads = dict(zip(frame["pack_index"].tolist(), frame["tokens"].tolist()))
+        found = assign_ranks(loads, world, local, most, partial=True)
+        rank = {p: r for r, packs in enumerate(found or []) for p in packs}
+        return frame.assign(rank=frame["pack_index"].map(rank)).astype({"rank": "Int64"})
+
+    return rows.select(step, "pack_index", "tokens").groupBy(step).applyInPandas(deal, f"{step} long, pack_index long, tokens long, rank long")
+
+
+def length_batches(rows: DataFrame, stream: str, world: int, local: int, buffer_size: int) -> DataFrame:
+    """(stream, microstep, slot, draw_id, tokens): global microbatches of draws of like length, stream by stream; see ``planned_microbatches`` on the length of streams."""
+
+    def plan(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("draw_id")
+        found = length_microbatches(list(zip(frame["draw_id"].tolist(), frame["tokens"].tolist())), world, local, buffer_size)
+        out = [(frame[stream].iloc[0], k, i, d, t) for k, batch in enumerate(found) for i, (d, t) in enumerate(batch)]
+        return pd.DataFrame(out, columns=[stream, "microstep", "slot", "draw_id", "tokens"])
+
+    return rows.select(stream, "draw_id", "tokens").groupBy(stream).applyInPandas(plan, f"{stream} long, microstep long, slot long, draw_id long, tokens long")

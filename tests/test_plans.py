@@ -395,3 +395,22 @@ def test_padded_canvas(spark):
         if c["scale"] < 1:
             bigger = canvas(w, h, c["scale"] + 1e-9)
             assert bigger[0] * bigger[1] > 300_000
+
+
+def test_json_lines_written_and_read(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a\nb"), (2, None)], "n long, t string")
+    records.write_json_lines(rows, str(tmp_path / "out"))
+    records.write_json_lines(rows.filter("n = 1"), str(tmp_path / "out"))
+    read = records.json_lines(spark, [str(tmp_path / "out")])
+    assert [r["value"] for r in read.collect()] == ['{"n":1,"t":"a\\nb"}']
+
+
+def test_ranked_packs_and_length_batches(spark):
+    rows = spark.createDataFrame([(0, p, t) for p, t in enumerate([5, 5, 4, 4, 3, 3])] + [(1, p, 9) for p in range(3)], "step long, pack_index long, tokens long")
+    got = {}
+    for r in packing.ranked_packs(rows, "step", 3, 2, 8).collect():
+        got.setdefault(r["step"], {}).setdefault(r["rank"], []).append(r["tokens"])
+    assert {k: sum(v) for k, v in got[0].items()} == {0: 8, 1: 8, 2: 8} and list(got[1]) == [None]
+    draws = spark.createDataFrame([(0, i, (i * 7) % 10 + 1) for i in range(14)], "stream long, draw_id long, tokens long")
+    batches = packing.length_batches(draws, "stream", 2, 2, 8).collect()
+    assert sorted(r["draw_id"] for r in batches) == list(range(14)) and max(r["slot"] for r in batches) == 3
