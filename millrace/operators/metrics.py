@@ -39,7 +39,7 @@ def subattr_fields(parsed: Column, target: Column, fields: list[str]) -> Column:
     return reduce(lambda a, b: a & b, alike).cast("double")
 
 
-SPACES = {"qwen": 999.0, "qwen_0_999": 999.0, **dict.fromkeys(("normalized", "normalized_1000", "bbox_2d", "keypoints_2d", "points_2d", "points", "bins", "quantized"), 1000.0)}
+SPACES = {"codes": 999.0, **dict.fromkeys(("normalized", "normalized_1000", "bbox_2d", "keypoints_2d", "points_2d", "points", "bins", "quantized"), 1000.0)}
 
 
 def keypoint_share(points: Column, targets: Column, threshold: float, space: str = "normalized_1000", width: Column | None = None, height: Column | None = None) -> Column:

@@ -170,7 +170,7 @@ def field_scores(spark, sf_dir):
 KEYPOINTS = """k AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"""
 
 
-@query(f"""WITH {KEYPOINTS} SELECT event_id, round(CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE (1 + (k <= 49)::INT) / 2.0 END, 9) AS qwen, round(CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE (1 + (k * k <= (0.05 * 640) ** 2)::INT) / 2.0 END, 9) AS image FROM k""")
+@query(f"""WITH {KEYPOINTS} SELECT event_id, round(CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE (1 + (k <= 49)::INT) / 2.0 END, 9) AS codes, round(CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE (1 + (k * k <= (0.05 * 640) ** 2)::INT) / 2.0 END, 9) AS image FROM k""")
 def keypoint_scores(spark, sf_dir):
     """Two points, one of them off by k, under three names and as flat or nested lists; every fifth lacks a point."""
     e, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("long")
@@ -180,7 +180,7 @@ def keypoint_scores(spark, sf_dir):
     short = F.when((e % 5 == 0) & (e % 2 == 1), F.lit(None)).otherwise(made)
     found, target = P.keypoints(short), P.keypoints(F.lit('{"points_2d":[[10,20],[300,40]]}'))
     rows = table(spark, sf_dir, "events").select("event_id", found.alias("a"), target.alias("b"))
-    return rows.select("event_id", F.round(M.keypoint_share(F.col("a"), F.col("b"), 0.05, "qwen"), 9).alias("qwen"), F.round(M.keypoint_share(F.col("a"), F.col("b"), 0.05, "image", F.lit(640.0), F.lit(480.0)), 9).alias("image"))
+    return rows.select("event_id", F.round(M.keypoint_share(F.col("a"), F.col("b"), 0.05, "codes"), 9).alias("codes"), F.round(M.keypoint_share(F.col("a"), F.col("b"), 0.05, "image", F.lit(640.0), F.lit(480.0)), 9).alias("image"))
 
 
 @query("""SELECT event_id, (event_id % 4 <> 0)::INT::DOUBLE AS parse_success, (event_id % 4 <> 0 AND event_id % 3 <> 0)::INT::DOUBLE AS exact_match, 2.0 * (event_id % 4 <> 0)::INT + (event_id % 4 <> 0 AND event_id % 3 <> 0)::INT AS total FROM events""")
