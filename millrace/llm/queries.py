@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, line_dedup, mixing, pieces, pii, quality, simhash, substring_dedup, token_counts, token_files
+from . import embedding_dedup, fill_middle, line_dedup, mixing, pieces, pii, quality, simhash, substring_dedup, token_counts, token_files
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
@@ -63,7 +67,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLE_SQL = {
     "op4_mixing": mixing.ORACLE_SQL,
+    "op13_fill_in_middle": fill_middle.ORACLE_SQL,
 }
