@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, fill_middle, lexical, line_dedup, mixing, pieces, pii, quality, simhash, substring_dedup, token_counts, token_files
+from . import embedding_dedup, fill_middle, language, lexical, line_dedup, mixing, pieces, pii, quality, simhash, substring_dedup, token_counts, token_files
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(*(spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in ("documents", "benchmark")), k=10)
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_language": op11_language,
     "op12_lexical_search": op12_lexical_search,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
