@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .mixing import fingerprint, splitmix1
+from .planner import Planner, assign_ranks, balanced_frame, balanced_frames, full_partition, pack_count_bounds, planned_microbatches, ranked_packs
+
+__all__ = ["Planner", "assign_ranks", "balanced_frame", "balanced_frames", "full_partition", "pack_count_bounds", "planned_microbatches", "ranked_packs"]
 
 
 def length_order(rows: DataFrame, window: str, tokens: str = "tokens", order: str = "draw_id") -> DataFrame:
@@ -16,24 +18,35 @@ def length_order(rows: DataFrame, window: str, tokens: str = "tokens", order: st
     return rows.withColumn("position", (F.row_number().over(Window.partitionBy(window).orderBy(F.col(tokens).desc(), order)) - 1).cast("long"))
 
 
-def best_fit(draws: list[int], lengths: list[int], packs: int, capacity: int, required: int) -> list[list[int]]:
+def best_fit(draws: list[int], lengths: list[int], packs: int, capacity: int, required: int, feasible: Callable[[list[list[int]]], bool] | None = None) -> list[list[int]]:
     """Draws dealt to ``packs`` packs: the required draw opens the first, the longest others open the rest; each next
-    longest goes where it leaves the least room, ties to the lower pack; what fits nowhere is left out."""
+    longest goes where it leaves the least room, ties to the lower pack; what fits nowhere is left out.
+
+    ``feasible`` may rule out packs as they would stand, for budgets that lengths do not show: a draw that would break it
+    opens no pack and joins none. Raises where the packs cannot all be opened.
+    """
     size = dict(zip(draws, lengths))
     for d in draws:
         if size[d] > capacity:
             raise ValueError(f"draw {d} has {size[d]} tokens, more than the capacity of {capacity}")
     if required not in size or len(size) < max(packs, len(draws)):
         raise ValueError("the draws must be distinct, hold the required one, and be as many as the packs")
-    queue = sorted((d for d in size if d != required), key=lambda d: (-size[d], d))
-    filled = [[required], *([d] for d in queue[: packs - 1])]
+    allowed = feasible or (lambda filled: True)
+    filled, waiting = [[required]], []
+    if not allowed(filled):
+        raise ValueError(f"draw {required} alone breaks the budgets")
+    for d in sorted((d for d in size if d != required), key=lambda d: (-size[d], d)):
+        opens = len(filled) < packs and allowed([*filled, [d]])
+        (filled if opens else waiting).append([d] if opens else d)
+    if len(filled) < packs:
+        raise ValueError("not every pack can be opened within the budgets")
     room = [capacity - size[p[0]] for p in filled]
-    for d in queue[packs - 1 :]:
-        fitting = [(room[i] - size[d], i) for i in range(packs) if room[i] >= size[d]]
-        if fitting:
-            left, i = min(fitting)
-            filled[i].append(d)
-            room[i] = left
+    for d in waiting:
+        for _, i in sorted((room[i] - size[d], i) for i in range(packs) if room[i] >= size[d]):
+            if allowed([p + [d] if k == i else p for k, p in enumerate(filled)]):
+                filled[i].append(d)
+                room[i] -= size[d]
+                break
     return filled
 
 
@@ -88,116 +101,6 @@ def rank_skew(rows: DataFrame, step: str, rank: str, load: str) -> DataFrame:
     return stats.withColumn("skew", F.when(F.col("total") > 0, F.greatest(F.col("most") - mean, mean - F.col("least")) / mean).otherwise(0.0))
 
 
-class Planner:
-    """One stream of microbatches: a bounded buffer of draws, of which the oldest is always in the next microbatch.
-
-    The ranks' first draws are the oldest and those nearest to its cost. The others are tried from the heaviest (ties by
-    a hash of seed, draw and step) and go to the rank whose load stays lowest, within the token cap and the local limit.
-    What is left waits in the buffer. State is (buffer, step) only, so a stream can stop and go on anywhere.
-    """
-
-    def __init__(self, world_size: int, local_limit: int, max_tokens: int, buffer_size: int, seed: int = 0, cardinality: str = "token_budget"):
-        least, _ = pack_count_bounds(cardinality, local_limit)
-        if buffer_size < world_size * least:
-            raise ValueError("the buffer cannot hold the draws that all ranks need")
-        self.world_size, self.local_limit, self.max_tokens, self.buffer_size, self.seed, self.cardinality = world_size, local_limit, max_tokens, buffer_size, seed, cardinality
-
-    def fingerprint(self) -> str:
-        """A hash of all that a plan depends on but the draws; a state is good for a planner of the same one only."""
-        return fingerprint(**{k: getattr(self, k) for k in ("world_size", "local_limit", "max_tokens", "buffer_size", "seed", "cardinality")})
-
-    def save(self, buffer: list[tuple[int, int]], step: int, emitted: int) -> dict:
-        """A state to go on from: emitted and buffered draws add up to the next draw."""
-        return {"fingerprint": self.fingerprint(), "buffer": [list(e) for e in buffer], "step": step, "emitted": emitted, "next_draw": emitted + len(buffer)}
-
-    def load(self, state: dict) -> tuple[list[tuple[int, int]], int]:
-        """(buffer, step) of a state; raises if it is another planner's, or if draws are missing."""
-        if state["fingerprint"] != self.fingerprint():
-            raise ValueError("the state was written by a planner of another kind")
-        if state["emitted"] + len(state["buffer"]) != state["next_draw"] or len(state["buffer"]) > self.buffer_size:
-            raise ValueError("emitted and buffered draws do not add up to the next draw")
-        return [tuple(e) for e in state["buffer"]], state["step"]
-
-    def plan(self, buffer: list[tuple[int, int]], step: int) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int]]]:
-        """(draws of each rank, what stays): ``buffer`` holds (draw_id, tokens) in the order of draws."""
-        oldest = buffer[0]
-        near = heapq.nsmallest(self.world_size - 1, buffer[1:], key=lambda e: (abs(e[1] - oldest[1]), e[0]))
-        ranks = [[e] for e in (oldest, *near)]
-        taken = {e[0] for r in ranks for e in r}
-        # a rank pays for its longest draw in each place
-        longest = [r[0][1] for r in ranks]
-        rest = sorted((e for e in buffer if e[0] not in taken), key=lambda e: (-e[1], splitmix1(self.seed ^ e[0] ^ step)))
-        for draw, tokens in rest:
-            open_ranks = [(max(longest[i], tokens) * (len(r) + 1), i) for i, r in enumerate(ranks) if len(r) < self.local_limit]
-            open_ranks = [x for x in open_ranks if x[0] <= self.max_tokens]
-            if open_ranks:
-                _, i = min(open_ranks)
-                ranks[i].append((draw, tokens))
-                longest[i] = max(longest[i], tokens)
-                taken.add(draw)
-        if any(len(r) < self.local_limit for r in ranks) and len(buffer) >= self.world_size * self.local_limit:
-            full = self.filled(buffer)
-            if full is not None:
-                by = dict(buffer)
-                ranks, taken = [[(d, by[d]) for d in group] for group in full], {d for group in full for d in group}
-        return ranks, [e for e in buffer if e[0] not in taken]
-
-    def filled(self, buffer: list[tuple[int, int]]) -> list[list[int]] | None:
-        """Full groups for all ranks where the quick way leaves some short; without any a fixed cardinality is an error, a token budget goes on with what it has."""
-        found = None
-        if buffer[0][1] * self.local_limit <= self.max_tokens:
-            try:
-                found = full_partition(buffer, self.world_size, self.local_limit, self.max_tokens)
-            except RuntimeError:
-                if self.cardinality == "fixed":
-                    raise
-        if found is None and self.cardinality == "fixed":
-            raise ValueError("not every rank can be filled within the token budget")
-        return found
-
-    def run(self, draws: list[tuple[int, int]], final: bool, buffer: list | None = None, step: int = 0):
-        """Microbatches of a stretch of draws: (rows, buffer, step); at the end of the stream the buffer is used up, the last microbatch may leave ranks empty."""
-        for draw, tokens in draws:
-            if tokens > self.max_tokens:
-                raise ValueError(f"draw {draw} has {tokens} tokens, more than a rank may hold ({self.max_tokens})")
-        buffer, rows, at = list(buffer or []), [], 0
-        while True:
-            need = self.buffer_size - len(buffer)
-            buffer += draws[at : at + need]
-            at = min(at + need, len(draws))
-            if not buffer or (not final and len(buffer) < self.buffer_size):
-                return rows, buffer, step
-            ranks, buffer = self.plan(buffer, step)
-            rows += [(step, r, i, d, t) for r, members in enumerate(ranks) for i, (d, t) in enumerate(members)]
-            step += 1
-
-
-def planned_microbatches(rows: DataFrame, stream: str, planner: Planner) -> DataFrame:
-    """(stream, microstep, rank, slot, draw_id, tokens): each stream of draws planned by itself.
-
-    A stream is sequential by nature; rows of one are gone through in order of draw, in one task that holds them: have streams of
-    bounded length. Every draw is in one microbatch; the last of a stream may be partly filled.
-    """
-
-    def plan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("draw_id")
-        found, _, _ = planner.run(list(zip(frame["draw_id"].tolist(), frame["tokens"].tolist())), final=True)
-        out = pd.DataFrame(found, columns=["microstep", "rank", "slot", "draw_id", "tokens"])
-        out.insert(0, stream, frame[stream].iloc[0])
-        return out
-
-    return rows.select(stream, "draw_id", "tokens").groupBy(stream).applyInPandas(plan, f"{stream} long, microstep long, rank long, slot long, draw_id long, tokens long")
-
-
-def pack_count_bounds(cardinality: str, local_batch: int) -> tuple[int, int]:
-    """How many packs a rank may have: exactly so many, or from one on under a token budget."""
-    if local_batch <= 0:
-        raise ValueError("the local batch must be positive")
-    if cardinality not in ("fixed", "token_budget"):
-        raise ValueError(f"unknown cardinality {cardinality!r}")
-    return (local_batch if cardinality == "fixed" else 1), local_batch
-
-
 def batch_contract(cardinality: str, local_batch: int, world: int, accumulation: int, capacity: int, grouping: str = "none", packing: str = "none", layout: str = "padded") -> dict:
     """Pack counts of a local, a global and an optimiser step, tokens of a rank, and what a run of steps draws; raises for fields that do not go together."""
     legal = {("none", "none", "padded"), ("length", "none", "padded"), ("bounded_cost", "none", "padded"), ("length", "greedy", "varlen")}
@@ -226,90 +129,6 @@ def length_microbatches(draws: list[tuple[int, int]], world: int, local: int, bu
         buffer = [e for e in buffer if e[0] not in gone]
 
 
-def assign_ranks(loads: dict[int, int], world: int, local: int, most: int, partial: bool = False) -> list[list[int]] | None:
-    """Packs dealt to ranks, the heaviest first to the rank with the lowest load, stepping back where a cap is broken; None if it cannot be done.
-
-    A rank takes ``local`` packs, fewer where ``partial``, and ``most`` tokens at most.
-    """
-    order = sorted(loads, key=lambda p: (-loads[p], p))
-    if len(order) > world * local or (not partial and len(order) < world * local):
-        return None
-    ranks: list[list[int]] = [[] for _ in range(world)]
-    tokens = [0] * world
-    choices: list[list[int]] = []
-    while True:
-        k = len(choices)
-        if k == len(order):
-            return ranks
-        states, open_ranks = set(), []
-        for r in sorted(range(world), key=lambda r: (tokens[r], len(ranks[r]), r)):
-            state = (len(ranks[r]), tokens[r])
-            if len(ranks[r]) < local and tokens[r] + loads[order[k]] <= most and state not in states:
-                states.add(state)
-                open_ranks.append(r)
-        choices.append(open_ranks[::-1])
-        while not choices[-1]:
-            choices.pop()
-            if not choices:
-                return None
-            r = next(r for r in range(world) if ranks[r] and ranks[r][-1] == order[len(choices) - 1])
-            tokens[r] -= loads[ranks[r].pop()]
-        r = choices[-1].pop()
-        ranks[r].append(order[len(choices) - 1])
-        tokens[r] += loads[order[len(choices) - 1]]
-
-
-NODES = 100_000  # selections that the full search looks at
-
-
-def full_partition(buffer: list[tuple[int, int]], world: int, local: int, most: int) -> list[list[int]] | None:
-    """Groups of exactly ``local`` draws for all ranks, the oldest draw among them, each padded to its longest within ``most``;
-    None if there are none. Groups come in the order of their lowest draw. Raises after NODES selections."""
-    from itertools import combinations
-
-    seen = 0
-
-    def search(left: list[tuple[int, int]], groups: list[list[int]], anchors) -> list[list[int]] | None:
-        nonlocal seen
-        if len(groups) == world:
-            return groups
-        need = (world - len(groups)) * local
-        for a in anchors if anchors is not None else range(len(left) - need + 1):
-            tail = left[a + 1 :]
-            if len(tail) < need - 1:
-                continue
-            for others in combinations(tail, local - 1):
-                seen += 1
-                if seen > NODES:
-                    raise RuntimeError(f"no partition among {NODES} selections")
-                group = [left[a], *others]
-                if local * max(n for _, n in group) <= most:
-                    taken = {d for d, _ in group}
-                    found = search([e for e in tail if e[0] not in taken], [*groups, [d for d, _ in group]], None)
-                    if found is not None:
-                        return found
-        return None
-
-    ordered = sorted(buffer)
-    return search(ordered, [], (0,)) if len(ordered) >= world * local else None
-
-
-def balanced_frame(steps: list[list[float]], seed: int, first_step: int = 0) -> tuple[list[list[int]], float]:
-    """(for each step which batch each rank takes, skew): the heaviest batch goes to the rank with the least so far, ties by a hash."""
-    world = len(steps[0]) if steps else 0
-    total, out = [0.0] * world, []
-    for k, loads in enumerate(steps):
-        ranks = sorted(range(world), key=lambda r: (total[r], splitmix1(seed ^ (first_step + k) ^ r)))
-        batches = sorted(range(world), key=lambda b: (-loads[b], b))
-        taken = [0] * world
-        for b, r in zip(batches, ranks):
-            taken[r] = b
-            total[r] += loads[b]
-        out.append(taken)
-    mean = sum(total) / max(world, 1)
-    return out, max((abs(t - mean) / mean for t in total), default=0.0) if mean > 0 else 0.0
-
-
 def padded(rows: DataFrame, batch: list[str], column: str, value: int, left: bool = False) -> DataFrame:
     """``column``, an array, filled to the longest of its batch, at the right or at the left."""
     most = F.max(F.size(column)).over(Window.partitionBy(*batch))
@@ -377,18 +196,6 @@ def check_layout(segments: DataFrame, pack: list[str], most: int) -> DataFrame:
     return rows.withColumn("error", error).filter("error IS NOT NULL").groupBy(*pack).agg(F.min("error").alias("error"))
 
 
-def ranked_packs(rows: DataFrame, step: str, world: int, local: int, most: int) -> DataFrame:
-    """(step, pack_index, tokens, rank): the packs of each step dealt to ranks; rank is null for a step that cannot be dealt within the caps."""
-
-    def deal(frame: pd.DataFrame) -> pd.DataFrame:
-        loads = dict(zip(frame["pack_index"].tolist(), frame["tokens"].tolist()))
-        found = assign_ranks(loads, world, local, most, partial=True)
-        rank = {p: r for r, packs in enumerate(found or []) for p in packs}
-        return frame.assign(rank=frame["pack_index"].map(rank)).astype({"rank": "Int64"})
-
-    return rows.select(step, "pack_index", "tokens").groupBy(step).applyInPandas(deal, f"{step} long, pack_index long, tokens long, rank long")
-
-
 def length_batches(rows: DataFrame, stream: str, world: int, local: int, buffer_size: int) -> DataFrame:
     """(stream, microstep, slot, draw_id, tokens): global microbatches of draws of like length, stream by stream; see ``planned_microbatches`` on the length of streams."""
 
