@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.registry import Registry
+from .selection import alike, percentiles
 
 METRICS = Registry("metric")
 
@@ -135,14 +136,18 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def efficiency(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key over frames (step, tokens, padded, seconds): sums, rates, spread of lengths and quantiles of step times."""
+    """Per key over frames (step, tokens, padded, seconds): sums, rates, spread of lengths and exact quantiles of step times."""
     n, t, s = F.count("*"), F.sum("tokens"), F.sum("seconds")
     squares = F.sum(F.col("tokens") * F.col("tokens"))
-    return frames.groupBy(*keys).agg(
-        n.alias("frames"), t.alias("tokens"), (F.max("step") - F.min("step") + 1 == F.count_distinct("step")).alias("contiguous"),
-        ratio(F.sum("padded") - t, F.sum("padded")).alias("padding"), ratio(t, s).alias("tokens_per_second"), ratio(t, n).alias("mean_length"),
-        F.sqrt(F.greatest(F.lit(0.0), ratio(squares, n) - ratio(t, n) * ratio(t, n))).alias("std_length"), F.percentile("seconds", F.lit(0.5)).alias("p50_seconds"), F.percentile("seconds", F.lit(0.95)).alias("p95_seconds"),
+    steps = frames.groupBy(*keys, "step").agg(F.count("*").alias("n"))  # told apart in a shuffle, so that no task holds a key's steps
+    steps = steps.groupBy(*keys).agg((F.max("step") - F.min("step") + 1 == F.count("*")).alias("contiguous"))
+    sums = frames.groupBy(*keys).agg(
+        n.alias("frames"), t.alias("tokens"), ratio(F.sum("padded") - t, F.sum("padded")).alias("padding"), ratio(t, s).alias("tokens_per_second"), ratio(t, n).alias("mean_length"),
+        F.sqrt(F.greatest(F.lit(0.0), ratio(squares, n) - ratio(t, n) * ratio(t, n))).alias("std_length"),
     )
+    spread = percentiles(frames, keys, "seconds", {"p50_seconds": 0.5, "p95_seconds": 0.95})
+    out = alike(alike(sums, steps, keys), spread, keys, how="left")
+    return out.select(*keys, "frames", "tokens", "contiguous", "padding", "tokens_per_second", "mean_length", "std_length", "p50_seconds", "p95_seconds")
 
 
 def slowest_ranks(frames: DataFrame) -> DataFrame:

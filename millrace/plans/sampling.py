@@ -7,6 +7,8 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.selection import alike, edges
+
 
 def hash_key(seed: str, *columns: str) -> Column:
     """SHA-256 of the seed and some columns, to order by."""
@@ -135,10 +137,14 @@ def ordinals(rows: DataFrame, keys: list[str], bins: Column, order: list, name:
 
 
 def quartiles(rows: DataFrame, value: str, id_col: str, by: str) -> DataFrame:
-    """Adds quartile: min(3, 4 i div n) of row i of n, ordered by value, then id. Not ntile(4), which rounds otherwise."""
-    sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_all"))
-    placed = ordinals(rows, [by], F.col(value), [id_col], "_i").join(sizes, F.col(by).eqNullSafe(F.col("_by")))
-    return placed.withColumn("quartile", F.least(F.lit(3), F.floor(4 * F.col("_i") / F.col("_all"))).cast("long")).drop("_i", "_all", "_by")
+    """Adds quartile: min(3, 4 i div n) of row i of n, ordered by value, then id. Not ntile(4), which rounds otherwise.
+
+    Only the three rows at which a quartile begins are looked for in each group; every row is then compared with them.
+    """
+    bounds = edges(rows, [by], value, id_col, 4)
+    own = F.struct(F.col(value).alias("value"), F.col(id_col).alias("id"))
+    begun = F.size(F.filter("edges", lambda e: own >= e))  # none in a group of one row, which has no edges
+    return alike(rows, bounds, [by], how="left").withColumn("quartile", F.coalesce(begun, F.lit(0)).cast("long")).drop("edges")
 
 
 def lowest(rows: DataFrame, count: int, key: Column, id_col: str) -> DataFrame:
