@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .functions import json_text, prompts
 from .functions import polylines as P
 from .operators import metrics as M
-from .plans import packing, sampling
-from .queries import BOXES, RANKED, STREAM_DRAWS, document_draws, line_boxes, query, table
+from .plans import mixing, packing, sampling
+from .queries import BOXES, CAPACITY, PLANNER, RANKED, STREAM_DRAWS, document_draws, id_bin, line_boxes, query, table, words
+from .sources.scratch import Rounds, shared_folder
+from .streaming import draws
 
 # ---------------------------------------------------------------- selection
 
@@ -154,6 +158,55 @@ def length_batches(spark, sf_dir):
     return packing.length_batches(rows, "stream", 4, 2, 32)
 
 
+BUDGETED = packing.Planner(world_size=4, local_limit=4, max_tokens=4 * CAPACITY, buffer_size=32, seed=42, budgets={"vision_patches": 16_384})
+
+
+def costed_draws(spark, sf_dir):
+    """Documents as draws with two costs: their words, and the patches of the boxes of the image of their number."""
+    patches = F.floor((F.col("x2") - F.col("x1")) * 4 / 14) * F.floor((F.col("y2") - F.col("y1")) * 4 / 14)
+    images = line_boxes(spark, sf_dir).groupBy(F.col("image").alias("draw_id")).agg(F.sum(patches).cast("long").alias("vision_patches"))
+    rows = document_draws(spark, sf_dir).join(images, "draw_id", "left").na.fill({"vision_patches": 0})
+    return rows.withColumn("stream", F.floor(F.col("draw_id") / STREAM_DRAWS))
+
+
+@query()
+def budgeted_microbatches(spark, sf_dir):
+    return packing.planned_microbatches(costed_draws(spark, sf_dir), "stream", BUDGETED)
+
+
+@query()
+def balanced_frames(spark, sf_dir):
+    """The same microbatches, dealt to ranks so that over eight steps they carry alike."""
+    return packing.balanced_frames(budgeted_microbatches(spark, sf_dir), "stream", BUDGETED, 8).withColumn("skew", F.round("skew", 9))
+
+
+@query()
+def budgeted_ranks(spark, sf_dir):
+    """Eight documents a step as packs of their own, dealt to four ranks under two caps."""
+    rows = costed_draws(spark, sf_dir).withColumns({"step": F.floor(F.col("draw_id") / 8), "pack_index": F.col("draw_id") % 8})
+    return packing.ranked_packs(rows, "step", 4, 3, 2 * CAPACITY, {"vision_patches": 9_000})
+
+
+@query()
+def streamed_microbatches(spark, sf_dir):
+    """All documents, in spread order of their sources, as a stream of draws that is planned as it comes; what its log holds at the end."""
+    tables = Rounds(spark, "stream")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words().alias("tokens"))
+    docs = tables.table("documents", sampling.ordinals(docs, ["source"], id_bin(), ["doc_id"], "row_index"))
+    sizes = docs.groupBy("source").agg(F.count("*").alias("size")).withColumn("weight", F.col("size").cast("double"))
+    sources = tables.table("sources", mixing.largest_remainders(mixing.active_sources(sizes), 512))
+    length = docs.count()
+    rows = mixing.spread(draws.draws(spark, length, STREAM_DRAWS), sources, 512).join(docs, ["source", "row_index"])
+    rows = rows.withColumn("stream", F.floor(F.col("draw_id") / STREAM_DRAWS))
+    log = draws.PlanLog(spark, f"{shared_folder(spark)}/millrace-plan-{uuid.uuid4().hex}")
+    query = log.start(draws.planned(rows, "stream", PLANNER, ends=length, per_stream=STREAM_DRAWS), processingTime="0 seconds")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return log.planned()
+
+
 # ---------------------------------------------------------------- scores and summaries
 
 

@@ -161,19 +161,24 @@ def concat_draws(spark: SparkSession, sources: DataFrame, draws: int, seed: int
     return rows.filter((F.col("position") >= F.col("first")) & (F.col("position") < F.col("end"))).select("draw_id", "source", (F.col("position") - F.col("first")).alias("row_index"))
 
 
-def spread_draws(spark: SparkSession, sources: DataFrame, draws: int, block: int) -> DataFrame:
-    """(draw_id, source, row_index) in low-discrepancy order; a source's rows come in order, over and over.
+def spread(rows: DataFrame, sources: DataFrame, block: int) -> DataFrame:
+    """(draw_id, source, row_index) of draws, a stream of them too, in low-discrepancy order; a source's rows come in order, over and over.
 
     ``sources`` has quota. The block of tickets is a small table; each draw is arithmetic on it.
     """
     tickets = sources.filter("quota > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)))
     place = F.row_number().over(Window.orderBy((2 * F.col("k") + 1) / (2 * F.col("quota")), "index")) - 1
     tickets = tickets.select(place.cast("long").alias("ticket"), "source", "size", "quota", "k")
-    rows = spark.range(draws).select(F.col("id").alias("draw_id"), F.floor(F.col("id") / block).alias("block_id"), (F.col("id") % block).alias("ticket"))
+    rows = rows.select("draw_id", F.floor(F.col("draw_id") / block).alias("block_id"), (F.col("draw_id") % block).alias("ticket"))
     occurrence = F.col("block_id") * F.col("quota") + F.col("k")
     return rows.join(F.broadcast(tickets), "ticket").select("draw_id", "source", (occurrence % F.col("size")).alias("row_index"))  # BLOCK_MOST tickets at most
 
 
+def spread_draws(spark: SparkSession, sources: DataFrame, draws: int, block: int) -> DataFrame:
+    """The first ``draws`` draws of ``spread``."""
+    return spread(spark.range(draws).select(F.col("id").alias("draw_id")), sources, block)
+
+
 def shuffled_draws(spark: SparkSession, names: list[str], sizes: list[int], weights: list[float], draws: int, seed: int) -> DataFrame:
     """(draw_id, source, row_index): shuffled, rotated blocks; a source's rows all come before one comes again.
 

@@ -86,10 +86,15 @@ def varlen_offsets(segments: DataFrame, pack: list[str], order: str) -> DataFram
     return segments.select("*", (stop - F.col("tokens")).cast("long").alias("start"), stop.cast("long").alias("stop"), F.sum("tokens").over(Window.partitionBy(*pack)).cast("long").alias("pack_length"))
 
 
-def pack_stats(segments: DataFrame, pack: list[str], keys: list[str]) -> DataFrame:
-    """Per key: packs, segments, tokens, padded tokens (packs times the longest) and the waste between them."""
-    lengths = segments.groupBy(*keys, *[p for p in pack if p not in keys]).agg(F.sum("tokens").alias("n"), F.count("*").alias("k"))
-    out = lengths.groupBy(*keys).agg(F.count("*").alias("packs"), F.sum("k").alias("segments"), F.sum("n").alias("tokens"), (F.count("*") * F.max("n")).alias("padded_tokens"))
+def pack_stats(segments: DataFrame, pack: list[str], keys: list[str], status: str = "status") -> DataFrame:
+    """Per key: packs, segments, tokens, padded tokens (packs times the longest) and the waste between them; draws that no pack can hold, by their own count."""
+    held = F.col(status) == "packed" if status in segments.columns else F.lit(True)
+    lengths = segments.groupBy(*keys, *[p for p in pack if p not in keys], held.alias("_held")).agg(F.sum("tokens").alias("n"), F.count("*").alias("k"))
+    among = lambda c: F.when(F.col("_held"), F.col(c))
+    packs = F.count_if("_held")
+    out = lengths.groupBy(*keys).agg(
+        packs.alias("packs"), F.coalesce(F.sum(among("k")), F.lit(0)).alias("segments"), F.coalesce(F.sum(among("n")), F.lit(0)).alias("tokens"), F.coalesce(packs * F.max(among("n")), F.lit(0)).alias("padded_tokens"),
+        F.coalesce(F.sum(F.when(~F.col("_held"), F.col("k"))), F.lit(0)).alias("oversize"))
     return out.withColumn("padding", F.when(F.col("padded_tokens") > 0, 1 - F.col("tokens") / F.col("padded_tokens")).otherwise(0.0))
 
 

@@ -520,12 +520,19 @@ def rendered_prompts(spark, sf_dir):
 # ---------------------------------------------------------------- packing
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def words(text: str = "text"):
+    """Words of a text, which stand for its tokens; one at least, as a draw has a cost."""
+    return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)), F.lit(1)).cast("long")
+
+
 def document_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = F.greatest(F.floor(F.col("n_chars") / 6), F.lit(1)).cast("long")  # about six characters a token
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("draw_id"), tokens.alias("tokens"), F.floor(F.col("doc_id") / 64).alias("window"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("draw_id"), words().alias("tokens"), F.floor(F.col("doc_id") / 64).alias("window"))
 
 
-DRAWS = "draws AS (SELECT doc_id AS draw_id, GREATEST(n_chars // 6, 1)::BIGINT AS tokens, doc_id // 64 AS \"window\" FROM documents)"
+DRAWS = f"draws AS (SELECT doc_id AS draw_id, greatest(len(regexp_extract_all(coalesce(text, ''), '{WORD}')), 1)::BIGINT AS tokens, doc_id // 64 AS \"window\" FROM documents)"
 
 
 @query(f'WITH {DRAWS} SELECT draw_id, tokens, "window", row_number() OVER (PARTITION BY "window" ORDER BY tokens DESC, draw_id) - 1 AS position FROM draws')
@@ -549,7 +556,7 @@ def greedy_packs(spark, sf_dir):
 
 @query()
 def packing_stats(spark, sf_dir):
-    return packing.pack_stats(greedy_packs(spark, sf_dir).filter("status = 'packed'"), ["window", "round", "pack_index"], ["window"])
+    return packing.pack_stats(greedy_packs(spark, sf_dir), ["window", "round", "pack_index"], ["window"])
 
 
 PLANNER = packing.Planner(world_size=4, local_limit=4, max_tokens=4 * CAPACITY, buffer_size=32, seed=42)
@@ -673,14 +680,13 @@ def hash_shards(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Good documents, each text once, drawn from their sources in spread order, packed by window, with figures per pack."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id"), "doc_id", "left_anti")
-    docs = records.keep_first(docs.select("doc_id", "source", "n_chars", F.sha2("text", 256).alias("h")), ["h"], ["doc_id"])
+    docs = records.keep_first(docs.select("doc_id", "source", words().alias("tokens"), F.sha2("text", 256).alias("h")), ["h"], ["doc_id"])
     docs = sampling.ordinals(docs, ["source"], id_bin(), ["doc_id"], "row_index")
     sizes = docs.groupBy("source").agg(F.count("*").alias("size")).withColumn("weight", F.col("size").cast("double"))
     sources = mixing.largest_remainders(mixing.active_sources(sizes), 512)
     draws = mixing.spread_draws(spark, sources, sources.agg(F.sum("size")).first()[0] or 0, 512).join(docs, ["source", "row_index"])
-    rows = draws.select("draw_id", F.greatest(F.floor(F.col("n_chars") / 6), F.lit(1)).cast("long").alias("tokens"), F.floor(F.col("draw_id") / 64).alias("window"))
-    packs = packing.greedy_packs(rows, "window", 2, CAPACITY).filter("status = 'packed'")
-    return packing.pack_stats(packs, ["window", "round", "pack_index"], ["window"])
+    rows = draws.select("draw_id", "tokens", F.floor(F.col("draw_id") / 64).alias("window"))
+    return packing.pack_stats(packing.greedy_packs(rows, "window", 2, CAPACITY), ["window", "round", "pack_index"], ["window"])
 
 
 QUERIES["flagship"] = flagship

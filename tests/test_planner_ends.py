@@ -163,3 +163,35 @@ def test_frames_are_balanced(spark):
             sums = [sum(of(load[s, k, r]) for k in steps if (s, k, r) in load) for r in (0, 1)]
             skew = max(abs(x - sum(sums) / 2) / (sum(sums) / 2) for x in sums)
             assert {round(r["skew"], 9) for k in steps for q in (0, 1) for r in load.get((s, k, q), [])} == {round(skew, 9)}
+
+
+def test_queries_under_budgets(spark):
+    """Every document is in a microbatch once; caps hold; the frames keep the microbatches and only deal them anew; ranks keep both caps."""
+    from millrace import planning_queries as P
+
+    want = {r["draw_id"]: (r["tokens"], r["vision_patches"]) for r in P.costed_draws(spark, SF).collect()}
+    rows = P.budgeted_microbatches(spark, SF).collect()
+    assert {r["draw_id"]: (r["tokens"], r["vision_patches"]) for r in rows} == want and len(rows) == len(want)
+    entries = sorted((d, *c) for d, c in want.items())
+    assert sorted((r["microstep"], r["rank"], r["slot"], r["draw_id"]) for r in rows) == sorted(r[:4] for r in P.BUDGETED.run(entries, final=True)[0])
+    batch = lambda rs: {k: sorted(r["draw_id"] for r in rs if (r["microstep"], r["rank"]) == k) for k in {(r["microstep"], r["rank"]) for r in rs}}
+    framed = batch(P.balanced_frames(spark, SF).collect())
+    before = batch(rows)
+    for step in {s for s, _ in before}:
+        assert sorted(v for k, v in framed.items() if k[0] == step) == sorted(v for k, v in before.items() if k[0] == step)
+    held = {}
+    for r in P.budgeted_ranks(spark, SF).collect():
+        if r["rank"] is not None:
+            t, p, n = held.get((r["step"], r["rank"]), (0, 0, 0))
+            held[r["step"], r["rank"]] = (t + r["tokens"], p + r["vision_patches"], n + 1)
+    assert held and all(t <= 65_536 and p <= 9_000 and n <= 3 for t, p, n in held.values())
+
+
+def test_streamed_query_equals_one_run(spark):
+    from millrace import planning_queries as P
+
+    rows = P.streamed_microbatches(spark, SF).collect()
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    entries = sorted((r["draw_id"], r["tokens"]) for r in rows)
+    assert [d for d, _ in entries] == list(range(n))
+    assert sorted(tuple(r[c] for c in ("microstep", "rank", "slot", "draw_id", "tokens")) for r in rows) == sorted(queries.PLANNER.run(entries, final=True)[0])

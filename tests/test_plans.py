@@ -10,7 +10,7 @@ from millrace.functions import geometry, json_text, polylines, prompts
 from millrace.operators import annotations, sequences
 from millrace.plans import mixing, packing, sampling, transforms
 from millrace.sources import records, registry
-from millrace.streaming import planner
+from millrace.streaming import draws
 
 
 def test_ticket_quotas():
@@ -74,17 +74,16 @@ def test_planner_goes_on_where_it_stopped():
 
 
 def test_planned_stream(spark, tmp_path):
-    """Two micro-batches of draws give the same microbatches as one run over all of them."""
-    draws = [(s, i, 1 + (i * 29 + s) % 60) for s in range(2) for i in range(60)]
+    """Two micro-batches of files of draws give the same microbatches as one run over all of them."""
+    rows = [(s, i, 1 + (i * 29 + s) % 60) for s in range(2) for i in range(60)]
     schema = "stream long, draw_id long, tokens long"
-    for k, part in enumerate((range(0, 30), range(30, 60))):
-        spark.createDataFrame([d for d in draws if d[1] in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        plan = packing.Planner(2, 4, 200, 12)
-        stream = planner.plan_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "stream", plan)
-        run = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
-        run.awaitTermination(120)
-    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("stream", "microstep", "rank", "slot", "draw_id", "tokens").collect())
-    want = sorted((s, *x) for s in range(2) for x in plan.run([(i, t) for k, i, t in draws if k == s], final=False)[0])
+    plan = packing.Planner(2, 4, 200, 12)
+    log = draws.PlanLog(spark, str(tmp_path / "plan"))
+    for part in (range(0, 30), range(30, 60)):
+        spark.createDataFrame([d for d in rows if d[1] in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        log.start(draws.planned(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "stream", plan), availableNow=True).awaitTermination(120)
+    got = sorted(tuple(r) for r in log.planned().select("stream", "microstep", "rank", "slot", "draw_id", "tokens").collect())
+    want = sorted((s, *x) for s in range(2) for x in plan.run([(i, t) for k, i, t in rows if k == s], final=False)[0])
     assert got == want
 
 
