@@ -1,13 +1,16 @@
 """Personal data: spans by pattern, and information-theoretic sanitisation of the terms that give them away.
 
-A protected entity is the value of a base span. How strongly a term reveals it is estimated from the corpus: the
-pointwise mutual information of term and entity over documents, as a share of the entity's information content. Counts are
-smoothed, so that few documents have to show more than many. Terms above the disclosure threshold become spans too, in the
-documents that hold the entity.
+A protected entity is the value of a base span. A term reveals it by what the corpus shows of the two: of the documents
+with the term a share holds the entity too. The lower bound of that share, at a fixed confidence and from the number of different
+texts that show it, says how many bits of the entity are left to guess, at most. Where few are left, and knowing the term was a
+gain at all, the term becomes a span too, in the documents that hold the entity. What a bound rests on are counts of the
+term and of the entity, so a document has the same spans however large the corpus around it is.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +29,10 @@ PATTERNS = {
 OCTETS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|(?<=0))(?:\.|$)){4}$"
 WORD = r"[^\x20\x09-\x0D]+"
 
-DISCLOSURE = 0.9  # a term that gives away this share of an entity's information goes
+LEFT = 1.0  # bits of an entity that a term may leave to guess if it is to count as giving it away
+GAIN = 1.0  # bits that knowing the term has to be worth, as against the entity's share of all documents
+CONFIDENCE = 1.96  # standard deviations of the lower bound of a share
+SMALL_TERMS = 1_000_000  # terms, 8 bytes each, that go to all tasks
 
 
 def luhn(digits: Column) -> Column:
@@ -96,44 +102,56 @@ def distinct_texts(found: DataFrame) -> DataFrame:
     return held.select("*", entities.alias("entities"), term_codes(F.col("text")).alias("terms"))
 
 
-def entity_terms(texts: DataFrame) -> DataFrame:
-    """(h1, h2, n, entity, term) for each entity and term of each text."""
-    rows = texts.select("h1", "h2", "n", "terms", F.explode("entities").alias("entity"))
-    return rows.select("h1", "h2", "n", "entity", F.explode("terms").alias("term"))
+def lower_share(share: Column, trials: Column, z: float) -> Column:
+    """The lower end of the score interval of a share that was seen in some trials."""
+    return (share + z * z / (2 * trials) - z * F.sqrt(share * (1 - share) / trials + z * z / (4 * trials * trials))) / (1 + z * z / trials)
+
+
+def least_texts(left: float, z: float) -> int:
+    """How many different texts have to show a share of one for its lower bound, n / (n + z^2), to leave ``left`` bits at most."""
+    share = 2.0**-left
+    return ceil(share * z * z / (1 - share) - 1e-9)
 
 
-def disclosing_terms(docs: DataFrame, texts: DataFrame, text_col: str, disclosure: float) -> DataFrame:
-    """(entity, term, share): terms, as hashes of words, that give away at least ``disclosure`` of an entity.
+def disclosing_terms(docs: DataFrame, texts: DataFrame, text_col: str, left: float, gain: float, z: float) -> DataFrame:
+    """(entity, term): terms, as hashes of words, that give an entity away.
 
-    All counts are of documents, over the whole corpus: N documents, n(e) with the entity, n(t) with the term, n(e, t)
-    with both. PMI = log(N m / (n(e) n(t))) and IC = log(N / n(e)), where m = n(e, t)^2 / (n(e, t) + 1) is the count of
-    both, smoothed: one document counts half, many nearly in full. An entity or a pair of any count is looked at; the share for n(e) = N is 0.
+    Of n(t) documents with a term n(e, t) hold the entity, in s different texts. Copies of a text show a share no better than
+    the text does, so the share n(e, t) / n(t) counts as seen in s n(t) / n(e, t) trials. Let p be its lower bound:
+    -log2 p is at most ``left``, and log2(p N / n(e)) at least ``gain``, of N documents n(e) with the entity. Both need
+    ``least_texts`` of an entity and of a term beside it, and n(t) of n(e) 2^left at most; what falls short is left out before
+    entities meet terms. Within that, entities and terms of any count are looked at, over the whole corpus.
     """
-    total = docs.count()
-    known = texts.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("n_e"))
-    joint = entity_terms(texts).groupBy("entity", "term").agg(F.sum("n").alias("n_et"))
-    joint = materialize(joint.join(known, "entity"), "joint-terms")
-    terms = docs.select(F.explode(term_codes(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = joint.join(terms, "term")
-    both = F.col("n_et") * F.col("n_et") / (F.col("n_et") + 1)
-    pmi = F.log2(F.lit(float(total)) * both / (F.col("n_e") * F.col("n_t")))
-    # what stands in every document carries no information, so nothing gives any of it away
-    share = F.when(F.col("n_e") < total, pmi / F.log2(F.lit(float(total)) / F.col("n_e"))).otherwise(0.0)
-    return scored.select("entity", "term", share.alias("share")).filter(F.col("share") >= disclosure)
+    total, least, share = docs.count(), least_texts(left, z), 2.0**-left
+    each = texts.select("h1", "h2", "n", F.explode("entities").alias("entity"))
+    known = each.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("s_e")).filter((F.col("s_e") >= least) & (F.col("n_e") * 2.0**gain <= total)).drop("s_e")
+    held = materialize(each.join(known, "entity"), "known-entities")
+    beside = texts.join(held.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", F.explode("terms").alias("term"))
+    often = materialize(beside.groupBy("term").agg(F.count("*").alias("s_t")).filter(F.col("s_t") >= least).select("term"), "terms-beside")
+    few = F.broadcast(often) if often.count() <= SMALL_TERMS else often
+    words = docs.select(F.explode(term_codes(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("term"))
+    counts = materialize(words.join(few, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")), "term-counts")
+    met = held.join(beside.join(counts, "term"), ["h1", "h2"]).filter(F.col("n_t") * share <= F.col("n_e"))
+    pairs = met.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("s_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    seen = F.col("n_et") / F.col("n_t")
+    pairs = pairs.withColumn("p", lower_share(seen, F.col("s_et") / seen, z))
+    return pairs.filter((F.col("p") >= share - 1e-12) & (F.col("p") * total >= F.col("n_e") * 2.0**gain)).select("entity", "term")
 
 
 def term_spans(texts: DataFrame, told: DataFrame) -> DataFrame:
     """(h1, h2, terms): spans of the words of each text that give away an entity of it and touch no base span."""
-    wanted = entity_terms(texts).join(told, ["entity", "term"]).select("h1", "h2", "term").distinct()
+    wanted = texts.select("h1", "h2", F.explode("entities").alias("entity")).join(told, "entity").select("h1", "h2", "term").distinct()
+    some = texts.join(wanted.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     gaps = F.split("text", WORD, -1)
-    rows = texts.select("h1", "h2", "base", F.posexplode(F.zip_with(words, F.slice(gaps, 1, F.size(words)), lambda w, g: F.struct(w.alias("word"), g.alias("gap")))).alias("i", "x"))
+    rows = some.select("h1", "h2", "base", F.posexplode(F.zip_with(words, F.slice(gaps, 1, F.size(words)), lambda w, g: F.struct(w.alias("word"), g.alias("gap")))).alias("i", "x"))
     along = Window.partitionBy("h1", "h2").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.char_length("x.gap") + F.char_length("x.word")).over(along).cast("int")
-    rows = rows.select("h1", "h2", "base", F.xxhash64("x.word").alias("term"), F.char_length("x.word").alias("n"), end.alias("end"))
+    kind = F.when(F.col("x.word").rlike("[0-9]"), "NUMBER").when(F.col("x.word").rlike(r"^\P{L}*\p{Lu}"), "NAME").otherwise("")
+    rows = rows.select("h1", "h2", "base", F.xxhash64("x.word").alias("term"), F.char_length("x.word").alias("n"), end.alias("end"), kind.alias("kind"))
     rows = rows.join(wanted, ["h1", "h2", "term"]).withColumn("start", F.col("end") - F.col("n"))
     free = ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    span = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("value"))
+    span = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.col("kind").alias("value"))
     return rows.filter(free).groupBy("h1", "h2").agg(F.array_sort(F.collect_set(span)).alias("terms"))
 
 
@@ -143,16 +161,17 @@ def listed(spans: Column) -> Column:
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """A text with its base spans generalised to their kinds in brackets, and its terms removed.
+    """A text with its base spans generalised to their kinds in brackets, its terms to [NAME] or [NUMBER] where their form says so, other terms removed.
 
     Where spans overlap, the one that starts first is taken and the others add what they reach beyond it. Each stretch
     between two spans is looked up by its place in code points.
     """
-    marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS), F.lit(""))
+    marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.when(s["start"] > acc["at"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).otherwise("")
-        mark = F.when(s["start"] < acc["at"], "").otherwise(F.element_at(marks, s["rank"] + 1))
+        term = F.when(s["value"] != "", F.concat(F.lit("["), s["value"], F.lit("]"))).otherwise("")
+        mark = F.when(s["start"] < acc["at"], "").when(s["rank"] == len(KINDS), term).otherwise(F.element_at(marks, s["rank"] + 1))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap, mark)).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -160,18 +179,20 @@ def sanitised(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, new).otherwise(text)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", left: float = LEFT, gain: float = GAIN, z: float = CONFIDENCE) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, clean_text.
 
     spans lists all spans as kind:start:end by start, then kind (email, ip, card, phone, term); base_sha256 is the
     SHA-256 of the list of those found by pattern. Places are code points, ends exclusive. clean_text is the text with
-    its base spans generalised to their kinds and its terms removed. A document without a base
+    its base spans generalised to their kinds, its terms to [NAME] (a capital first), [NUMBER] (with a digit) or removed. ``left``,
+    ``gain`` and ``z`` say when a term gives an entity away (``disclosing_terms``); an entity that fewer than ``least_texts``
+    different texts hold has no terms, as nothing can be told of it with that confidence. A document without a base
     span has none at all, and its text as it is. A null text counts as empty and stays null. A row's spans are those of its own text, whether its
     id is null or repeated. Other columns of ``docs`` are not read. An empty table gives no rows.
     """
     found = materialize(base_spans(docs, id_col, text_col), "base-spans")
     texts = materialize(distinct_texts(found), "private-texts")
-    told = materialize(disclosing_terms(docs, texts, text_col, disclosure), "disclosing")
+    told = materialize(disclosing_terms(docs, texts, text_col, left, gain, z), "disclosing")
     bare = found.select("doc_id", "base", "text", "h1", "h2")
     # rows without a base span need no join
     held = bare.filter("h1 IS NOT NULL").join(term_spans(texts, told), ["h1", "h2"], "left").drop("h1", "h2")
