@@ -84,8 +84,12 @@ def repaired(texts: pd.Series) -> pd.DataFrame:
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form of JSON text; null for what is not JSON, NaN and Infinity among it."""
-    return F.to_json(F.try_parse_json(text))
+    """The canonical form of JSON text; null for what is not JSON, NaN and Infinity among it, and numbers too large for a double."""
+    found = F.to_json(F.try_parse_json(text))
+    # Spark writes a number that overflows as a string, which is told from one that stood there by their count
+    endless = F.lit('"-?Infinity"')
+    large = text.rlike(r"[eE]\+?0*[1-9][0-9]{2}|[0-9]{309}") & (F.regexp_count(found, endless) > F.regexp_count(text, endless))
+    return F.when(F.coalesce(large, F.lit(False)), F.lit(None)).otherwise(found)
 
 
 def decode(rows, text: Column, name: str, kind: str = "json_any"):

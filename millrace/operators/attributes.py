@@ -16,7 +16,7 @@ SHAPE_ALIASES = {
 }
 ARROWS = ("none", "line", "stealth", "triangle", "pointy", "tee", "circle")
 LINEAR = ("bottom_to_top", "bottom_left_to_top_right", "left_to_right", "top_left_to_bottom_right")
-HEX = "^#[0-9A-Fa-f]{6}$"
+HEX = r"^#[0-9A-Fa-f]{6}\z"
 
 
 def value(payload: Column, path: str) -> Column:
@@ -28,10 +28,15 @@ def bound(parsed: Column, body) -> Column:
     return F.transform(F.array(parsed), body)[0]
 
 
-def parsed(payload: Column, *fields: str) -> Column:
-    """Fields of a JSON object as texts, in a struct, with all (its sorted keys) and there (whether it is an object)."""
+def parsed(payload: Column, *fields: str, booleans: tuple[str, ...] = ()) -> Column:
+    """Fields of a JSON object as texts, in a struct, with all (its sorted keys) and there (whether it is an object).
+
+    Of ``booleans`` the text is only there if the value is true or false, and not a string that says so.
+    """
     held = F.from_json(payload, ", ".join(f"{f} string" for f in fields))
-    return F.struct(*(held[f].alias(f) for f in fields), keys(payload).alias("all"), is_object(payload).alias("there"))
+    kind = lambda f: F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), f"$.{f}", "variant"))
+    text = lambda f: F.when(kind(f) == "BOOLEAN", held[f]) if f in booleans else held[f]
+    return F.struct(*(text(f).alias(f) for f in fields), keys(payload).alias("all"), is_object(payload).alias("there"))
 
 
 def keys(payload: Column) -> Column:
@@ -136,6 +141,7 @@ def segment_errors(points: Column) -> Column:
     return F.when(F.coalesce(F.size(line), F.lit(0)) < 1, names("points:must_be_nonempty_segment_list")).otherwise(F.flatten(F.transform(line, of_segment)))
 
 
+# Fixed values of the contract.
 LINE_FIELDS = ("line_type", "line_style", "is_single", "points", "begin_arrow", "end_arrow", "dash_style", "fill_color", "corner_style", "has_border", "border_style", "border_color")
 
 
@@ -167,7 +173,7 @@ def line_errors(parameters: Column, source: Column) -> Column:
         )
         return F.when(x["there"], F.concat(head, segment_errors(x["points"]), tail)).otherwise(names("root:expected_line_with_parameters"))
 
-    return bound(parsed(parameters, *LINE_FIELDS), check)
+    return bound(parsed(parameters, *LINE_FIELDS, booleans=("is_single", "has_border")), check)
 
 
 def choice(text: Column, allowed: tuple[str, ...], default: str = "unknown") -> Column:

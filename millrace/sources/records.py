@@ -9,8 +9,6 @@ from ..functions.text import strip
 from .registry import READERS
 
 FIRST_ERRORS = 20
-DEPTH = 4  # lists within lists that a message's content is looked through
-
 PART = "struct<type:string,text:string>"
 
 
@@ -24,16 +22,27 @@ def json_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     blocks = lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    scheme = lambda text: F.regexp_replace(text, r"^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+    found = scheme(F.concat(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), F.lit("/")))
     file_no = F.lit(None).cast("int")
-    for k, given in reversed(list(enumerate(paths))):
-        at = F.instr(F.concat(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), F.lit("/")), given.rstrip("/") + "/")
-        file_no = F.when(at > 0, k).otherwise(file_no)
+    # whole paths, the longest that holds the file, of equal ones the first; a path may be that of a folder
+    for k, given in sorted(enumerate(whole_paths(spark, paths)), key=lambda x: (len(x[1]), -x[0])):
+        file_no = F.when(found.startswith(scheme(F.lit(given + "/"))), k).otherwise(file_no)
     rows = lines.join(blocks, ["path", "block"]).select("path", F.coalesce(file_no, F.lit(0)).alias("file_no"), (F.col("id") + F.col("shift")).alias("line_no"), strip(F.col("value")).alias("value"))
     rows = rows.filter(F.col("value") != "")
     kind = F.expr("schema_of_variant(try_parse_json(value))")
     return rows.withColumn("ok", F.coalesce(kind.startswith("OBJECT"), F.lit(False)))
 
 
+def whole_paths(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Paths with their file system and from its root, as the files that Spark reads are named."""
+    out = []
+    for given in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(given)
+        out.append(place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/"))
+    return out
+
+
 @READERS.register("json_lines")
 def read_json_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return json_lines(spark, paths)
@@ -54,19 +63,34 @@ def text_field(*names: str, row: str = "value") -> Column:
     return F.coalesce(*(F.get_json_object(row, f"$.{n}") for n in names))
 
 
-def parts_of(content: Column, depth: int = DEPTH) -> Column:
+def list_depth(content: Column) -> Column:
+    """How many lists stand within one another at most in a variant, from its brackets outside of strings."""
+    brackets = F.regexp_replace(F.to_json(content), r'"(?:[^"\\]|\\.)*+"|[^\[\]]', "")
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
+
+
+def parts_of(content: Column) -> Column:
     """A message's content, a variant, as an array of struct(type, text): text stands for itself, objects by their type,
-    lists are flattened, to DEPTH; anything else is written out as text."""
-    kind = F.schema_of_variant(content)
-    get = lambda path, of: F.try_variant_get(content, path, of)
+    lists are flattened, however deep; anything else is written out as text."""
     part = lambda k, text: F.array(F.struct(F.lit(k).alias("type"), text.cast("string").alias("text")))
-    written = F.when(kind == "STRING", get("$", "string")).otherwise(F.to_json(content))
-    named = get("$.type", "string")
-    held = F.try_variant_get(content, "$.text", "variant")
-    inner = F.when(F.schema_of_variant(held) == "STRING", F.try_variant_get(held, "$", "string")).otherwise(F.to_json(held))
-    of_object = F.when(named == "image", part("image", F.lit(None))).when(held.isNotNull() | (named == "text"), part("text", F.coalesce(inner, F.lit("")))).otherwise(part("text", written))
-    of_list = F.flatten(F.transform(get("$", "array<variant>"), lambda x: parts_of(x, depth - 1))) if depth else part("text", written)
-    return F.when(content.isNull(), part("text", F.lit(""))).when(kind.startswith("OBJECT"), of_object).when(kind.startswith("ARRAY"), of_list).otherwise(part("text", written))
+    is_list = lambda v: F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+
+    def single(v: Column) -> Column:
+        written = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+        named, held = F.try_variant_get(v, "$.type", "string"), F.try_variant_get(v, "$.text", "variant")
+        inner = F.when(F.schema_of_variant(held) == "STRING", F.try_variant_get(held, "$", "string")).otherwise(F.to_json(held))
+        of_object = F.when(named == "image", part("image", F.lit(None))).when(held.isNotNull() | (named == "text"), part("text", F.coalesce(inner, F.lit("")))).otherwise(part("text", written))
+        return F.when(v.isNull(), part("text", F.lit(""))).when(F.schema_of_variant(v).startswith("OBJECT"), of_object).otherwise(part("text", written))
+
+    items = F.try_variant_get(content, "$", "array<variant>")
+    opened = lambda acc, _: F.flatten(F.transform(acc, lambda v: F.when(is_list(v), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))))
+    deeper = F.when(list_depth(content) > 1, F.aggregate(F.sequence(F.lit(2), list_depth(content)), items, opened)).otherwise(items)
+    return F.when(is_list(content), F.flatten(F.transform(deeper, single))).otherwise(single(content))
 
 
 def messages_of(row: Column) -> Column:
