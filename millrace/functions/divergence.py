@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,52 @@ def lr_scale(kind: str, step: Column, warmup: int, steps: int, cycles: float = 0
         "cosine_restarts": F.when(gone >= 1, 0.0).otherwise(0.5 * (1 + F.cos(F.lit(pi) * ((cycles * gone) % 1.0)))), "polynomial": F.pow(1 - gone, power), "inverse_sqrt": F.sqrt(F.lit(float(max(1, warmup))) / F.greatest(s, F.lit(1.0))),
     }[kind]
     return F.when(s < warmup, s / float(max(1, warmup))).otherwise(after)
+
+
+def chunk_state(student: Column, teacher: Column, temperature: float) -> Column:
+    """What one chunk of two rows of logits adds to a divergence, as a struct: for either side its highest logit m, the sum of exp(x - m), and that
+    sum weighted by the difference to the other side, all of logits over the temperature."""
+    x, y = (F.transform(v, lambda z: z.cast("double") / temperature) for v in (student, teacher))
+
+    def side(a: Column, b: Column) -> Column:
+        return let(F.array_max(a), lambda m: F.struct(
+            m.alias("m"), total(F.transform(a, lambda z: F.exp(z - m))).alias("mass"), total(F.zip_with(a, b, lambda z, w: F.exp(z - m) * (z - w))).alias("gap")))
+
+    return let(F.struct(x.alias("x"), y.alias("y")), lambda v: F.struct(side(v["x"], v["y"]).alias("s"), side(v["y"], v["x"]).alias("t")))
+
+
+def merged_side(states: Column, name: str) -> Column:
+    """struct(log_sum, gap) of one side over all chunks: the logarithm of the sum of exp, and the mean difference to the other side."""
+    top = F.array_max(F.transform(states, lambda c: c[name]["m"]))
+    return let(top, lambda m: let(
+        F.aggregate(states, F.struct(F.lit(0.0).alias("mass"), F.lit(0.0).alias("gap")), lambda a, c: F.struct((a["mass"] + c[name]["mass"] * F.exp(c[name]["m"] - m)).alias("mass"), (a["gap"] + c[name]["gap"] * F.exp(c[name]["m"] - m)).alias("gap"))),
+        lambda a: F.struct((F.log(a["mass"]) + m).alias("log_sum"), (a["gap"] / a["mass"]).alias("gap"))))
+
+
+def chunked_divergences(chunks: DataFrame, keys: list[str], student: str, teacher: str, temperature: float = 1.0) -> DataFrame:
+    """(keys, reverse_kl, forward_kl, jsd) of positions whose logits over the vocabulary come in chunks, a row each.
+
+    A chunk's state is six numbers, and those of a position's chunks merge in any order, so for both KL no logits are shuffled: with
+    log p = x - log_sum, the sum of p (log p - log q) is the mean difference of logits less the difference of the log_sums. The middle
+    distribution of jsd needs both log_sums first, and so a second look at the chunks.
+    """
+    states = chunks.select(*keys, chunk_state(F.col(student), F.col(teacher), temperature).alias("c")).groupBy(*keys).agg(F.collect_list("c").alias("c"))
+    rows = states.select(*keys, merged_side(F.col("c"), "s").alias("s"), merged_side(F.col("c"), "t").alias("t"))
+    apart = F.col("s.log_sum") - F.col("t.log_sum")
+    rows = rows.select(*keys, (F.col("s.gap") - apart).alias("reverse_kl"), (F.col("t.gap") + apart).alias("forward_kl"), F.col("s.log_sum").alias("_s"), F.col("t.log_sum").alias("_t"))
+    pairs = F.zip_with(student, teacher, lambda a, b: F.struct((a.cast("double") / temperature - F.col("_s")).alias("p"), (b.cast("double") / temperature - F.col("_t")).alias("q")))
+
+    def of_pair(v: Column) -> Column:
+        # the logarithm of the mean of exp(p) and exp(q), from the larger of the two
+        top = F.greatest(v["p"], v["q"])
+        middle = top + F.log((F.exp(v["p"] - top) + F.exp(v["q"] - top)) / 2)
+        return (F.exp(v["p"]) * (v["p"] - middle) + F.exp(v["q"]) * (v["q"] - middle)) / 2
+
+    jsd = chunks.join(rows.select(*keys, "_s", "_t"), keys).groupBy(*keys).agg(F.sum(total(F.transform(pairs, of_pair))).alias("jsd"))
+    return rows.drop("_s", "_t").join(jsd, keys)
+
+
+def objective_sums(divergences: DataFrame, keys: list[str], kind: str, temperature: float = 1.0) -> DataFrame:
+    """(keys, numerator, denominator, loss): a divergence summed over positions, times the temperature squared, over the number of positions."""
+    out = divergences.groupBy(*keys).agg((F.sum(kind) * temperature**2).alias("numerator"), F.count("*").alias("denominator"))
+    return out.withColumn("loss", F.col("numerator") / F.col("denominator"))
