@@ -67,7 +67,8 @@ def ticket_quotas(weights: list[float]) -> list[int]:
     """Integer quotas of a block that keep each source's share within 5 %.
 
     Weights that are ratios of small integers give the exact block, multiplied towards BLOCK_TARGET tickets. Others give
-    the block size up to BLOCK_MOST with the least worst relative error, then the least total error, then the smallest.
+    the block size up to BLOCK_MOST with the least worst relative error, then the least total error, then the smallest. Sizes at which
+    some source cannot be within the error are left out at once; the others are tried in the order of what they can do at best.
     """
     top = max(weights)
     scaled = [w / top for w in weights]
@@ -78,26 +79,61 @@ def ticket_quotas(weights: list[float]) -> list[int]:
         exact = [x // gcd(*exact) for x in exact]
         if sum(exact) <= BLOCK_MOST:
             return [x * max(1, BLOCK_TARGET // sum(exact)) for x in exact]
-    total = sum(scaled)
-    shares = np.array([w / total for w in scaled])
+    shares = np.array(scaled) / sum(scaled)
+    sizes = fitting_sizes(shares)
+    bound = np.concatenate([least_errors(sizes[k : k + 1024], shares) for k in range(0, len(sizes), 1024)]) if len(sizes) else np.zeros(0)
+    order = np.argsort(bound, kind="stable")
     best = None
-    for lo in range(len(weights), BLOCK_MOST + 1, 2048):
-        sizes = np.arange(lo, min(lo + 2048, BLOCK_MOST + 1))
-        exact = sizes[:, None] * shares
-        quotas = np.floor(exact)
-        order = np.argsort(-(exact - quotas), axis=1, kind="stable")
-        rank = np.argsort(order, axis=1, kind="stable")
-        quotas += rank < (sizes - quotas.sum(axis=1))[:, None]
-        error = np.where(quotas > 0, np.abs(quotas / sizes[:, None] / shares - 1), np.inf).max(axis=1)
-        total_error = np.abs(quotas / sizes[:, None] - shares).sum(axis=1)
-        i = min(range(len(sizes)), key=lambda k: (error[k], total_error[k], sizes[k]))
-        found = (error[i], total_error[i], int(sizes[i]), quotas[i].astype(int).tolist())
+    for k in range(0, len(order), 16):
+        some = order[k : k + 16]
+        if best is not None and bound[some[0]] > best[0]:
+            break  # no size from here on can do as well
+        found = min(remainders(sizes[some], shares), key=lambda x: x[:3])
         best = found if best is None or found[:3] < best[:3] else best
     if best is None or best[0] > WORST_ERROR:
         raise ValueError("a source's weight is too small to be kept within 5 % by a block")
     return best[3]
 
 
+def fitting_sizes(shares: np.ndarray) -> np.ndarray:
+    """Block sizes at which each source by itself has some quota within WORST_ERROR of its share.
+
+    A quota q is within it for sizes from q / (p (1 + e)) to q / (p (1 - e)). The stretches of a share, without what they have in common,
+    are counted in an array of differences; all quotas of all shares together are about BLOCK_MOST.
+    """
+    change = np.zeros(BLOCK_MOST + 2, np.int64)
+    for p, sources in zip(*np.unique(shares, return_counts=True)):
+        q = np.arange(1, int(BLOCK_MOST * p * (1 + WORST_ERROR)) + 2)
+        low = np.ceil(q / (p * (1 + WORST_ERROR)) - 1e-9).astype(np.int64)
+        high = np.minimum(np.floor(q / (p * (1 - WORST_ERROR)) + 1e-9).astype(np.int64), BLOCK_MOST)
+        low[1:] = np.maximum(low[1:], high[:-1] + 1)
+        some = low <= high
+        np.add.at(change, low[some], sources)
+        np.add.at(change, high[some] + 1, -sources)
+    held = np.cumsum(change)[: BLOCK_MOST + 1] == len(shares)
+    held[: len(shares)] = False
+    return np.flatnonzero(held)
+
+
+def least_errors(sizes: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """For each block size the worst relative error that it has at least, every source taking the better of its two whole quotas."""
+    exact = sizes[:, None] * shares
+    low = np.floor(exact)
+    below = np.where(low > 0, exact - low, np.inf)
+    return (np.minimum(below, low + 1 - exact) / exact).max(axis=1) - 1e-12
+
+
+def remainders(sizes: np.ndarray, shares: np.ndarray) -> list[tuple[float, float, int, list[int]]]:
+    """(worst relative error, total error, size, quotas) of each block size, quotas by largest remainders."""
+    exact = sizes[:, None] * shares
+    quotas = np.floor(exact)
+    order = np.argsort(-(exact - quotas), axis=1, kind="stable")
+    rank = np.argsort(order, axis=1, kind="stable")
+    quotas += rank < (sizes - quotas.sum(axis=1))[:, None]
+    error = np.where(quotas > 0, np.abs(quotas / sizes[:, None] / shares - 1), np.inf).max(axis=1)
+    total = np.abs(quotas / sizes[:, None] - shares).sum(axis=1)
+    return [(float(e), float(t), int(n), q.astype(int).tolist()) for e, t, n, q in zip(error, total, sizes, quotas)]
+
 
 def shuffled_block(quotas: list[int], seed: int) -> list[int]:
     """The shuffled block: a chain of splitmix64 values picks each exchange, from the last place down."""
