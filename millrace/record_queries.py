@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .functions import json_text
@@ -9,6 +11,8 @@ from .operators import attributes as T
 from .plans import sampling
 from .queries import CLEAN_TURNS, id_bin, query, table
 from .sources import records
+from .sources.ordinals import OrdinalIndex
+from .sources.scratch import shared_folder
 
 STRIPPED = "regexp_replace({x}, '^[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+|[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+$', '', 'g')"
 
@@ -182,10 +186,12 @@ def line_strata(spark, sf_dir):
 
 @query("""SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i FROM events) JOIN (VALUES ('click', 3), ('click', 3), ('view', 7)) w(event_type, i) USING (event_type, i)""")
 def row_lookup(spark, sf_dir):
-    """Rows by dataset and ordinal, as often as they are asked for."""
+    """Rows by dataset and place, as often as they are asked for, from a table that is written in parts of 4,096 places."""
     rows = sampling.ordinals(table(spark, sf_dir, "events").select("event_type", "event_id"), ["event_type"], id_bin("event_id"), ["event_id"], "row_index")
+    index = OrdinalIndex(spark, f"{shared_folder(spark)}/millrace-ordinals-{uuid.uuid4().hex}", ["event_type"], 4096)
+    index.write(rows)
     wanted = spark.createDataFrame([("click", 3), ("click", 3), ("view", 7)], "event_type string, row_index long")
-    return records.rows_at(rows, wanted, ["event_type", "row_index"]).select("event_type", "event_id")
+    return index.lookup(wanted).select("event_type", "event_id")
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'regular_hexagon' WHEN 1 THEN 'oval' WHEN 2 THEN 'other' ELSE 'arrow_pentagon' END AS shape, CASE WHEN p_partkey % 2 = 0 THEN 'dash_dot' ELSE 'unknown' END AS style, p_partkey % 3 = 0 AS shown,
