@@ -29,8 +29,8 @@ def small_star(edges: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """One row (node, component) for each node of ``links`` but those that are the smallest of their component, which is its name.
 
-    Large and small stars take turns until every component is a star around its smallest node. A round halves
-    distances at least, so a path of n nodes takes about log2(n) rounds, whatever the order of its numbers; a star or a clique takes one.
+    Large and small stars take turns until every component is a star around its smallest node. A star or a clique takes one
+    round. Measured, not proved: paths and random graphs of n nodes take about log2(n), 14 for a path of 10,000, whatever the order of their numbers.
     Each round reads the table of the round before and writes one, so plans stay short; older tables are deleted.
     Links, nodes and components stay in Spark; the driver sees only counts.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -19,7 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -46,9 +47,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 ROW_KEY, ROW_HASH = "_row_key", "_row_hash"
 
 
+def row_hash(df: DataFrame, *seeds: int) -> Column:
+    """A hash of all columns of a row. Maps and variants, which Spark does not hash, go in as JSON."""
+    odd = lambda c: any(kind in df.schema[c].dataType.simpleString() for kind in ("map<", "variant"))
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in df.columns}
+    return F.xxhash64(*map(F.lit, seeds), *(F.to_json(F.struct(quoted[c])) if odd(c) else quoted[c] for c in df.columns))
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written, with two columns of reserved names: ROW_KEY, a number of its own for each row, and ROW_HASH, of its columns."""
-    return materialize(df.withColumns({ROW_KEY: F.monotonically_increasing_id(), ROW_HASH: F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))}), name)
+    """``df``, written, with two columns of reserved names: ROW_KEY, a number of its own for each row, and ROW_HASH, of its columns.
+
+    Columns of ``df`` that begin with an underscore have to be put ``aside``.
+    """
+    return materialize(df.withColumns({ROW_KEY: F.monotonically_increasing_id(), ROW_HASH: row_hash(df)}), name)
+
+
+def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with other names for its columns that begin with an underscore, as reserved ones do, and what to call them again."""
+    taken, back = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.startswith("_"):
+            name = "x" + c
+            while name.lower() in taken:
+                name = "x" + name
+            taken.add(name.lower())
+            back[name] = c
+    return df.withColumnsRenamed({c: name for name, c in back.items()}), back
 
 
 def discard(*tables: DataFrame) -> None:

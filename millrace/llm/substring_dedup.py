@@ -22,7 +22,8 @@ CHUNK_WINDOWS = 400_000  # windows a task holds before it sends them on
 ROWS = 512  # documents cut at a time
 LEAST_BUCKETS = 512
 BUCKET_BYTES = 8_000_000  # bytes of text for a bucket, about
-TASK_BUCKETS = 8  # buckets of a task, about
+TASK_BUCKETS = 8  # buckets of a task, about, and
+MOST_TASKS = 16_384  # tasks at most; beyond that a task goes through more buckets, one after the other
 
 
 def polynomial(w: np.ndarray, width: int, base: int) -> np.ndarray:
@@ -141,12 +142,16 @@ def _count_bucket(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(d[cut], pa.int64()), "hashes": pa.array(parts, pa.binary())})
 
 
+def task_count(buckets: int, least: int) -> int:
+    return max(least, min(MOST_TASKS, -(-buckets // TASK_BUCKETS)))
+
+
 def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, hashes): per document and bucket, packed hashes of its windows that a smaller doc_id also holds."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     sent = docs.mapInArrow(_send_windows(width, buckets), "bucket long, found boolean, hashes binary, docs binary")
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // TASK_BUCKETS))
+    tasks = task_count(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_count_bucket, "doc_id long, hashes binary")
 
 

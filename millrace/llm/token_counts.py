@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,7 +51,7 @@ class TrieCounter:
         new = {t for tokens in units for t in tokens if t not in memo}
         deep = {t: streamed_count(model, t) for t in new if len(t) > DEEP}
         memo.update(trie_counts(model, [t for t in new if t not in deep]))
-        of = memo | deep if deep else memo
+        of = ChainMap(deep, memo) if deep else memo
         which = coded.indices.to_numpy(zero_copy_only=False)
 
         def per_text(of_unit: list[int]) -> np.ndarray:

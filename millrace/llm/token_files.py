@@ -25,6 +25,7 @@ from .scratch import materialize
 GROUP = 4096  # ids that share one byte offset
 BLOCK_IDS = 1 << 18  # ids of a block, about: it ends with the document that reaches this
 SHARD_BYTES = 64_000_000  # bytes of text of a shard, about: what one task sorts and encodes
+MOST_SHARDS = 16_384  # tasks that a shuffle of the texts has at most; a task streams its range in order, so a range may be large
 SLICE_BYTES = 24_000_000  # bytes of text encoded at a time, about; one document at least
 MEMO = 400_000  # stems whose ids a worker process keeps
 
@@ -148,6 +149,11 @@ class WordEncoder:
 BLOCKS = "shard long, block long, in_shard long, width int, first_id long, last_id long, doc_ids array<bigint>, offsets array<bigint>, packed binary"
 
 
+def shard_count(size: int, least: int) -> int:
+    """Ranges of ids for ``size`` bytes of text: one for SHARD_BYTES, up to MOST_SHARDS, which hold more blocks each beyond that."""
+    return max(least, min(MOST_SHARDS, -(-size // SHARD_BYTES)))
+
+
 def write_blocks(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
     """Encode (doc_id, text) in ascending doc_id order, the end id after each text, and write the table of blocks; returns it as read back.
 
@@ -188,7 +194,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> Da
             yield row()
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    shards = shard_count(size, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     return materialize(ordered.mapInArrow(run, BLOCKS), "token-blocks")
 

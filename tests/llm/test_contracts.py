@@ -493,3 +493,9 @@ def test_null_and_repeated_ids(spark):
     for df in (simhash.near_duplicates(docs), pieces.encode_decode(docs, path), pii.find(docs), mixing.taken_words(docs), quality.judge(docs), line_dedup.dedup_lines(docs),
                token_counts.count_tokens(docs, path), substring_dedup.remove_repeats(docs), token_files.token_files(docs, public_tokenizers.path("word_bpe_49k.json"), 49_408, 1)):
         assert sorted(r["doc_id"] or 0 for r in df.select("doc_id").collect()) == [0, 0, 5, 5, 6]
+
+
+def test_tasks_at_100_tb():
+    """Shuffles of a hundred terabytes ask for some thousands of tasks, those of a little text for what is set."""
+    assert token_files.shard_count(10**14, 200) == substring_dedup.task_count(-(-(10**14) // substring_dedup.BUCKET_BYTES), 200) == 16_384
+    assert token_files.shard_count(10**6, 200) == substring_dedup.task_count(512, 200) == 200

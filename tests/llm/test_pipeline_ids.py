@@ -63,3 +63,16 @@ def test_mix(spark, odd):
 def test_sentencepiece(spark, odd):
     ids = lambda df: Counter(r["doc_id"] for r in df.select("doc_id").collect())
     assert ids(corpus_pipeline.encode(spark, odd, "")) == ids(odd)
+
+
+def test_columns_of_any_name_and_type(spark):
+    """Columns called like those a stage makes for itself, and maps and variants, go through every stage as they are."""
+    more = ("_row_key", "_row_hash", "_new_text", "_at", "_group", "_slice", "_of_row", "x_at", "dot.ted", "line", "key", "first", "size", "rep", "fp", "n", "h1")
+    docs = table(spark, [(1, A), (2, A + " twice over"), (3, B), (None, B), (3, B)])
+    docs = docs.withColumns({c: F.lit(k) for k, c in enumerate(more)}).withColumns({"map": F.expr("map('a', doc_id, 'b', 2L)"), "maps": F.expr("array(map(1, map('x', 2)))"), "variant": F.expr("parse_json('{\"k\": 1}')")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        rows = out.select(*("`" + c.replace("`", "``") + "`" for c in more), "map", F.col("maps")[0][1]["x"].alias("inner"), F.expr("variant_get(variant, '$.k', 'int')").alias("k")).collect()
+        assert rows and all(tuple(r)[: len(more)] == tuple(range(len(more))) and r["map"]["b"] == 2 and r["inner"] == 2 and r["k"] == 1 for r in rows), name
+    assert corpus_pipeline.encode(spark, docs, "").count() == 5
