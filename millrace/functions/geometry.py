@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -278,3 +280,12 @@ def padded_canvas(width: Column, height: Column, pads: tuple[Column, Column, Col
     found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda a: a["lo"])
     scale = F.when(fits(F.lit(1.0)), 1.0).otherwise(found)
     return F.transform(F.array(scale), lambda s: F.struct(s.alias("scale"), canvas(s)[0].alias("width"), canvas(s)[1].alias("height"), F.floor(w * s * pads[0]).alias("left"), F.floor(h * s * pads[1]).alias("top")))[0]
+
+
+def low_resolution(width: Column, height: Column, ratio: float, shortest: int, longest: int, chosen: Column, drawn: Column) -> Column:
+    """struct(width, height) that an image is made small to, or null: a share ``ratio`` of images (those with ``chosen``, a number in [0, 1),
+    below it), to a short side between two lengths, even on a scale of logarithms by ``drawn``; none that is short already."""
+    short = F.rint(F.exp(F.lit(log(shortest)) + drawn * (log(longest) - log(shortest))))
+    least = F.least(width, height).cast("double")
+    side = lambda n: F.greatest(F.lit(4), F.rint(n * (short / least)).cast("int"))
+    return F.when((chosen < ratio) & (least > short), F.struct(side(width).alias("width"), side(height).alias("height")))

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
+from ..sources.registry import Registry
 from .text import SPACES, strip
 
 #: Strings, left open or whole, with what closes them; brackets; commas; anything else up to one of these.
@@ -92,23 +93,40 @@ def canonical(text: Column) -> Column:
     return F.when(F.coalesce(large, F.lit(False)), F.lit(None)).otherwise(found)
 
 
-def decode(rows, text: Column, name: str, kind: str = "json_any"):
-    """``rows`` with a column ``name``: struct (parsed, valid, partial, error_type).
+CODECS = Registry("codec")
 
-    kind is a codec: "text" takes any text, stripped; json_any, json_object and json_list take the first JSON value of
-    the text, without a code fence and what stands before it. What does not parse is repaired, and partial says so. A value of another
-    kind is a json_type_error. Only what Spark cannot parse goes through Python.
-    """
+
+@CODECS.register("text")
+def text_codec(rows, text: Column, name: str):
+    """Any text, stripped."""
     null = F.lit(None).cast("string")
-    if kind == "text":
-        return rows.withColumn(name, F.struct(strip(F.coalesce(text, F.lit(""))).alias("parsed"), F.lit(True).alias("valid"), F.lit(False).alias("partial"), null.alias("error_type")))
-    rows = rows.withColumn("_fragment", fragment(F.coalesce(text, F.lit("")))).withColumn("_strict", canonical(F.col("_fragment")))
-    rows = rows.withColumn("_fixed", repaired(F.when(F.col("_strict").isNull(), F.col("_fragment"))))
-    parsed = F.coalesce("_strict", canonical(F.col("_fixed.json")))
-    partial = F.col("_strict").isNull() & F.coalesce("_fixed.partial", F.lit(False)) & parsed.isNotNull()
-    fits = parsed.startswith(KINDS[kind])
-    error = F.when(parsed.isNull(), "json_decode_error").when(~fits, "json_type_error")
-    return rows.withColumn(name, F.struct(F.when(fits, parsed).alias("parsed"), F.coalesce(fits, F.lit(False)).alias("valid"), partial.alias("partial"), error.alias("error_type"))).drop("_fragment", "_strict", "_fixed")
+    return rows.withColumn(name, F.struct(strip(F.coalesce(text, F.lit(""))).alias("parsed"), F.lit(True).alias("valid"), F.lit(False).alias("partial"), null.alias("error_type")))
+
+
+def json_codec(starts: str):
+    """A codec of the first JSON value of a text, without a code fence and what stands before it, that begins with ``starts``. What
+    does not parse is repaired, and partial says so; a value of another kind is a json_type_error. Only what Spark cannot parse goes through Python."""
+
+    def run(rows, text: Column, name: str):
+        rows = rows.withColumn("_fragment", fragment(F.coalesce(text, F.lit("")))).withColumn("_strict", canonical(F.col("_fragment")))
+        rows = rows.withColumn("_fixed", repaired(F.when(F.col("_strict").isNull(), F.col("_fragment"))))
+        parsed = F.coalesce("_strict", canonical(F.col("_fixed.json")))
+        partial = F.col("_strict").isNull() & F.coalesce("_fixed.partial", F.lit(False)) & parsed.isNotNull()
+        fits = parsed.startswith(starts)
+        error = F.when(parsed.isNull(), "json_decode_error").when(~fits, "json_type_error")
+        return rows.withColumn(name, F.struct(F.when(fits, parsed).alias("parsed"), F.coalesce(fits, F.lit(False)).alias("valid"), partial.alias("partial"), error.alias("error_type"))).drop("_fragment", "_strict", "_fixed")
+
+    return run
+
+
+for _name, _starts in KINDS.items():
+    CODECS.register(_name)(json_codec(_starts))
+
+
+def decode(rows, text: Column, name: str, kind: str = "json_any"):
+    """``rows`` with a column ``name``: struct (parsed, valid, partial, error_type), by the codec ``kind``, one of CODECS: text, json_any,
+    json_object, json_list, or one that was registered, a function of rows, text and name."""
+    return CODECS.get(kind)(rows, text, name)
 
 
 def comparable(json_text: Column) -> Column:
@@ -148,6 +166,24 @@ def completion_text(text: Column, depth: int = 3) -> Column:
     return F.when(value.isNull(), strip(text)).otherwise(of(value, depth))
 
 
+TARGETS = Registry("target adapter")
+
+
+@TARGETS.register("target_text")
+def text_target(rows, name: str, column: str = "target_text", codec: str | None = None):
+    """A text as it is, or decoded, where one that does not decode is an error."""
+    return target_of(rows, F.col(column), name, codec)
+
+
+@TARGETS.register("field")
+def field_target(rows, name: str, path: str, column: str = "extra", codec: str | None = None):
+    """A dotted path into a JSON object, as it is or decoded."""
+    text, missing = field(F.col(column), path)
+    rows = target_of(rows, text, name, codec)
+    t = F.col(name)
+    return rows.withColumn(name, F.struct(t["value"].alias("value"), t["valid"].alias("valid"), F.coalesce(missing, t["error"]).alias("error")))
+
+
 def target_of(rows, text: Column, name: str, codec: str | None = None):
     """``rows`` with a target struct(value, valid, error) from a text: as it is, or decoded, where a text that does not decode is an error."""
     if codec is None:

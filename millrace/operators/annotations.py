@@ -147,3 +147,34 @@ def training_rows(ordered: DataFrame, width: int, height: int, sort_policy: str,
     target = F.to_json(F.transform("items", lambda i: i["item"]))
     extra = F.to_json(F.struct(F.lit(sort_policy).alias("sort_policy"), F.lit("label,bbox_2d").alias("target_policy"), F.size("items").alias("n")))
     return rows.select("image", F.lit(prompt).alias("user_prompt"), target.alias("target_text"), extra.alias("extra"))
+
+
+def point_rows(rows: DataFrame, kind: str, line: Column, width: int, height: int, prompt: str, single: Column | None = None) -> DataFrame:
+    """``rows`` as training records of points: adds user_prompt, target_text, extra and error.
+
+    ``line`` is JSON of points [[x, y], ..], or of segments of them. An arrow's target is its keypoints from tail to head; a line's are its
+    segments of two points or more, and whether it is a single one, by ``single`` or else by their number. Codes are quantised
+    coordinates. The target is null where the error says why.
+    """
+    policies = {"point_arrow": ("full_ordered_linestrip", "keypoints_2d", "arrow_tail_to_head"), "point_line": ("line_points_segments", "parameters.points", "source_linestrip_segment_order")}
+    if kind not in policies:
+        raise ValueError(f"unknown kind of points {kind!r}")
+    number = lambda x: F.coalesce(x, F.lit(float("nan")))
+    code = lambda p: F.array(G.quantise(p[0], width), G.quantise(p[1], height))
+    good = lambda p: (F.size(p) == 2) & ~F.exists(p, lambda x: F.isnan(number(x)))
+    points, segments = F.from_json(line, "array<array<double>>"), F.from_json(line, "array<array<array<double>>>")
+    nested = F.regexp_replace(line, r"\s", "").startswith("[[[")
+    if kind == "point_arrow":
+        fits = ~nested & (F.size(points) >= 2) & F.forall(points, good)
+        target = F.to_json(F.struct(F.transform(points, code).alias("keypoints_2d")))
+        error = "an arrow has two points or more"
+    else:
+        held = F.filter(F.when(nested, segments).otherwise(F.array(points)), lambda s: (F.size(s) >= 2) & F.forall(s, good))
+        fits = F.size(held) > 0
+        alone = F.size(held) == 1 if single is None else F.coalesce(single, F.size(held) == 1)
+        target = F.to_json(F.struct(F.lit("line").alias("type"), F.struct(alone.alias("is_single"), F.transform(held, lambda s: F.transform(s, code)).alias("points")).alias("parameters")))
+        error = "a line has a segment of two points or more"
+    fits = F.coalesce(fits, F.lit(False))
+    policy = F.struct(*(F.lit(v).alias(k) for k, v in zip(("type", "coordinate_space", "order"), policies[kind])))
+    extra = F.to_json(F.struct(policy.alias("target_policy"), F.lit(width).alias("image_width"), F.lit(height).alias("image_height")))
+    return rows.withColumns({"user_prompt": F.lit(prompt), "target_text": F.when(fits, target), "extra": extra, "error": F.when(~fits, error)})

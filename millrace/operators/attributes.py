@@ -288,6 +288,28 @@ def line_stratum(parameters: Column) -> Column:
                        fill_signature(value(parameters, "fill")), border_signature(value(parameters, "border")), or_else(value(parameters, "corner_style"), "-"))
 
 
+def listed(parameters: Column, path: str) -> Column:
+    """How many items a list of a JSON object has; 0 for anything else."""
+    return F.coalesce(F.size(F.from_json(value(parameters, path), "array<string>")), F.lit(0))
+
+
+def line_macro(parameters: Column) -> Column:
+    """The rough class of a line: curved or straight, a path or a shape, a straight path of one segment or several."""
+    kind, style = (F.coalesce(F.nullif(value(parameters, k), F.lit("")), F.lit("missing")) for k in ("line_type", "line_style"))
+    single = F.schema_of_variant(F.try_variant_get(F.try_parse_json(parameters), "$.is_single", "variant"))
+    several = ((single == "BOOLEAN") & (value(parameters, "is_single") == "false")) | (listed(parameters, "points") > 1)
+    curved, shape = kind == "curved", style == "shape"
+    return F.when(curved & shape, "curved_shape").when(curved, "curved_path").when(shape, "straight_shape").when(F.coalesce(several, F.lit(False)), "straight_path_multi").otherwise("straight_path_single")
+
+
+def line_group(parameters: Column) -> Column:
+    """What lines of a macro class are told apart by: heads|dash|segments, four at most|fill|border|corners."""
+    or_missing = lambda k: F.coalesce(value(parameters, k), F.lit("missing"))
+    fill = F.when(F.ltrim(value(parameters, "fill_color")).startswith("["), "gradient").otherwise("solid")
+    border = F.coalesce(F.initcap(F.when(value(parameters, "has_border").isin("true", "false"), value(parameters, "has_border"))), or_missing("has_border"))
+    return F.concat_ws("|", *(or_missing(k) for k in ("begin_arrow", "end_arrow", "dash_style")), F.least(listed(parameters, "points"), F.lit(4)).cast("string"), F.coalesce(fill, F.lit("solid")), border, or_missing("corner_style"))
+
+
 def fused(rows: DataFrame, sources: list[tuple[str, Column, Column]], default: tuple[str, Column]) -> DataFrame:
     """Adds value and source from the first of (name, fits, value) that fits, the default where none does, and fallback, whether that was so."""
     v, s = default[1], F.lit(default[0])

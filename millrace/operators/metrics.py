@@ -165,10 +165,16 @@ def compared(runs: DataFrame, key: str, baseline: str, figures: list[str]) -> Da
 
 
 def rolling_rate(rows: DataFrame, key: str, at: str, value: str, width: int = 20) -> DataFrame:
-    """Adds rate: the change of ``value`` over that of ``at`` (in seconds) within the last ``width`` rows; 0 unless positive."""
-    w = Window.partitionBy(key).orderBy(at, value).rowsBetween(-(width - 1), 0)
+    """Adds rate: the change of ``value`` over that of ``at`` (in seconds) within the last ``width`` observations; 0 unless positive.
+
+    A row whose value is that of the row before is no new observation, and has the rate of the last one.
+    """
+    along = Window.partitionBy(key).orderBy(at, value)
+    rows = rows.withColumn("_new", ~F.col(value).eqNullSafe(F.lag(value).over(along)) | F.lag(F.lit(True)).over(along).isNull())
+    w = Window.partitionBy(key, "_new").orderBy(at, value).rowsBetween(-(width - 1), 0)
     dv, dt = F.col(value) - F.first(value).over(w), F.col(at) - F.first(at).over(w)
-    return rows.withColumn("rate", F.when((dt > 0) & (dv > 0), dv / dt).otherwise(0.0))
+    rows = rows.withColumn("_rate", F.when(F.col("_new"), F.when((dt > 0) & (dv > 0), dv / dt).otherwise(0.0)))
+    return rows.withColumn("rate", F.last("_rate", True).over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_rate")
 
 
 def span_union(spans: DataFrame, key: str) -> DataFrame:
@@ -194,6 +200,31 @@ def error_audit(rows: DataFrame, id_col: str, rules: dict[str, Column], examples
     return counts.join(first, "code")
 
 
+def audit_report(rows: DataFrame, id_col: str, fatal: dict[str, Column], issues: Column, counted: Column, examples: int = 20) -> DataFrame:
+    """(section, code, value, n, ids): a dataset's audit.
+
+    Section rows has how many there are, are structurally valid and are not; fatal and issue how many rows have each code, with
+    the first ids of each; a fatal row has its first code only, and no issues. distribution splits what ``counted`` says of
+    valid rows, as prefix:value, at the first colon. ``issues`` and ``counted`` are arrays of text.
+    """
+    none = F.lit(None).cast("string")
+    code = first_error(fatal)
+    ids = rows.select(F.col(id_col).alias("_id"), code.alias("_fatal"), F.when(code.isNull(), issues).alias("_issues"), F.when(code.isNull(), counted).alias("_counted"))
+    whole = ids.agg(F.count("*").alias("source_rows"), F.count_if(F.col("_fatal").isNull()).alias("valid_rows"), F.count("_fatal").alias("fatal_rows"))
+    totals = whole.select(F.explode(F.array(*(F.struct(F.lit(c).alias("code"), F.col(c).alias("n")) for c in whole.columns))).alias("x")).select(F.lit("rows").alias("section"), "x.code", none.alias("value"), "x.n", none.alias("ids"))
+
+    def section(name: str, hit: DataFrame) -> DataFrame:
+        counts = hit.groupBy("code").agg(F.count("*").alias("n"))
+        first = hit.withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy("_id"))).filter(F.col("r") <= examples)
+        first = first.groupBy("code").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_id")), lambda x: x.cast("string")), ",").alias("ids"))
+        return counts.join(first, "code").select(F.lit(name).alias("section"), "code", none.alias("value"), "n", "ids")
+
+    found = ids.select(F.explode("_counted").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    at = F.instr("x", ":")
+    split = found.select(F.lit("distribution").alias("section"), F.when(at > 0, F.substring("x", F.lit(1), at - 1)).otherwise(F.col("x")).alias("code"), F.when(at > 0, F.substring("x", at + 1, F.char_length("x"))).alias("value"), "n", none.alias("ids"))
+    return totals.unionByName(section("fatal", ids.filter("_fatal IS NOT NULL").select("_id", F.col("_fatal").alias("code")))).unionByName(section("issue", ids.select("_id", F.explode("_issues").alias("code")))).unionByName(split)
+
+
 def distributions(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(field, value, n): value counts of several columns in one pass."""
     sets = rows.select(*(F.col(c).cast("string").alias(c) for c in columns)).groupingSets([[F.col(c)] for c in columns], *columns).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))

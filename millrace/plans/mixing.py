@@ -210,6 +210,29 @@ def spread(rows: DataFrame, sources: DataFrame, block: int) -> DataFrame:
     return rows.join(F.broadcast(tickets), "ticket").select("draw_id", "source", (occurrence % F.col("size")).alias("row_index"))  # BLOCK_MOST tickets at most
 
 
+def finite_plan(spark: SparkSession, length: int, cycle: int = 0) -> DataFrame:
+    """(draw_id, position, plan_cycle): one round of a plan of ``length`` draws; the draws of the rounds are numbered through."""
+    if length < 0 or cycle < 0:
+        raise ValueError("a plan's length and the number of a round are 0 at least")
+    return spark.range(cycle * length, (cycle + 1) * length).select(F.col("id").alias("draw_id"), (F.col("id") - cycle * length).alias("position"), F.lit(cycle).alias("plan_cycle"))
+
+
+def schedule_fingerprint(sources: list[tuple[str, int, float]], strategy: str, shuffle: bool, seed: int) -> str:
+    """What tells one stream of draws from another: sources with their sizes and weights, strategy, order and seed; not how many draws are taken.
+
+    Sources count in the order of their names, and only those that can be drawn. A weighted strategy has its block's quotas in it.
+    """
+    live = sorted((name, size, float(weight)) for name, size, weight in sources if size > 0 and weight > 0)
+    quotas = ticket_quotas([w for _, _, w in live]) if strategy == "weighted" and live else None
+    constants = [BLOCK_TARGET, BLOCK_MOST, WORST_ERROR, PHASE_BLOCKS, RANKS, FEISTEL_ROUNDS, INCREMENT, MULTIPLY_1, MULTIPLY_2, SHUFFLE_SALT, BLOCK_SALT, CYCLE_SALT, TRANSFORM_SALT, OFFSET_SALT]
+    return fingerprint(sources=live, strategy=strategy, shuffle=shuffle, seed=seed, quotas=quotas, constants=constants)
+
+
+def plan_fingerprint(schedule: str, length: int) -> str:
+    """A schedule cut to a number of draws."""
+    return fingerprint(schedule=schedule, length=length)
+
+
 def spread_draws(spark: SparkSession, sources: DataFrame, draws: int, block: int) -> DataFrame:
     """The first ``draws`` draws of ``spread``."""
     return spread(spark.range(draws).select(F.col("id").alias("draw_id")), sources, block)

@@ -155,6 +155,30 @@ def prefix_kept(prefix: Column, most: int, supervised: bool = True) -> Column:
     return F.when(prefix < most, prefix).otherwise(most - 1 if supervised else most)
 
 
+def prefix_places(tokens: Column, widths: Column, spans: Column, special: list[int], protected: Column, limit: Column) -> Column:
+    """struct(kept, error): which places of a processed prefix stay where it is cut to ``limit``, so that the chat's structure does.
+
+    A rendered token takes ``widths`` places, more than one where it stands for a medium. Only tokens inside the template's ``spans`` (start,
+    stop) go, the first of them first: none that is special, that stands for a medium, or whose place lies in a ``protected`` stretch.
+    The error says that too few can go; kept is null then. A prefix within the limit stays whole.
+    """
+    start = F.aggregate(widths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, w: F.struct((a["at"] + w).cast("int").alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))
+    total = F.aggregate(widths, F.lit(0), lambda a, w: a + w.cast("int"))
+    whole = F.when(total > 0, F.sequence(F.lit(0), total - 1)).otherwise(F.array().cast("array<int>"))
+    inside = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["stop"] - 1))))
+
+    def of(places: Column) -> Column:
+        place = lambda i: F.get(places["all"], i)
+        guarded = lambda p: F.exists(protected, lambda s: (p < s["stop"]) & (p + 1 > s["start"]))
+        free = F.filter(inside, lambda i: ~F.get(tokens, i).isin(*special) & (F.get(widths, i) == 1) & ~guarded(place(i)))
+        gone = total - limit
+        kept = F.array_except(whole, F.transform(F.slice(free, 1, F.greatest(gone, F.lit(0))), place))
+        short = F.size(free) < gone
+        return F.struct(F.when(gone <= 0, whole).when(~short, kept).alias("kept"), F.when((gone > 0) & short, "too few tokens can go").alias("error"))
+
+    return F.transform(F.array(start), of)[0]
+
+
 def loss_weights(strategy: str, prefix: Column, target: Column, spans: Column, prefix_scale: float = 1.0, target_scale: float = 1.0) -> Column:
     """A weight per token: the target's scale on the target; on the prefix its scale on all of it, on none of it (last_round), or on the assistant's ``spans`` (default)."""
     def weight(i: Column) -> Column:

@@ -198,6 +198,15 @@ def weighted_unshuffled_plan(spark, sf_dir):
     return spread_plan(spark, sf_dir)
 
 
+@query(f"""WITH {SPREAD.replace("range((SELECT sum(size) FROM sources)::BIGINT)", "range((SELECT 2 * sum(size) FROM sources)::BIGINT, (SELECT 3 * sum(size) FROM sources)::BIGINT)")}
+SELECT draw_id, draw_id - (SELECT 2 * sum(size) FROM sources)::BIGINT AS position, 2 AS plan_cycle, source, row_index FROM draws""")
+def plan_cycle(spark, sf_dir):
+    """The third round of a plan as long as all sources together: its draws go on where the second one ended."""
+    sources = mixing.largest_remainders(document_sources(spark, sf_dir), 512)
+    plan = mixing.finite_plan(spark, sources.agg(F.sum("size")).first()[0], 2)
+    return plan.join(mixing.spread(plan, sources, 512), "draw_id").select("draw_id", "position", "plan_cycle", "source", "row_index")
+
+
 @query()
 def weighted_shuffled_plan(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy("source").collect()  # a row for each source
@@ -599,10 +608,15 @@ def keypoint_pck(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.size(close) / 32.0, 9).alias("pck"))
 
 
-@query("""SELECT range AS step, round(CASE WHEN range < 100 THEN range / 100.0 ELSE 1 - (range - 100) / 900.0 END, 9) AS linear, round(CASE WHEN range < 100 THEN range / 100.0 ELSE 0.5 * (1 + cos(pi() * (range - 100) / 900.0)) END, 9) AS cosine,
-round(CASE WHEN range < 100 THEN range / 100.0 ELSE sqrt(100.0 / range) END, 9) AS inverse_sqrt FROM range(1000)""")
+@query("""WITH s AS (SELECT DISTINCT event_id // 4 AS step FROM events), g AS (SELECT step, least(1.0, greatest(0.0, (step - 100) / 900.0)) AS gone FROM s)
+SELECT step, round(CASE WHEN step < 100 THEN step / 100.0 ELSE 1 - gone END, 9) AS linear, round(CASE WHEN step < 100 THEN step / 100.0 ELSE 0.5 * (1 + cos(pi() * gone)) END, 9) AS cosine,
+round(CASE WHEN step < 100 THEN step / 100.0 ELSE sqrt(100.0 / step) END, 9) AS inverse_sqrt, round(CASE WHEN step < 100 THEN step / 100.0 ELSE (1 - gone) ** 2 END, 9) AS polynomial,
+round(CASE WHEN step < 100 THEN step / 100.0 WHEN gone >= 1 THEN 0.0 ELSE 0.5 * (1 + cos(pi() * ((3 * gone) % 1.0))) END, 9) AS cosine_restarts FROM g""")
 def lr_schedules(spark, sf_dir):
-    return spark.range(1000).select(F.col("id").alias("step"), *(F.round(D.lr_scale(k, F.col("id"), 100, 1000), 9).alias(k) for k in ("linear", "cosine", "inverse_sqrt")))
+    """The factors of the learning rate at the steps that the events' frames belong to."""
+    steps = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 4).alias("step")).distinct()
+    more = {"polynomial": {"power": 2.0}, "cosine_restarts": {"cycles": 3}}
+    return steps.select("step", *(F.round(D.lr_scale(k, F.col("step"), 100, 1000, **more.get(k, {})), 9).alias(k) for k in ("linear", "cosine", "inverse_sqrt", "polynomial", "cosine_restarts")))
 
 
 # ---------------------------------------------------------------- sequences, caps and audits

@@ -1,13 +1,20 @@
-"""Queries over states of metrics, efficiency reports and divergences, each beside its SQL."""
+"""Queries over states of metrics, reports, audits, divergences and rows of points, each beside its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from .functions import divergence as D
+from .functions import geometry as G
+from .operators import annotations as A
+from .operators import attributes as T
 from .operators import efficiency as E
+from .operators import metrics as M
 from .operators.metric_states import Metrics, step_parts
-from .queries import WORD, query, softmax_sql, table, words
+from .plans import packing, sampling
+from .planning_queries import TOKENS, token_rows
+from .queries import BOXES, WORD, line_boxes, quantise_sql, query, softmax_sql, table, words
+from .record_queries import LINES, line_parameters
 
 SAMPLES = f"""samples AS (SELECT doc_id, lang AS dataset, doc_id % 4 AS rank, doc_id // 64 AS step, doc_id // 16 % 4 AS microbatch, greatest(len(regexp_extract_all(coalesce(text, ''), '{WORD}')), 1)::BIGINT AS tokens,
   regexp_matches(text, '^[A-Z]') AS valid, NOT regexp_matches(text, '[.!?]$') AS partial, (n_chars < 500)::INT AS parsed, quality AS target FROM documents JOIN labels USING (doc_id))"""
@@ -121,3 +128,85 @@ def divergence_objective(spark, sf_dir):
     rows = D.chunked_divergences(logit_chunks(spark, sf_dir, 7), ["vec_id", "label"], "student", "teacher", TEMPERATURE)
     out = D.objective_sums(rows, ["label"], "jsd", TEMPERATURE)
     return out.select("label", F.round("numerator", 6).alias("numerator"), "denominator", F.round("loss", 6).alias("loss"))
+
+
+@query("""WITH r AS (SELECT event_id, user_id, event_id // 200 AS done, epoch_us(ts) / 1000000.0 AS t FROM events),
+n AS (SELECT *, coalesce(lag(done) OVER (PARTITION BY user_id ORDER BY t, done) <> done, true) AS new FROM r),
+o AS (SELECT *, done - first_value(done) OVER w AS dv, t - first_value(t) OVER w AS dt FROM n WINDOW w AS (PARTITION BY user_id, new ORDER BY t, done ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+q AS (SELECT *, CASE WHEN new THEN CASE WHEN dt > 0 AND dv > 0 THEN dv / dt ELSE 0.0 END END AS rate FROM o)
+SELECT event_id, user_id, round(last_value(rate IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, done ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS rate FROM q""")
+def progress_rates(spark, sf_dir):
+    """Rates over the last 20 different counts that each user was seen at; a count seen again is no new observation."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000.0)
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", at.alias("at"), F.floor(F.col("event_id") / 200).alias("done"))
+    return M.rolling_rate(rows, "user_id", "at", "done").select("event_id", "user_id", F.round("rate", 9).alias("rate"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, text, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS n FROM documents),
+f AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN n > 3000 THEN 'too long' END AS fatal FROM d),
+i AS (SELECT doc_id, unnest(list_filter([CASE WHEN n < 30 THEN 'short' END, CASE WHEN NOT regexp_matches(text, '^[A-ZÀ-Þ]') THEN 'begin:no capital' END, CASE WHEN NOT regexp_matches(text, '[.!?]$') THEN 'end:no mark' END], lambda x: x IS NOT NULL)) AS code FROM f WHERE fatal IS NULL),
+c AS (SELECT unnest(['lang:' || lang, 'words:' || length(n::VARCHAR) || ' digits', 'valid']) AS x FROM f WHERE fatal IS NULL)
+SELECT 'rows' AS section, 'source_rows' AS code, NULL AS value, count(*) AS n, NULL AS ids FROM f UNION ALL SELECT 'rows', 'valid_rows', NULL, count(*) FILTER (WHERE fatal IS NULL), NULL FROM f UNION ALL SELECT 'rows', 'fatal_rows', NULL, count(fatal), NULL FROM f
+UNION ALL SELECT 'fatal', fatal, NULL, count(*), array_to_string(list(doc_id ORDER BY doc_id)[1:20], ',') FROM f WHERE fatal IS NOT NULL GROUP BY fatal
+UNION ALL SELECT 'issue', code, NULL, count(*), array_to_string(list(doc_id ORDER BY doc_id)[1:20], ',') FROM i GROUP BY code
+UNION ALL SELECT 'distribution', split_part(x, ':', 1), CASE WHEN contains(x, ':') THEN x[instr(x, ':') + 1:] END, count(*), NULL FROM c GROUP BY x""")
+def audit_report(spark, sf_dir):
+    """Documents audited: what makes one useless, what is odd about the others, and how these are spread."""
+    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
+    rows = table(spark, sf_dir, "documents").withColumn("_n", n)
+    some = lambda *rules: F.filter(F.array(*(F.when(c, k) for k, c in rules)), lambda x: x.isNotNull())
+    issues = some(("short", F.col("_n") < 30), ("begin:no capital", ~F.col("text").rlike("^[A-ZÀ-Þ]")), ("end:no mark", ~F.col("text").rlike(r"[.!?]\z")))
+    counted = F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("words:"), F.length(F.col("_n").cast("string")).cast("string"), F.lit(" digits")), F.lit("valid"))
+    return M.audit_report(rows, "doc_id", {"empty": F.col("_n") == 0, "too long": F.col("_n") > 3000}, issues, counted)
+
+
+@query(f"""WITH {LINES} SELECT CASE WHEN m = 1 THEN 'straight_shape' WHEN m <> 0 THEN 'straight_path_multi' ELSE 'straight_path_single' END AS macro,
+CASE WHEN m = 2 THEN 'round' ELSE 'none' END || '|none|solid|' || CASE WHEN p = 3 THEN 0 ELSE 1 END || '|solid|' || CASE WHEN m = 2 THEN 'True' ELSE 'missing' END || '|missing' AS stratum, count(*) AS n FROM line_rows GROUP BY ALL""")
+def line_macros(spark, sf_dir):
+    p = F.col("parameters")
+    return line_parameters(spark, sf_dir).groupBy(T.line_macro(p).alias("macro"), T.line_group(p).alias("stratum")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {TOKENS}, w AS (SELECT doc_id, ids, len(ids) AS n, list_transform(ids, lambda x: CASE WHEN x % 7 = 0 THEN 3 ELSE 1 END) AS widths FROM tokens),
+t AS (SELECT *, list_sum(widths)::BIGINT AS total, list_transform(range(1, n + 1), lambda i: coalesce(list_sum(widths[1:i - 1]), 0)::BIGINT) AS places FROM w),
+f AS (SELECT *, greatest(total - 12, 0) AS gone, list_transform(list_filter(range(3, n), lambda i: ids[i] NOT IN (5, 6) AND widths[i] = 1 AND places[i] NOT IN (4, 5)), lambda i: places[i]) AS free FROM t)
+SELECT doc_id, CASE WHEN len(free) >= gone THEN list_filter(range(total), lambda p: NOT list_contains(free[1:gone], p)) END AS kept, CASE WHEN len(free) < gone THEN 'too few tokens can go' END AS error FROM f""")
+def kept_prefixes(spark, sf_dir):
+    """Prefixes cut to 12 places: the second token up to the last but one may go, but for special ones, media and two guarded places."""
+    rows = token_rows(spark, sf_dir)
+    widths = F.transform("ids", lambda x: F.when(x % 7 == 0, 3).otherwise(1))
+    n = F.size("ids")
+    span = F.when(n > 3, F.array(F.struct(F.lit(2).alias("start"), (n - 1).alias("stop")))).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
+    guarded = F.array(F.struct(F.lit(4).alias("start"), F.lit(6).alias("stop")))
+    found = packing.prefix_places(F.col("ids"), widths, span, [5, 6], guarded, F.lit(12))
+    return rows.select("doc_id", found.alias("x")).select("doc_id", F.transform("x.kept", lambda p: p.cast("long")).alias("kept"), "x.error")
+
+
+DRAW = "(('0x' || substr(sha256('{tag}' || chr(10) || image || chr(10) || idx), 1, 16))::UBIGINT // 2048)::DOUBLE / 9007199254740992.0"
+
+
+@query(f"""WITH {BOXES}, u AS (SELECT image, idx, (x2 - x1)::DOUBLE AS w, (y2 - y1)::DOUBLE AS h, {DRAW.format(tag='low')} AS a, {DRAW.format(tag='side')} AS b FROM boxes),
+s AS (SELECT *, round_even(exp(ln(24) + b * (ln(96) - ln(24))), 0) AS short FROM u)
+SELECT image, idx, CASE WHEN a < 0.4 AND least(w, h) > short THEN greatest(4, round_even(w * (short / least(w, h)), 0)::INTEGER) END AS width, CASE WHEN a < 0.4 AND least(w, h) > short THEN greatest(4, round_even(h * (short / least(w, h)), 0)::INTEGER) END AS height FROM s""")
+def low_resolutions(spark, sf_dir):
+    draw = lambda tag: sampling.unit_draw(F.lit(tag), F.col("image").cast("string"), F.col("idx").cast("string"))
+    small = G.low_resolution(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), 0.4, 24, 96, draw("low"), draw("side"))
+    return line_boxes(spark, sf_dir).select("image", "idx", small.alias("s")).select("image", "idx", "s.width", "s.height")
+
+
+POINTS = f"""p AS (SELECT image, idx, '[' || {quantise_sql('x1', 640)} || ',' || {quantise_sql('y1', 480)} || ']' AS a, '[' || {quantise_sql('x2', 640)} || ',' || {quantise_sql('y2', 480)} || ']' AS b FROM boxes)"""
+
+
+@query(f"""WITH {BOXES}, {POINTS} SELECT image, idx, CASE WHEN idx % 4 <> 3 THEN '{{"keypoints_2d":[' || a || ',' || b || ']}}' END AS arrow, CASE WHEN idx % 4 = 3 THEN 'an arrow has two points or more' END AS arrow_error,
+'{{"type":"line","parameters":{{"is_single":' || (idx % 2 = 1)::VARCHAR || ',"points":[' || CASE WHEN idx % 2 = 0 THEN '[' || a || ',' || b || '],[' || b || ',' || a || ']' ELSE '[' || a || ',' || b || ']' END || ']}}}}' AS line FROM p""")
+def point_training_rows(spark, sf_dir):
+    """Boxes' diagonals as arrows and as lines of one segment or two, every fourth arrow without its head."""
+    num = lambda c: F.col(c).cast("double").cast("string")
+    point = lambda x, y: F.concat(F.lit("["), num(x), F.lit(", "), num(y), F.lit("]"))
+    a, b = point("x1", "y1"), point("x2", "y2")
+    two = F.concat(F.lit("["), a, F.lit(","), b, F.lit("]"))
+    rows = line_boxes(spark, sf_dir)
+    arrows = A.point_rows(rows, "point_arrow", F.when(F.col("idx") % 4 == 3, F.concat(F.lit("["), a, F.lit("]"))).otherwise(two), 640, 480, "Where is it?")
+    arrows = arrows.withColumnsRenamed({"target_text": "arrow", "error": "arrow_error"}).drop("user_prompt", "extra")
+    segments = F.when(F.col("idx") % 2 == 0, F.concat(F.lit("["), two, F.lit(", ["), b, F.lit(","), a, F.lit("], [[1, 2]]]"))).otherwise(two)
+    return A.point_rows(arrows, "point_line", segments, 640, 480, "Trace it.").select("image", "idx", "arrow", "arrow_error", F.col("target_text").alias("line"))
