@@ -103,26 +103,37 @@ def text_codec(rows, text: Column, name: str):
     return rows.withColumn(name, F.struct(strip(F.coalesce(text, F.lit(""))).alias("parsed"), F.lit(True).alias("valid"), F.lit(False).alias("partial"), null.alias("error_type")))
 
 
-def json_codec(starts: str):
-    """A codec of the first JSON value of a text, without a code fence and what stands before it, that begins with ``starts``. What
-    does not parse is repaired, and partial says so; a value of another kind is a json_type_error. Only what Spark cannot parse goes through Python."""
+def json_steps(rows, text: Column):
+    """``rows`` with _parsed and _partial: the first JSON value of a text, without a code fence and what stands before it, and whether it was repaired. Only what Spark cannot parse goes through Python."""
+    rows = rows.withColumn("_fragment", fragment(F.coalesce(text, F.lit("")))).withColumn("_strict", canonical(F.col("_fragment")))
+    rows = rows.withColumn("_fixed", repaired(F.when(F.col("_strict").isNull(), F.col("_fragment")))).withColumn("_parsed", F.coalesce("_strict", canonical(F.col("_fixed.json"))))
+    return rows.withColumn("_partial", F.col("_strict").isNull() & F.coalesce("_fixed.partial", F.lit(False)) & F.col("_parsed").isNotNull()).drop("_fragment", "_strict", "_fixed")
+
+
+def json_result(starts: str) -> Column:
+    """What a codec of values that begin with ``starts`` makes of ``json_steps``: a value of another kind is a json_type_error."""
+    parsed = F.col("_parsed")
+    fits = parsed.startswith(starts)
+    error = F.when(parsed.isNull(), "json_decode_error").when(~fits, "json_type_error")
+    return F.struct(F.when(fits, parsed).alias("parsed"), F.coalesce(fits, F.lit(False)).alias("valid"), F.col("_partial").alias("partial"), error.alias("error_type"))
 
-    def run(rows, text: Column, name: str):
-        rows = rows.withColumn("_fragment", fragment(F.coalesce(text, F.lit("")))).withColumn("_strict", canonical(F.col("_fragment")))
-        rows = rows.withColumn("_fixed", repaired(F.when(F.col("_strict").isNull(), F.col("_fragment"))))
-        parsed = F.coalesce("_strict", canonical(F.col("_fixed.json")))
-        partial = F.col("_strict").isNull() & F.coalesce("_fixed.partial", F.lit(False)) & parsed.isNotNull()
-        fits = parsed.startswith(starts)
-        error = F.when(parsed.isNull(), "json_decode_error").when(~fits, "json_type_error")
-        return rows.withColumn(name, F.struct(F.when(fits, parsed).alias("parsed"), F.coalesce(fits, F.lit(False)).alias("valid"), partial.alias("partial"), error.alias("error_type"))).drop("_fragment", "_strict", "_fixed")
 
-    return run
+def json_codec(starts: str):
+    return lambda rows, text, name: json_steps(rows, text).withColumn(name, json_result(starts)).drop("_parsed", "_partial")
 
 
 for _name, _starts in KINDS.items():
     CODECS.register(_name)(json_codec(_starts))
 
 
+def decode_each(rows, text: Column, names: dict[str, str]):
+    """``rows`` with a result column for each name, by its codec; codecs of JSON look at one decoding of the text."""
+    rows = json_steps(rows, text) if set(names.values()) & set(KINDS) else rows
+    for name, kind in names.items():
+        rows = rows.withColumn(name, json_result(KINDS[kind])) if kind in KINDS else decode(rows, text, name, kind)
+    return rows.drop("_parsed", "_partial")
+
+
 def decode(rows, text: Column, name: str, kind: str = "json_any"):
     """``rows`` with a column ``name``: struct (parsed, valid, partial, error_type), by the codec ``kind``, one of CODECS: text, json_any,
     json_object, json_list, or one that was registered, a function of rows, text and name."""

@@ -50,8 +50,8 @@ SELECT conv_id, CASE WHEN empty THEN 'images must be a list of paths' WHEN said
 CASE WHEN empty THEN 'images must be a list of paths' WHEN NOT image THEN 'no image path' WHEN last_role = 'assistant' THEN 'ends with an assistant target' END AS opd_error FROM built JOIN t USING (conv_id)""")
 def jsonl_prompt_records(spark, sf_dir):
     lines = conversation_lines(spark, sf_dir)
-    ppo = records.prompt_fields(lines).select("conv_id", F.col("error").alias("ppo_error"))
-    return ppo.join(records.distillation_fields(lines).select("conv_id", F.col("error").alias("opd_error")), "conv_id")
+    once = records.prompt_fields(lines).select(*lines.columns, F.col("error").alias("ppo_error"))
+    return records.distillation_fields(once).select("conv_id", "ppo_error", F.col("error").alias("opd_error"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'c' || event_id END AS chosen_text, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS rejected_text,
@@ -106,12 +106,10 @@ def decoded_scores(spark, sf_dir):
 CASE WHEN codec <> 'text' AND event_id % 3 <> 0 AND event_id % 7 = 0 AND event_id % 4 <> 0 AND event_id % 5 <> 0 THEN 'json_decode_error' WHEN codec = 'json_list' THEN 'json_type_error' END AS error_type, count(*) AS n
 FROM events, (VALUES ('text'), ('json_any'), ('json_object'), ('json_list')) c(codec) GROUP BY ALL""")
 def codec_results(spark, sf_dir):
-    rows = cut_json(spark, sf_dir)
-    out = None
-    for kind in ("text", "json_any", "json_object", "json_list"):
-        part = json_text.decode(rows, F.col("cut"), "d", kind).groupBy(F.lit(kind).alias("codec"), F.col("d.valid").alias("valid"), F.col("d.error_type").alias("error_type")).agg(F.count("*").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    kinds = ("text", "json_any", "json_object", "json_list")
+    rows = json_text.decode_each(cut_json(spark, sf_dir), F.col("cut"), {k: k for k in kinds})
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("codec"), F.col(f"{k}.valid").alias("valid"), F.col(f"{k}.error_type").alias("error_type")) for k in kinds)))
+    return rows.select(each.alias("x")).groupBy("x.codec", "x.valid", "x.error_type").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- attributes, built as JSON from the order lines
