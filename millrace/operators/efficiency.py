@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Rounds
 from .metrics import ratio
 from .selection import alike, percentiles
 
@@ -77,5 +78,6 @@ def rank_times(frames: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def summary(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: ``totals`` over ``one_rank`` beside ``rank_times``."""
-    return alike(totals(one_rank(frames, keys), keys), rank_times(frames, keys), keys)
+    """Per key: ``totals`` over ``one_rank``, which is written once and looked at several times, beside ``rank_times``."""
+    steps = Rounds(frames.sparkSession, "efficiency").table("steps", one_rank(frames, keys))
+    return alike(totals(steps, keys), rank_times(frames, keys), keys)
