@@ -217,7 +217,11 @@ def cleaned(rows, line: str, curved: Column, box, bins: int = 1000):
     }).drop("_all", "_valid", "_once", "_held", "_straight", "_new")
 
 
-def placement(points: Column, box, margin: float = 0.2, least: float = 35.0, most: float = 999.0) -> Column:
+# Fixed values of a placement: the margin of a box as a share of its sides and in codes at least, the largest code, the share of points that have to be inside, what distance costs.
+MARGIN, LEAST_MARGIN, LARGEST_CODE, INSIDE, DISTANCE = 0.2, 35.0, 999.0, 0.5, 0.15
+
+
+def placement(points: Column, box, margin: float = MARGIN, least: float = LEAST_MARGIN, most: float = LARGEST_CODE) -> Column:
     """How well points fit a proposed box: struct(valid, score, fraction_inside, center_distance).
 
     Inside means inside the box widened by a margin. The score is that share less 0.15 of the centres' distance, over
@@ -233,6 +237,6 @@ def placement(points: Column, box, margin: float = 0.2, least: float = 35.0, mos
     off = F.sqrt(F.pow((x1 + x2) / 2 - (px1 + px2) / 2, 2.0) + F.pow((y1 + y2) / 2 - (py1 + py2) / 2, 2.0)) / F.sqrt(F.lit(2.0 * most * most))
     some = F.size(points) > 0
     return F.struct(
-        F.coalesce(some & (inside >= 0.5) & meets, F.lit(False)).alias("valid"), F.when(some, F.round(inside - 0.15 * off, 6)).otherwise(-1.0).alias("score"),
+        F.coalesce(some & (inside >= INSIDE) & meets, F.lit(False)).alias("valid"), F.when(some, F.round(inside - DISTANCE * off, 6)).otherwise(-1.0).alias("score"),
         F.when(some, F.round(inside, 6)).otherwise(0.0).alias("fraction_inside"), F.when(some, F.round(off, 6)).alias("center_distance"),
     )

@@ -47,25 +47,40 @@ TYPES = ("string", "integer", "number", "boolean", "enum", "array", "object")
 NAME = re.compile(r"[A-Za-z_]\w*")
 
 
+def different_texts(values) -> bool:
+    return isinstance(values, list) and bool(values) and all(isinstance(v, str) for v in values) and len(set(values)) == len(values)
+
+
+#: What each key of an argument may be, given the whole of its specification, and what is said where it is not. ABSENT stands for a key that is not there.
+ABSENT = object()
+KEY_RULES = {
+    "values": (lambda v, spec: different_texts(v) if spec.get("type") == "enum" else v is ABSENT, "an enum has different texts as values, other types have none"),
+    "type": (lambda v, spec: v in TYPES, f"the type is one of {', '.join(TYPES)}"),
+    "required": (lambda v, spec: v is True or v is ABSENT, "arguments are always required"),
+}
+
+
+def schema_faults(payload: dict) -> list[str]:
+    """All that is wrong with a prompt schema."""
+    found = [f"bad argument name {n!r}" for n in payload if not (isinstance(n, str) and NAME.fullmatch(n))]
+    for name, spec in payload.items():
+        if not isinstance(spec, dict):
+            found.append(f"{name}: a specification is a mapping")
+            continue
+        found += [f"{name}: unknown key {k!r}" for k in sorted(map(str, spec.keys() - KEY_RULES.keys()))]
+        found += [f"{name}: {says}" for key, (fits, says) in KEY_RULES.items() if not fits(spec.get(key, ABSENT), spec)]
+    return found
+
+
 def schema(payload: dict | None) -> dict[str, dict]:
-    """A checked prompt schema {name: {"type", "values"}}; raises for names, types and keys that are not known, optional arguments, and enums without values or with repeated ones."""
-    out = {}
-    for name, spec in (payload or {}).items():
-        if not isinstance(name, str) or not NAME.fullmatch(name):
-            raise ValueError(f"bad argument name {name!r}")
-        if not isinstance(spec, dict) or set(spec) - {"type", "values", "required"}:
-            raise ValueError(f"{name}: unknown keys in its schema")
-        if spec.get("required", True) is not True:
-            raise ValueError(f"{name}: arguments are always required")
-        kind, values = spec.get("type"), spec.get("values")
-        if kind not in TYPES:
-            raise ValueError(f"{name}: unknown type {kind!r}")
-        if kind == "enum" and (not isinstance(values, list) or not values or any(not isinstance(v, str) for v in values) or len(set(values)) < len(values)):
-            raise ValueError(f"{name}: an enum needs different text values")
-        if kind != "enum" and values is not None:
-            raise ValueError(f"{name}: only an enum has values")
-        out[name] = {"type": kind, **({"values": list(values)} if kind == "enum" else {})}
-    return out
+    """A checked prompt schema {name: {"type", "values"}}; raises with all that is wrong: names, types and keys that are not known, optional
+    arguments, enums without values or with repeated ones, values of other types."""
+    given = {} if payload is None else payload
+    if not isinstance(given, dict):
+        raise ValueError("a prompt schema is a mapping")
+    if faults := schema_faults(given):
+        raise ValueError("; ".join(faults))
+    return {name: {k: list(v) if k == "values" else v for k, v in sorted(spec.items()) if k != "required"} for name, spec in given.items()}
 
 
 def argument_errors(names: Column, arguments: dict[str, dict]) -> Column:

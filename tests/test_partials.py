@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import geometry, json_text
+from millrace.functions import geometry, json_text, prompts
 from millrace.operators import annotations, attributes, metrics
 from millrace.plans import mixing, packing, transforms
 
@@ -162,3 +162,15 @@ def test_low_resolution(spark):
     rows = spark.createDataFrame([(300.0, 200.0, 0.1, 0.0), (300.0, 200.0, 0.5, 0.0), (20.0, 10.0, 0.1, 0.0), (300.0, 200.0, 0.1, 1.0), (2000.0, 25.0, 0.1, 0.0)], "w double, h double, a double, b double").coalesce(1)
     got = [r["s"] and tuple(r["s"]) for r in rows.select(geometry.low_resolution(F.col("w"), F.col("h"), 0.4, 24, 96, F.col("a"), F.col("b")).alias("s")).collect()]
     assert got == [(36, 24), None, None, (144, 96), (1920, 24)]
+
+
+def test_schema_says_all_that_is_wrong():
+    good = {"a": {"type": "enum", "values": ["x", "y"], "required": True}, "b_1": {"type": "integer"}}
+    assert prompts.schema(good) == {"a": {"type": "enum", "values": ["x", "y"]}, "b_1": {"type": "integer"}} and prompts.schema(None) == {}
+    bad = {"1a": {"type": "string"}, "b": {"type": "enum"}, "c": {"type": "enum", "values": ["x", "x"]}, "d": {"type": "integer", "values": None}, "e": {"type": "what", "more": 1, "required": False}, "f": 7, "g": {"type": "enum", "values": ["x", 2]}}
+    with pytest.raises(ValueError) as error:
+        prompts.schema(bad)
+    said = str(error.value).split("; ")
+    assert len(said) == 9 and said[0] == "bad argument name '1a'" and sum(s.startswith("e:") for s in said) == 3
+    with pytest.raises(ValueError, match="mapping"):
+        prompts.schema(["a"])
