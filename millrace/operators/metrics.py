@@ -120,6 +120,17 @@ def dataset_scores(samples: DataFrame, value: Column, low: float = 0.0, high: fl
     return samples.groupBy("dataset").agg(F.count("*").alias("n"), F.coalesce(span, F.lit(0.0)).alias("score"))
 
 
+def dataset_metrics(samples: DataFrame, metrics: dict[str, Column], ranges: dict[str, tuple[float, float]], primary: str) -> DataFrame:
+    """(dataset, n, each metric, score): several metrics of each dataset, 0 for none, and the primary one put on its range, which is 0 to 1 where ``ranges`` has none."""
+    if primary not in metrics:
+        raise ValueError(f"{primary!r} is none of {', '.join(metrics)}")
+    low, high = ranges.get(primary, (0.0, 1.0))
+    if not high > low:
+        raise ValueError("a range ends above its begin")
+    out = samples.groupBy("dataset").agg(F.count("*").alias("n"), *(F.coalesce(c, F.lit(0.0)).alias(m) for m, c in metrics.items()))
+    return out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(primary) - low) / (high - low))))
+
+
 def weighted_score(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """One row: the mean of the scores by the weights of the datasets that are there; 0 for none."""
     both = scores.join(weights, "dataset")

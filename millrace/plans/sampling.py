@@ -161,6 +161,19 @@ def ratio_rows(rows: DataFrame, base_count: int, ratio: float, id_col: str, seed
     return lowest(rows, round(base_count * ratio), hash_key(seed, id_col), id_col)
 
 
+def richest_rows(rows: DataFrame, base_count: int, ratio: float, size: str, order: list[str]) -> DataFrame:
+    """As many rows as ``ratio`` of a base count, rounded half to even: those of the largest ``size``, ties by ``order``; a null size is 0.
+
+    Rows of larger sizes are taken whole; only those of one size are put in order.
+    """
+    wanted = round(base_count * ratio) if ratio > 0 else 0
+    rows = rows.withColumn("_size", F.coalesce(F.col(size), F.lit(0)))
+    above = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy("_size").agg(F.count("*").alias("_n")).select("_size", (F.lit(wanted) - above).alias("_left")).filter("_left > 0")  # a row for each size
+    rank = F.row_number().over(Window.partitionBy("_size").orderBy(*order))
+    return rows.join(sizes, "_size").withColumn("_rank", rank).filter("_rank <= _left").drop("_size", "_left", "_rank")
+
+
 def review_sample(rows: DataFrame, count: int, id_col: str, seed: str) -> DataFrame:
     """``count`` rows by lowest hash, with their position in that order."""
     some = lowest(rows, count, hash_key(seed, id_col), id_col)

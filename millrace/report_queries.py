@@ -10,6 +10,7 @@ from .operators import annotations as A
 from .operators import attributes as T
 from .operators import efficiency as E
 from .operators import metrics as M
+from .operators import sequences
 from .operators.metric_states import Metrics, step_parts
 from .plans import packing, sampling
 from .planning_queries import TOKENS, token_rows
@@ -210,3 +211,33 @@ def point_training_rows(spark, sf_dir):
     arrows = arrows.withColumnsRenamed({"target_text": "arrow", "error": "arrow_error"}).drop("user_prompt", "extra")
     segments = F.when(F.col("idx") % 2 == 0, F.concat(F.lit("["), two, F.lit(", ["), b, F.lit(","), a, F.lit("], [[1, 2]]]"))).otherwise(two)
     return A.point_rows(arrows, "point_line", segments, 640, 480, "Trace it.").select("image", "idx", "arrow", "arrow_error", F.col("target_text").alias("line"))
+
+
+@query(f"""WITH {SAMPLES}, m AS (SELECT dataset, count(*) AS n, avg((valid AND NOT partial)::INT) AS parse_success, avg((valid AND parsed = target)::INT) AS exact_match FROM samples GROUP BY dataset)
+SELECT dataset, n, round(parse_success, 9) AS parse_success, round(exact_match, 9) AS exact_match, round(greatest(0.0, least(1.0, (exact_match - 0.1) / 0.4)), 9) AS score FROM m""")
+def dataset_metrics(spark, sf_dir):
+    """Two metrics of each dataset; exact matches from 0.1 to 0.5 make its score."""
+    out = M.dataset_metrics(samples(spark, sf_dir), {k: M.METRICS.get(k)() for k in ("parse_success", "exact_match")}, {"exact_match": (0.1, 0.5)}, "exact_match")
+    return out.select("dataset", "n", *(F.round(c, 9).alias(c) for c in ("parse_success", "exact_match", "score")))
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_custkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders)
+SELECT o_orderkey, n FROM s ORDER BY n DESC, o_custkey, o_orderkey LIMIT (SELECT round_even(count(*) * 0.3, 0)::BIGINT FROM customer)""")
+def richest_sample(spark, sf_dir):
+    """The orders with the most lines, three for ten customers."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(lines, "o_orderkey", "left").na.fill({"n": 0})
+    return sampling.richest_rows(rows, table(spark, sf_dir, "customer").count(), 0.3, "n", ["o_custkey", "o_orderkey"]).select("o_orderkey", "n")
+
+
+@query(f"""WITH {BOXES}, a AS (SELECT image, idx, label, x1, idx <= 2 AS target FROM boxes),
+n AS (SELECT image, idx, CASE WHEN idx = 1 THEN 'new' WHEN idx = 2 AND image % 5 = 0 THEN '' ELSE label END AS label, x1 - CASE WHEN idx = 2 THEN 100 ELSE 0 END AS x1 FROM boxes)
+SELECT image, count(a.target) AS n_before, count(n.label) AS n_after, count(*) FILTER (WHERE NOT target AND (a.label <> n.label OR a.x1 <> n.x1)) AS n_changed_outside, count(*) FILTER (WHERE target AND (n.label = '' OR n.x1 < 0)) AS n_broken,
+array_to_string(list_filter([CASE WHEN bool_or(target AND n.x1 < 0) THEN 'inside' END, CASE WHEN bool_or(target AND n.label = '') THEN 'labelled' END], lambda x: x IS NOT NULL), ',') AS broken, n_before = n_after AND n_changed_outside = 0 AND n_broken = 0 AS ok
+FROM a JOIN n USING (image, idx) GROUP BY image""")
+def target_audit(spark, sf_dir):
+    """Boxes after a change of the first two of each image, which have to keep a label and lie inside."""
+    before = line_boxes(spark, sf_dir).select("image", "idx", "label", "x1", (F.col("idx") <= 2).alias("target"))
+    label = F.when(F.col("idx") == 1, "new").when((F.col("idx") == 2) & (F.col("image") % 5 == 0), "").otherwise(F.col("label"))
+    after = before.select("image", "idx", label.alias("label"), (F.col("x1") - F.when(F.col("idx") == 2, 100).otherwise(0)).alias("x1"))
+    return sequences.output_audit(before, after, "image", ["image", "idx"], ["label", "x1"], "target", {"labelled": F.col("label") != "", "inside": F.col("x1") >= 0})
