@@ -171,7 +171,7 @@ def costed_draws(spark, sf_dir):
 
 @query()
 def budgeted_microbatches(spark, sf_dir):
-    return packing.planned_microbatches(costed_draws(spark, sf_dir), "stream", BUDGETED)
+    return packing.planned_microbatches(costed_draws(spark, sf_dir), "stream", BUDGETED, oversize=True)
 
 
 @query()

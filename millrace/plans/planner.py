@@ -284,23 +284,28 @@ def balanced_frame(steps: list[list[float]], seed: int, first_step: int = 0, fir
     return out, max((abs(t - mean) / mean for t in total), default=0.0) if mean > 0 else 0.0
 
 
-def planned_microbatches(rows: DataFrame, stream: str, planner: Planner) -> DataFrame:
+def planned_microbatches(rows: DataFrame, stream: str, planner: Planner, oversize: bool = False) -> DataFrame:
     """(stream, microstep, rank, slot, draw_id, tokens, and a column for each budget): each stream of draws planned by itself.
 
     ``rows`` holds (stream, draw_id, tokens, and the budgets' resources by name). A stream is sequential by nature; rows of one
     are gone through in order of draw, in one task that holds them: have streams of bounded length. Every draw is in one
-    microbatch; the last of a stream may be partly filled. A draw that breaks the cap or a budget by itself is an error.
+    microbatch; the last of a stream may be partly filled. A draw that breaks the cap or a budget by itself is an error, or, with
+    ``oversize``, a row without microstep, rank and slot whose column error says why, and the others are planned without it.
     """
     names = list(planner.budgets)
+    columns = ["microstep", "rank", "slot", "draw_id", "tokens", *names]
 
     def plan(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("draw_id")
-        found, _, _ = planner.run(list(zip(*(frame[c].tolist() for c in ("draw_id", "tokens", *names)))), final=True)
-        out = pd.DataFrame(found, columns=["microstep", "rank", "slot", "draw_id", "tokens", *names])
+        draws = list(zip(*(frame[c].tolist() for c in ("draw_id", "tokens", *names))))
+        errors = [planner.error(e) if oversize else None for e in draws]
+        found, _, _ = planner.run([e for e, error in zip(draws, errors) if error is None], final=True)
+        found = [(*row, None) for row in found] + [(None, None, None, *e, error) for e, error in zip(draws, errors) if error is not None]
+        out = pd.DataFrame(found, columns=[*columns, "error"]).astype(dict.fromkeys(columns, "Int64"))
         out.insert(0, stream, frame[stream].iloc[0])
-        return out
+        return out if oversize else out.drop(columns="error")
 
-    shape = ", ".join(f"{c} long" for c in (stream, "microstep", "rank", "slot", "draw_id", "tokens", *names))
+    shape = ", ".join(f"{c} long" for c in (stream, *columns)) + (", error string" if oversize else "")
     return rows.select(stream, "draw_id", "tokens", *names).groupBy(stream).applyInPandas(plan, shape)
 
 
