@@ -327,12 +327,13 @@ def balanced_frames(planned: DataFrame, stream: str, planner: Planner, frame: in
     """Planned microbatches with their batches dealt anew to ranks, so that over each ``frame`` microsteps all ranks carry alike; adds skew, of the frame.
 
     Loads are sums over a rank's batch and come from a shuffle; a group is a frame of one stream, with a row for each step and rank.
+    Draws that are in no microbatch stay as they are.
     """
     names = list(planner.budgets)
     load = F.max("tokens") * F.count("*") / float(planner.max_tokens)
     for name, cap in planner.budgets.items():
         load = load + F.sum(name) / float(cap)
-    batches = planned.groupBy(stream, "microstep", "rank").agg(load.alias("load"), F.min("draw_id").alias("first")).withColumn("frame", F.floor(F.col("microstep") / frame))
+    batches = planned.filter("microstep IS NOT NULL").groupBy(stream, "microstep", "rank").agg(load.alias("load"), F.min("draw_id").alias("first")).withColumn("frame", F.floor(F.col("microstep") / frame))
     world, seed = planner.world_size, planner.seed
 
     def deal(group: pd.DataFrame) -> pd.DataFrame:
@@ -346,5 +347,5 @@ def balanced_frames(planned: DataFrame, stream: str, planner: Planner, frame: in
         return pd.DataFrame(out, columns=[stream, "microstep", "rank", "new_rank", "skew"])
 
     dealt = batches.groupBy(stream, "frame").applyInPandas(deal, f"{stream} long, microstep long, rank long, new_rank long, skew double")
-    rows = planned.join(dealt, [stream, "microstep", "rank"])
-    return rows.select(stream, "microstep", F.col("new_rank").alias("rank"), "slot", "draw_id", "tokens", *names, "skew")
+    rows = planned.join(dealt, [stream, "microstep", "rank"], "left")
+    return rows.select(stream, "microstep", F.col("new_rank").alias("rank"), *[c for c in planned.columns if c not in (stream, "microstep", "rank")], "skew")

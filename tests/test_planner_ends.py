@@ -195,3 +195,15 @@ def test_streamed_query_equals_one_run(spark):
     entries = sorted((r["draw_id"], r["tokens"]) for r in rows)
     assert [d for d, _ in entries] == list(range(n))
     assert sorted(tuple(r[c] for c in ("microstep", "rank", "slot", "draw_id", "tokens")) for r in rows) == sorted(queries.PLANNER.run(entries, final=True)[0])
+
+
+def test_oversize_draws_are_kept_without_a_place(spark):
+    plan = packing.Planner(2, 2, 100, 6, 1, budgets={"patches": 50})
+    rows = spark.createDataFrame([(s, d, 101 if d == 3 else 5 + d, 51 if d == 7 else d) for s in range(2) for d in range(12)], "stream long, draw_id long, tokens long, patches long")
+    planned = packing.planned_microbatches(rows, "stream", plan, oversize=True).cache()
+    for got in (planned.collect(), packing.balanced_frames(planned, "stream", plan, 4).collect()):
+        assert sorted((r["stream"], r["draw_id"]) for r in got) == [(s, d) for s in range(2) for d in range(12)]
+        assert {(r["draw_id"], r["error"]) for r in got if r["microstep"] is None} == {(3, "draw 3 has 101 tokens, more than a rank may hold (100)"), (7, "draw 7 has 51 of patches, more than a rank may hold (50)")}
+        assert all((r["microstep"] is None) == (r["rank"] is None) == (r["slot"] is None) == (r["error"] is not None) for r in got)
+    want, _, _ = plan.run([(d, 5 + d, d) for d in range(12) if d not in (3, 7)], final=True)
+    assert sorted(tuple(r[c] for c in ("microstep", "rank", "slot", "draw_id", "tokens", "patches")) for r in planned.filter("stream = 0 AND error IS NULL").collect()) == sorted(want)
