@@ -33,15 +33,26 @@ def parsed(payload: Column, *fields: str, booleans: tuple[str, ...] = ()) -> Col
 
     Of ``booleans`` the text is only there if the value is true or false, and not a string that says so.
     """
-    held = F.from_json(payload, ", ".join(f"{f} string" for f in fields))
-    kind = lambda f: F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), f"$.{f}", "variant"))
-    text = lambda f: F.when(kind(f) == "BOOLEAN", held[f]) if f in booleans else held[f]
-    return F.struct(*(text(f).alias(f) for f in fields), keys(payload).alias("all"), is_object(payload).alias("there"))
+    def read(text: Column) -> Column:
+        held, names = F.from_json(text, ", ".join(f"{f} string" for f in fields)), F.json_object_keys(text)
+        return F.struct(held.alias("held"), names.alias("names"), *([F.try_parse_json(text).alias("variant")] if booleans else []))
+
+    def fields_of(x: Column) -> Column:
+        kind = lambda f: F.schema_of_variant(F.try_variant_get(x["variant"], f"$.{f}", "variant"))
+        text = lambda f: F.when(kind(f) == "BOOLEAN", x["held"][f]) if f in booleans else x["held"][f]
+        return F.struct(*(text(f).alias(f) for f in fields), F.sort_array(F.coalesce(x["names"], F.array().cast("array<string>"))).alias("all"), x["names"].isNotNull().alias("there"))
+
+    return bound(bound(payload, read), fields_of)
+
+
+def values(payload: Column, *paths: str, body) -> Column:
+    """``body`` of a struct of what stands at some paths of a JSON object, by the path's name, each looked up once."""
+    return bound(bound(payload, lambda text: F.struct(*(value(text, p).alias(p.replace(".", "_")) for p in paths))), body)
 
 
 def keys(payload: Column) -> Column:
     """The sorted keys of a JSON object; empty for anything else."""
-    return F.array_sort(F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>")))
+    return F.sort_array(F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>")))
 
 
 def is_object(text: Column) -> Column:
@@ -70,6 +81,11 @@ def codes(*each: Column) -> Column:
     return F.filter(F.array(*each), lambda c: c.isNotNull())
 
 
+def alike(rows: DataFrame, *columns: str) -> DataFrame:
+    """(columns, n): what stands in some columns, once, and in how many rows. What a text says is then worked out once for all rows that hold it."""
+    return rows.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
 def border_errors(border: Column) -> Column:
     def check(x: Column) -> Column:
         kind, there = x["type"], x["there"]
@@ -85,10 +101,10 @@ def border_errors(border: Column) -> Column:
 
 
 def fill_errors(fill: Column) -> Column:
-    def check(x: Column) -> Column:
+    def check(y: Column) -> Column:
+        x, colors = y["x"], y["colors"]
         kind, direction, there = x["type"], x["direction"], x["there"]
         gradient = F.coalesce(kind.isin("linear_gradient", "radial_gradient"), F.lit(False))
-        colors = F.from_json(x["colors"], "array<string>")
         two = F.coalesce(F.size(colors) == 2, F.lit(False))
         allowed = F.when(kind == "solid", names("type", "color")).when(gradient, names("type", "colors", "direction")).otherwise(names("type"))
         return codes(
@@ -99,7 +115,7 @@ def fill_errors(fill: Column) -> Column:
             F.when(there & (kind == "radial_gradient") & absent(direction, ("center_to_edge",)), "fill.direction:invalid_radial"), F.when(there, extra_keys(x["all"], allowed, "fill")),
         )
 
-    return bound(parsed(fill, "type", "color", "colors", "direction"), check)
+    return bound(bound(parsed(fill, "type", "color", "colors", "direction"), lambda x: F.struct(x.alias("x"), F.from_json(x["colors"], "array<string>").alias("colors"))), check)
 
 
 def effect_errors(effect: Column) -> Column:
@@ -126,7 +142,6 @@ def shape_errors(parameters: Column) -> Column:
 
 def segment_errors(points: Column) -> Column:
     """The error codes of segments [[[x, y], ..], ..] of whole codes 0 to 999."""
-    line = F.from_json(points, "array<array<array<double>>>")
     good = lambda p: F.coalesce((F.size(p) == 2) & F.forall(p, lambda v: v.isNotNull() & (v == F.floor(v)) & v.between(0, 999)), F.lit(False))
 
     def of_segment(s: Column, i: Column) -> Column:
@@ -138,7 +153,10 @@ def segment_errors(points: Column) -> Column:
             F.concat(F.filter(F.array(F.when(places < 2, F.concat(at, F.lit(":must_have_two_distinct_points")))), lambda c: c.isNotNull()), bad)
         )
 
-    return F.when(F.coalesce(F.size(line), F.lit(0)) < 1, names("points:must_be_nonempty_segment_list")).otherwise(F.flatten(F.transform(line, of_segment)))
+    def check(line: Column) -> Column:
+        return F.when(F.coalesce(F.size(line), F.lit(0)) < 1, names("points:must_be_nonempty_segment_list")).otherwise(F.flatten(F.transform(line, of_segment)))
+
+    return bound(F.from_json(points, "array<array<array<double>>>"), check)
 
 
 # Fixed values of the contract.
@@ -151,14 +169,14 @@ def line_errors(parameters: Column, source: Column) -> Column:
     boolean = lambda c: F.coalesce(c.isin("true", "false"), F.lit(False))
     listed = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(f"parameters:{label}="), F.array_join(c, ",")))
 
-    def check(x: Column) -> Column:
+    def check(y: Column) -> Column:
+        x, n = y["x"], y["n"]
         has = lambda k: F.array_contains(x["all"], k)
         missing, extra = F.array_except(F.array_sort(names(*required)), x["all"]), F.array_except(x["all"], names(*LINE_FIELDS))
-        single, n = x["is_single"], F.coalesce(F.size(F.from_json(x["points"], "array<string>")), F.lit(-1))
-        style, bordered = x["line_style"], x["has_border"]
+        single, style, bordered = x["is_single"], x["line_style"], x["has_border"]
         shape = style == "shape"
-        pair = F.from_json(x["fill_color"], "array<string>")
-        no_fill = not_color(x["fill_color"]) & ~F.coalesce((F.size(pair) == 2) & F.forall(pair, lambda c: F.coalesce(c.rlike(HEX), F.lit(False))), F.lit(False))
+        two = lambda pair: F.coalesce((F.size(pair) == 2) & F.forall(pair, lambda c: F.coalesce(c.rlike(HEX), F.lit(False))), F.lit(False))
+        no_fill = not_color(x["fill_color"]) & ~bound(F.from_json(x["fill_color"], "array<string>"), two)
         head = codes(
             listed("missing", missing), listed("extra", extra), F.when(absent(x["line_type"], ("straight", "curved")), "line_type:invalid"), F.when(absent(style, ("path", "shape")), "line_style:invalid"),
             F.when(~boolean(single), "is_single:invalid"),
@@ -173,7 +191,8 @@ def line_errors(parameters: Column, source: Column) -> Column:
         )
         return F.when(x["there"], F.concat(head, segment_errors(x["points"]), tail)).otherwise(names("root:expected_line_with_parameters"))
 
-    return bound(parsed(parameters, *LINE_FIELDS, booleans=("is_single", "has_border")), check)
+    counted = lambda x: F.struct(x.alias("x"), F.coalesce(F.size(F.from_json(x["points"], "array<string>")), F.lit(-1)).alias("n"))
+    return bound(bound(parsed(parameters, *LINE_FIELDS, booleans=("is_single", "has_border")), counted), check)
 
 
 def choice(text: Column, allowed: tuple[str, ...], default: str = "unknown") -> Column:
@@ -217,8 +236,8 @@ def aligned_batch(items: Column, size: Column) -> Column:
 def normal_line(payload: Column, source: Column) -> Column:
     """The attributes of a line as a map: those that count, round heads as circles, no border fields where there is no border, no heads on a line without arrows."""
     wanted = tuple(f for f in LINE_FIELDS if f not in ("is_single", "points"))
-    inner = bound(parsed(payload, "type", "parameters"), lambda x: F.when((x["type"] == "line") & is_object(x["parameters"]), x["parameters"]))
-    text = F.coalesce(inner, payload)
+    inner = lambda x: F.when((x["type"] == "line") & is_object(x["parameters"]), x["parameters"])
+    text = bound(payload, lambda whole: F.coalesce(bound(parsed(whole, "type", "parameters"), inner), whole))
 
     def normal(x: Column) -> Column:
         style, bordered = x["line_style"], x["has_border"]
@@ -260,54 +279,67 @@ def first_valid(attempts: DataFrame, keys: list[str], order: str, valid: Column)
 
 def fill_signature(fill: Column) -> Column:
     """A fill's type; of several regions their number and types."""
-    regions = F.from_json(fill, "array<string>")
-    kinds = F.transform(regions, lambda r: F.when(is_object(r), F.coalesce(F.get_json_object(r, "$.type"), F.lit("missing"))).otherwise("invalid"))
-    several = F.concat(F.lit("regions"), F.size(regions).cast("string"), F.lit(":"), F.array_join(kinds, "+"))
-    return F.when(is_object(fill), F.coalesce(value(fill, "type"), F.lit("missing"))).when(F.ltrim(fill).startswith("["), several).otherwise("missing")
+    kinds = lambda regions: F.transform(regions, lambda r: F.when(is_object(r), F.coalesce(F.get_json_object(r, "$.type"), F.lit("missing"))).otherwise("invalid"))
+    several = lambda regions: F.concat(F.lit("regions"), F.size(regions).cast("string"), F.lit(":"), F.array_join(kinds(regions), "+"))
+    return bound(fill, lambda f: F.when(is_object(f), F.coalesce(value(f, "type"), F.lit("missing"))).when(F.ltrim(f).startswith("["), bound(F.from_json(f, "array<string>"), several)).otherwise("missing"))
 
 
 def border_signature(border: Column) -> Column:
-    return F.when(is_object(border), F.concat_ws(":", F.coalesce(value(border, "type"), F.lit("missing")), F.coalesce(value(border, "style"), F.lit("-")))).otherwise("missing")
+    return bound(border, lambda b: F.when(is_object(b), F.concat_ws(":", F.coalesce(value(b, "type"), F.lit("missing")), F.coalesce(value(b, "style"), F.lit("-")))).otherwise("missing"))
 
 
 def shape_stratum(parameters: Column) -> Column:
     """type|border|fill|effect|rounded corners|splits."""
     items = lambda text: F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
-    corners = items(F.coalesce(value(parameters, "corners"), value(parameters, "body_corners")))
-    rounded = F.size(F.filter(corners, lambda c: F.coalesce(F.get_json_object(c, "$.type") == "round", F.lit(False))))
     or_missing = lambda c: F.coalesce(c, F.lit("missing"))
-    return F.concat_ws("|", or_missing(value(parameters, "shape_type")), border_signature(value(parameters, "border")), fill_signature(value(parameters, "fill")), or_missing(value(parameters, "effect.type")),
-                       F.concat(F.lit("round"), rounded.cast("string")), F.concat(F.lit("splits"), F.size(items(value(parameters, "splits"))).cast("string")))
+
+    def join(x: Column) -> Column:
+        rounded = F.size(F.filter(items(F.coalesce(x["corners"], x["body_corners"])), lambda c: F.coalesce(F.get_json_object(c, "$.type") == "round", F.lit(False))))
+        return F.concat_ws("|", or_missing(x["shape_type"]), border_signature(x["border"]), fill_signature(x["fill"]), or_missing(x["effect_type"]),
+                           F.concat(F.lit("round"), rounded.cast("string")), F.concat(F.lit("splits"), F.size(items(x["splits"])).cast("string")))
+
+    return values(parameters, "shape_type", "border", "fill", "effect.type", "corners", "body_corners", "splits", body=join)
 
 
 def line_stratum(parameters: Column) -> Column:
     """line type|style|segments|dash|begin|end|fill|border|corners."""
     or_else = lambda c, other="missing": F.coalesce(c, F.lit(other))
-    segments = F.coalesce(F.size(F.from_json(value(parameters, "points"), "array<string>")), F.lit(0))
-    return F.concat_ws("|", *(or_else(value(parameters, k)) for k in ("line_type", "line_style")), F.concat(F.lit("segments"), segments.cast("string")), *(or_else(value(parameters, k)) for k in ("dash_style", "begin_arrow", "end_arrow")),
-                       fill_signature(value(parameters, "fill")), border_signature(value(parameters, "border")), or_else(value(parameters, "corner_style"), "-"))
+    names = ("line_type", "line_style", "dash_style", "begin_arrow", "end_arrow")
+    join = lambda x: F.concat_ws("|", *(or_else(x[k]) for k in names[:2]), F.concat(F.lit("segments"), listed(x["points"]).cast("string")), *(or_else(x[k]) for k in names[2:]),
+                                 fill_signature(x["fill"]), border_signature(x["border"]), or_else(x["corner_style"], "-"))
+    return values(parameters, *names, "points", "fill", "border", "corner_style", body=join)
 
 
-def listed(parameters: Column, path: str) -> Column:
-    """How many items a list of a JSON object has; 0 for anything else."""
-    return F.coalesce(F.size(F.from_json(value(parameters, path), "array<string>")), F.lit(0))
+def listed(text: Column) -> Column:
+    """How many items a JSON list has; 0 for anything else."""
+    return F.coalesce(F.size(F.from_json(text, "array<string>")), F.lit(0))
 
 
 def line_macro(parameters: Column) -> Column:
     """The rough class of a line: curved or straight, a path or a shape, a straight path of one segment or several."""
-    kind, style = (F.coalesce(F.nullif(value(parameters, k), F.lit("")), F.lit("missing")) for k in ("line_type", "line_style"))
-    single = F.schema_of_variant(F.try_variant_get(F.try_parse_json(parameters), "$.is_single", "variant"))
-    several = ((single == "BOOLEAN") & (value(parameters, "is_single") == "false")) | (listed(parameters, "points") > 1)
-    curved, shape = kind == "curved", style == "shape"
-    return F.when(curved & shape, "curved_shape").when(curved, "curved_path").when(shape, "straight_shape").when(F.coalesce(several, F.lit(False)), "straight_path_multi").otherwise("straight_path_single")
+    def macro(text: Column) -> Column:
+        single = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), "$.is_single", "variant"))
+        several = ((single == "BOOLEAN") & (value(text, "is_single") == "false")) | (listed(value(text, "points")) > 1)
+
+        def name(x: Column) -> Column:
+            curved, shape = x["line_type"] == "curved", x["line_style"] == "shape"
+            return F.when(curved & shape, "curved_shape").when(curved, "curved_path").when(shape, "straight_shape").when(F.coalesce(several, F.lit(False)), "straight_path_multi").otherwise("straight_path_single")
+
+        classes = F.struct(*(F.coalesce(value(text, k), F.lit("")).alias(k) for k in ("line_type", "line_style")))
+        return bound(classes, name)
+
+    return bound(parameters, macro)
 
 
 def line_group(parameters: Column) -> Column:
     """What lines of a macro class are told apart by: heads|dash|segments, four at most|fill|border|corners."""
-    or_missing = lambda k: F.coalesce(value(parameters, k), F.lit("missing"))
-    fill = F.when(F.ltrim(value(parameters, "fill_color")).startswith("["), "gradient").otherwise("solid")
-    border = F.coalesce(F.initcap(F.when(value(parameters, "has_border").isin("true", "false"), value(parameters, "has_border"))), or_missing("has_border"))
-    return F.concat_ws("|", *(or_missing(k) for k in ("begin_arrow", "end_arrow", "dash_style")), F.least(listed(parameters, "points"), F.lit(4)).cast("string"), F.coalesce(fill, F.lit("solid")), border, or_missing("corner_style"))
+    def join(x: Column) -> Column:
+        or_missing = lambda k: F.coalesce(x[k], F.lit("missing"))
+        fill = F.when(F.ltrim(x["fill_color"]).startswith("["), "gradient").otherwise("solid")
+        border = F.coalesce(F.initcap(F.when(x["has_border"].isin("true", "false"), x["has_border"])), or_missing("has_border"))
+        return F.concat_ws("|", *(or_missing(k) for k in ("begin_arrow", "end_arrow", "dash_style")), F.least(listed(x["points"]), F.lit(4)).cast("string"), F.coalesce(fill, F.lit("solid")), border, or_missing("corner_style"))
+
+    return values(parameters, "begin_arrow", "end_arrow", "dash_style", "points", "fill_color", "has_border", "corner_style", body=join)
 
 
 def fused(rows: DataFrame, sources: list[tuple[str, Column, Column]], default: tuple[str, Column]) -> DataFrame:

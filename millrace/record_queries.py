@@ -172,8 +172,11 @@ SELECT l_orderkey, min(attempt_index) AS attempt_index, CASE WHEN arg_min(l_supp
 FROM (SELECT * FROM a WHERE m <> 1) GROUP BY l_orderkey""")
 def first_valid_attempt(spark, sf_dir):
     """The first of an order's lines whose attributes keep the contract once they are in normal form."""
-    rows = line_parameters(spark, sf_dir).select("l_orderkey", "at", T.normal_line(F.col("parameters"), F.col("source")).alias("attributes"))
-    best = T.first_valid(rows, ["l_orderkey"], "at", F.size(T.attribute_errors(F.col("attributes"))) == 0)
+    rows = line_parameters(spark, sf_dir)
+    texts = T.alike(rows, "parameters", "source").select("parameters", "source", T.normal_line(F.col("parameters"), F.col("source")).alias("attributes"))
+    texts = texts.withColumn("valid", F.size(T.attribute_errors(F.col("attributes"))) == 0)
+    rows = rows.join(texts, ["parameters", "source"], "left").select("l_orderkey", "at", "attributes", "valid")
+    best = T.first_valid(rows, ["l_orderkey"], "at", F.col("valid"))
     return best.select("l_orderkey", "attempt_index", F.col("attributes")["begin_arrow"].alias("begin_arrow"), (F.size("attributes") + 1).alias("n_attributes"))
 
 
