@@ -134,8 +134,8 @@ CASE WHEN kind IN ('oval', 'callout') AND NOT color THEN 'border.color:invalid_h
 CASE WHEN kind IN ('oval', 'callout') AND fill THEN 'fill.direction:invalid_linear' END, CASE WHEN kind IN ('oval', 'callout') AND NOT fill THEN 'fill:unexpected_fields:color' END, CASE WHEN kind = 'callout' THEN 'callout.body_type:invalid' END], lambda x: x IS NOT NULL)) AS code FROM shapes)
 SELECT code, count(*) AS n FROM codes GROUP BY code""")
 def shape_contract(spark, sf_dir):
-    rows = shape_parameters(spark, sf_dir)
-    return rows.select(F.explode(T.shape_errors(F.col("parameters"))).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    rows = T.alike(shape_parameters(spark, sf_dir), "parameters")
+    return rows.select(F.explode(T.shape_errors(F.col("parameters"))).alias("code"), "n").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 @query(f"""WITH {SHAPES} SELECT kind || '|uniform:' || CASE WHEN style THEN 'solid' ELSE 'wavy' END || '|' || CASE WHEN fill THEN 'linear_gradient' ELSE 'none' END || '|glow|round0|splits0' AS stratum, count(*) AS n FROM shapes GROUP BY ALL""")

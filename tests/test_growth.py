@@ -33,3 +33,7 @@ def test_parsed_reads_a_text_once(spark):
     assert plan(out).count("from_json(") == 1 and plan(out).count("json_object_keys(") == 1
     assert [(r["p"]["a"], r["p"]["b"], r["p"]["c"], r["p"]["all"], r["p"]["there"]) for r in out.collect()] == [
         ("1", "x", "true", ["a", "b", "c", "z"], True), (None, None, None, ["c"], True), (None, None, None, [], False), (None, None, None, [], False), (None, None, None, [], False)]
+
+
+def test_shape_contract_judges_each_text_once(spark):
+    judged_once(spark, "shape_contract", ["parameters"])
