@@ -163,8 +163,8 @@ CASE WHEN m = 0 AND p = 3 THEN 'is_single:true_requires_exactly_one_segment' END
 CASE WHEN m = 1 THEN 'shape:has_border_required' END, CASE WHEN arrow AND m <> 2 THEN 'source_prior:arrow_requires_at_least_one_head' END], lambda x: x IS NOT NULL)) AS code FROM line_rows)
 SELECT code, count(*) AS n FROM codes GROUP BY code""")
 def line_contract(spark, sf_dir):
-    rows = line_parameters(spark, sf_dir)
-    return rows.select(F.explode(T.line_errors(F.col("parameters"), F.col("source"))).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    rows = T.alike(line_parameters(spark, sf_dir), "parameters", "source")
+    return rows.select(F.explode(T.line_errors(F.col("parameters"), F.col("source"))).alias("code"), "n").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 @query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_linenumber % 3 AS m, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS attempt_index FROM lineitem)

@@ -37,3 +37,7 @@ def test_parsed_reads_a_text_once(spark):
 
 def test_shape_contract_judges_each_text_once(spark):
     judged_once(spark, "shape_contract", ["parameters"])
+
+
+def test_line_contract_judges_each_text_once(spark):
+    judged_once(spark, "line_contract", ["parameters", "source"])
