@@ -140,7 +140,7 @@ def shape_contract(spark, sf_dir):
 
 @query(f"""WITH {SHAPES} SELECT kind || '|uniform:' || CASE WHEN style THEN 'solid' ELSE 'wavy' END || '|' || CASE WHEN fill THEN 'linear_gradient' ELSE 'none' END || '|glow|round0|splits0' AS stratum, count(*) AS n FROM shapes GROUP BY ALL""")
 def shape_strata(spark, sf_dir):
-    return shape_parameters(spark, sf_dir).groupBy(T.shape_stratum(F.col("parameters")).alias("stratum")).agg(F.count("*").alias("n"))
+    return T.alike(shape_parameters(spark, sf_dir), "parameters").groupBy(T.shape_stratum(F.col("parameters")).alias("stratum")).agg(F.sum("n").alias("n"))
 
 
 LINES = """line_rows AS (SELECT l_orderkey, l_linenumber, l_suppkey % 2 = 0 AS arrow, l_linenumber % 3 AS m, l_partkey % 4 AS p FROM lineitem)"""

@@ -41,3 +41,7 @@ def test_shape_contract_judges_each_text_once(spark):
 
 def test_line_contract_judges_each_text_once(spark):
     judged_once(spark, "line_contract", ["parameters", "source"])
+
+
+def test_shape_strata_judges_each_text_once(spark):
+    judged_once(spark, "shape_strata", ["parameters"])
