@@ -182,7 +182,7 @@ def first_valid_attempt(spark, sf_dir):
 
 @query(f"""WITH {LINES} SELECT 'straight|' || CASE WHEN m = 1 THEN 'shape' ELSE 'path' END || '|segments' || CASE WHEN p = 3 THEN 0 ELSE 1 END || '|solid|' || CASE WHEN m = 2 THEN 'round' ELSE 'none' END || '|none|missing|missing|-' AS stratum, count(*) AS n FROM line_rows GROUP BY ALL""")
 def line_strata(spark, sf_dir):
-    return line_parameters(spark, sf_dir).groupBy(T.line_stratum(F.col("parameters")).alias("stratum")).agg(F.count("*").alias("n"))
+    return T.alike(line_parameters(spark, sf_dir), "parameters").groupBy(T.line_stratum(F.col("parameters")).alias("stratum")).agg(F.sum("n").alias("n"))
 
 
 @query("""SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i FROM events) JOIN (VALUES ('click', 3), ('click', 3), ('view', 7)) w(event_type, i) USING (event_type, i)""")

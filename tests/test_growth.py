@@ -45,3 +45,7 @@ def test_line_contract_judges_each_text_once(spark):
 
 def test_shape_strata_judges_each_text_once(spark):
     judged_once(spark, "shape_strata", ["parameters"])
+
+
+def test_line_strata_judges_each_text_once(spark):
+    judged_once(spark, "line_strata", ["parameters"])
