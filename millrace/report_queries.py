@@ -165,7 +165,7 @@ def audit_report(spark, sf_dir):
 CASE WHEN m = 2 THEN 'round' ELSE 'none' END || '|none|solid|' || CASE WHEN p = 3 THEN 0 ELSE 1 END || '|solid|' || CASE WHEN m = 2 THEN 'True' ELSE 'missing' END || '|missing' AS stratum, count(*) AS n FROM line_rows GROUP BY ALL""")
 def line_macros(spark, sf_dir):
     p = F.col("parameters")
-    return line_parameters(spark, sf_dir).groupBy(T.line_macro(p).alias("macro"), T.line_group(p).alias("stratum")).agg(F.count("*").alias("n"))
+    return T.alike(line_parameters(spark, sf_dir), "parameters").groupBy(T.line_macro(p).alias("macro"), T.line_group(p).alias("stratum")).agg(F.sum("n").alias("n"))
 
 
 @query(f"""WITH {TOKENS}, w AS (SELECT doc_id, ids, len(ids) AS n, list_transform(ids, lambda x: CASE WHEN x % 7 = 0 THEN 3 ELSE 1 END) AS widths FROM tokens),

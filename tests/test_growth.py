@@ -35,17 +35,21 @@ def test_parsed_reads_a_text_once(spark):
         ("1", "x", "true", ["a", "b", "c", "z"], True), (None, None, None, ["c"], True), (None, None, None, [], False), (None, None, None, [], False), (None, None, None, [], False)]
 
 
-def test_shape_contract_judges_each_text_once(spark):
-    judged_once(spark, "shape_contract", ["parameters"])
-
-
 def test_line_contract_judges_each_text_once(spark):
     judged_once(spark, "line_contract", ["parameters", "source"])
 
 
-def test_shape_strata_judges_each_text_once(spark):
-    judged_once(spark, "shape_strata", ["parameters"])
+def test_line_macros_judges_each_text_once(spark):
+    judged_once(spark, "line_macros", ["parameters"])
 
 
 def test_line_strata_judges_each_text_once(spark):
     judged_once(spark, "line_strata", ["parameters"])
+
+
+def test_shape_contract_judges_each_text_once(spark):
+    judged_once(spark, "shape_contract", ["parameters"])
+
+
+def test_shape_strata_judges_each_text_once(spark):
+    judged_once(spark, "shape_strata", ["parameters"])
