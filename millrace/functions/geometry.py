@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 1000
@@ -198,7 +200,7 @@ def resized(width: Column, height: Column, least: int, most: int, factor: int =
 def aligned_candidates(width: Column, height: Column, target: int, least: int, most: int, factor: int = 32, upscale: float | None = None) -> Column:
     """Sizes of multiples of ``factor`` about a number of pixels: widths and heights up to four steps about the ideal
     ones, the other side following the ratio; array of struct(w, h) of those between two numbers of pixels."""
-    multiple = lambda v: F.greatest(F.lit(float(factor)), F.bround(v / factor) * factor)
+    multiple = lambda v: F.greatest(F.lit(float(factor)), F.rint(v / factor) * factor)
     start = F.struct(width.cast("double").alias("w"), height.cast("double").alias("h"), F.sqrt(F.lit(float(target)) / (width.cast("double") * height)).alias("scale"))
     ideal = F.transform(F.array(start), lambda s: F.struct(s["w"].alias("w"), s["h"].alias("h"), multiple(s["w"] * s["scale"]).alias("bw"), multiple(s["h"] * s["scale"]).alias("bh")))
     steps = F.array(*(F.lit(float(k * factor)) for k in range(-4, 5)))
@@ -218,18 +220,38 @@ def aligned_candidates(width: Column, height: Column, target: int, least: int, m
 
 
 def aligned_size(width: Column, height: Column, target: int, least: int, most: int, factor: int = 32, upscale: float | None = None) -> Column:
-    """struct(width, height) of the candidate nearest to a number of pixels and to the sides' ratio; null if none is allowed.
+    """struct(width, height, allowed) of the candidate nearest to a number of pixels and to the sides' ratio, and how many different
+    ones there are; null if there is none, and for sides that are not positive.
 
-    The smallest sum of the two errors (as logarithms) wins, then the smaller error of the ratio, then of the pixels.
+    The smallest sum of the two errors (as logarithms) wins, then the smaller error of the ratio, then of the pixels. All
+    candidates of a batch of images are looked at together.
     """
-    ratio = width.cast("double") / height
 
-    def scored(p: Column) -> Column:
-        off, skew = F.abs(F.log(p["w"] * p["h"] / float(target))), F.abs(F.log((p["w"] / p["h"]) / ratio))
-        return F.struct((off + skew).alias("a"), skew.alias("b"), off.alias("c"), p["w"].cast("long").alias("width"), p["h"].cast("long").alias("height"))
-
-    best = F.array_min(F.transform(aligned_candidates(width, height, target, least, most, factor, upscale), scored))
-    return F.when(best.isNotNull(), F.struct(best["width"].alias("width"), best["height"].alias("height")))
+    @F.pandas_udf("width long, height long, allowed long")
+    def chosen(widths: pd.Series, heights: pd.Series) -> pd.DataFrame:
+        w, h = (v.to_numpy(float)[:, None] for v in (widths, heights))
+        steps = np.arange(-4, 5) * float(factor)
+        multiple = lambda v: np.maximum(float(factor), np.rint(v / factor) * factor)
+        with np.errstate(all="ignore"):
+            scale = np.sqrt(target / (w * h))
+            wide, high = np.maximum(float(factor), multiple(w * scale) + steps), np.maximum(float(factor), multiple(h * scale) + steps)
+            cw, ch = np.hstack([wide, multiple(high * w / h)]), np.hstack([multiple(wide * h / w), high])
+            fine = (w > 0) & (h > 0) & (cw * ch >= least) & (cw * ch <= most)
+            if upscale is not None:
+                fine &= (cw / w <= upscale + 1e-9) & (ch / h <= upscale + 1e-9)
+            off, skew = np.abs(np.log(cw * ch / target)), np.abs(np.log((cw / ch) / (w / h)))
+        left = fine.copy()
+        for key in (off + skew, skew, off, cw, ch):  # of those that are best so far the best by the next key
+            key = np.where(left, key, np.inf)
+            left &= key == key.min(axis=1, keepdims=True)
+        first, none = left.argmax(axis=1)[:, None], ~fine.any(axis=1)
+        by_size = np.sort(np.where(fine, cw * (1 << 26) + ch, -1.0), axis=1)
+        allowed = (by_size[:, :1] >= 0).sum(axis=1) + ((np.diff(by_size, axis=1) != 0) & (by_size[:, 1:] >= 0)).sum(axis=1)
+        taken = {"width": np.take_along_axis(cw, first, 1)[:, 0], "height": np.take_along_axis(ch, first, 1)[:, 0], "allowed": allowed.astype(float)}
+        return pd.DataFrame({k: pd.Series(np.where(none, np.nan, v)).astype("Int64") for k, v in taken.items()})
+
+    best = chosen(width.cast("double"), height.cast("double"))
+    return F.when(best["width"].isNotNull(), best)
 
 
 def jittered(box: Box, noise: float, units: list[Column], width, height) -> Box:
@@ -243,9 +265,25 @@ def context_view(box: Box, proposal: Box, padding: Column, width: int, height: i
     """(crop, overlap): a crop about a proposal and the true box, with a margin, of a least size and a bounded aspect, so that
     it holds the true box; and the IoU of the two boxes."""
     both = (F.least(box[0], proposal[0]), F.least(box[1], proposal[1]), F.greatest(box[2], proposal[2]), F.greatest(box[3], proposal[3]))
-    mx, my = (both[2] - both[0]) * padding, (both[3] - both[1]) * padding
-    crop = (F.greatest(F.lit(0.0), F.floor(both[0] - mx)), F.greatest(F.lit(0.0), F.floor(both[1] - my)), F.least(F.lit(float(width)), F.ceil(both[2] + mx)), F.least(F.lit(float(height)), F.ceil(both[3] + my)))
-    return bounded_aspect(least_size(crop, least, width, height), aspect, width, height), iou(box, proposal)
+    return bounded_aspect(least_size(margined(both, padding, width, height), least, width, height), aspect, width, height), iou(box, proposal)
+
+
+def with_context_view(rows: DataFrame, box: Box, proposal: Box, padding: Column, width: int, height: int, names: list[str], least: int = 4, aspect: float = 200.0) -> tuple[DataFrame, Column]:
+    """``rows`` with the crop of ``context_view`` in four columns ``names``, and the overlap: each step's sides are columns, so that no side is worked out again for every use."""
+    steps = [f"_view_{k}" for k in range(4)]
+    sides = lambda made: {n: v.cast("double") for n, v in zip(steps, made)}
+    held = tuple(F.col(n) for n in steps)
+    both = (F.least(box[0], proposal[0]), F.least(box[1], proposal[1]), F.greatest(box[2], proposal[2]), F.greatest(box[3], proposal[3]))
+    rows = rows.withColumns(sides(both))
+    rows = rows.withColumns(sides(margined(held, padding, width, height)))
+    rows = rows.withColumns(sides(least_size(held, least, width, height)))
+    return rows.withColumns(dict(zip(names, bounded_aspect(held, aspect, width, height)))).drop(*steps), iou(box, proposal)
+
+
+def margined(box: Box, padding: Column, width: int, height: int) -> Box:
+    """The box with a margin of a share of its sides, to whole pixels outwards, clipped."""
+    mx, my = (box[2] - box[0]) * padding, (box[3] - box[1]) * padding
+    return F.greatest(F.lit(0.0), F.floor(box[0] - mx)), F.greatest(F.lit(0.0), F.floor(box[1] - my)), F.least(F.lit(float(width)), F.ceil(box[2] + mx)), F.least(F.lit(float(height)), F.ceil(box[3] + my))
 
 
 def padding_bucket(unit: Column, buckets: dict[str, tuple[float, float]]) -> Column:
@@ -268,17 +306,19 @@ def padded_canvas(width: Column, height: Column, pads: tuple[Column, Column, Col
     side = lambda v, scale, a, b: F.ceil(v * scale * (a + b + 1.0) / factor) * factor
     canvas = lambda scale: (side(w, scale, pads[0], pads[2]), side(h, scale, pads[1], pads[3]))
 
-    def fits(scale: Column) -> Column:
-        cw, ch = canvas(scale)
-        return cw * ch <= most
-
-    def halve(a: Column, _: Column) -> Column:
-        mid = (a["lo"] + a["hi"]) / 2.0
-        return F.struct(F.when(fits(mid), mid).otherwise(a["lo"]).alias("lo"), F.when(fits(mid), a["hi"]).otherwise(mid).alias("hi"))
-
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda a: a["lo"])
-    scale = F.when(fits(F.lit(1.0)), 1.0).otherwise(found)
+    @F.pandas_udf("double")
+    def halved(w: pd.Series, h: pd.Series, left: pd.Series, top: pd.Series, right: pd.Series, bottom: pd.Series) -> pd.Series:
+        """The scales of a batch of images, halved together."""
+        w, h, left, top, right, bottom = (v.to_numpy(float) for v in (w, h, left, top, right, bottom))
+        lo, hi = np.zeros(len(w)), np.ones(len(w))
+        for _ in range(STEPS):
+            mid = (lo + hi) / 2.0
+            fits = np.ceil(w * mid * (left + right + 1.0) / factor) * factor * (np.ceil(h * mid * (top + bottom + 1.0) / factor) * factor) <= most
+            lo, hi = np.where(fits, mid, lo), np.where(fits, hi, mid)
+        return pd.Series(lo)
+
+    cw, ch = canvas(F.lit(1.0))
+    scale = F.when(cw * ch <= most, 1.0).otherwise(halved(w, h, *(p.cast("double") for p in pads)))
     return F.transform(F.array(scale), lambda s: F.struct(s.alias("scale"), canvas(s)[0].alias("width"), canvas(s)[1].alias("height"), F.floor(w * s * pads[0]).alias("left"), F.floor(h * s * pads[1]).alias("top")))[0]
 
 

@@ -1,11 +1,17 @@
 """What a query works out stays within its rows: a text is judged once, an expression is not written out again at each use."""
 
+import math
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from millrace import all_queries as queries
+from millrace.functions import geometry as G
+from millrace.functions import polylines as P
+from millrace.operators import annotations as A
 from millrace.operators import attributes as T
+from millrace.streaming import draws
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,7 +36,8 @@ def test_first_valid_attempt_judges_each_text_once(spark):
 def test_parsed_reads_a_text_once(spark):
     rows = spark.createDataFrame([('{"a":1,"b":"x","c":true,"z":[1]}',), ('{"c":"true"}',), ("[1]",), ("no",), (None,)], "t string")
     out = rows.select(T.parsed(F.col("t"), "a", "b", "c", booleans=("c",)).alias("p"))
-    assert plan(out).count("from_json(") == 1 and plan(out).count("json_object_keys(") == 1
+    text = out._jdf.queryExecution().analyzed().toString()
+    assert text.count("from_json(") == 1 and text.count("json_object_keys(") == 1
     assert [(r["p"]["a"], r["p"]["b"], r["p"]["c"], r["p"]["all"], r["p"]["there"]) for r in out.collect()] == [
         ("1", "x", "true", ["a", "b", "c", "z"], True), (None, None, None, ["c"], True), (None, None, None, [], False), (None, None, None, [], False), (None, None, None, [], False)]
 
@@ -53,3 +60,7 @@ def test_shape_contract_judges_each_text_once(spark):
 
 def test_shape_strata_judges_each_text_once(spark):
     judged_once(spark, "shape_strata", ["parameters"])
+
+
+def test_padded_canvases_halve_together(spark):
+    assert "aggregate(" not in plan(queries.QUERIES["padded_canvases"](spark, SF))
