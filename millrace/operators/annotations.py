@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ CROP = "struct<x1:double,y1:double,x2:double,y2:double>"
 PASSES = 8  # how often a crop is widened at most
 MOST_AREA = 0.92  # of the image, that a crop may have
 MOST_IOU = 0.85  # of two crops that are both taken
+BLOCK = 1 << 20  # crops times boxes that are looked at together
+EVALUATED = f"array<struct<crop:{CROP},inside:array<bigint>,area:double>>"
 
 
 def mapped_labels(label: Column, names: dict[str, str]) -> Column:
@@ -94,13 +98,76 @@ def evaluated(start: Column, boxes: Column, width: int, height: int) -> Column:
     return F.transform(F.array(expanded(start, boxes, width, height)), judge)[0]
 
 
+def judged(at: np.ndarray, sides: np.ndarray, idx: np.ndarray, width: int, height: int):
+    """What ``evaluated`` says of crops (images, crops, 4) and boxes (images, boxes, 4), numbered (images, boxes): which crops are found, their sides
+    once widened, the boxes in them in order of number, and their area."""
+    cuts = lambda b, c: (b[..., 0] < c[..., 2]) & (c[..., 0] < b[..., 2]) & (b[..., 1] < c[..., 3]) & (c[..., 1] < b[..., 3])
+    holds = lambda b, c: (b[..., 0] >= c[..., 0]) & (b[..., 1] >= c[..., 1]) & (b[..., 2] <= c[..., 2]) & (b[..., 3] <= c[..., 3])
+    low, high, ends = np.floor(sides[..., :2]) + 0.0, np.ceil(sides[..., 2:]) + 0.0, np.array([float(width), float(height)])
+    at = at.copy()
+    for _ in range(PASSES):
+        before = at.copy()
+        for k in range(sides.shape[1]):
+            b = sides[:, k, None]
+            cut = (cuts(b, at) & ~holds(b, at))[..., None]
+            wide = np.concatenate([np.maximum(0.0, np.minimum(at[..., :2], low[:, k, None])), np.minimum(ends, np.maximum(at[..., 2:], high[:, k, None]))], axis=-1)
+            at = np.where(cut, wide, at)
+        if np.array_equal(before, at):
+            break
+    inside = holds(sides[:, None], at[:, :, None])
+    fine = ~(cuts(sides[:, None], at[:, :, None]) & ~inside).any(-1) & inside.any(-1) & ((at[..., 2] - at[..., 0]) * (at[..., 3] - at[..., 1]) / float(width * height) <= MOST_AREA)
+    area = np.zeros(fine.shape)
+    for k in range(sides.shape[1]):
+        area += np.where(inside[..., k], ((sides[:, k, 2] - sides[:, k, 0]) * (sides[:, k, 3] - sides[:, k, 1]))[:, None], 0.0)
+    order = np.argsort(idx, axis=1, kind="stable")
+    return fine, at, np.take_along_axis(inside, order[:, None], axis=2), np.take_along_axis(idx, order, 1), area
+
+
+def evaluated_crops(start, boxes: Column, width: int, height: int) -> Column:
+    """Array of what ``evaluated`` says of the crop start(b) of each box b, without nulls. Images with the same number of boxes are looked at together,
+    BLOCK pairs of crop and box at a time; those with a side or number that is missing or not finite one by one."""
+
+    @F.arrow_udf(EVALUATED)
+    def together(starts: pa.Array, held: pa.Array) -> pa.Array:
+        n = held.value_lengths().fill_null(0).to_numpy().astype("int64")
+        first = np.cumsum(n) - n
+        columns = lambda rows: np.stack([rows.field(s).to_numpy(zero_copy_only=False) for s in SIDES], axis=-1)
+        flat = held.flatten()
+        at, sides, idx = columns(starts.flatten()), columns(flat), flat.field("idx").to_numpy(zero_copy_only=False)
+        found = []
+        for size in np.unique(n[n > 0]):
+            images = np.flatnonzero(n == size)
+            per = max(1, BLOCK // (int(size) * int(size)))
+            for part in (images[k : k + per] for k in range(0, len(images), per)):
+                rows = first[part][:, None] + np.arange(size)
+                step = max(1, BLOCK // (len(part) * int(size)))
+                for c in range(0, int(size), step):
+                    fine, crop, inside, numbers, area = judged(at[rows[:, c : c + step]], sides[rows], idx[rows], width, height)
+                    i, j = np.nonzero(fine)
+                    hits = inside[i, j]
+                    found.append((part[i], c + j, crop[i, j], area[i, j], hits.sum(1), np.broadcast_to(numbers[i], hits.shape)[hits]))
+        if not found:
+            return pa.array([[] for _ in n], pa.list_(pa.struct([("crop", pa.struct([(s, pa.float64()) for s in SIDES])), ("inside", pa.list_(pa.int64())), ("area", pa.float64())])))
+        image, place, crop, area, counts, numbers = (np.concatenate(v) for v in zip(*found))
+        ends = lambda lengths: pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype("int32"))
+        rows = pa.StructArray.from_arrays([pa.StructArray.from_arrays([pa.array(crop[:, k]) for k in range(4)], list(SIDES)), pa.ListArray.from_arrays(ends(counts), pa.array(numbers.astype("int64"))), pa.array(area)], ["crop", "inside", "area"])
+        return pa.ListArray.from_arrays(ends(np.bincount(image, minlength=len(n))), rows.take(pa.array(np.lexsort((place, image)))))
+
+    finite = lambda v: v.isNotNull() & (F.abs(v) < float("inf"))
+    whole = F.forall(boxes, lambda b: G.lit_all(b["idx"].isNotNull(), *(finite(b[s]) for s in SIDES)))
+    some = F.when(F.coalesce(whole, F.lit(False)), boxes).otherwise(F.slice(boxes, 1, 0))
+    singly = F.filter(F.transform(boxes, lambda b: evaluated(start(b), boxes, width, height)), lambda c: c.isNotNull())
+    return F.when(whole, together(F.transform(some, start), some)).otherwise(singly)
+
+
 def selected_crops(candidates: Column, most: int) -> Column:
     """The best of evaluated crops: by number of boxes, then their area, then place; none with the boxes of one taken
     before, or that overlaps it by more than MOST_IOU."""
     key = lambda c: F.struct((-F.size(c["inside"])).alias("n"), (-c["area"]).alias("a"), c["crop"].alias("crop"), c["inside"].alias("inside"))
     ranked = F.array_sort(F.transform(F.filter(candidates, lambda c: c.isNotNull()), key))
     alike = lambda taken, c: F.exists(taken, lambda t: (t["inside"] == c["inside"]) | (G.crop_iou(sides_of(t["crop"]), sides_of(c["crop"])) > MOST_IOU))
-    return F.aggregate(ranked, F.slice(ranked, 1, 0), lambda taken, c: F.when((F.size(taken) >= most) | alike(taken, c), taken).otherwise(F.concat(taken, F.array(c))))
+    taken = lambda r: F.aggregate(r, F.slice(r, 1, 0), lambda taken, c: F.when((F.size(taken) >= most) | alike(taken, c), taken).otherwise(F.concat(taken, F.array(c))))
+    return F.transform(F.array(ranked), taken)[0]
 
 
 def row_major(boxes: DataFrame, width: int, height: int) -> DataFrame:
@@ -162,19 +229,19 @@ def point_rows(rows: DataFrame, kind: str, line: Column, width: int, height: int
     number = lambda x: F.coalesce(x, F.lit(float("nan")))
     code = lambda p: F.array(G.quantise(p[0], width), G.quantise(p[1], height))
     good = lambda p: (F.size(p) == 2) & ~F.exists(p, lambda x: F.isnan(number(x)))
-    points, segments = F.from_json(line, "array<array<double>>"), F.from_json(line, "array<array<array<double>>>")
-    nested = F.regexp_replace(line, r"\s", "").startswith("[[[")
+    nested = lambda text: F.regexp_replace(text, r"\s", "").startswith("[[[")
+    bound = lambda value, body: F.transform(F.array(value), body)[0]
+    # each text is parsed once, and what it holds is null where it does not fit
     if kind == "point_arrow":
-        fits = ~nested & (F.size(points) >= 2) & F.forall(points, good)
-        target = F.to_json(F.struct(F.transform(points, code).alias("keypoints_2d")))
+        held = bound(line, lambda text: F.when(~nested(text), F.from_json(text, "array<array<double>>")))
+        target = bound(held, lambda points: F.when((F.size(points) >= 2) & F.forall(points, good), F.to_json(F.struct(F.transform(points, code).alias("keypoints_2d")))))
         error = "an arrow has two points or more"
     else:
-        held = F.filter(F.when(nested, segments).otherwise(F.array(points)), lambda s: (F.size(s) >= 2) & F.forall(s, good))
-        fits = F.size(held) > 0
-        alone = F.size(held) == 1 if single is None else F.coalesce(single, F.size(held) == 1)
-        target = F.to_json(F.struct(F.lit("line").alias("type"), F.struct(alone.alias("is_single"), F.transform(held, lambda s: F.transform(s, code)).alias("points")).alias("parameters")))
+        segments = bound(line, lambda text: F.when(nested(text), F.from_json(text, "array<array<array<double>>>")).otherwise(F.array(F.from_json(text, "array<array<double>>"))))
+        alone = lambda held: F.size(held) == 1 if single is None else F.coalesce(single, F.size(held) == 1)
+        written = lambda held: F.to_json(F.struct(F.lit("line").alias("type"), F.struct(alone(held).alias("is_single"), F.transform(held, lambda s: F.transform(s, code)).alias("points")).alias("parameters")))
+        target = bound(F.filter(segments, lambda s: (F.size(s) >= 2) & F.forall(s, good)), lambda held: F.when(F.size(held) > 0, written(held)))
         error = "a line has a segment of two points or more"
-    fits = F.coalesce(fits, F.lit(False))
     policy = F.struct(*(F.lit(v).alias(k) for k, v in zip(("type", "coordinate_space", "order"), policies[kind])))
     extra = F.to_json(F.struct(policy.alias("target_policy"), F.lit(width).alias("image_width"), F.lit(height).alias("image_height")))
-    return rows.withColumns({"user_prompt": F.lit(prompt), "target_text": F.when(fits, target), "extra": extra, "error": F.when(~fits, error)})
+    return rows.withColumns({"user_prompt": F.lit(prompt), "target_text": target, "extra": extra}).withColumn("error", F.when(F.col("target_text").isNull(), error))

@@ -79,3 +79,17 @@ def test_aligned_size_is_the_best_candidate(spark):
         size = got[r["w"], r["h"]]
         assert (size is None) == (best is None)
         assert size is None or (abs(error(size["width"], size["height"]) - best) < 1e-12 and size["allowed"] == len(set(r["all"])))
+
+
+def test_crops_of_a_batch_equal_those_one_by_one(spark, monkeypatch):
+    rng = random.Random(5)
+    side = lambda: rng.randint(0, 500) + rng.choice([0.0, 0.5])
+    boxes = [(image, k, "A", x, y, x + rng.randint(0, 90), y + rng.randint(1, 90)) for image in range(60) for k in range(rng.choice([1, 2, 3, 7, 30])) for x, y in [(side(), side())]]
+    boxes += [(90, 0, "A", None, 1.0, 5.0, 6.0), (90, 1, "A", 1.0, 1.0, 50.0, 60.0), (91, 0, "A", 3.0, 3.0, float("nan"), 9.0), (91, 1, "A", 3.0, 3.0, 7.0, 9.0)]
+    rows = A.instances_of(spark.createDataFrame(boxes, "image long, idx long, label string, x1 double, y1 double, x2 double, y2 double"))
+    start = lambda b: A.crop((b["x1"] - 10, b["y1"] - 10, b["x1"] + 150, b["y1"] + 120))
+    plain = F.filter(F.transform("boxes", lambda b: A.evaluated(start(b), F.col("boxes"), 640, 480)), lambda c: c.isNotNull())
+    for block in (A.BLOCK, 40):
+        monkeypatch.setattr(A, "BLOCK", block)
+        got = rows.select("image", A.evaluated_crops(start, F.col("boxes"), 640, 480).alias("a"), plain.alias("b")).collect()
+        assert all(repr(r["a"]) == repr(r["b"]) for r in got) and sum(len(r["a"]) for r in got) > 50
