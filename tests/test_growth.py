@@ -93,3 +93,11 @@ def test_crops_of_a_batch_equal_those_one_by_one(spark, monkeypatch):
         monkeypatch.setattr(A, "BLOCK", block)
         got = rows.select("image", A.evaluated_crops(start, F.col("boxes"), 640, 480).alias("a"), plain.alias("b")).collect()
         assert all(repr(r["a"]) == repr(r["b"]) for r in got) and sum(len(r["a"]) for r in got) > 50
+
+
+def test_point_rows_parse_a_line_once(spark):
+    rows = spark.createDataFrame([("[[1,2],[3,4]]",), ("[[[1,2],[3,4]],[[1,2]]]",), ("[[1,2]]",), ("no",), (None,)], "line string")
+    for kind, parsed, fits in (("point_arrow", 1, [True, False, False, False, False]), ("point_line", 2, [True, True, False, False, False])):
+        out = A.point_rows(rows, kind, F.col("line"), 640, 480, "?")
+        assert out._jdf.queryExecution().analyzed().toString().count("from_json(") == parsed
+        assert [(r["target_text"] is not None, r["error"] is None) for r in out.collect()] == [(f, f) for f in fits]
