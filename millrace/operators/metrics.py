@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.registry import Registry
+from ..sources.scratch import Rounds
 from .selection import alike, percentiles
 
 METRICS = Registry("metric")
@@ -221,6 +222,7 @@ def audit_report(rows: DataFrame, id_col: str, fatal: dict[str, Column], issues:
     none = F.lit(None).cast("string")
     code = first_error(fatal)
     ids = rows.select(F.col(id_col).alias("_id"), code.alias("_fatal"), F.when(code.isNull(), issues).alias("_issues"), F.when(code.isNull(), counted).alias("_counted"))
+    ids = Rounds(rows.sparkSession, "audit").table("ids", ids)  # without the rows' texts, which are read once
     whole = ids.agg(F.count("*").alias("source_rows"), F.count_if(F.col("_fatal").isNull()).alias("valid_rows"), F.count("_fatal").alias("fatal_rows"))
     totals = whole.select(F.explode(F.array(*(F.struct(F.lit(c).alias("code"), F.col(c).alias("n")) for c in whole.columns))).alias("x")).select(F.lit("rows").alias("section"), "x.code", none.alias("value"), "x.n", none.alias("ids"))
 

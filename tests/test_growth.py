@@ -114,3 +114,7 @@ def test_simplified_lines_keep_nulls(spark):
     rows = spark.sql("SELECT * FROM VALUES (1, array(array(named_struct('x', 0D, 'y', 0D), named_struct('x', 1D, 'y', 0D), named_struct('x', 2D, 'y', 0D)), array(named_struct('x', 5D, 'y', 5D)))), (2, NULL), (3, array()) AS t(k, line)")
     out = {r["k"]: r["s"] and [[tuple(p) for p in s] for s in r["s"]] for r in rows.select("k", P.simplified(F.col("line").cast(P.LINE)).alias("s")).collect()}
     assert out == {1: [[(0.0, 0.0), (2.0, 0.0)], [(5.0, 5.0)]], 2: None, 3: []}
+
+
+def test_audits_read_texts_once(spark):
+    assert "regexp_count" not in plan(queries.QUERIES["audit_report"](spark, SF))
