@@ -11,7 +11,7 @@ from .functions import json_text, prompts
 from .plans import transforms
 from .queries import query, table
 from .sources import records, registry
-from .sources.scratch import shared_folder
+from .sources.scratch import Rounds, shared_folder
 
 BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -27,7 +27,8 @@ def catalogue_rows(spark, sf_dir):
     entries = [{"name": n, "reader": "json_lines", "train": [n], "enabled": n != "unused"} for n in ("english", "others", "unused")]
     spark.createDataFrame([(json.dumps(entries),)], "value string").coalesce(1).write.text(f"{folder}/list")
     sources = registry.read_catalogue(spark, f"{folder}/list")
-    lines = records.check_lines(registry.open_split(spark, sources, "train"), F.when(~F.col("ok"), "not an object"))
+    opened = Rounds(spark, "catalogue").table("lines", registry.open_split(spark, sources, "train"))  # the checks read it again
+    lines = records.check_lines(opened, F.when(~F.col("ok"), "not an object"))
     rows = lines.select("dataset_name", "dataset_no", *(records.text_field(f).alias(f) for f in ("doc_id", "source", "target_text")))
     hooks = transforms.Hooks()
     hooks.on("opened", lambda df: df.filter("source <> 'src3'"))

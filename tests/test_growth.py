@@ -118,3 +118,7 @@ def test_simplified_lines_keep_nulls(spark):
 
 def test_audits_read_texts_once(spark):
     assert "regexp_count" not in plan(queries.QUERIES["audit_report"](spark, SF))
+
+
+def test_catalogue_rows_parse_lines_once(spark):
+    assert "try_parse_json" not in plan(queries.QUERIES["catalogue_rows"](spark, SF)) and "schema_of_variant" not in plan(queries.QUERIES["catalogue_rows"](spark, SF))
