@@ -196,7 +196,7 @@ def streamed_microbatches(spark, sf_dir):
     sizes = docs.groupBy("source").agg(F.count("*").alias("size")).withColumn("weight", F.col("size").cast("double"))
     sources = tables.table("sources", mixing.largest_remainders(mixing.active_sources(sizes), 512))
     length = docs.count()
-    rows = mixing.spread(draws.draws(spark, length, STREAM_DRAWS), sources, 512).join(docs, ["source", "row_index"])
+    rows = mixing.spread(draws.draws(spark, length, STREAM_DRAWS), sources, 512).join(docs.hint("merge"), ["source", "row_index"])  # no broadcast, which would take the documents through the driver in each micro-batch
     rows = rows.withColumn("stream", F.floor(F.col("draw_id") / STREAM_DRAWS))
     log = draws.PlanLog(spark, f"{shared_folder(spark)}/millrace-plan-{uuid.uuid4().hex}")
     query = log.start(draws.planned(rows, "stream", PLANNER, ends=length, per_stream=STREAM_DRAWS), processingTime="0 seconds")

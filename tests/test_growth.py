@@ -126,3 +126,11 @@ def test_catalogue_rows_parse_lines_once(spark):
 
 def test_context_views_are_short(spark):
     assert len(plan(queries.QUERIES["context_views"](spark, SF))) < 60_000
+
+
+def test_streamed_documents_are_not_broadcast(spark, monkeypatch):
+    seen = []
+    planned = draws.planned
+    monkeypatch.setattr(draws, "planned", lambda rows, *a, **k: seen.append(rows) or planned(rows, *a, **k))
+    assert queries.QUERIES["streamed_microbatches"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert "strategy=merge" in seen[0]._jdf.queryExecution().analyzed().toString()
