@@ -54,8 +54,9 @@ def meeting(left: DataFrame, right: DataFrame) -> DataFrame:
     right ones of their level and below, right ones among left ones below. A pair that meets in several cells counts
     in the one with the lower corner of what it shares.
     """
-    crowded = left.select("image", level().alias("level")).unionAll(right.select("image", level().alias("level"))).groupBy("image").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("level")).alias("_levels"))
-    crowded = crowded.filter(F.col("n") > CROWD).drop("n")
+    crowded = left.select("image", level().alias("level")).unionAll(right.select("image", level().alias("level"))).groupBy("image").agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, level)")).alias("levels"))
+    there = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda m: F.call_function("getbit", F.col("levels"), m) == 1)  # the levels as bits, which are spread out for crowded images only
+    crowded = crowded.filter(F.col("n") > CROWD).select("image", there.alias("_levels"))
     alone = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")))
 
     def dealt(boxes: DataFrame, prefix: str, ways: tuple[tuple[bool, bool], tuple[bool, bool]]) -> DataFrame:

@@ -134,3 +134,8 @@ def test_streamed_documents_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(draws, "planned", lambda rows, *a, **k: seen.append(rows) or planned(rows, *a, **k))
     assert queries.QUERIES["streamed_microbatches"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert "strategy=merge" in seen[0]._jdf.queryExecution().analyzed().toString()
+
+
+def test_levels_are_gathered_as_bits(spark):
+    for name in ("iou_best_match", "crop_distractors"):
+        assert "collect_set" not in plan(queries.QUERIES[name](spark, SF))
